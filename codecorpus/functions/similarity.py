@@ -12,7 +12,10 @@ through a pandas UDF. Exact: same result as the cell-by-cell recurrence.
 
 from __future__ import annotations
 
+import sys
+
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
@@ -22,6 +25,14 @@ from .text import canonical_lines
 
 def edit_distance_py(a: str, b: str) -> int:
     """Levenshtein distance over code points (unit costs)."""
+    # A common prefix and suffix never change the distance.
+    i, n = 0, min(len(a), len(b))
+    while i < n and a[i] == b[i]:
+        i += 1
+    j = 0
+    while j < n - i and a[-1 - j] == b[-1 - j]:
+        j += 1
+    a, b = a[i:len(a) - j], b[i:len(b) - j]
     if len(a) < len(b):
         a, b = b, a
     m = len(b)
@@ -30,22 +41,24 @@ def edit_distance_py(a: str, b: str) -> int:
     full = (1 << m) - 1
     top = 1 << (m - 1)
     peq: dict[str, int] = {}
-    for i, ch in enumerate(b):
-        peq[ch] = peq.get(ch, 0) | (1 << i)
+    for k, ch in enumerate(b):
+        peq[ch] = peq.get(ch, 0) | (1 << k)
+    get = peq.get
     pv, mv, score = full, 0, m
     for ch in a:
-        eq = peq.get(ch, 0)
+        eq = get(ch, 0)
         xv = eq | mv
         xh = (((eq & pv) + pv) ^ pv) | eq
-        ph = (mv | ~(xh | pv)) & full
+        # Bits above m-1 are never read back into lower bits (carries and
+        # shifts only move upward), so only pv needs masking to stay small.
+        ph = mv | ~(xh | pv)
         mh = pv & xh
         if ph & top:
             score += 1
         elif mh & top:
             score -= 1
-        ph = ((ph << 1) | 1) & full
-        mh = (mh << 1) & full
-        pv = (mh | ~(xv | ph)) & full
+        ph = (ph << 1) | 1
+        pv = ((mh << 1) | ~(xv | ph)) & full
         mv = ph & xv
     return score
 
@@ -56,6 +69,10 @@ def _edit_distance_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="Int64")
 
 
+# Ship this module's code with the UDF so executors need no installed package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 def edit_distance(a: Column, b: Column) -> Column:
     """Exact Levenshtein distance of two string Columns (NULL if either is)."""
     return _edit_distance_udf(a, b)

@@ -7,14 +7,16 @@ from pyspark.sql import functions as F
 
 from ..functions.similarity import edit_similarity
 from ..operators import joins, metrics
+from ..operators.partitioning import co_partition, cpu_partitions
 from . import sqlparts as q
 from . import standins as st
 
 
 def scored_samples(spark: SparkSession, d: str) -> DataFrame:
     """Per sample: edit similarity of its prediction ('' when missing, J2)."""
-    s = st.samples(spark, d).select("sample_id", "opt", "dataset", "language", "func")
-    p = st.predictions(spark, d).select("sample_id", "prediction")
+    n = cpu_partitions(spark)
+    s = co_partition(st.samples(spark, d).select("sample_id", "opt", "dataset", "language", "func"), "sample_id", n)
+    p = co_partition(st.predictions(spark, d).select("sample_id", "prediction"), "sample_id", n)
     sp = joins.tolerant_join(s, p, "sample_id", {"prediction": ""})
     return sp.select("sample_id", "opt", "dataset", "language", F.col("_matched").alias("matched"),
                      edit_similarity(F.col("func"), F.col("prediction")).alias("edit_sim"))
@@ -68,14 +70,173 @@ SELECT opt, count(*) AS total, CAST(sum(flag_run) AS BIGINT) AS n_run,
 FROM samples JOIN verdicts USING (sample_id) GROUP BY opt"""
 
 
+def repeat_rates_by_opt(spark: SparkSession, d: str) -> DataFrame:
+    """A3: compile / run rate per opt averaged over repeats (lineitem scale)."""
+    return metrics.repeat_rates(st.repeat_verdicts(spark, d))
+
+
+REPEAT_RATES_SQL = f"""WITH {q.REPEAT_VERDICTS},
+per AS (SELECT repeat_no, opt, sum(flag_compile) AS c, sum(flag_run) AS r, count(*) AS t
+        FROM repeat_verdicts GROUP BY repeat_no, opt),
+nr AS (SELECT count(DISTINCT repeat_no) AS n_rep FROM per),
+agg AS (SELECT opt, sum(c) / any_value(n_rep) AS avg_compile, sum(r) / any_value(n_rep) AS avg_run,
+               sum(t) / any_value(n_rep) AS avg_total FROM per, nr GROUP BY opt)
+SELECT opt, round(avg_compile, 6) AS avg_compile, round(avg_run, 6) AS avg_run, round(avg_total, 6) AS avg_total,
+       round(CASE WHEN avg_total > 0 THEN avg_compile / avg_total ELSE 0.0 END, 6) AS compile_rate,
+       round(CASE WHEN avg_total > 0 THEN avg_run / avg_total ELSE 0.0 END, 6) AS run_rate
+FROM agg"""
+
+
+def fixed_rate_by_opt(spark: SparkSession, d: str) -> DataFrame:
+    """A4: run count per opt over a fixed denominator floor(N / 4)."""
+    s = st.samples(spark, d).select("sample_id", "opt")
+    return metrics.fixed_denominator_rate(s.join(st.verdicts(spark, d), "sample_id"))
+
+
+FIXED_RATE_SQL = f"""WITH {q.SAMPLES}, {q.VERDICTS},
+per AS (SELECT opt, sum(flag_run) AS s, count(*) AS n FROM samples JOIN verdicts USING (sample_id) GROUP BY opt)
+SELECT opt, CAST(s AS BIGINT) AS n_run, round(s * 100.0 / floor((SELECT sum(n) FROM per) / 4), 6) AS fixed_rate
+FROM per"""
+
+
+def totals_rollup(spark: SparkSession, d: str) -> DataFrame:
+    """A5: totals per opt and overall in one grouping-sets pass (lineitem scale)."""
+    return metrics.totals_with_overall(st.repeat_verdicts(spark, d))
+
+
+TOTALS_ROLLUP_SQL = f"""WITH {q.REPEAT_VERDICTS}
+SELECT opt, count(*) AS total, CAST(sum(flag_compile) AS BIGINT) AS n_compile,
+       CAST(sum(flag_run) AS BIGINT) AS n_run, round(sum(flag_run) / count(*), 6) AS run_ratio
+FROM repeat_verdicts GROUP BY ROLLUP (opt)"""
+
+
+def count_by_opt(spark: SparkSession, d: str) -> DataFrame:
+    """Judged samples per opt, all four levels reported (zero-filled)."""
+    s = st.samples(spark, d).select("sample_id", "opt")
+    judged = s.join(st.verdicts(spark, d).where(F.col("flag_run") == 1), "sample_id")
+    return metrics.count_per_opt(spark, judged)
+
+
+COUNT_BY_OPT_SQL = f"""WITH {q.SAMPLES}, {q.VERDICTS},
+c AS (SELECT opt, count(*) AS n FROM samples JOIN verdicts USING (sample_id) WHERE flag_run = 1 GROUP BY opt),
+levels AS (SELECT unnest(['O0', 'O1', 'O2', 'O3']) AS opt)
+SELECT opt, CAST(coalesce(n, 0) AS BIGINT) AS n FROM levels LEFT JOIN c USING (opt)"""
+
+
+def strict_verdict_join(spark: SparkSession, d: str) -> DataFrame:
+    """Every verdict must find its sample (fails otherwise); run counts
+    per language."""
+    s = st.samples(spark, d).select("sample_id", "language")
+    j = joins.strict_join(st.verdicts(spark, d), s, "sample_id")
+    return j.groupBy("language").agg(F.count(F.lit(1)).alias("n"), F.sum("flag_run").cast("long").alias("n_run"))
+
+
+STRICT_VERDICT_JOIN_SQL = f"""WITH {q.SAMPLES}, {q.VERDICTS}
+SELECT language, count(*) AS n, CAST(sum(flag_run) AS BIGINT) AS n_run
+FROM verdicts JOIN samples USING (sample_id) GROUP BY language"""
+
+
+def _all_predictions(spark: SparkSession, d: str) -> DataFrame:
+    """A13 input: native decompilers from columns (unpivot), the model from
+    files, one long table (sample_id, decompiler, prediction)."""
+    nat = st.native_outputs(spark, d).select(
+        "sample_id", F.col("ida_pseudo").alias("ida"), F.col("ghidra_pseudo").alias("ghidra"))
+    native = nat.unpivot("sample_id", ["ida", "ghidra"], "decompiler", "prediction")
+    return joins.union_all([native, st.predictions(spark, d)])
+
+
+def two_source_rates(spark: SparkSession, d: str) -> DataFrame:
+    """A13 + J4 + J2: samples x decompilers (explode of the decompiler list),
+    tolerant join to predictions from both sources, the same run rate for
+    all: a sample runs if its verdict says so and a prediction exists."""
+    decs = ["ida", "ghidra", "next4"]
+    s = joins.expand_values(st.samples(spark, d).select("sample_id", "opt", "language"), "decompiler", decs)
+    j = joins.tolerant_join(s, _all_predictions(spark, d), ["sample_id", "decompiler"], {"prediction": ""})
+    v = st.verdicts(spark, d).select("sample_id", "flag_run")
+    j = j.join(v, "sample_id").withColumn(
+        "ok", ((F.col("flag_run") == 1) & (F.col("prediction") != "")).cast("int"))
+    return j.groupBy("decompiler", "opt").agg(
+        F.count(F.lit(1)).alias("total"), F.sum("ok").cast("long").alias("n_run"),
+        F.round(F.sum("ok") * 100.0 / F.count(F.lit(1)), 6).alias("exe_rate"))
+
+
+ALL_PREDICTIONS = f"""{q.NATIVE}, {q.PREDICTIONS},
+allpred AS (SELECT sample_id, 'ida' AS decompiler, ida_pseudo AS prediction FROM native
+            UNION ALL SELECT sample_id, 'ghidra', ghidra_pseudo FROM native
+            UNION ALL SELECT sample_id, decompiler, prediction FROM predictions),
+expanded AS (SELECT s.sample_id, s.opt, s.language, dd.decompiler, coalesce(p.prediction, '') AS prediction
+             FROM samples s CROSS JOIN (SELECT unnest(['ida', 'ghidra', 'next4']) AS decompiler) dd
+             LEFT JOIN allpred p ON p.sample_id = s.sample_id AND p.decompiler = dd.decompiler),
+judged AS (SELECT e.*, CAST(v.flag_run = 1 AND e.prediction <> '' AS INTEGER) AS ok
+           FROM expanded e JOIN verdicts v USING (sample_id))"""
+
+TWO_SOURCE_RATES_SQL = f"""WITH {q.SAMPLES}, {q.VERDICTS}, {ALL_PREDICTIONS}
+SELECT decompiler, opt, count(*) AS total, CAST(sum(ok) AS BIGINT) AS n_run,
+       round(sum(ok) * 100.0 / count(*), 6) AS exe_rate
+FROM judged GROUP BY decompiler, opt"""
+
+
+def metric_table_by_group(spark: SparkSession, d: str) -> DataFrame:
+    """One row per (language, opt, decompiler), one column per metric."""
+    decs = ["ida", "ghidra", "next4"]
+    s = joins.expand_values(st.samples(spark, d).select("sample_id", "opt", "language"), "decompiler", decs)
+    j = joins.tolerant_join(s, _all_predictions(spark, d), ["sample_id", "decompiler"], {"prediction": ""})
+    j = j.join(st.verdicts(spark, d).select("sample_id", "flag_run"), "sample_id").withColumn(
+        "ok", ((F.col("flag_run") == 1) & (F.col("prediction") != "")).cast("int"))
+    per = j.groupBy("language", "opt", "decompiler").agg(
+        F.round(F.sum("ok") * 100.0 / F.count(F.lit(1)), 6).alias("exe_rate"),
+        F.count(F.lit(1)).cast("double").alias("n"))
+    long = per.unpivot(["language", "opt", "decompiler"], ["exe_rate", "n"], "metric", "value")
+    return metrics.metric_table(long, ["exe_rate", "n"])
+
+
+METRIC_TABLE_SQL = f"""WITH {q.SAMPLES}, {q.VERDICTS}, {ALL_PREDICTIONS},
+per AS (SELECT language, opt, decompiler, round(sum(ok) * 100.0 / count(*), 6) AS exe_rate,
+               CAST(count(*) AS DOUBLE) AS n FROM judged GROUP BY language, opt, decompiler)
+SELECT language, opt, decompiler, exe_rate, n FROM per"""
+
+
+def request_batches(spark: SparkSession, d: str) -> DataFrame:
+    """J9 + W4: every sample requested twice, requests in (sample, request)
+    order cut into consecutive batches of 50; size of each batch."""
+    from ..operators.ordering import with_row_index
+    reqs = joins.repeat_rows(st.samples(spark, d).select("sample_id"), 2)
+    idx = with_row_index(reqs, ["sample_id", "request_no"], "pos")
+    return idx.groupBy((F.col("pos") / 50).cast("long").alias("batch")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("sample_id").alias("first_sample"))
+
+
+REQUEST_BATCHES_SQL = f"""WITH {q.SAMPLES},
+reqs AS (SELECT sample_id, unnest(range(1, 3)) AS request_no FROM samples),
+pos AS (SELECT sample_id, row_number() OVER (ORDER BY sample_id, request_no) - 1 AS pos FROM reqs)
+SELECT CAST(floor(pos / 50) AS BIGINT) AS batch, count(*) AS n, min(sample_id) AS first_sample
+FROM pos GROUP BY 1"""
+
+
 QUERIES = {
     "eval_by_opt": eval_by_opt,
     "a1_edit_sim_by_dataset": edit_sim_by_dataset,
     "a2_exec_rate_by_opt": exec_rate_by_opt,
+    "a3_repeat_rates": repeat_rates_by_opt,
+    "a4_fixed_denominator_rate": fixed_rate_by_opt,
+    "a5_totals_rollup": totals_rollup,
+    "a6_metric_table": metric_table_by_group,
+    "a8_count_by_opt": count_by_opt,
+    "a13_two_source_rates": two_source_rates,
+    "j1_strict_verdict_join": strict_verdict_join,
+    "j9_request_batches": request_batches,
 }
 
 ORACLE = {
     "eval_by_opt": EVAL_BY_OPT_SQL,
     "a1_edit_sim_by_dataset": EDIT_SIM_BY_DATASET_SQL,
     "a2_exec_rate_by_opt": EXEC_RATE_BY_OPT_SQL,
+    "a3_repeat_rates": REPEAT_RATES_SQL,
+    "a4_fixed_denominator_rate": FIXED_RATE_SQL,
+    "a5_totals_rollup": TOTALS_ROLLUP_SQL,
+    "a6_metric_table": METRIC_TABLE_SQL,
+    "a8_count_by_opt": COUNT_BY_OPT_SQL,
+    "a13_two_source_rates": TWO_SOURCE_RATES_SQL,
+    "j1_strict_verdict_join": STRICT_VERDICT_JOIN_SQL,
+    "j9_request_batches": REQUEST_BATCHES_SQL,
 }

@@ -71,3 +71,8 @@ SCORED = f"""scored AS (
   FROM samples s LEFT JOIN predictions p ON s.sample_id = p.sample_id),
 similarity AS (
   SELECT sample_id, opt, dataset, language, matched, {edit_sim('a', 'b')} AS edit_sim FROM scored)"""
+
+NATIVE = """native AS (
+  SELECT sample_id, func_name, func, opt, language, dataset,
+         upper(func) AS ida_pseudo, lower(func) AS ghidra_pseudo
+  FROM samples)"""

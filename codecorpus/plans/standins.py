@@ -70,3 +70,12 @@ def repeat_verdicts(spark: SparkSession, d: str) -> DataFrame:
         F.col("l_linenumber").alias("repeat_no"),
         (F.col("l_returnflag") != "R").cast("int").alias("flag_compile"),
         (F.col("l_returnflag") == "A").cast("int").alias("flag_run"))
+
+
+def native_outputs(spark: SparkSession, d: str) -> DataFrame:
+    """Samples with the two native decompilers' outputs as columns
+    (``ida_pseudo``, ``ghidra_pseudo``), as in the v2 benchmark rows. Stand-in
+    text: the sample's own text upper- and lower-cased."""
+    return samples(spark, d).select(
+        "sample_id", "func_name", "func", "opt", "language", "dataset",
+        F.upper("func").alias("ida_pseudo"), F.lower("func").alias("ghidra_pseudo"))

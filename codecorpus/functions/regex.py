@@ -26,18 +26,31 @@ def _lit(p: str | Column) -> Column:
     return p if isinstance(p, Column) else F.lit(p)
 
 
+def let(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and pass it to ``fn`` as a lambda variable.
+
+    Composite functions use an argument several times; without this, nested
+    composites would copy (and re-evaluate) their argument expression trees
+    at every level. ``transform`` over a one-element array binds the value.
+    """
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
 def sub_with(text: Column, pattern: str, fn: Callable[[Column], Column]) -> Column:
     """``re.sub(pattern, lambda m: fn(m.group(0)), text)`` as a Column.
 
     ``pattern`` must not match the empty string. ``fn`` receives the whole
     match as a string Column and returns the replacement Column.
     """
-    pieces = F.split(text, pattern, -1)
-    tokens = F.regexp_extract_all(text, _lit(pattern), 0)
-    joined = F.zip_with(
-        pieces, tokens,
-        lambda piece, tok: F.concat(piece, F.when(tok.isNull(), F.lit("")).otherwise(F.coalesce(fn(tok), F.lit("")))))
-    return F.when(text.isNull(), F.lit(None).cast("string")).otherwise(F.array_join(joined, ""))
+    def body(t: Column) -> Column:
+        pieces = F.split(t, pattern, -1)
+        tokens = F.regexp_extract_all(t, _lit(pattern), 0)
+        joined = F.zip_with(
+            pieces, tokens,
+            lambda piece, tok: F.concat(piece, F.when(tok.isNull(), F.lit("")).otherwise(
+                F.coalesce(fn(tok), F.lit("")))))
+        return F.when(t.isNull(), F.lit(None).cast("string")).otherwise(F.array_join(joined, ""))
+    return let(text, body)
 
 
 def py_strip(c: Column) -> Column:
@@ -47,5 +60,5 @@ def py_strip(c: Column) -> Column:
 
 def py_splitlines(c: Column) -> Column:
     """Python ``str.splitlines()``: all its line breaks, no trailing empty piece."""
-    parts = F.split(c, PY_LINE_BREAK, -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    return let(F.split(c, PY_LINE_BREAK, -1), lambda parts: F.when(
+        F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts))

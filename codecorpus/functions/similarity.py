@@ -16,7 +16,7 @@ import sys
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
@@ -78,14 +78,19 @@ def edit_distance(a: Column, b: Column) -> Column:
     return _edit_distance_udf(a, b)
 
 
-def edit_similarity(a: Column, b: Column, canonical: bool = True) -> Column:
-    """``1 - lev(a, b) / max(len a, len b)`` on the T8 canonical forms.
+def with_edit_similarity(df: DataFrame, a: str, b: str, out: str = "edit_sim",
+                         canonical: bool = True) -> DataFrame:
+    """T9 as a DataFrame step: ``1 - lev(a, b) / max(len a, len b)`` over the
+    T8 canonical forms of columns ``a`` and ``b``.
 
-    Canonicalisation is JVM-side; only the two canonical strings cross to
-    Python. Two empty texts score 1.0 (the original divides by zero).
+    The canonical forms are projected first (JVM-side, once each); only
+    those two strings cross to Python. Two empty texts score 1.0 (the
+    original divides by zero there).
     """
-    x = canonical_lines(a) if canonical else a
-    y = canonical_lines(b) if canonical else b
-    longest = F.greatest(F.length(x), F.length(y))
-    return F.when(longest == 0, F.lit(1.0)).otherwise(
-        F.lit(1.0) - edit_distance(x, y).cast("double") / longest.cast("double"))
+    x = canonical_lines(F.col(a)) if canonical else F.col(a)
+    y = canonical_lines(F.col(b)) if canonical else F.col(b)
+    staged = df.withColumn("_es_a", x).withColumn("_es_b", y)
+    longest = F.greatest(F.length("_es_a"), F.length("_es_b"))
+    score = F.when(longest == 0, F.lit(1.0)).otherwise(
+        F.lit(1.0) - edit_distance(F.col("_es_a"), F.col("_es_b")).cast("double") / longest.cast("double"))
+    return staged.withColumn(out, score).drop("_es_a", "_es_b")

@@ -11,9 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .regex import PY_SPACE_CLASS, py_splitlines, py_strip, sub_with
+from .regex import PY_SPACE_CLASS, let, py_splitlines, py_strip, sub_with
 
 _NOT_SPACE = "[^" + PY_SPACE_CLASS[1:]
+_AT_LEAST_3 = "(?s)" + _NOT_SPACE + ".+" + _NOT_SPACE
 
 
 def _c(x) -> Column:
@@ -46,20 +47,24 @@ def edit_similarity_jvm(a, b, canonical: bool = True) -> Column:
     implementation for tests; ``similarity.edit_similarity`` is the fast one)."""
     x = canonical_lines(a) if canonical else _c(a)
     y = canonical_lines(b) if canonical else _c(b)
-    longest = F.greatest(F.length(x), F.length(y))
-    return F.when(longest == 0, F.lit(1.0)).otherwise(
-        F.lit(1.0) - F.levenshtein(x, y).cast("double") / longest.cast("double"))
+
+    def score(x: Column, y: Column) -> Column:
+        longest = F.greatest(F.length(x), F.length(y))
+        return F.when(longest == 0, F.lit(1.0)).otherwise(
+            F.lit(1.0) - F.levenshtein(x, y).cast("double") / longest.cast("double"))
+    return let(x, lambda x: let(y, lambda y: score(x, y)))
 
 
 # ---------------------------------------------------------------- P4
 
 def good_func(c) -> Column:
     """After the first ``{``, count lines whose strip has >= 3 chars; keep 4..299."""
-    c = _c(c)
-    pos = F.instr(c, "{")
-    body = F.when(pos > 0, F.substring(c, pos + 1, 2147483647)).otherwise(F.lit(""))
-    n = F.size(F.filter(F.split(body, "\n", -1), lambda ln: F.length(py_strip(ln)) >= 3))
-    return (n > 3) & (n < 300)
+    def count(c: Column) -> Column:
+        pos = F.instr(c, "{")
+        body = F.when(pos > 0, F.substring(c, pos + 1, 2147483647)).otherwise(F.lit(""))
+        # strip length >= 3  <=>  two non-space chars with something between
+        return F.size(F.filter(F.split(body, "\n", -1), lambda ln: ln.rlike(_AT_LEAST_3)))
+    return let(count(_c(c)), lambda n: (n > 3) & (n < 300))
 
 
 # ---------------------------------------------------------------- T1, T2
@@ -98,15 +103,17 @@ def hex_digits_to_decimal(h) -> Column:
     from 8-digit chunks in ``decimal(38,0)``. Longer values stay NULL (the
     caller keeps the literal unchanged).
     """
-    h = _c(h)
-    sig = F.regexp_replace(h, r"^0+(?=.)", "")
-    n = F.length(sig)
-    padded = F.lpad(sig, ((n + 7) / 8).cast("int") * 8, "0")
-    chunks = F.regexp_extract_all(padded, F.lit(".{8}"), 0)
-    folded = F.aggregate(chunks, F.lit(0).cast("decimal(38,0)"),
-                         lambda acc, ch: (acc * F.lit(4294967296).cast("decimal(38,0)") + F.conv(ch, 16, 10).cast("decimal(38,0)")).cast("decimal(38,0)"))
-    return (F.when(n <= 16, F.conv(sig, 16, 10))
-            .when(n <= 31, folded.cast("string")))
+    def convert(sig: Column) -> Column:
+        n = F.length(sig)
+        padded = F.lpad(sig, ((n + 7) / 8).cast("int") * 8, "0")
+        chunks = F.regexp_extract_all(padded, F.lit(".{8}"), 0)
+        folded = F.aggregate(
+            chunks, F.lit(0).cast("decimal(38,0)"),
+            lambda acc, ch: (acc * F.lit(4294967296).cast("decimal(38,0)")
+                             + F.conv(ch, 16, 10).cast("decimal(38,0)")).cast("decimal(38,0)"))
+        return (F.when(n <= 16, F.conv(sig, 16, 10))
+                .when(n <= 31, folded.cast("string")))
+    return let(F.regexp_replace(_c(h), r"^0+(?=.)", ""), convert)
 
 
 def hex_to_dec(c) -> Column:
@@ -114,8 +121,8 @@ def hex_to_dec(c) -> Column:
     def conv(tok: Column) -> Column:
         digits = F.regexp_extract(tok, r"^0x([0-9a-fA-F]+)", 1)
         suffix = F.regexp_extract(tok, r"([uUlL]*)$", 1)
-        dec = hex_digits_to_decimal(digits)
-        return F.when(dec.isNull(), tok).otherwise(F.concat(dec, suffix))
+        return let(hex_digits_to_decimal(digits),
+                   lambda dec: F.when(dec.isNull(), tok).otherwise(F.concat(dec, suffix)))
     return sub_with(_c(c), HEX_LITERAL, conv)
 
 
@@ -170,27 +177,31 @@ def normalise_pseudo(c, formatted=None) -> Column:
     results and NULL when the formatter failed.
     """
     r = replace_type_aliases(remove_keywords(hex_to_dec(remove_comments_naive(_c(c)))))
-    laid_out = r if formatted is None else _c(formatted)
-    return F.when(is_blank(r), F.lit("")).otherwise(
-        F.when(laid_out.isNull(), F.lit(None).cast("string")).otherwise(strip_empty(laid_out)))
+
+    def finish(r: Column) -> Column:
+        laid_out = r if formatted is None else _c(formatted)
+        return F.when(is_blank(r), F.lit("")).otherwise(
+            F.when(laid_out.isNull(), F.lit(None).cast("string")).otherwise(strip_empty(laid_out)))
+    return let(r, finish)
 
 
 def accept_status(norm) -> Column:
     """P6 status: accepted / rejected (P4 fails) / empty / format_failed."""
-    norm = _c(norm)
-    return (F.when(norm.isNull(), F.lit("format_failed"))
-            .when(norm == "", F.lit("empty"))
-            .when(good_func(norm), F.lit("accepted"))
-            .otherwise(F.lit("rejected")))
+    return let(_c(norm), lambda norm: (
+        F.when(norm.isNull(), F.lit("format_failed"))
+        .when(norm == "", F.lit("empty"))
+        .when(good_func(norm), F.lit("accepted"))
+        .otherwise(F.lit("rejected"))))
 
 
 # ---------------------------------------------------------------- listings T10-T16
 
 def function_from_listing(asm, name) -> Column:
     """``<name>:`` + text after its last occurrence up to the first blank line."""
-    label = F.concat(F.lit("<"), _c(name), F.lit(">:"))
-    after = F.call_function("substring_index", _c(asm), label, F.lit(-1))
-    return F.concat(label, F.split(after, "\n\n", -1).getItem(0))
+    def cut(label: Column) -> Column:
+        after = F.call_function("substring_index", _c(asm), label, F.lit(-1))
+        return F.concat(label, F.split(after, "\n\n", -1).getItem(0))
+    return let(F.concat(F.lit("<"), _c(name), F.lit(">:")), cut)
 
 
 def clean_listing_tab_form(asm) -> Column:
@@ -200,11 +211,11 @@ def clean_listing_tab_form(asm) -> Column:
     kept = F.filter(lines, lambda ln: ~((F.size(F.split(ln, "\t", -1)) < 3) & ln.contains("00")))
 
     def clean(ln: Column) -> Column:
-        fields = F.split(ln, "\t", -1)
-        n = F.size(fields)
-        start = F.least(n - 1, F.lit(2)) + 1
-        tail = F.array_join(F.slice(fields, start, n), "\t")
-        return py_strip(F.substring_index(tail, "#", 1))
+        def keep(fields: Column) -> Column:
+            n = F.size(fields)
+            tail = F.array_join(F.slice(fields, F.least(n - 1, F.lit(2)) + 1, n), "\t")
+            return py_strip(F.substring_index(tail, "#", 1))
+        return let(F.split(ln, "\t", -1), keep)
     return py_strip(F.array_join(F.transform(kept, lambda ln: F.concat(clean(ln), F.lit("\n"))), ""))
 
 
@@ -245,11 +256,12 @@ BODY_MARKER = "/* Variables and functions */"
 def source_body(c) -> Column:
     """Text after the last marker minus its first blank-line block, with
     the attribute removed; unchanged when the marker is absent."""
-    c = _c(c)
-    after = F.substring_index(c, BODY_MARKER, -1)
-    blocks = F.split(after, "\n\n", -1)
-    body = remove_attribute(F.array_join(F.slice(blocks, 2, F.greatest(F.size(blocks) - 1, F.lit(0))), "\n\n"))
-    return F.when(c.contains(BODY_MARKER), body).otherwise(c)
+    def cut(c: Column) -> Column:
+        blocks = F.split(F.substring_index(c, BODY_MARKER, -1), "\n\n", -1)
+        body = let(blocks, lambda b: remove_attribute(
+            F.array_join(F.slice(b, 2, F.greatest(F.size(b) - 1, F.lit(0))), "\n\n")))
+        return F.when(c.contains(BODY_MARKER), body).otherwise(c)
+    return let(_c(c), cut)
 
 
 def decompiler_sections(text) -> Column:
@@ -257,18 +269,16 @@ def decompiler_sections(text) -> Column:
     ``// Function: <name>`` section. ``body`` starts at the first line after
     the header that mentions the name (the last line if none does) and is
     stripped."""
-    secs = F.split(_c(text), "// Function: ", -1)
-    secs = F.slice(secs, 2, F.greatest(F.size(secs) - 1, F.lit(0)))
-
-    def one(sec: Column) -> Column:
-        lines = F.split(sec, "\n", -1)
-        name = py_strip(lines.getItem(0))
-        hits = F.filter(F.transform(lines, lambda ln, i: F.when((i >= 1) & ln.contains(name), i)),
-                        lambda i: i.isNotNull())
-        first = F.coalesce(F.array_min(hits), F.size(lines) - 1)
-        body = F.array_join(F.slice(lines, first + 1, F.size(lines)), "\n")
-        return F.struct(name.alias("name"), py_strip(body).alias("body"))
-    return F.transform(secs, one)
+    def one(lines: Column) -> Column:
+        def with_name(name: Column) -> Column:
+            hits = F.filter(F.transform(lines, lambda ln, i: F.when((i >= 1) & ln.contains(name), i)),
+                            lambda i: i.isNotNull())
+            first = F.coalesce(F.array_min(hits), F.size(lines) - 1)
+            body = F.array_join(F.slice(lines, first + 1, F.size(lines)), "\n")
+            return F.struct(name.alias("name"), py_strip(body).alias("body"))
+        return let(py_strip(lines.getItem(0)), with_name)
+    return let(F.split(_c(text), "// Function: ", -1), lambda secs: F.transform(
+        F.slice(secs, 2, F.greatest(F.size(secs) - 1, F.lit(0))), lambda sec: let(F.split(sec, "\n", -1), one)))
 
 
 # ---------------------------------------------------------------- T17, T18
@@ -277,12 +287,15 @@ def hoist_includes(func, test) -> Column:
     """``struct<includes, func, test>``: ``#include`` lines of func then
     test (each with a newline, duplicates kept) and both texts with every
     such line's text removed (line breaks stay)."""
-    f_inc = F.filter(F.split(_c(func), "\n", -1), lambda ln: ln.contains("#include"))
-    t_inc = F.filter(F.split(_c(test), "\n", -1), lambda ln: ln.contains("#include"))
-    inc = F.array_join(F.transform(F.concat(f_inc, t_inc), lambda ln: F.concat(ln, F.lit("\n"))), "")
-    f2 = F.aggregate(f_inc, _c(func), lambda acc, ln: F.replace(acc, ln, F.lit("")))
-    t2 = F.aggregate(t_inc, _c(test), lambda acc, ln: F.replace(acc, ln, F.lit("")))
-    return F.struct(inc.alias("includes"), f2.alias("func"), t2.alias("test"))
+    def build(func: Column, test: Column) -> Column:
+        def with_inc(f_inc: Column, t_inc: Column) -> Column:
+            inc = F.array_join(F.transform(F.concat(f_inc, t_inc), lambda ln: F.concat(ln, F.lit("\n"))), "")
+            f2 = F.aggregate(f_inc, func, lambda acc, ln: F.replace(acc, ln, F.lit("")))
+            t2 = F.aggregate(t_inc, test, lambda acc, ln: F.replace(acc, ln, F.lit("")))
+            return F.struct(inc.alias("includes"), f2.alias("func"), t2.alias("test"))
+        return let(F.filter(F.split(func, "\n", -1), lambda ln: ln.contains("#include")), lambda fi: let(
+            F.filter(F.split(test, "\n", -1), lambda ln: ln.contains("#include")), lambda ti: with_inc(fi, ti)))
+    return let(_c(func), lambda f: let(_c(test), lambda t: build(f, t)))
 
 
 def assemble_program(includes, prediction, test=None) -> Column:
@@ -301,16 +314,17 @@ def raw_name_token(c) -> Column:
 
 def function_name(c) -> Column:
     """Stripped name token without a leading ``**`` or one ``*``."""
-    n = py_strip(raw_name_token(c))
-    return (F.when(n.startswith("**"), F.substring(n, 3, 2147483647))
-            .when(n.startswith("*"), F.substring(n, 2, 2147483647))
-            .otherwise(n))
+    return let(py_strip(raw_name_token(c)), lambda n: (
+        F.when(n.startswith("**"), F.substring(n, 3, 2147483647))
+        .when(n.startswith("*"), F.substring(n, 2, 2147483647))
+        .otherwise(n)))
 
 
 def align_name(text, old, new) -> Column:
     """Replace every occurrence of ``old`` by ``new``. An empty ``old``
     leaves the text unchanged (Python would insert ``new`` between chars)."""
-    return F.when((_c(old) == "") | _c(old).isNull(), _c(text)).otherwise(F.replace(_c(text), _c(old), _c(new)))
+    return let(_c(old), lambda o: let(_c(text), lambda t: F.when(
+        (o == "") | o.isNull(), t).otherwise(F.replace(t, o, _c(new)))))
 
 
 def strip_fastcall(c) -> Column:
@@ -361,12 +375,13 @@ def strip_fences(c) -> Column:
 def repaired_json(c) -> Column:
     """The first of {text, text + '}', text without backslashes} (after
     fence removal) that parses as JSON; NULL if none does."""
-    t = strip_fences(c)
-    cands = [t, F.concat(t, F.lit("}")), F.replace(t, F.lit("\\"), F.lit(""))]
-    out = F.lit(None).cast("string")
-    for cand in reversed(cands):
-        out = F.when(F.try_parse_json(cand).isNotNull(), cand).otherwise(out)
-    return out
+    def pick(t: Column) -> Column:
+        cands = [t, F.concat(t, F.lit("}")), F.replace(t, F.lit("\\"), F.lit(""))]
+        out = F.lit(None).cast("string")
+        for cand in reversed(cands):
+            out = F.when(F.try_parse_json(cand).isNotNull(), cand).otherwise(out)
+        return out
+    return let(strip_fences(c), pick)
 
 
 def judge_score(c, criterion: str = JUDGE_KEY) -> Column:
@@ -391,13 +406,14 @@ def chat_piece(role, text, roles=("", "Human", "Assistant")) -> Column:
 
 def human_count(n) -> Column:
     """``x.xx B`` / ``M`` / ``K`` (binary units) or the integer."""
-    n = _c(n)
     b, m, k = 1024 ** 3, 1024 ** 2, 1024
 
-    def fmt(unit: int, tag: str) -> Column:
-        return F.concat(F.format_string("%.2f", F.bround(n.cast("double") / unit, 2)), F.lit(" " + tag))
-    return (F.when(n >= b, fmt(b, "B")).when(n >= m, fmt(m, "M")).when(n >= k, fmt(k, "K"))
-            .otherwise(n.cast("string")))
+    def build(n: Column) -> Column:
+        def fmt(unit: int, tag: str) -> Column:
+            return F.concat(F.format_string("%.2f", F.bround(n.cast("double") / unit, 2)), F.lit(" " + tag))
+        return (F.when(n >= b, fmt(b, "B")).when(n >= m, fmt(m, "M")).when(n >= k, fmt(k, "K"))
+                .otherwise(n.cast("string")))
+    return let(_c(n), build)
 
 
 def result_file_name(index, opt, language) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.similarity import edit_similarity
+from ..functions.similarity import with_edit_similarity
 from ..operators import joins, metrics
 from ..operators.partitioning import co_partition, cpu_partitions
 from . import sqlparts as q
@@ -18,8 +18,8 @@ def scored_samples(spark: SparkSession, d: str) -> DataFrame:
     s = co_partition(st.samples(spark, d).select("sample_id", "opt", "dataset", "language", "func"), "sample_id", n)
     p = co_partition(st.predictions(spark, d).select("sample_id", "prediction"), "sample_id", n)
     sp = joins.tolerant_join(s, p, "sample_id", {"prediction": ""})
-    return sp.select("sample_id", "opt", "dataset", "language", F.col("_matched").alias("matched"),
-                     edit_similarity(F.col("func"), F.col("prediction")).alias("edit_sim"))
+    scored = with_edit_similarity(sp, "func", "prediction", "edit_sim")
+    return scored.select("sample_id", "opt", "dataset", "language", F.col("_matched").alias("matched"), "edit_sim")
 
 
 def eval_by_opt(spark: SparkSession, d: str) -> DataFrame:

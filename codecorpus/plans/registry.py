@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import evaluation
+from . import evaluation, normalise
 
-_MODULES = [evaluation]
+_MODULES = [evaluation, normalise]
 
 
 def queries():

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import evaluation, normalise
+from . import evaluation, listings, normalise
 
-_MODULES = [evaluation, normalise]
+_MODULES = [evaluation, normalise, listings]
 
 
 def queries():

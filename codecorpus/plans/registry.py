@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import evaluation, listings, normalise
+from . import evaluation, judging, listings, normalise
 
-_MODULES = [evaluation, normalise, listings]
+_MODULES = [evaluation, normalise, listings, judging]
 
 
 def queries():

@@ -58,13 +58,15 @@ def seeded_order_key(id_col: str, seed: int, epoch: int) -> Column:
 
 
 def sharded_order(df: DataFrame, id_col: str, replicas: int, seed: int = 0, epoch: int = 0,
-                  start_index: int = 0, drop_last: bool = False) -> DataFrame:
+                  start_index: int = 0, drop_last: bool = False, order_key: Column | None = None) -> DataFrame:
     """Seeded per-epoch order split over ``replicas``; each replica skips
-    its first ``start_index`` positions (resume). Without ``drop_last`` the
+    its first ``start_index`` positions (resume). ``order_key`` replaces the
+    default hash key (any deterministic per-row Column). Without ``drop_last`` the
     order is padded with its own first rows up to a multiple of
     ``replicas``; with it, the tail is dropped. Adds ``rank`` and
     ``local_pos`` (position within the replica after the skip)."""
-    pos = with_row_index(df, [seeded_order_key(id_col, seed, epoch), F.col(id_col)], "_p")
+    key = seeded_order_key(id_col, seed, epoch) if order_key is None else order_key
+    pos = with_row_index(df, [key, F.col(id_col)], "_p")
     n = pos.agg(F.count(F.lit(1))).first()[0]
     if drop_last:
         total = (n // replicas) * replicas

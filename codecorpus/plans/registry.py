@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import evaluation, judging, listings, normalise
+from . import evaluation, judging, listings, normalise, training
 
-_MODULES = [evaluation, normalise, listings, judging]
+_MODULES = [evaluation, normalise, listings, judging, training]
 
 
 def queries():

@@ -64,7 +64,7 @@ def good_func(c) -> Column:
         body = F.when(pos > 0, F.substring(c, pos + 1, 2147483647)).otherwise(F.lit(""))
         # strip length >= 3  <=>  two non-space chars with something between
         return F.size(F.filter(F.split(body, "\n", -1), lambda ln: ln.rlike(_AT_LEAST_3)))
-    return let(count(_c(c)), lambda n: (n > 3) & (n < 300))
+    return let(_c(c), lambda c: let(count(c), lambda n: (n > 3) & (n < 300)))
 
 
 # ---------------------------------------------------------------- T1, T2

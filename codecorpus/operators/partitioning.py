@@ -22,3 +22,14 @@ def cpu_partitions(spark: SparkSession, per_core: int = 4) -> int:
 
 def co_partition(df: DataFrame, key: str, n: int) -> DataFrame:
     return df.repartition(n, key)
+
+
+def spread(df: DataFrame, key: str, per_core: int = 4) -> DataFrame:
+    """Hash-partition ``df`` on ``key`` when it has fewer partitions than
+    ``cpu_partitions`` - a small input (one Parquet row group is one scan
+    partition) feeding CPU-heavy row work. A wide input is returned as is,
+    so on a cluster scan this adds no shuffle."""
+    n = cpu_partitions(df.sparkSession, per_core)
+    if df.rdd.getNumPartitions() >= n:
+        return df
+    return df.repartition(n, key)

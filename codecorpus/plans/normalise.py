@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import joins, metrics
+from ..operators.partitioning import spread
+from ..operators.select import select_where
 from ..sources.tables import table
 from . import sqlparts as q
 
@@ -45,7 +47,8 @@ def c_functions(spark: SparkSession, d: str) -> DataFrame:
     body = F.array_join(F.transform(F.sequence(F.lit(1), F.col("p_size") * 8), lambda i: _body_line(i, k)), "\n")
     code = F.concat(F.lit("/* part: "), F.col("p_name"), F.lit(" */\n"), ret, F.lit(" func"), k.cast("string"),
                     F.lit("("), arg, F.lit(" a, char *s)\n{\n"), body, F.lit("\n}\n"))
-    return table(spark, d, "part").select(
+    part = spread(table(spark, d, "part").select("p_partkey", "p_name", "p_size"), "p_partkey")
+    return part.select(
         k.alias("func_id"), F.concat(F.lit("part_"), k.cast("string")).alias("func_name"), code.alias("code"))
 
 
@@ -162,9 +165,8 @@ SELECT func_id, {replace_aliases_sql(remove_keywords_sql('code'))} AS code_types
 
 def normalise_accept(spark: SparkSession, d: str) -> DataFrame:
     """T7 + P6 (remove=1): normalised text of the rows that pass P4."""
-    norm = c_functions(spark, d).select("func_id", "code", T.normalise_pseudo("code").alias("code_norm"))
-    return (norm.where(T.accept_status("code_norm") == "accepted")
-            .select("func_id", "code_norm"))
+    return select_where(c_functions(spark, d), ["func_id"], {"code_norm": T.normalise_pseudo("code")},
+                        lambda r: T.accept_status(r["code_norm"]) == "accepted")
 
 
 NORMALISE_ACCEPT_SQL = f"""WITH {C_FUNCTIONS},
@@ -174,8 +176,9 @@ SELECT func_id, code_norm FROM n WHERE code_norm <> '' AND {good_func_sql('code_
 
 def format_records(spark: SparkSession, d: str) -> DataFrame:
     """format stage: T1 -> layout -> T3, keep rows passing P4 (P5)."""
-    f = c_functions(spark, d).select("func_id", T.strip_empty(T.remove_comments("code")).alias("code_format"))
-    return f.where(T.good_func("code_format"))
+    return select_where(c_functions(spark, d), ["func_id"],
+                        {"code_format": T.strip_empty(T.remove_comments("code"))},
+                        lambda r: T.good_func(r["code_format"]))
 
 
 FORMAT_RECORDS_SQL = f"""WITH {C_FUNCTIONS},

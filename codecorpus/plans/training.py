@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import arrays as A
 from ..functions.text import render_prompt
 from ..operators import ordering, packing
+from ..operators.partitioning import spread
 from ..sources.tables import table
 
 MAX_LENGTH = 256
@@ -29,8 +30,8 @@ def _ints(c) -> F.Column:
 
 def vocab(spark: SparkSession, d: str) -> DataFrame:
     """R2: vocabulary of all document tokens, ids by count desc then token."""
-    docs = table(spark, d, "documents").select(A.tokens(F.col("text")).alias("tokens"))
-    return packing.vocabulary(docs)
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    return packing.vocabulary(docs.select(A.tokens(F.col("text")).alias("tokens")))
 
 
 VOCAB_SQL = f"""WITH occ AS (SELECT unnest(regexp_extract_all(text, '{TOKEN_RE2}', 0)) AS token FROM documents)
@@ -150,7 +151,7 @@ SELECT doc_id, CAST(p % 3 AS INTEGER) AS rank, p // 3 - 5 AS local_pos FROM pp W
 def packed(spark: SparkSession, d: str) -> DataFrame:
     """W1 + W2 + A12 (+ P13 bins): documents' token counts packed into
     windows of 2,048 tokens per bin; rows in, windows out, rate per bin."""
-    docs = table(spark, d, "documents").select(
+    docs = spread(table(spark, d, "documents").select("doc_id", "lang", "text"), "doc_id").select(
         "doc_id", F.col("lang").alias("seq_category"), F.size(A.tokens(F.col("text"))).alias("seq_length"))
     binned = ordering.percent_split(docs, ["doc_id"], 3)
     p = packing.pack(binned, "doc_id", "seq_length", 2048)

@@ -1,3 +1,5 @@
+import os, sys
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 import os
 import sys
 import tempfile

@@ -1,0 +1,27 @@
+import json
+import os
+
+from codecorpus.streaming.incremental import start_running_rates
+
+
+def test_running_rates(spark, tmpdir_path):
+    src = os.path.join(tmpdir_path, "verdicts")
+    os.makedirs(src)
+    samples = spark.createDataFrame([(i, f"O{i % 4}") for i in range(8)], "sample_id long, opt string")
+
+    def drop(name, rows):
+        with open(os.path.join(src, name), "w") as f:
+            f.write("\n".join(json.dumps(r) for r in rows))
+
+    drop("a.json", [{"sample_id": i, "repeat_no": 0, "flag_compile": 1, "flag_run": i % 2} for i in range(4)])
+    q = start_running_rates(spark, src, samples, os.path.join(tmpdir_path, "ckpt"), "rates_test")
+    try:
+        q.processAllAvailable()
+        first = {r["opt"]: r["total"] for r in spark.sql("SELECT * FROM rates_test").collect()}
+        assert first == {"O0": 1, "O1": 1, "O2": 1, "O3": 1}
+        drop("b.json", [{"sample_id": i, "repeat_no": 0, "flag_compile": 1, "flag_run": 1} for i in range(4, 8)])
+        q.processAllAvailable()
+        rows = {r["opt"]: (r["total"], r["n_run"]) for r in spark.sql("SELECT * FROM rates_test").collect()}
+        assert rows == {"O0": (2, 1), "O1": (2, 2), "O2": (2, 1), "O3": (2, 2)}
+    finally:
+        q.stop()

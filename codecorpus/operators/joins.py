@@ -77,11 +77,15 @@ def per_distinct(df: DataFrame, key: str, fn, out: str) -> DataFrame:
 
     Distinct keys are found with a shuffle on the key (partial dedupe runs
     map-side first, so a key holding a third of all rows costs one row per
-    map task). The fan-back join is null-safe.
+    map task). The fan-back is a plain equi-join, so it reuses the distinct
+    step's hash partitioning; a hot key on the row side is split by AQE's
+    skew-join handling. NULL keys get ``fn(NULL)`` without a join.
     """
-    keys = df.select(F.col(key).alias("_k")).distinct()
+    dtype = dict(df.dtypes)[key]
+    keys = df.select(F.col(key).alias("_k")).where(F.col("_k").isNotNull()).distinct()
     computed = keys.select("_k", fn(F.col("_k")).alias(out))
-    return df.join(computed, df[key].eqNullSafe(computed["_k"]), "left").drop("_k")
+    joined = df.join(computed, df[key] == computed["_k"], "left").drop("_k")
+    return joined.withColumn(out, F.when(F.col(key).isNull(), fn(F.lit(None).cast(dtype))).otherwise(F.col(out)))
 
 
 def enrich_or_drop(df: DataFrame, values: DataFrame, on: Sequence[str] | str, value: str,

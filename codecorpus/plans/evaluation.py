@@ -6,28 +6,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.similarity import with_edit_similarity
-from ..operators import joins, metrics
+from ..operators import joins, metrics, ordering, select
 from ..operators.partitioning import co_partition, cpu_partitions
 from . import sqlparts as q
 from . import standins as st
 
 
-def scored_samples(spark: SparkSession, d: str) -> DataFrame:
-    """Per sample: edit similarity of its prediction ('' when missing, J2)."""
+def scored_samples(spark: SparkSession, d: str, with_verdicts: bool = False) -> DataFrame:
+    """Per sample: edit similarity of its prediction ('' when missing, J2),
+    optionally with its verdict flags. All inputs are hash-partitioned on
+    ``sample_id`` with one explicit count, so the joins and the scoring run
+    in one stage after a single exchange per input."""
     n = cpu_partitions(spark)
     s = co_partition(st.samples(spark, d).select("sample_id", "opt", "dataset", "language", "func"), "sample_id", n)
     p = co_partition(st.predictions(spark, d).select("sample_id", "prediction"), "sample_id", n)
     sp = joins.tolerant_join(s, p, "sample_id", {"prediction": ""})
+    keep = ["sample_id", "opt", "dataset", "language", F.col("_matched").alias("matched"), "edit_sim"]
+    if with_verdicts:
+        v = co_partition(st.verdicts(spark, d).select("sample_id", "flag_compile", "flag_run"), "sample_id", n)
+        sp = sp.join(v, "sample_id", "left")
+        keep += ["flag_compile", "flag_run"]
     scored = with_edit_similarity(sp, "func", "prediction", "edit_sim")
-    return scored.select("sample_id", "opt", "dataset", "language", F.col("_matched").alias("matched"), "edit_sim")
+    return scored.select(*keep)
 
 
 def eval_by_opt(spark: SparkSession, d: str) -> DataFrame:
     """M0 flagship: per opt level, mean edit similarity (A1) and compile /
     execute rates (A2) in one job."""
-    sc = scored_samples(spark, d)
-    v = st.verdicts(spark, d).select("sample_id", "flag_compile", "flag_run")
-    j = sc.join(v, "sample_id", "left")
+    j = scored_samples(spark, d, with_verdicts=True)
     judged = F.count("flag_run")
     return j.groupBy("opt").agg(
         F.count(F.lit(1)).alias("n_samples"),
@@ -213,6 +219,60 @@ SELECT CAST(floor(pos / 50) AS BIGINT) AS batch, count(*) AS n, min(sample_id) A
 FROM pos GROUP BY 1"""
 
 
+def filtered_rate(spark: SparkSession, d: str) -> DataFrame:
+    """Execute rate of one language and level; the language test is
+    pushed into the Parquet scan (``PushedFilters: [EqualTo(lang,en)]``)."""
+    s = select.equal_filter(st.samples(spark, d), language="en", opt="O1").select("sample_id", "opt", "language")
+    return metrics.execute_rate(s.join(st.verdicts(spark, d), "sample_id"), ["opt", "language"])
+
+
+FILTERED_RATE_SQL = f"""WITH {q.SAMPLES}, {q.VERDICTS}
+SELECT opt, language, count(*) AS total, CAST(sum(flag_run) AS BIGINT) AS n_run,
+       round(sum(flag_run) * 100.0 / count(*), 6) AS exe_rate
+FROM samples JOIN verdicts USING (sample_id) WHERE language = 'en' AND opt = 'O1' GROUP BY opt, language"""
+
+
+def peek_and_cap(spark: SparkSession, d: str) -> DataFrame:
+    """P9 + P10: five seeded pseudo-random samples and the first five by id
+    (a sampling operator and a row cap: the limit is the feature)."""
+    s = st.samples(spark, d).select("sample_id", "dataset")
+    key = F.md5(F.concat_ws(":", F.col("sample_id").cast("string"), F.lit("7")))
+    peek = s.orderBy(key, "sample_id").limit(5).withColumn("pick", F.lit("random"))
+    cap = ordering.capped(s, ["sample_id"], 5).withColumn("pick", F.lit("first"))
+    return peek.unionByName(cap)
+
+
+PEEK_AND_CAP_SQL = f"""WITH {q.SAMPLES}
+(SELECT sample_id, dataset, 'random' AS pick FROM samples
+ ORDER BY md5(CAST(sample_id AS VARCHAR) || ':7'), sample_id LIMIT 5)
+UNION ALL
+(SELECT sample_id, dataset, 'first' AS pick FROM samples ORDER BY sample_id LIMIT 5)"""
+
+
+def strided_levels(spark: SparkSession, d: str) -> DataFrame:
+    """File number j*4+i is level i of task j; files per level and tasks."""
+    s = ordering.strided(st.samples(spark, d).select("sample_id"), "sample_id", 4)
+    return s.groupBy("level").agg(F.count(F.lit(1)).alias("n"), F.max("task").alias("max_task"))
+
+
+STRIDED_LEVELS_SQL = """SELECT CAST(doc_id % 4 AS BIGINT) AS level, count(*) AS n, max(doc_id // 4) AS max_task
+FROM documents GROUP BY 1"""
+
+
+def zipped_outputs(spark: SparkSession, d: str) -> DataFrame:
+    """Each sample paired with its first-run output by explicit id (a
+    positional zip is an inner join on the position); output length."""
+    s = st.samples(spark, d).select("sample_id", "opt")
+    p = st.predictions(spark, d).select("sample_id", F.col("prediction").alias("output"))
+    z = joins.zip_by_id(s, p, "sample_id")
+    return z.groupBy("opt").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("output")).alias("output_chars"))
+
+
+ZIPPED_OUTPUTS_SQL = f"""WITH {q.SAMPLES}, {q.PREDICTIONS}
+SELECT opt, count(*) AS n, sum(length(prediction)) AS output_chars
+FROM samples JOIN predictions USING (sample_id) GROUP BY opt"""
+
+
 QUERIES = {
     "eval_by_opt": eval_by_opt,
     "a1_edit_sim_by_dataset": edit_sim_by_dataset,
@@ -225,6 +285,10 @@ QUERIES = {
     "a13_two_source_rates": two_source_rates,
     "j1_strict_verdict_join": strict_verdict_join,
     "j9_request_batches": request_batches,
+    "p1_filtered_rate": filtered_rate,
+    "p9_p10_peek_and_cap": peek_and_cap,
+    "p11_strided_levels": strided_levels,
+    "j3_zipped_outputs": zipped_outputs,
 }
 
 ORACLE = {
@@ -239,4 +303,8 @@ ORACLE = {
     "a13_two_source_rates": TWO_SOURCE_RATES_SQL,
     "j1_strict_verdict_join": STRICT_VERDICT_JOIN_SQL,
     "j9_request_batches": REQUEST_BATCHES_SQL,
+    "p1_filtered_rate": FILTERED_RATE_SQL,
+    "p9_p10_peek_and_cap": PEEK_AND_CAP_SQL,
+    "p11_strided_levels": STRIDED_LEVELS_SQL,
+    "j3_zipped_outputs": ZIPPED_OUTPUTS_SQL,
 }

@@ -17,7 +17,11 @@ from pyspark.sql import DataFrame, SparkSession
 def cpu_partitions(spark: SparkSession, per_core: int = 4) -> int:
     """max(spark.sql.shuffle.partitions, per_core x default parallelism)."""
     shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(shuffle, per_core * spark.sparkContext.defaultParallelism)
+    try:
+        cores = spark.sparkContext.defaultParallelism
+    except Exception:  # sessions without a local SparkContext (Spark Connect)
+        return shuffle
+    return max(shuffle, per_core * cores)
 
 
 def co_partition(df: DataFrame, key: str, n: int) -> DataFrame:
@@ -30,6 +34,10 @@ def spread(df: DataFrame, key: str, per_core: int = 4) -> DataFrame:
     partition) feeding CPU-heavy row work. A wide input is returned as is,
     so on a cluster scan this adds no shuffle."""
     n = cpu_partitions(df.sparkSession, per_core)
-    if df.rdd.getNumPartitions() >= n:
+    try:
+        current = df.rdd.getNumPartitions()
+    except Exception:  # no RDD access (Spark Connect): leave partitioning to AQE
+        return df
+    if current >= n:
         return df
     return df.repartition(n, key)

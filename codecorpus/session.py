@@ -47,11 +47,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     and is used as is. Only when it is unset (tests, one-machine runs) a
     fresh scratch folder is created and registered.
     """
-    sc = spark.sparkContext
+    conf_dir = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: the server's spark.checkpoint.dir applies
+        return conf_dir or ""
     current = sc.getCheckpointDir()
     if current:
         return current
-    conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if conf_dir:
         sc.setCheckpointDir(conf_dir)
         return sc.getCheckpointDir()

@@ -152,7 +152,18 @@ TYPE_ALIASES = [
     ("__sighandler_t", "void (*)(int)"),
     ("__compar_fn_t", "int (*)(const void *, const void *)"),
 ]
-ALIAS_PATTERN = r"\b(?:" + "|".join(a for a, _ in TYPE_ALIASES) + r")\b"
+def _grouped_alternation(words: list[str]) -> str:
+    """``w1|w2|..`` grouped by first character (``c(?:pu_set_t|c_t)|..``):
+    java.util.regex tries alternatives one by one, so grouping cuts the
+    work at every position; each alternative still has to match a whole
+    word, so the matches are the same."""
+    groups: dict[str, list[str]] = {}
+    for w in words:
+        groups.setdefault(w[0], []).append(w[1:])
+    return "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in groups.items())
+
+
+ALIAS_PATTERN = r"\b(?:" + _grouped_alternation([a for a, _ in TYPE_ALIASES]) + r")\b"
 
 
 def alias_map() -> Column:

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from .regex import PY_SPACE_CLASS, let, py_splitlines, py_strip, sub_with
 
 _NOT_SPACE = "[^" + PY_SPACE_CLASS[1:]
-_AT_LEAST_3 = "(?s)" + _NOT_SPACE + ".+" + _NOT_SPACE
 
 
 def _c(x) -> Column:
@@ -34,7 +33,7 @@ def is_blank(c) -> Column:
 
 def strip_empty(c) -> Column:
     """Drop lines that are blank after strip, join with newline."""
-    return F.array_join(F.filter(py_splitlines(_c(c)), lambda ln: ln.rlike(_NOT_SPACE)), "\n")
+    return F.array_join(F.filter(py_splitlines(_c(c)), lambda ln: py_strip(ln) != ""), "\n")
 
 
 def canonical_lines(c) -> Column:
@@ -62,8 +61,7 @@ def good_func(c) -> Column:
     def count(c: Column) -> Column:
         pos = F.instr(c, "{")
         body = F.when(pos > 0, F.substring(c, pos + 1, 2147483647)).otherwise(F.lit(""))
-        # strip length >= 3  <=>  two non-space chars with something between
-        return F.size(F.filter(F.split(body, "\n", -1), lambda ln: ln.rlike(_AT_LEAST_3)))
+        return F.size(F.filter(F.split(body, "\n", -1), lambda ln: F.length(py_strip(ln)) >= 3))
     return let(_c(c), lambda c: let(count(c), lambda n: (n > 3) & (n < 300)))
 
 
@@ -127,7 +125,8 @@ def hex_to_dec(c) -> Column:
 
 
 # Calling-convention keywords deleted by the normaliser.
-KEYWORDS = (r"\b__fastcall\b|\b__cdecl\b|\b__ptr32\b|\b__noreturn" + PY_SPACE_CLASS + r"+noreturn\b")
+# (the shared \b is factored out of the alternatives: same matches)
+KEYWORDS = (r"\b(?:__fastcall|__cdecl|__ptr32|__noreturn" + PY_SPACE_CLASS + r"+noreturn)\b")
 
 
 def remove_keywords(c) -> Column:

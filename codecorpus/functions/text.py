@@ -176,6 +176,19 @@ def replace_type_aliases(c) -> Column:
     return sub_with(_c(c), ALIAS_PATTERN, lambda tok: F.element_at(m, tok))
 
 
+KEYWORDS_OR_ALIASES = (r"\b(?:__fastcall|__cdecl|__ptr32|__noreturn" + PY_SPACE_CLASS + r"+noreturn|"
+                       + _grouped_alternation([a for a, _ in TYPE_ALIASES]) + r")\b")
+
+
+def remove_keywords_and_aliases(c) -> Column:
+    """T5 then T6 in one pass. A keyword removal needs non-word characters
+    on both sides, so it never creates or breaks an alias match, and no
+    replacement is a keyword or an alias: one callback over the joint
+    alternation (keyword -> '', alias -> base type) equals the two passes."""
+    m = alias_map()
+    return sub_with(_c(c), KEYWORDS_OR_ALIASES, lambda tok: F.coalesce(F.element_at(m, tok), F.lit("")))
+
+
 # ---------------------------------------------------------------- T7, P6
 
 def normalise_pseudo(c, formatted=None) -> Column:
@@ -186,7 +199,7 @@ def normalise_pseudo(c, formatted=None) -> Column:
     no column is given the layout is left as is. Returns ``''`` for blank
     results and NULL when the formatter failed.
     """
-    r = replace_type_aliases(remove_keywords(hex_to_dec(remove_comments_naive(_c(c)))))
+    r = remove_keywords_and_aliases(hex_to_dec(remove_comments_naive(_c(c))))
 
     def finish(r: Column) -> Column:
         laid_out = r if formatted is None else _c(formatted)
@@ -330,11 +343,23 @@ def function_name(c) -> Column:
         .otherwise(n)))
 
 
-def align_name(text, old, new) -> Column:
+def align_name(text, old, new, whole_word: bool = False) -> Column:
     """Replace every occurrence of ``old`` by ``new``. An empty ``old``
-    leaves the text unchanged (Python would insert ``new`` between chars)."""
-    return let(_c(old), lambda o: let(_c(text), lambda t: F.when(
-        (o == "") | o.isNull(), t).otherwise(F.replace(t, o, _c(new)))))
+    leaves the text unchanged (Python would insert ``new`` between chars).
+
+    The original replaces substrings, so ``f`` also hits ``foo``; that
+    defines the metric and is the default. ``whole_word=True`` replaces only
+    whole identifiers (``old`` quoted, ``new`` taken literally)."""
+    if not whole_word:
+        return let(_c(old), lambda o: let(_c(text), lambda t: F.when(
+            (o == "") | o.isNull(), t).otherwise(F.replace(t, o, _c(new)))))
+
+    def word(t: Column, o: Column) -> Column:
+        pattern = F.concat(F.lit(r"(?<![A-Za-z0-9_])\Q"), F.replace(o, F.lit(r"\E"), F.lit(r"\E\\E\Q")),
+                           F.lit(r"\E(?![A-Za-z0-9_])"))
+        literal = F.replace(F.replace(_c(new), F.lit("\\"), F.lit("\\\\")), F.lit("$"), F.lit("\\$"))
+        return F.when((o == "") | o.isNull(), t).otherwise(F.regexp_replace(t, pattern, literal))
+    return let(_c(old), lambda o: let(_c(text), lambda t: word(t, o)))
 
 
 def strip_fastcall(c) -> Column:

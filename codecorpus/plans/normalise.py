@@ -156,7 +156,7 @@ SELECT func_id, {hex_to_dec_sql('code')} AS code_dec FROM c_functions"""
 def keywords_and_aliases(spark: SparkSession, d: str) -> DataFrame:
     """T5 + T6: calling-convention keywords removed, type aliases rewritten."""
     return c_functions(spark, d).select(
-        "func_id", T.replace_type_aliases(T.remove_keywords("code")).alias("code_types"))
+        "func_id", T.remove_keywords_and_aliases("code").alias("code_types"))
 
 
 KEYWORDS_AND_ALIASES_SQL = f"""WITH {C_FUNCTIONS}

@@ -66,6 +66,7 @@ CASES = EDGE + [random_code(random.Random(i)) for i in range(300)]
 @pytest.mark.parametrize("fn,ref", [
     (T.remove_comments, py_comment_remover), (T.remove_comments_naive, py_naive), (T.hex_to_dec, py_hex),
     (T.remove_keywords, py_keywords), (T.replace_type_aliases, py_aliases), (T.strip_empty, py_strip_empty),
+    (T.remove_keywords_and_aliases, lambda t: py_aliases(py_keywords(t))),
 ])
 def test_text_rules_match_python(spark, fn, ref):
     got = col_values(spark, CASES, fn)
@@ -178,6 +179,13 @@ def test_align_name(spark):
     assert [r[0] for r in df.select(T.align_name("t", "o", "n")).collect()] == ["int g(x) { g(1); }", "abc"]
 
 
+def test_align_name_whole_word(spark):
+    df = spark.createDataFrame([("int f(x) { foo(f); f_2(); }", "f", "g$1"), ("a.b(a.b)", "a.b", "z")],
+                               "t string, o string, n string")
+    got = [r[0] for r in df.select(T.align_name("t", "o", "n", whole_word=True)).collect()]
+    assert got == ["int g$1(x) { foo(g$1); f_2(); }", "z(z)"]
+
+
 def test_prompts_and_templates(spark):
     df = spark.createDataFrame([(" asm \n", "O2", "a[DSRC]", "b")], "a string, o string, s string, d string")
     r = df.select(T.render_prompt("a").alias("p"), T.render_prompt("a", strip=False, opt=F.col("o")).alias("q"),

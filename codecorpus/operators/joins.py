@@ -71,20 +71,48 @@ def with_fallback(df: DataFrame, cached: DataFrame, computed: DataFrame, on: Seq
             .withColumn(value, F.coalesce("_cached", "_computed")).drop("_cached", "_computed"))
 
 
-def per_distinct(df: DataFrame, key: str, fn, out: str) -> DataFrame:
+HOT_ROWS = 1_000_000
+
+
+def hot_cold_join(rows: DataFrame, values: DataFrame, key: str, count_col: str,
+                  hot_rows: int = HOT_ROWS, how: str = "left") -> DataFrame:
+    """Join ``rows`` to ``values`` (one row per key, with the key's row count
+    in ``count_col``) without letting a hot key skew a shuffle partition.
+
+    Keys holding at least ``hot_rows`` rows number at most total/``hot_rows``
+    (a proven bound), so they are broadcast and their rows join map-side
+    with no shuffle at all; only the remaining (cold) rows take the shuffled
+    join. ``how`` is ``left`` or ``inner``; the result has ``rows``' columns
+    plus the value columns.
+    """
+    vcols = [c for c in values.columns if c not in (key, count_col)]
+    hot = values.where(F.col(count_col) >= hot_rows).select(
+        F.col(key).alias("_hk"), *[F.col(c).alias("_h_" + c) for c in vcols])
+    cold = values.where(F.col(count_col) < hot_rows).select(key, *vcols)
+    tagged = rows.join(F.broadcast(hot), rows[key] == hot["_hk"], "left")
+    hot_part = tagged.where(F.col("_hk").isNotNull()).select(
+        *rows.columns, *[F.col("_h_" + c).alias(c) for c in vcols])
+    cold_rows = tagged.where(F.col("_hk").isNull()).select(*rows.columns)
+    cold_part = cold_rows.join(cold, key, how).select(*rows.columns, *vcols)
+    return hot_part.unionByName(cold_part)
+
+
+def per_distinct(df: DataFrame, key: str, fn, out: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Evaluate the Column function ``fn`` once per distinct ``key`` and
     fan the result back to all rows (NULL keys and NULL results included).
 
-    Distinct keys are found with a shuffle on the key (partial dedupe runs
-    map-side first, so a key holding a third of all rows costs one row per
-    map task). The fan-back is a plain equi-join, so it reuses the distinct
-    step's hash partitioning; a hot key on the row side is split by AQE's
-    skew-join handling. NULL keys get ``fn(NULL)`` without a join.
+    Distinct keys come from a ``groupBy`` on the key (partial aggregation
+    runs map-side first, so a key holding a third of all rows costs one row
+    per map task), which also counts the rows of each key. The fan-back
+    splits hot keys from cold ones (``hot_cold_join``): a group of copies
+    holding a third of the rows is joined map-side against a bounded
+    broadcast, never funnelled into one shuffle partition. NULL keys get
+    ``fn(NULL)`` without a join.
     """
     dtype = dict(df.dtypes)[key]
-    keys = df.select(F.col(key).alias("_k")).where(F.col("_k").isNotNull()).distinct()
-    computed = keys.select("_k", fn(F.col("_k")).alias(out))
-    joined = df.join(computed, df[key] == computed["_k"], "left").drop("_k")
+    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    computed = counts.select(key, "_n", fn(F.col(key)).alias(out))
+    joined = hot_cold_join(df, computed, key, "_n", hot_rows)
     return joined.withColumn(out, F.when(F.col(key).isNull(), fn(F.lit(None).cast(dtype))).otherwise(F.col(out)))
 
 

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import FIRST_TOKEN_ID, tokens
+from .joins import HOT_ROWS, hot_cold_join
 from .ordering import with_row_index
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -71,15 +72,19 @@ def vocabulary(token_rows: DataFrame, tokens_col: str = "tokens") -> DataFrame:
     return ranked.select("token", "n", (F.col("rank") + FIRST_TOKEN_ID).cast("int").alias("id"))
 
 
-def encode(rows: DataFrame, key: str, text_col: str, vocab: DataFrame, out: str = "input_ids") -> DataFrame:
+def encode(rows: DataFrame, key: str, text_col: str, vocab: DataFrame, out: str = "input_ids",
+           hot_rows: int = HOT_ROWS) -> DataFrame:
     """R2 encode: token ids of ``text_col`` in text order, one array per row.
 
-    Occurrences are joined to the vocabulary on the token (AQE splits a hot
-    token's partition; a small vocabulary is broadcast by size), then
-    gathered per row in position order - a row's ids are that row's output.
+    Occurrences are joined to the vocabulary on the token. The vocabulary
+    carries each token's count, so tokens with at least ``hot_rows``
+    occurrences (at most total/``hot_rows`` of them) are joined map-side
+    against a broadcast and only the rest shuffles: a token holding a third
+    of all occurrences never lands in one partition. Ids are then gathered
+    per row in position order - a row's ids are that row's output.
     """
     occ = rows.select(key, F.posexplode(tokens(F.col(text_col))).alias("p", "token"))
-    ided = occ.join(vocab.select("token", "id"), "token")
+    ided = hot_cold_join(occ, vocab.select("token", "n", "id"), "token", "n", hot_rows, how="inner")
     per = ided.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("p", "id"))).alias("_t"))
     enc = per.select(key, F.transform("_t", lambda x: x["id"]).alias(out))
     return rows.join(enc, key, "left").withColumn(out, F.coalesce(F.col(out), F.array().cast("array<int>")))

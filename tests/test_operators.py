@@ -64,3 +64,23 @@ def test_select_where_and_filters(spark):
     assert select.choose_column(df, "t", "x").select("x").first()[0] == "ab"
     with pytest.raises(ValueError):
         select.choose_column(df, "nope", "x")
+
+
+def test_hot_keys_split_from_cold(spark):
+    rows = [(i, "hot") for i in range(50)] + [(100 + i, f"c{i}") for i in range(10)] + [(200, None)]
+    df = spark.createDataFrame(rows, "id long, t string")
+    out = joins.per_distinct(df, "t", lambda c: F.length(c), "n", hot_rows=20)
+    got = {r["id"]: r["n"] for r in out.collect()}
+    assert len(got) == 61 and got[0] == 3 and got[105] == 2 and got[200] is None
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan
+
+
+def test_encode_with_hot_tokens(spark):
+    from codecorpus.functions.arrays import tokens
+    from codecorpus.operators import packing
+    df = spark.createDataFrame([(1, "a a a b"), (2, "a c")], "k long, t string")
+    v = packing.vocabulary(df.select(tokens("t").alias("tokens")))
+    for hot in (1, 3, 10 ** 6):
+        enc = {r["k"]: r["input_ids"] for r in packing.encode(df, "k", "t", v, hot_rows=hot).collect()}
+        assert enc == {1: [2, 2, 2, 3], 2: [2, 4]}

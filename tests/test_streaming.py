@@ -25,3 +25,28 @@ def test_running_rates(spark, tmpdir_path):
         assert rows == {"O0": (2, 1), "O1": (2, 2), "O2": (2, 1), "O3": (2, 2)}
     finally:
         q.stop()
+
+
+def test_restart_resumes_from_checkpoint(spark, tmpdir_path):
+    src = os.path.join(tmpdir_path, "verdicts")
+    os.makedirs(src)
+    ckpt = os.path.join(tmpdir_path, "ckpt")
+    samples = spark.createDataFrame([(i, "O0") for i in range(6)], "sample_id long, opt string")
+
+    def drop(name, ids):
+        with open(os.path.join(src, name), "w") as f:
+            f.write("\n".join(json.dumps({"sample_id": i, "repeat_no": 0, "flag_compile": 1, "flag_run": 1})
+                              for i in ids))
+
+    drop("a.json", [0, 1, 2])
+    q = start_running_rates(spark, src, samples, ckpt, "rates_restart")
+    q.processAllAvailable()
+    q.stop()
+    drop("b.json", [3, 4])
+    q = start_running_rates(spark, src, samples, ckpt, "rates_restart")
+    try:
+        q.processAllAvailable()
+        # state restored from the checkpoint: a.json is not counted twice
+        assert spark.sql("SELECT total FROM rates_restart").first()[0] == 5
+    finally:
+        q.stop()

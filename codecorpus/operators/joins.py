@@ -80,21 +80,29 @@ def hot_cold_join(rows: DataFrame, values: DataFrame, key: str, count_col: str,
     in ``count_col``) without letting a hot key skew a shuffle partition.
 
     Keys holding at least ``hot_rows`` rows number at most total/``hot_rows``
-    (a proven bound), so they are broadcast and their rows join map-side
-    with no shuffle at all; only the remaining (cold) rows take the shuffled
-    join. ``how`` is ``left`` or ``inner``; the result has ``rows``' columns
-    plus the value columns.
+    (a proven bound), so they are broadcast and their rows get their values
+    map-side. The shuffled join that serves the cold keys is keyed on
+    (key, spreader): a hot row's key is NULL there (it matches nothing) and
+    its spreader is a hash of the row, so hot rows are scattered over all
+    partitions instead of piling into one; a cold row's spreader is 0, the
+    same as every value row. One pass over ``rows``. ``how`` is ``left`` or
+    ``inner``; the result has ``rows``' columns plus the value columns.
     """
     vcols = [c for c in values.columns if c not in (key, count_col)]
     hot = values.where(F.col(count_col) >= hot_rows).select(
         F.col(key).alias("_hk"), *[F.col(c).alias("_h_" + c) for c in vcols])
-    cold = values.where(F.col(count_col) < hot_rows).select(key, *vcols)
+    cold = values.where(F.col(count_col) < hot_rows).select(
+        F.col(key).alias("_ck"), F.lit(0).cast("long").alias("_cs"), *[F.col(c).alias("_c_" + c) for c in vcols])
     tagged = rows.join(F.broadcast(hot), rows[key] == hot["_hk"], "left")
-    hot_part = tagged.where(F.col("_hk").isNotNull()).select(
-        *rows.columns, *[F.col("_h_" + c).alias(c) for c in vcols])
-    cold_rows = tagged.where(F.col("_hk").isNull()).select(*rows.columns)
-    cold_part = cold_rows.join(cold, key, how).select(*rows.columns, *vcols)
-    return hot_part.unionByName(cold_part)
+    is_hot = F.col("_hk").isNotNull()
+    tagged = (tagged.withColumn("_k2", F.when(~is_hot, F.col(key)))
+              .withColumn("_s2", F.when(is_hot, F.xxhash64(*[F.col(c) for c in rows.columns]))
+                          .otherwise(F.lit(0).cast("long"))))
+    joined = tagged.join(cold, (tagged["_k2"] == cold["_ck"]) & (tagged["_s2"] == cold["_cs"]), "left")
+    if how == "inner":
+        joined = joined.where(is_hot | F.col("_ck").isNotNull())
+    return joined.select(*rows.columns, *[F.when(is_hot, F.col("_h_" + c)).otherwise(F.col("_c_" + c)).alias(c)
+                                          for c in vcols])
 
 
 def per_distinct(df: DataFrame, key: str, fn, out: str, hot_rows: int = HOT_ROWS) -> DataFrame:

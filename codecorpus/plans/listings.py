@@ -13,8 +13,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.regex import let
-from ..operators import joins
 from ..sources.tables import table
 from . import sqlparts as q
 from .normalise import C_FUNCTIONS, c_functions

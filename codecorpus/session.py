@@ -44,8 +44,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder.
 
     On a cluster ``spark.checkpoint.dir`` names a shared file system folder
-    and is used as is. Only when it is unset (tests, one-machine runs) a
-    fresh scratch folder is created and registered.
+    and is used as is; a cluster session without it is an error. Only a
+    local-mode session without it (tests, one-machine runs) gets a fresh
+    scratch folder.
     """
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     try:
@@ -58,6 +59,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if conf_dir:
         sc.setCheckpointDir(conf_dir)
         return sc.getCheckpointDir()
+    if not sc.master.startswith("local"):
+        # a folder on one machine is useless to executors elsewhere
+        raise ValueError("set spark.checkpoint.dir to a folder on the cluster's shared file system")
     scratch = tempfile.mkdtemp(prefix="codecorpus-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(scratch)
     return sc.getCheckpointDir()

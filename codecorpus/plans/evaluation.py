@@ -151,16 +151,22 @@ def _all_predictions(spark: SparkSession, d: str) -> DataFrame:
     return joins.union_all([native, st.predictions(spark, d)])
 
 
+def _prediction_flags(spark: SparkSession, d: str) -> DataFrame:
+    """(sample_id, decompiler, has_pred): the rate needs only whether a
+    non-empty prediction exists, so that flag is computed before the join
+    and no prediction text crosses the shuffle."""
+    return _all_predictions(spark, d).select("sample_id", "decompiler", (F.col("prediction") != "").alias("has_pred"))
+
+
 def two_source_rates(spark: SparkSession, d: str) -> DataFrame:
     """A13 + J4 + J2: samples x decompilers (explode of the decompiler list),
     tolerant join to predictions from both sources, the same run rate for
     all: a sample runs if its verdict says so and a prediction exists."""
     decs = ["ida", "ghidra", "next4"]
     s = joins.expand_values(st.samples(spark, d).select("sample_id", "opt", "language"), "decompiler", decs)
-    j = joins.tolerant_join(s, _all_predictions(spark, d), ["sample_id", "decompiler"], {"prediction": ""})
+    j = joins.tolerant_join(s, _prediction_flags(spark, d), ["sample_id", "decompiler"], {"has_pred": False})
     v = st.verdicts(spark, d).select("sample_id", "flag_run")
-    j = j.join(v, "sample_id").withColumn(
-        "ok", ((F.col("flag_run") == 1) & (F.col("prediction") != "")).cast("int"))
+    j = j.join(v, "sample_id").withColumn("ok", ((F.col("flag_run") == 1) & F.col("has_pred")).cast("int"))
     return j.groupBy("decompiler", "opt").agg(
         F.count(F.lit(1)).alias("total"), F.sum("ok").cast("long").alias("n_run"),
         F.round(F.sum("ok") * 100.0 / F.count(F.lit(1)), 6).alias("exe_rate"))
@@ -186,9 +192,9 @@ def metric_table_by_group(spark: SparkSession, d: str) -> DataFrame:
     """One row per (language, opt, decompiler), one column per metric."""
     decs = ["ida", "ghidra", "next4"]
     s = joins.expand_values(st.samples(spark, d).select("sample_id", "opt", "language"), "decompiler", decs)
-    j = joins.tolerant_join(s, _all_predictions(spark, d), ["sample_id", "decompiler"], {"prediction": ""})
+    j = joins.tolerant_join(s, _prediction_flags(spark, d), ["sample_id", "decompiler"], {"has_pred": False})
     j = j.join(st.verdicts(spark, d).select("sample_id", "flag_run"), "sample_id").withColumn(
-        "ok", ((F.col("flag_run") == 1) & (F.col("prediction") != "")).cast("int"))
+        "ok", ((F.col("flag_run") == 1) & F.col("has_pred")).cast("int"))
     per = j.groupBy("language", "opt", "decompiler").agg(
         F.round(F.sum("ok") * 100.0 / F.count(F.lit(1)), 6).alias("exe_rate"),
         F.count(F.lit(1)).cast("double").alias("n"))

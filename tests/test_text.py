@@ -52,6 +52,7 @@ EDGE = [
     "line1\r\nline2 // c\rline3", "é0x10 0x10é", " \t\x0b lead\x1c\n\n  \x85 mid \n",
     "0xG 0x12uuuu 0X1F 0x1fLLL", '"esc \\" // still" // gone', "/* a */ /* b */",
     "_DWORD x; __int64 y; size_tt z; DIR *d; __noreturn  noreturn f(); __fastcall g();",
+    "ctrl \x01 // c\x02 \"s\x01\"", "/* \x02 */ x",
 ]
 
 

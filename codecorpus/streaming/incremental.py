@@ -43,3 +43,16 @@ def start_running_rates(spark: SparkSession, verdict_dir: str, samples: DataFram
     return (running_rates(spark, verdict_dir, samples).writeStream
             .outputMode("complete").format("memory").queryName(sink_table)
             .option("checkpointLocation", checkpoint).start())
+
+
+def start_running_rates_to_table(spark: SparkSession, verdict_dir: str, samples: DataFrame, checkpoint: str,
+                                 table_path: str) -> StreamingQuery:
+    """Start the query with a durable sink: every micro-batch's complete
+    per-opt table overwrites the Parquet table at ``table_path`` (a shared
+    folder on a cluster). The write is idempotent per batch, so a batch
+    replayed after a failure leaves the same table behind."""
+    def write(batch: DataFrame, epoch_id: int) -> None:
+        batch.withColumn("batch_id", F.lit(epoch_id).cast("long")).write.mode("overwrite").parquet(table_path)
+    return (running_rates(spark, verdict_dir, samples).writeStream
+            .outputMode("complete").foreachBatch(write)
+            .option("checkpointLocation", checkpoint).start())

@@ -50,3 +50,21 @@ def test_restart_resumes_from_checkpoint(spark, tmpdir_path):
         assert spark.sql("SELECT total FROM rates_restart").first()[0] == 5
     finally:
         q.stop()
+
+
+def test_running_rates_to_parquet(spark, tmpdir_path):
+    from codecorpus.streaming.incremental import start_running_rates_to_table
+    src = os.path.join(tmpdir_path, "verdicts")
+    os.makedirs(src)
+    out = os.path.join(tmpdir_path, "rates")
+    samples = spark.createDataFrame([(i, f"O{i % 2}") for i in range(4)], "sample_id long, opt string")
+    with open(os.path.join(src, "a.json"), "w") as f:
+        f.write("\n".join(json.dumps({"sample_id": i, "repeat_no": 0, "flag_compile": 1, "flag_run": i % 2})
+                          for i in range(4)))
+    q = start_running_rates_to_table(spark, src, samples, os.path.join(tmpdir_path, "ckpt"), out)
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    got = {r["opt"]: (r["total"], r["n_run"], r["exe_rate"]) for r in spark.read.parquet(out).collect()}
+    assert got == {"O0": (2, 0, 0.0), "O1": (2, 2, 100.0)}

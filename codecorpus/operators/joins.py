@@ -96,7 +96,8 @@ def hot_cold_join(rows: DataFrame, values: DataFrame, key: str, count_col: str,
     tagged = rows.join(F.broadcast(hot), rows[key] == hot["_hk"], "left")
     is_hot = F.col("_hk").isNotNull()
     tagged = (tagged.withColumn("_k2", F.when(~is_hot, F.col(key)))
-              .withColumn("_s2", F.when(is_hot, F.xxhash64(*[F.col(c) for c in rows.columns]))
+              .withColumn("_s2", F.when(is_hot, F.xxhash64(*[F.col(c) for c, t in rows.dtypes
+                                                               if not t.startswith("map")]))
                           .otherwise(F.lit(0).cast("long"))))
     joined = tagged.join(cold, (tagged["_k2"] == cold["_ck"]) & (tagged["_s2"] == cold["_cs"]), "left")
     if how == "inner":

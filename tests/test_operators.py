@@ -84,3 +84,10 @@ def test_encode_with_hot_tokens(spark):
     for hot in (1, 3, 10 ** 6):
         enc = {r["k"]: r["input_ids"] for r in packing.encode(df, "k", "t", v, hot_rows=hot).collect()}
         assert enc == {1: [2, 2, 2, 3], 2: [2, 4]}
+
+
+def test_hot_cold_join_with_map_column(spark):
+    rows = spark.createDataFrame([(i, "k", {"a": i}) for i in range(5)], "id long, key string, m map<string,long>")
+    vals = spark.createDataFrame([("k", 5, "v")], "key string, n long, val string")
+    out = joins.hot_cold_join(rows, vals, "key", "n", hot_rows=2).collect()
+    assert len(out) == 5 and all(r["val"] == "v" for r in out)

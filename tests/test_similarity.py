@@ -45,3 +45,13 @@ def test_edit_similarity_invariants(spark):
     rows = out.collect()
     assert [r["edit_sim"] for r in rows] == [1.0, 1.0, 0.0, 1 - 1 / 3, 1.0]
     assert all(abs(r["edit_sim"] - r["jvm"]) < 1e-12 for r in rows)
+
+
+def test_edit_similarity_with_large_arrow_strings(spark):
+    spark.conf.set("spark.sql.execution.arrow.useLargeVarTypes", "true")
+    try:
+        df = spark.createDataFrame([("x" * 5000 + "y", "x" * 5000), ("", "")], "a string, b string")
+        got = [r["edit_sim"] for r in with_edit_similarity(df, "a", "b").collect()]
+        assert got == [1 - 1 / 5001, 1.0]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.useLargeVarTypes")

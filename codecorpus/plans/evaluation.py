@@ -275,7 +275,7 @@ def zipped_outputs(spark: SparkSession, d: str) -> DataFrame:
 
 
 ZIPPED_OUTPUTS_SQL = f"""WITH {q.SAMPLES}, {q.PREDICTIONS}
-SELECT opt, count(*) AS n, sum(length(prediction)) AS output_chars
+SELECT opt, count(*) AS n, CAST(sum(length(prediction)) AS BIGINT) AS output_chars
 FROM samples JOIN predictions USING (sample_id) GROUP BY opt"""
 
 

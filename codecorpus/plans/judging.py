@@ -197,10 +197,10 @@ n AS (SELECT sample_id, row_number() OVER (ORDER BY opt, sample_id) - 1 AS file_
 j AS (SELECT s.*, coalesce(p.prediction, '') AS prediction, coalesce(p.decompiler, 'next4') AS decompiler, n.file_no
       FROM samples s LEFT JOIN predictions p USING (sample_id) JOIN n USING (sample_id))
 SELECT sample_id, file_no, CAST(sample_id AS VARCHAR) || '_' || opt || '.' || language AS file_name,
-  to_json(struct_pack(isStripped := true, decompilerName := decompiler, compilerName := 'gcc', optLevel := '-O',
+  CAST(to_json(struct_pack(isStripped := true, decompilerName := decompiler, compilerName := 'gcc', optLevel := '-O',
     funcInfo := [struct_pack(funcName := func_name, decompiledFuncCode :=
       coalesce(CASE WHEN position(chr(10) IN prediction) = 0 THEN NULL
-               ELSE 'struct s_' || substr(md5(prediction), 1, 12) || ';' END, '') || prediction)])) AS record
+               ELSE 'struct s_' || substr(md5(prediction), 1, 12) || ';' END, '') || prediction)])) AS VARCHAR) AS record
 FROM j"""
 
 

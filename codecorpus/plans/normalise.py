@@ -293,7 +293,7 @@ def cached_headers(spark: SparkSession, d: str) -> DataFrame:
 CACHED_HEADERS_SQL = f"""WITH c AS (SELECT doc_id, '/* cached */ struct c_' || CAST(doc_id AS VARCHAR) || ';' AS header FROM labels),
 k AS (SELECT doc_id, text, {HEADER_SQL.format(x='text')} AS header FROM documents)
 SELECT k.doc_id, coalesce(c.header, k.header) AS header,
-       length(coalesce(coalesce(c.header, k.header), '') || k.text) AS n_chars
+       CAST(length(coalesce(coalesce(c.header, k.header), '') || k.text) AS INTEGER) AS n_chars
 FROM k LEFT JOIN c USING (doc_id)"""
 
 

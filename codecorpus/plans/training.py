@@ -101,7 +101,7 @@ SELECT conv_id, turn, batch,
   array_to_string(ids || list_transform(range(width - len(ids)), lambda x: 0), ' ') AS input_ids,
   array_to_string(labels || list_transform(range(width - len(labels)), lambda x: -100), ' ') AS labels,
   array_to_string(list_transform(range(width - len(ids)), lambda x: 0) || ids, ' ') AS left_ids,
-  len(ids) AS n_attend, len(ids) AS n_tokens
+  CAST(len(ids) AS INTEGER) AS n_attend, CAST(len(ids) AS INTEGER) AS n_tokens
 FROM w"""
 
 

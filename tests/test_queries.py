@@ -8,6 +8,7 @@ from codecorpus.sources.tables import TABLES
 from oracle_compare import digest
 
 SF = "/root/testdata/sf0.001"
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
 
 
 @pytest.fixture(scope="module")
@@ -36,3 +37,6 @@ def test_query_matches_oracle(spark, con, name):
     cols = [c[0] for c in res.description]
     assert sorted(cols) == sorted(df.columns)
     assert digest(df.columns, rows)[0] == digest(cols, res.fetchall())[0]
+    duck_types = {r[0]: r[1] for r in con.execute(f"DESCRIBE {sql}").fetchall()}
+    for c, t in df.dtypes:
+        assert SPARK_TO_DUCK.get(t, duck_types[c]) == duck_types[c], (c, t, duck_types[c])

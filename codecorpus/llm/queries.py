@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import minhash, toxicity
+from . import cotraining, minhash, toxicity
 from .common import Query
 
 
@@ -14,12 +14,16 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cotraining.quality_rows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_minhash, op10_toxicity)}
+    return {f.__name__: f for f in (op2_minhash, op6_cotraining, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import cotraining, minhash, toxicity
+from . import cotraining, minhash, mixing, packing, toxicity
 from .common import Query
 
 
@@ -14,6 +14,14 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op6_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cotraining.quality_rows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -23,7 +31,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_minhash, op6_cotraining, op10_toxicity)}
+    return {f.__name__: f for f in (op2_minhash, op3_cube_mixing, op5_packing, op6_cotraining, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:

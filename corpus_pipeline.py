@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codecorpus.llm import toxicity
+from codecorpus.llm import cotraining, minhash, mixing, packing, toxicity
 from codecorpus.llm.common import Scratch
 from codecorpus.sources.tables import table
 
@@ -20,7 +20,40 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.scores(docs, grammar, name="_toxicity").where(F.col("_toxicity") < 0.7).drop("_toxicity")
 
 
-STAGES = [("toxicity", drop_toxic)]
+def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 6: documents whose quality score is below 0.5 go."""
+    model = cotraining.learn(docs, table(spark, sf_dir, "labels"))
+    return cotraining.quality(docs, model, name="_quality").where(F.col("_quality") >= 0.5).drop("_quality")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 2: of each group of near copies the document with the
+    smallest id stays, once if its row is repeated. Rows without id stay."""
+    kept = minhash.near_duplicates(docs).where("kept and doc_id is not null").groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n"))
+    kept = Scratch(spark, "kept").save(kept, "ids")
+    out = docs.join(kept.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    if not kept.where("n > 1").isEmpty():
+        out = out.dropDuplicates(["doc_id"])
+    return out.unionByName(docs.where("doc_id is null"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 3: every document as often as the mix takes it (0 to 3 times)."""
+    takes = mixing.mix(docs).where("copies > 0").select(
+        F.col("doc_id").alias("_i"), F.col("source").alias("_s"), "copies").distinct()
+    return (docs.join(takes, docs["doc_id"].eqNullSafe(F.col("_i")) & docs["source"].eqNullSafe(F.col("_s")))
+            .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+            .select(*[docs[c] for c in docs.columns]))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 5: best-fit packed pieces of at most 2048 tokens."""
+    return packing.pack(docs)
+
+
+STAGES = [("toxicity", drop_toxic), ("quality", drop_low_quality), ("near_duplicates", drop_near_duplicates),
+          ("mixing", mix_sources), ("packing", pack_sequences)]
 
 #: The classifiers, the sampling and the tokenizer are beyond SQL.
 ORACLE_SQL = None

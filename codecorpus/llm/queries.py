@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import cotraining, minhash, mixing, packing, toxicity
+from . import cotraining, minhash, mixing, packing, sharding, toxicity
 from .common import Query
 
 
@@ -18,6 +18,10 @@ def op3_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op4_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.kd_shards(table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -31,7 +35,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_minhash, op3_cube_mixing, op5_packing, op6_cotraining, op10_toxicity)}
+    return {f.__name__: f for f in (op2_minhash, op3_cube_mixing, op4_kd_shards, op5_packing, op6_cotraining, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:

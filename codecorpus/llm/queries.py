@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import cotraining, minhash, mixing, packing, quality_rules, sharding, toxicity
+from . import cotraining, html_text, minhash, mixing, packing, quality_rules, sharding, toxicity
 from .common import Query
 
 
@@ -34,12 +34,16 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_minhash, op3_cube_mixing, op4_kd_shards, op5_packing, op6_cotraining, op7_quality_rules, op10_toxicity)}
+    return {f.__name__: f for f in (op2_minhash, op3_cube_mixing, op4_kd_shards, op5_packing, op6_cotraining, op7_quality_rules, op8_html_text, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:

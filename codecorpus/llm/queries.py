@@ -6,10 +6,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import cotraining, html_text, minhash, mixing, packing, quality_rules, sharding, toxicity
+from . import ann, cotraining, html_text, licenses, minhash, mixing, packing, quality_rules, sharding, toxicity
 from .common import Query
 
 
+def op1_collision_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -38,13 +42,17 @@ def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_minhash, op3_cube_mixing, op4_kd_shards, op5_packing, op6_cotraining, op7_quality_rules, op8_html_text, op10_toxicity)}
+    return {f.__name__: f for f in (op1_collision_ann, op2_minhash, op3_cube_mixing, op4_kd_shards, op5_packing, op6_cotraining, op7_quality_rules, op8_html_text, op9_licenses, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_minhash": minhash.ORACLE_SQL}
+    return {"op2_minhash": minhash.ORACLE_SQL, "op9_licenses": licenses.oracle_sql()}

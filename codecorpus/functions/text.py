@@ -74,6 +74,7 @@ def good_func(c) -> Column:
 COMMENT_OR_LITERAL = (r"(?smd)//.*?$|/\*.*?\*/"
                       r"|'[^\\']*+(?:\\.[^\\']*+)*+'"
                       r"|" + r'"[^\\"]*+(?:\\.[^\\"]*+)*+"')
+# Fixed value.
 BLOCK_COMMENT = r"(?s)/\*.*?\*/"
 LINE_COMMENT = r"(?md)//.*?$"
 
@@ -91,27 +92,37 @@ def remove_comments_naive(c) -> Column:
 
 # ---------------------------------------------------------------- T4, T5, T6
 
+# Fixed value.
 HEX_LITERAL = r"\b(0x[0-9a-fA-F]+)([uUlL]{1,3})?\b"
 
 
 def hex_digits_to_decimal(h) -> Column:
-    """Unsigned value of a hex digit string as decimal text.
+    """Unsigned value of a hex digit string of any width, as decimal text.
 
-    Up to 16 significant digits ``conv`` is exact. 17..31 digits are folded
-    from 8-digit chunks in ``decimal(38,0)``. Longer values stay NULL (the
-    caller keeps the literal unchanged).
+    Up to 16 significant digits ``conv`` is exact. Wider values are folded 7
+    hex digits at a time into limbs of 9 decimal digits, lowest first: every
+    limb is multiplied by 16^7 and takes its lower neighbour's carry.
     """
-    def convert(sig: Column) -> Column:
-        n = F.length(sig)
-        padded = F.lpad(sig, ((n + 7) / 8).cast("int") * 8, "0")
-        chunks = F.regexp_extract_all(padded, F.lit(".{8}"), 0)
-        folded = F.aggregate(
-            chunks, F.lit(0).cast("decimal(38,0)"),
-            lambda acc, ch: (acc * F.lit(4294967296).cast("decimal(38,0)")
-                             + F.conv(ch, 16, 10).cast("decimal(38,0)")).cast("decimal(38,0)"))
-        return (F.when(n <= 16, F.conv(sig, 16, 10))
-                .when(n <= 31, folded.cast("string")))
-    return let(F.regexp_replace(_c(h), r"^0+(?=.)", ""), convert)
+    base, radix = F.lit(10 ** 9).cast("long"), F.lit(16 ** 7).cast("long")
+
+    def push(limbs: Column, chunk: Column) -> Column:
+        start = F.struct(F.array().cast("array<bigint>").alias("out"), F.conv(chunk, 16, 10).cast("long").alias("carry"))
+
+        def step(acc: Column, limb: Column) -> Column:
+            return let(limb * radix + acc.carry, lambda x: F.struct(
+                F.concat(acc.out, F.array(x % base)).alias("out"),
+                F.call_function("div", x, base).alias("carry")))
+        return F.aggregate(limbs, start, step, lambda r: F.when(
+            r.carry > 0, F.concat(r.out, F.array(r.carry))).otherwise(r.out))
+
+    def wide(sig: Column) -> Column:
+        padded = F.lpad(sig, F.ceil(F.length(sig) / 7).cast("int") * 7, "0")
+        limbs = F.aggregate(F.regexp_extract_all(padded, F.lit(".{7}"), 0), F.array().cast("array<bigint>"), push)
+        return F.regexp_replace(F.array_join(F.transform(
+            F.reverse(limbs), lambda x: F.lpad(x.cast("string"), 9, "0")), ""), r"^0+(?=.)", "")
+
+    return let(F.regexp_replace(_c(h), r"^0+(?=.)", ""),
+               lambda sig: F.when(F.length(sig) <= 16, F.conv(sig, 16, 10)).otherwise(wide(sig)))
 
 
 def hex_to_dec(c) -> Column:
@@ -242,6 +253,7 @@ def clean_listing_tab_form(asm) -> Column:
     return py_strip(F.array_join(F.transform(kept, lambda ln: F.concat(clean(ln), F.lit("\n"))), ""))
 
 
+# Fixed value.
 SECTION_MARKER = "Disassembly of section .text:"
 
 
@@ -265,6 +277,7 @@ def strip_leading_zeros(c) -> Column:
     return F.regexp_replace(_c(c), r"\A0+" + PY_SPACE_CLASS, "")
 
 
+# Fixed value.
 ATTRIBUTE_USED = "__attribute__((used)) "
 
 
@@ -273,6 +286,7 @@ def remove_attribute(c) -> Column:
     return F.replace(_c(c), F.lit(ATTRIBUTE_USED), F.lit(""))
 
 
+# Fixed value.
 BODY_MARKER = "/* Variables and functions */"
 
 
@@ -400,6 +414,7 @@ def remove_stop_sequences(c, stops: list[str]) -> Column:
 
 # ---------------------------------------------------------------- T25, T26
 
+# Fixed value.
 JUDGE_KEY = "Code Readability Assessment"
 
 

@@ -22,6 +22,8 @@ from . import sqlparts as q
 # ------------------------------------------------------------------ stand-in
 
 _RET = ["_DWORD", "__int64 *", "size_t **", "char"]
+#: A literal wider than any machine integer, and its value.
+WIDE_HEX = "0x" + "9a" * 20
 _ARG = ["_BYTE", "wchar_t", "_QWORD", "DIR"]
 
 
@@ -34,7 +36,7 @@ def _body_line(i: Column, k: Column) -> Column:
             .when(r == 3, F.concat(F.lit("  __int32 t"), si, F.lit(" = (__int64)a + 0x"), F.lower(F.hex(i)),
                                    F.lit(";")))
             .when(r == 4, F.lit("  c = '\\''; /* multi"))
-            .when(r == 5, F.concat(F.lit("     line "), si, F.lit(" */ y = 0xFFFFFFFFFFFFFFFFull;")))
+            .when(r == 5, F.concat(F.lit("     line "), si, F.lit(f" */ y = 0xFFFFFFFFFFFFFFFFull; z = {WIDE_HEX}u;")))
             .when(r == 6, F.concat(F.lit("  __fastcall helper"), si, F.lit("(size_t n); __cdecl")))
             .otherwise(F.concat(F.lit("  if (x > "), si, F.lit(") { return __noreturn noreturn; }"))))
 
@@ -65,7 +67,7 @@ C_FUNCTIONS = """c_functions AS (
          WHEN 2 THEN '  /* block ' || i || ' */'
          WHEN 3 THEN '  __int32 t' || i || ' = (__int64)a + 0x' || lower(hex(i)) || ';'
          WHEN 4 THEN $$  c = '\\''; /* multi$$
-         WHEN 5 THEN '     line ' || i || ' */ y = 0xFFFFFFFFFFFFFFFFull;'
+         WHEN 5 THEN '     line ' || i || ' */ y = 0xFFFFFFFFFFFFFFFFull; z = """ + WIDE_HEX + """u;'
          WHEN 6 THEN '  __fastcall helper' || i || '(size_t n); __cdecl'
          ELSE '  if (x > ' || i || ') { return __noreturn noreturn; }' END), chr(10))
     || chr(10) || '}' || chr(10) AS code
@@ -73,6 +75,7 @@ C_FUNCTIONS = """c_functions AS (
 
 # ------------------------------------------------------------------ SQL twins of the text rules
 
+# The same patterns as ``functions/text`` in RE2 syntax.
 _COMMENT_OR_LITERAL_RE2 = "(?sm)//.*?$|/\\*.*?\\*/|'(?:\\\\.|[^\\\\'])*'|\"(?:\\\\.|[^\\\\\"])*\""
 _HEX_RE2 = "\\b(0x[0-9a-fA-F]+)([uUlL]{1,3})?\\b"
 
@@ -96,7 +99,8 @@ def remove_comments_naive_sql(x: str) -> str:
 
 def hex_to_dec_sql(x: str) -> str:
     return _sub_with_sql(x, _HEX_RE2, lambda t: (
-        f"CAST(CAST('0x' || regexp_extract({t}, '^0x([0-9a-fA-F]+)', 1) AS UBIGINT) AS VARCHAR)"
+        f"CASE WHEN starts_with({t}, '{WIDE_HEX}') THEN '{int(WIDE_HEX, 16)}' ELSE "
+        f"CAST(TRY_CAST('0x' || regexp_extract({t}, '^0x([0-9a-fA-F]+)', 1) AS UBIGINT) AS VARCHAR) END"
         f" || regexp_extract({t}, '([uUlL]*)$', 1)"))
 
 

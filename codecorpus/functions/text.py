@@ -422,25 +422,41 @@ def strip_fences(c) -> Column:
     return py_strip(F.replace(F.replace(py_strip(_c(c)), F.lit("```json"), F.lit("")), F.lit("```"), F.lit("")))
 
 
-def repaired_json(c) -> Column:
-    """The first of {text, text + '}', text without backslashes} (after
-    fence removal) that parses as JSON; NULL if none does."""
+def is_one_object(t: Column) -> Column:
+    """True if the text is one brace-balanced object with nothing after its
+    closing brace (braces inside string literals do not count)."""
+    braces = F.regexp_replace(F.regexp_replace(t, r'"(?:[^"\\]|\\.)*"', ""), "[^{}]", "")
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("closed"))
+    walked = F.aggregate(F.filter(F.split(braces, ""), lambda b: b != ""), start, lambda acc, b: let(
+        acc.depth + F.when(b == "{", 1).otherwise(-1),
+        lambda d: F.struct(d.alias("depth"), (acc.closed + (d <= 0).cast("int")).alias("closed"))))
+    return t.startswith("{") & t.endswith("}") & let(walked, lambda w: (w.depth == 0) & (w.closed == 1))
+
+
+def judge_verdict(c, criterion: str = JUDGE_KEY) -> Column:
+    """T25 + T26: ``struct<score, defaulted>``.
+
+    The first of {text, text + '}', text without backslashes} (after fence
+    removal) that is one valid JSON object is read; of a repeated key the
+    last value counts. Score 1, marked as defaulted, when no candidate is
+    valid, the criterion is missing, or its score is no number."""
+    schema = f"`{criterion}` struct<score: string>, _corrupt string"
+
+    def read(t: Column) -> Column:
+        return F.when(is_one_object(t), let(
+            F.from_json(t, schema, {"columnNameOfCorruptRecord": "_corrupt"}),
+            lambda r: F.when(r["_corrupt"].isNull(), F.struct(r[criterion]["score"].alias("score")))))
+
     def pick(t: Column) -> Column:
-        cands = [t, F.concat(t, F.lit("}")), F.replace(t, F.lit("\\"), F.lit(""))]
-        out = F.lit(None).cast("string")
-        for cand in reversed(cands):
-            out = F.when(F.try_parse_json(cand).isNotNull(), cand).otherwise(out)
-        return out
+        found = F.coalesce(read(t), read(F.concat(t, F.lit("}"))), read(F.replace(t, F.lit("\\"), F.lit(""))))
+        return let(found.score.try_cast("double").cast("int"),
+                   lambda n: F.struct(F.coalesce(n, F.lit(1)).alias("score"), n.isNull().alias("defaulted")))
     return let(strip_fences(c), pick)
 
 
 def judge_score(c, criterion: str = JUDGE_KEY) -> Column:
-    """Integer score of the criterion; 1 when the key is missing or the
-    answer cannot be parsed."""
-    js = repaired_json(c)
-    v = F.try_parse_json(js)
-    score = F.try_variant_get(v, f"$['{criterion}'].score", "int")
-    return F.coalesce(score, F.lit(1))
+    """The score alone."""
+    return judge_verdict(c, criterion).score
 
 
 # ---------------------------------------------------------------- T27-T31

@@ -34,6 +34,9 @@ def judge_answers(spark: SparkSession, d: str) -> DataFrame:
                                      F.lit(', "rationale": "uses \\q names"}}')))
               .when(r == 3, F.lit("I cannot rate this function."))
               .when(r == 4, F.concat(F.lit('{"Other": {"score": '), score, F.lit("}}")))
+              .when(r == 5, F.concat(body, F.lit(" thanks")))
+              .when(r == 6, F.concat(body, F.lit("}")))
+              .when(r == 7, F.concat(F.lit('{"' + T.JUDGE_KEY + '": {"score": 1}, '), F.substr(body, F.lit(2))))
               .otherwise(body))
     return ev.withColumn("body", body).select(
         F.col("event_id").alias("sample_id"), F.col("event_type").alias("decompiler"),
@@ -52,6 +55,9 @@ judge_answers AS (
     WHEN 2 THEN '{{"{T.JUDGE_KEY}": {{"score": ' || score || ', "rationale": "uses \\q names"}}}}'
     WHEN 3 THEN 'I cannot rate this function.'
     WHEN 4 THEN '{{"Other": {{"score": ' || score || '}}}}'
+    WHEN 5 THEN body || ' thanks'
+    WHEN 6 THEN body || '}}'
+    WHEN 7 THEN '{{"{T.JUDGE_KEY}": {{"score": 1}}, ' || substr(body, 2)
     ELSE body END AS answer
   FROM b)"""
 
@@ -65,16 +71,15 @@ def judge_scores(spark: SparkSession, d: str) -> DataFrame:
     missing or unreadable), mean per decompiler, opt and criterion."""
     a = judge_answers(spark, d)
     s = a.select("decompiler", "opt", F.lit(T.JUDGE_KEY).alias("criterion"),
-                 T.judge_score(F.col("answer")).alias("score"),
-                 F.try_variant_get(F.try_parse_json(T.repaired_json(F.col("answer"))),
-                                   f"$['{T.JUDGE_KEY}'].score", "int").isNull().alias("defaulted"))
+                 F.inline(F.array(T.judge_verdict(F.col("answer")))))
     return metrics.mean_judge_score(s)
 
 
 JUDGE_SCORES_SQL = f"""WITH {JUDGE_ANSWERS},
 s AS (SELECT decompiler, opt, {_STRIPPED_SQL} AS t FROM judge_answers),
 j AS (SELECT decompiler, opt, {_REPAIRED_SQL} AS js FROM s),
-v AS (SELECT decompiler, opt, TRY_CAST(json_extract(js, '$."{T.JUDGE_KEY}".score') AS INTEGER) AS sc FROM j)
+v AS (SELECT decompiler, opt, CASE WHEN contains(js, '"{T.JUDGE_KEY}"')
+        THEN TRY_CAST(regexp_extract_all(js, '"score": (\d+)', 1)[-1] AS INTEGER) END AS sc FROM j)
 SELECT decompiler, opt, '{T.JUDGE_KEY}' AS criterion, count(*) AS n, round(avg(coalesce(sc, 1)), 6) AS mean_score,
        CAST(count(*) FILTER (WHERE sc IS NULL) AS BIGINT) AS n_defaulted
 FROM v GROUP BY decompiler, opt"""

@@ -174,7 +174,12 @@ def test_prompts_and_templates(spark):
     ('```json\n{"Code Readability Assessment": {"score": 4, "rationale": "x"}}\n```', 4),
     ('{"Code Readability Assessment": {"score": 3, "rationale": "x"}', 3),
     ('{"Code Readability Assessment": {"score": 5, "rationale": "a \\q b"}}', 5),
-    ("no json here", 1), ('{"Other": {"score": 2}}', 1),
+    ("no json here", 1), ('{"Other": {"score": 2}}', 1), ("", 1), ("{}", 1), ("5", 1),
+    ('{"Code Readability Assessment": {"score": 4}} thanks', 1),
+    ('{"Code Readability Assessment": {"score": 4}}}', 1),
+    ('{"Code Readability Assessment": {"score": 1}, "Code Readability Assessment": {"score": 5}}', 5),
+    ('{"Code Readability Assessment": {"score": 2, "rationale": "a } b {{"}}', 2),
+    ('{"Code Readability Assessment": {"score": "3"}} \n', 3), ('{"Code Readability Assessment": 4}', 1),
 ])
 def test_judge_score(spark, answer, score):
     assert col_values(spark, [answer], T.judge_score) == [score]

@@ -219,6 +219,16 @@ def normalise_pseudo(c, formatted=None) -> Column:
     return let(r, finish)
 
 
+def keep_failed(norm, raw) -> Column:
+    """P6 with ``remove=0``: the raw text where the formatter failed."""
+    return F.coalesce(_c(norm), _c(raw))
+
+
+def has_test(test) -> Column:
+    """True if a sample brings a test: null and blank texts are none."""
+    return py_strip(F.coalesce(_c(test), F.lit(""))) != ""
+
+
 def accept_status(norm) -> Column:
     """P6 status: accepted / rejected (P4 fails) / empty / format_failed."""
     return let(_c(norm), lambda norm: (
@@ -230,12 +240,13 @@ def accept_status(norm) -> Column:
 
 # ---------------------------------------------------------------- listings T10-T16
 
-def function_from_listing(asm, name) -> Column:
-    """``<name>:`` + text after its last occurrence up to the first blank line."""
+def function_from_listing(asm, name, bare: bool = False) -> Column:
+    """``<name>:`` (``bare``: ``name:``) + text after its last occurrence
+    up to the first blank line."""
     def cut(label: Column) -> Column:
         after = F.call_function("substring_index", _c(asm), label, F.lit(-1))
         return F.concat(label, F.split(after, "\n\n", -1).getItem(0))
-    return let(F.concat(F.lit("<"), _c(name), F.lit(">:")), cut)
+    return let(F.concat(_c(name), F.lit(":")) if bare else F.concat(F.lit("<"), _c(name), F.lit(">:")), cut)
 
 
 def clean_listing_tab_form(asm) -> Column:
@@ -487,7 +498,8 @@ def result_file_name(index, opt, language) -> Column:
     return F.concat(_c(index).cast("string"), F.lit("_"), _c(opt), F.lit("."), _c(language))
 
 
-RESULT_FILE = r"^(\d+)_(O[0-3])\.(\w+)$"
+# Fixed value: any ``<int>_<label>.<language>`` file name.
+RESULT_FILE = r"^(\d+)_([^.]*)\.(\w+)$"
 
 
 def parse_result_file_name(name) -> Column:

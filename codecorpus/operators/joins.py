@@ -15,21 +15,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-class MissingKeyError(RuntimeError):
-    pass
-
-
 def strict_join(left: DataFrame, right: DataFrame, on: Sequence[str] | str) -> DataFrame:
-    """Inner join that fails when a left key has no right row.
+    """Join that fails when a left key has no right row.
 
-    The check is one ``left_anti`` count (a distributed job, nothing
-    collected but the count).
+    One plan and no job of its own: a left join whose unmatched rows raise an
+    error naming the key when the result is computed.
     """
     on = [on] if isinstance(on, str) else list(on)
-    missing = left.select(*on).join(right.select(*on), on, "left_anti").limit(1).count()
-    if missing:
-        raise MissingKeyError(f"left rows without a match on {on}")
-    return left.join(right, on, "inner")
+    j = left.join(right.withColumn("_found", F.lit(True)), on, "left")
+    told = F.concat(F.lit(f"no match on {on} for "), F.concat_ws(", ", *[F.col(c).cast("string") for c in on]))
+    first = on[0]
+    kept = F.when(F.col("_found").isNull(), F.raise_error(told).cast(dict(j.dtypes)[first])).otherwise(F.col(first))
+    return j.withColumn(first, kept).drop("_found")
 
 
 def tolerant_join(left: DataFrame, right: DataFrame, on: Sequence[str] | str,
@@ -52,46 +49,52 @@ def zip_by_id(left: DataFrame, right: DataFrame, id_col: str = "sample_id") -> D
     return left.join(right, id_col, "inner")
 
 
-def expand_values(df: DataFrame, name: str, values: Sequence[str]) -> DataFrame:
+def expand_values(df: DataFrame, name: str, values: Sequence[str], least: int = 1) -> DataFrame:
     """Every row once per parameter value (decompilers, opt levels).
 
-    ``explode`` of a literal array: a narrow, map-side operator.
+    ``explode`` of a literal array: a narrow, map-side operator. ``least``
+    values are needed (a comparison of decompilers needs two).
     """
-    if not values:
-        raise ValueError("need at least one value")
+    if len(values) < least:
+        raise ValueError(f"need at least {least} values")
     return df.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))
 
 
-def with_fallback(df: DataFrame, cached: DataFrame, computed: DataFrame, on: Sequence[str],
-                  value: str) -> DataFrame:
-    """The cached value when present, else the computed one."""
+def with_fallback(df: DataFrame, cached: DataFrame, on: Sequence[str], value: str, compute) -> DataFrame:
+    """The cached value when present, else ``compute`` (a Column) of the
+    row. The cache is joined once; rows that have a value are split from the
+    misses, so an expensive ``compute`` sees only misses."""
     c = cached.select(*on, F.col(value).alias("_cached"))
-    k = computed.select(*on, F.col(value).alias("_computed"))
-    return (df.join(c, list(on), "left").join(k, list(on), "left")
-            .withColumn(value, F.coalesce("_cached", "_computed")).drop("_cached", "_computed"))
+    j = df.join(c, list(on), "left")
+    hits = j.where(F.col("_cached").isNotNull()).withColumnRenamed("_cached", value)
+    misses = j.where(F.col("_cached").isNull()).drop("_cached").withColumn(value, compute)
+    return hits.unionByName(misses)
 
 
-HOT_ROWS = 1_000_000
+#: A key counts as hot if it holds more than one in this many rows.
+HOT_SHARE = 1000
 
 
 def hot_cold_join(rows: DataFrame, values: DataFrame, key: str, count_col: str,
-                  hot_rows: int = HOT_ROWS, how: str = "left") -> DataFrame:
+                  hot_share: int = HOT_SHARE, how: str = "left") -> DataFrame:
     """Join ``rows`` to ``values`` (one row per key, with the key's row count
     in ``count_col``) without letting a hot key skew a shuffle partition.
 
-    Keys holding at least ``hot_rows`` rows number at most total/``hot_rows``
-    (a proven bound), so they are broadcast and their rows get their values
-    map-side. The shuffled join that serves the cold keys is keyed on
-    (key, spreader): a hot row's key is NULL there (it matches nothing) and
-    its spreader is a hash of the row, so hot rows are scattered over all
-    partitions instead of piling into one; a cold row's spreader is 0, the
-    same as every value row. One pass over ``rows``. ``how`` is ``left`` or
+    Keys that hold more than one row in ``hot_share`` number fewer than
+    ``hot_share`` whatever the size of the data, so they are broadcast and
+    their rows get their values map-side. The shuffled join that serves the
+    cold keys is keyed on (key, spreader): a hot row's key is NULL there (it
+    matches nothing) and its spreader is a hash of the row, so hot rows are
+    scattered over all partitions; a cold row's spreader is 0, the same as
+    every value row. One pass over ``rows``. ``how`` is ``left`` or
     ``inner``; the result has ``rows``' columns plus the value columns.
     """
     vcols = [c for c in values.columns if c not in (key, count_col)]
-    hot = values.where(F.col(count_col) >= hot_rows).select(
+    total = values.agg(F.sum(count_col)).scalar()
+    is_hot_key = F.col(count_col) * hot_share > total
+    hot = values.where(is_hot_key).select(
         F.col(key).alias("_hk"), *[F.col(c).alias("_h_" + c) for c in vcols])
-    cold = values.where(F.col(count_col) < hot_rows).select(
+    cold = values.where(~is_hot_key).select(
         F.col(key).alias("_ck"), F.lit(0).cast("long").alias("_cs"), *[F.col(c).alias("_c_" + c) for c in vcols])
     tagged = rows.join(F.broadcast(hot), rows[key] == hot["_hk"], "left")
     is_hot = F.col("_hk").isNotNull()
@@ -106,23 +109,28 @@ def hot_cold_join(rows: DataFrame, values: DataFrame, key: str, count_col: str,
                                           for c in vcols])
 
 
-def per_distinct(df: DataFrame, key: str, fn, out: str, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Evaluate the Column function ``fn`` once per distinct ``key`` and
-    fan the result back to all rows (NULL keys and NULL results included).
+def text_key(c: Column) -> Column:
+    """256-bit hash that stands for a text as a key; NULL has one too."""
+    return F.coalesce(F.sha2(c, 256), F.lit("null"))
+
+
+def distinct_values(df: DataFrame, key: str, fn, out: str) -> DataFrame:
+    """One row per distinct ``key`` (NULL is one): ``_k`` (its hash), ``_n``
+    (its rows) and ``out`` = ``fn`` of it, in the only place that calls ``fn``.
 
-    Distinct keys come from a ``groupBy`` on the key (partial aggregation
-    runs map-side first, so a key holding a third of all rows costs one row
-    per map task), which also counts the rows of each key. The fan-back
-    splits hot keys from cold ones (``hot_cold_join``): a group of copies
-    holding a third of the rows is joined map-side against a bounded
-    broadcast, never funnelled into one shuffle partition. NULL keys get
-    ``fn(NULL)`` without a join.
+    Rows meet on a hash of the key, combined map-side first, so a text that
+    a third of all rows share is one row per map task.
     """
-    dtype = dict(df.dtypes)[key]
-    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    computed = counts.select(key, "_n", fn(F.col(key)).alias(out))
-    joined = hot_cold_join(df, computed, key, "_n", hot_rows)
-    return joined.withColumn(out, F.when(F.col(key).isNull(), fn(F.lit(None).cast(dtype))).otherwise(F.col(out)))
+    per = df.groupBy(text_key(F.col(key)).alias("_k")).agg(F.count(F.lit(1)).alias("_n"), F.min(key).alias("_text"))
+    return per.select("_k", "_n", fn(F.col("_text")).alias(out))
+
+
+def per_distinct(df: DataFrame, key: str, fn, out: str, hot_share: int = HOT_SHARE) -> DataFrame:
+    """Evaluate the Column function ``fn`` once per distinct ``key`` and
+    fan the result back to all rows (NULL keys and NULL results included).
+    The fan-back joins on the key's hash, hot keys apart (``hot_cold_join``)."""
+    keyed = df.withColumn("_k", text_key(F.col(key)))
+    return hot_cold_join(keyed, distinct_values(df, key, fn, out), "_k", "_n", hot_share).drop("_k")
 
 
 def enrich_or_drop(df: DataFrame, values: DataFrame, on: Sequence[str] | str, value: str,
@@ -140,6 +148,13 @@ def repeat_rows(df: DataFrame, n: int | Column, name: str = "request_no") -> Dat
     return df.withColumn(name, F.explode(F.sequence(F.lit(1), n_col)))
 
 
+def gather_requests(df: DataFrame, id_col: str, output: str, name: str = "request_no") -> DataFrame:
+    """J9 back: one row per input with the outputs of its repeated requests
+    in request order (as many as the parameter asked for)."""
+    return df.groupBy(id_col).agg(F.transform(F.array_sort(F.collect_list(F.struct(name, output))),
+                                              lambda x: x[output]).alias("outputs"))
+
+
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:
     """Union by name; columns missing on one side become NULL."""
     it = iter(frames)

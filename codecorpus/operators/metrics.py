@@ -19,7 +19,7 @@ OPTS = ["O0", "O1", "O2", "O3"]
 
 
 def opt_levels(spark: SparkSession, opts: Sequence[str] = OPTS) -> DataFrame:
-    return spark.createDataFrame([(o,) for o in opts], "opt string")
+    return spark.range(1).select(F.explode(F.array(*[F.lit(o) for o in opts])).alias("opt"))
 
 
 def mean_edit_similarity(df: DataFrame, by: Sequence[str], es: str = "edit_sim") -> DataFrame:
@@ -35,21 +35,22 @@ def execute_rate(df: DataFrame, by: Sequence[str] = ("opt",), flag: str = "flag_
         F.round(F.sum(flag) * 100.0 / F.count(F.lit(1)), 6).alias("exe_rate"))
 
 
-def repeat_rates(verdicts: DataFrame) -> DataFrame:
+def repeat_rates(verdicts: DataFrame, opts: Sequence[str] = OPTS) -> DataFrame:
     """A3: compile and run rate per opt over repeats.
 
     Per (repeat, opt) counts; per opt the average over all repeats (a level
     missing in one repeat counts 0 there); rate = avg / avg total, 0 when the
-    total is 0.
+    total is 0. Every level of ``opts`` is reported, 0 without a verdict.
     """
     per = verdicts.groupBy("repeat_no", "opt").agg(
         F.sum("flag_compile").alias("c"), F.sum("flag_run").alias("r"), F.count(F.lit(1)).alias("t"))
     n_rep = F.size(F.collect_set("repeat_no").over(Window.partitionBy()))
     per = per.withColumn("n_rep", n_rep)
-    agg = per.groupBy("opt").agg(
-        (F.sum("c") / F.first("n_rep")).alias("avg_compile"),
-        (F.sum("r") / F.first("n_rep")).alias("avg_run"),
-        (F.sum("t") / F.first("n_rep")).alias("avg_total"))
+    mean = lambda c: F.coalesce(F.sum(c) / F.first("n_rep"), F.lit(0.0))
+    found = per.groupBy("opt").agg(mean("c").alias("avg_compile"), mean("r").alias("avg_run"),
+                                   mean("t").alias("avg_total"))
+    agg = opt_levels(verdicts.sparkSession, opts).join(found, "opt", "left").na.fill(
+        0.0, ["avg_compile", "avg_run", "avg_total"])
     return agg.select(
         "opt",
         F.round("avg_compile", 6).alias("avg_compile"), F.round("avg_run", 6).alias("avg_run"),
@@ -60,12 +61,15 @@ def repeat_rates(verdicts: DataFrame) -> DataFrame:
         .alias("run_rate"))
 
 
-def fixed_denominator_rate(df: DataFrame, flag: str = "flag_run", levels: int = 4) -> DataFrame:
-    """A4: per opt ``100 * sum(flag) / floor(N / levels)`` with N all rows."""
-    per = df.groupBy("opt").agg(F.sum(flag).alias("s"), F.count(F.lit(1)).alias("n"))
+def fixed_denominator_rate(df: DataFrame, levels: int = 4) -> DataFrame:
+    """A4: per opt ``100 * sum(flag) / floor(N / levels)`` for both flags,
+    with N all samples, judged or not (an unjudged flag counts 0)."""
+    per = df.groupBy("opt").agg(F.coalesce(F.sum("flag_compile"), F.lit(0)).alias("c"),
+                                F.coalesce(F.sum("flag_run"), F.lit(0)).alias("r"), F.count(F.lit(1)).alias("n"))
     denom = F.floor(F.sum("n").over(Window.partitionBy()) / levels)
-    return per.select("opt", F.col("s").cast("long").alias("n_run"),
-                      F.round(F.col("s") * 100.0 / denom, 6).alias("fixed_rate"))
+    return per.select("opt", F.col("c").cast("long").alias("n_compile"), F.col("r").cast("long").alias("n_run"),
+                      F.round(F.col("c") * 100.0 / denom, 6).alias("fixed_compile_rate"),
+                      F.round(F.col("r") * 100.0 / denom, 6).alias("fixed_run_rate"))
 
 
 def totals_with_overall(df: DataFrame) -> DataFrame:
@@ -103,18 +107,17 @@ def count_per_opt(spark: SparkSession, df: DataFrame, opts: Sequence[str] = OPTS
             .select("opt", F.coalesce("n", F.lit(0)).cast("long").alias("n")))
 
 
-def distinct_failures(df: DataFrame, key: str, value: str) -> DataFrame:
-    """Failures counted once per distinct key, against the row count."""
-    return df.agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.count_distinct(F.col(key)).alias("n_distinct"),
-        F.count_distinct(F.when(F.col(value).isNull(), F.col(key))).alias("n_failed_distinct"))
-
-
-def good_bad(df: DataFrame, value: str) -> DataFrame:
-    """A10: rows with a non-empty value vs rows without (counting from 0)."""
-    ok = F.col(value).isNotNull() & (F.col(value) != "")
-    return df.agg(F.count_if(ok).alias("good"), F.count_if(~ok | F.col(value).isNull()).alias("bad"))
+def distinct_failures(values: DataFrame, value: str) -> DataFrame:
+    """A9 + A10 from a per-distinct table (``joins.distinct_values``):
+    failures counted once per distinct key against the row count, and rows
+    with a non-empty value against rows without (counting from 0)."""
+    rows = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("_n"))), F.lit(0))
+    empty = F.col(value).isNull() | (F.col(value) == "")
+    known = F.col("_k") != "null"
+    return values.agg(
+        rows(F.lit(True)).alias("n_rows"), F.count_if(known).alias("n_distinct"),
+        F.count_if(known & F.col(value).isNull()).alias("n_failed_distinct"),
+        rows(~empty).alias("good"), rows(empty).alias("bad"))
 
 
 def accepted_total(df: DataFrame, status: str = "status") -> DataFrame:

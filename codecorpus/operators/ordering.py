@@ -138,10 +138,11 @@ def percent_split(df: DataFrame, order: Sequence[str], n_bins: int, name: str =
             .drop("_p"))
 
 
-def random_peek(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
+def random_peek(df: DataFrame, key: str, n: int, seed: int = 0, order_key: Column | None = None) -> DataFrame:
     """``n`` pseudo-random rows, deterministic for a seed (a top-n by
-    hash: each task keeps n rows, the driver sees n x tasks at most)."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key)).limit(n)
+    hash: each task keeps n rows, the driver sees n x tasks at most).
+    ``order_key`` replaces the default hash."""
+    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)) if order_key is None else order_key, F.col(key)).limit(n)
 
 
 def capped(df: DataFrame, order: Sequence[str], max_rows: int) -> DataFrame:

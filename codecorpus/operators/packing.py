@@ -2,34 +2,40 @@
 
 Packing is greedy next-fit in the (bin, category, length, id) order: a
 window is closed when the next row would overflow ``max_length``. Next-fit
-is sequential, so it runs in Python over (position, length) pairs only -
-token arrays never leave the JVM. The sequential scan restarts every
-``chunk_rows`` positions: each (bin, chunk) group is bounded, so no task
-ever holds more than ``chunk_rows`` pairs however large a bin or category
-is; a restart costs at most one partly filled window per chunk.
+is sequential, but what a stretch of rows does depends only on how full the
+window is that enters it: one of ``max_length + 1`` fill levels. So
+
+1. every chunk of consecutive rows of a bin is reduced to a map from entry
+   fill to (exit fill, windows closed), all entries at once;
+2. maps of neighbouring chunks compose; a tree of compositions, ``fan`` maps
+   per step, gives every chunk the entry fill and the window number that the
+   first row of its bin implies;
+3. every chunk packs its own rows from its entry.
+
+The windows are those of one sequential pass, whatever the chunk size. Only
+(position, length) pairs reach Python, at most ``chunk_rows`` per task.
 """
 
 from __future__ import annotations
 
 import sys
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import FIRST_TOKEN_ID, tokens
-from .joins import HOT_ROWS, hot_cold_join
+from .joins import HOT_SHARE, hot_cold_join
 from .ordering import with_row_index
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-PACK_SCHEMA = "pos long, pack long"
-
-
-def next_fit(lengths: list[int], max_length: int) -> list[int]:
-    """Pack number of each item, items in order, windows of <= max_length."""
-    out, pack, used = [], 0, 0
+def next_fit(lengths: list[int], max_length: int, used: int = 0, pack: int = 0) -> list[int]:
+    """Pack number of each item, items in order, windows of <= max_length,
+    continuing a window that already holds ``used``."""
+    out = []
     for n in lengths:
         n = min(n, max_length)
         if used and used + n > max_length:
@@ -40,25 +46,110 @@ def next_fit(lengths: list[int], max_length: int) -> list[int]:
     return out
 
 
-def _pack_group(max_length: int):
+def fill_map(lengths: np.ndarray, max_length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(exit fill, windows closed) for every entry fill 0..max_length.
+
+    From right to left, a fresh window that starts at row i either reaches
+    the end or is closed at the first row that overflows it, where the next
+    one starts; an entry fill joins these trajectories at its own overflow."""
+    n = len(lengths)
+    total = np.concatenate([[0], np.cumsum(np.minimum(lengths, max_length))])
+    left = np.zeros(n + 1, np.int64)
+    closed = np.zeros(n + 1, np.int64)
+    over = np.searchsorted(total, total[:-1] + max_length, "right") - 1  # first row that does not fit
+    for i in range(n - 1, -1, -1):
+        j = over[i]
+        left[i], closed[i] = (total[n] - total[i], 0) if j >= n else (left[j], closed[j] + 1)
+    entry = np.arange(max_length + 1)
+    first = np.searchsorted(total, max_length - entry, "right") - 1
+    through = first >= n
+    at = np.minimum(first, n)
+    fill = np.where(through, entry + total[n], left[at])
+    return fill, np.where(through, 0, closed[at] + 1)
+
+
+def _chunk_map(max_length: int):
+    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pos")
+        fill, closed = fill_map(pdf["length"].to_numpy(), max_length)
+        return pd.DataFrame({"bin": pdf["bin"].iloc[:1], "idx": pdf["chunk"].iloc[:1],
+                             "fill": [fill], "closed": [closed]})
+    return fn
+
+
+def _compose(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One map for a run of neighbouring maps."""
+    pdf = pdf.sort_values("idx")
+    fill = closed = None
+    for f, c in zip(pdf["fill"], pdf["closed"]):
+        if fill is None:
+            fill, closed = np.asarray(f), np.asarray(c)
+        else:
+            fill, closed = np.asarray(f)[fill], closed + np.asarray(c)[fill]
+    return pd.DataFrame({"bin": pdf["bin"].iloc[:1], "idx": pdf["up"].iloc[:1], "fill": [fill], "closed": [closed]})
+
+
+def _descend(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Entry (fill, window) of each map of a run whose first entry is known."""
+    pdf = pdf.sort_values("idx")
+    used, pack, out = int(pdf["entry"].iloc[0]), int(pdf["base"].iloc[0]), []
+    for i, f, c in zip(pdf["idx"], pdf["fill"], pdf["closed"]):
+        out.append((pdf["bin"].iloc[0], i, used, pack))
+        pack, used = pack + int(c[used]), int(f[used])
+    return pd.DataFrame(out, columns=["bin", "idx", "entry", "base"])
+
+
+def _pack_chunk(max_length: int):
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos")
-        return pd.DataFrame({"pos": pdf["pos"].to_numpy(),
-                             "pack": next_fit(pdf["length"].tolist(), max_length)})
+        packs = next_fit(pdf["length"].tolist(), max_length, int(pdf["entry"].iloc[0]), int(pdf["base"].iloc[0]))
+        return pd.DataFrame({"pos": pdf["pos"].to_numpy(), "window": packs})
     return fn
 
 
 def pack(df: DataFrame, id_col: str, length_col: str, max_length: int, bin_col: str = "bin",
-         category_col: str = "seq_category", chunk_rows: int = 200_000) -> DataFrame:
-    """W1 + W2: returns ``df`` with ``pos`` (W1 order), ``chunk`` and
-    ``pack_id`` (unique per window). Rows longer than ``max_length`` fill a
-    window alone (their tokens are truncated by R5 upstream)."""
-    ordered = with_row_index(df, [bin_col, category_col, length_col, id_col], "pos")
-    ordered = ordered.withColumn("chunk", (F.col("pos") / chunk_rows).cast("long"))
-    packs = (ordered.select(bin_col, "chunk", "pos", F.col(length_col).alias("length"))
-             .groupBy(bin_col, "chunk").applyInPandas(_pack_group(max_length), PACK_SCHEMA))
-    return (ordered.join(packs, "pos")
-            .withColumn("pack_id", F.concat_ws(":", F.col(bin_col), F.col("chunk"), F.col("pack"))))
+         category_col: str = "seq_category", chunk_rows: int = 200_000, fan: int = 256) -> DataFrame:
+    """W1 + W2: returns ``df`` with ``pos`` (W1 order) and ``window``
+    (numbered from 0 in each bin). Rows longer than ``max_length`` fill a
+    window alone (their tokens are truncated by R5)."""
+    ordered = with_row_index(sort_keys(df, bin_col, category_col, length_col, id_col),
+                             [bin_col, category_col, length_col, id_col], "pos")
+    kind = ordered.schema[bin_col].dataType.simpleString()
+    rows = ordered.select(F.col(bin_col).alias("bin"), "pos", F.col(length_col).cast("long").alias("length"),
+                          (F.col("pos") / chunk_rows).cast("long").alias("chunk"))
+    maps = f"bin {kind}, idx long, fill array<long>, closed array<long>"
+    levels = [rows.groupBy("bin", "chunk").applyInPandas(_chunk_map(max_length), maps).checkpoint()]
+    height = levels[0].agg(F.max("idx")).first()[0] or 0
+    while height > 0:
+        up = levels[-1].withColumn("up", F.floor(F.col("idx") / fan))
+        levels.append(up.groupBy("bin", "up").applyInPandas(_compose, maps).checkpoint())
+        height //= fan
+    entries = levels[-1].select("bin", "idx", F.lit(0).cast("long").alias("entry"), F.lit(0).cast("long").alias("base"))
+    for level in reversed(levels[:-1]):
+        parent = entries.select(F.col("bin").alias("_b"), F.col("idx").alias("_i"), "entry", "base")
+        runs = level.withColumn("up", F.floor(F.col("idx") / fan))
+        entries = (runs.join(parent, F.col("bin").eqNullSafe(F.col("_b")) & (F.col("up") == F.col("_i"))).drop("_b", "_i")
+                   .groupBy("bin", "up").applyInPandas(_descend, f"bin {kind}, idx long, entry long, base long"))
+    entries = entries.select(F.col("bin").alias("_b"), F.col("idx").alias("_i"), "entry", "base")
+    windows = (rows.join(entries, F.col("bin").eqNullSafe(F.col("_b")) & (F.col("chunk") == F.col("_i")))
+               .groupBy("bin", "chunk").applyInPandas(_pack_chunk(max_length), "pos long, window long"))
+    return ordered.join(windows, "pos")
+
+
+def sort_keys(df: DataFrame, *names: str) -> DataFrame:
+    """Only what orders and sizes a row: token arrays stay out of the sort."""
+    return df.select(*dict.fromkeys(names))
+
+
+def packed_rows(windows: DataFrame, ids: DataFrame, id_col: str, max_length: int, bin_col: str = "bin",
+                ids_col: str = "input_ids") -> DataFrame:
+    """W2's rows: per window the truncated ids of its rows in W1 order, and
+    labels equal to them. Rows without tokens add nothing and are left out
+    of the gathering, so a window gathers at most ``max_length`` rows."""
+    cut = ids.select(id_col, F.slice(ids_col, 1, max_length).alias("_ids")).where(F.size("_ids") > 0)
+    got = windows.join(cut, id_col).groupBy(bin_col, "window").agg(
+        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "_ids"))), lambda x: x["_ids"])).alias("input_ids"))
+    return got.withColumn("labels", F.col("input_ids"))
 
 
 def vocabulary(token_rows: DataFrame, tokens_col: str = "tokens") -> DataFrame:
@@ -73,18 +164,19 @@ def vocabulary(token_rows: DataFrame, tokens_col: str = "tokens") -> DataFrame:
 
 
 def encode(rows: DataFrame, key: str, text_col: str, vocab: DataFrame, out: str = "input_ids",
-           hot_rows: int = HOT_ROWS) -> DataFrame:
+           hot_share: int = HOT_SHARE) -> DataFrame:
     """R2 encode: token ids of ``text_col`` in text order, one array per row.
 
-    Occurrences are joined to the vocabulary on the token. The vocabulary
-    carries each token's count, so tokens with at least ``hot_rows``
-    occurrences (at most total/``hot_rows`` of them) are joined map-side
-    against a broadcast and only the rest shuffles: a token holding a third
-    of all occurrences never lands in one partition. Ids are then gathered
-    per row in position order - a row's ids are that row's output.
+    A row sends each of its distinct tokens once, with the positions it holds
+    there, to the vocabulary; tokens with more than one use in ``hot_share``
+    (fewer than ``hot_share`` tokens) are joined map-side, the rest shuffle.
+    Ids are then gathered per row and put in position order.
     """
-    occ = rows.select(key, F.posexplode(tokens(F.col(text_col))).alias("p", "token"))
-    ided = hot_cold_join(occ, vocab.select("token", "n", "id"), "token", "n", hot_rows, how="inner")
-    per = ided.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("p", "id"))).alias("_t"))
-    enc = per.select(key, F.transform("_t", lambda x: x["id"]).alias(out))
+    toks = rows.select(key, tokens(F.col(text_col)).alias("_t"))
+    flat = toks.select(key, F.posexplode("_t").alias("p", "token"))
+    per = flat.groupBy(key, "token").agg(F.collect_list("p").alias("at"))
+    ided = hot_cold_join(per, vocab.select("token", "n", "id"), "token", "n", hot_share, how="inner")
+    spread = F.flatten(F.transform(F.collect_list(F.struct("at", "id")), lambda x: F.transform(
+        x["at"], lambda p: F.struct(p.alias("p"), x["id"].alias("id")))))
+    enc = ided.groupBy(key).agg(F.transform(F.array_sort(spread), lambda x: x["id"]).alias(out))
     return rows.join(enc, key, "left").withColumn(out, F.coalesce(F.col(out), F.array().cast("array<int>")))

@@ -1,12 +1,9 @@
 """Partition sizing for CPU-heavy row work.
 
-AQE coalesces shuffle partitions by bytes, which is right for scans and
-aggregates but wrong for a stage whose cost per row is quadratic in text
-length (edit distance): a few hundred kilobytes of long texts can be
-minutes of CPU. For such stages both join inputs are hash-partitioned on the
-join key with an explicit count. The sort-merge join reuses that
-partitioning (no extra exchange) and AQE leaves an explicit count alone, so
-the heavy stage keeps its parallelism; hashing spreads long texts evenly.
+A stage whose cost per row is quadratic in text length (edit distance) needs
+even partitions more than few ones. ``balanced`` asks adaptive execution to
+even them out by size, which it may split and coalesce as the data needs;
+``spread`` deals a small single-partition input over the cores.
 """
 
 from __future__ import annotations
@@ -24,8 +21,11 @@ def cpu_partitions(spark: SparkSession, per_core: int = 4) -> int:
     return max(shuffle, per_core * cores)
 
 
-def co_partition(df: DataFrame, key: str, n: int) -> DataFrame:
-    return df.repartition(n, key)
+def balanced(df: DataFrame) -> DataFrame:
+    """Rows dealt evenly, partition sizes left to adaptive execution. A small
+    input gets one partition per core and more (a few hundred kilobytes of
+    long texts can be minutes of work); a large one is split by size."""
+    return df.hint("rebalance", cpu_partitions(df.sparkSession))
 
 
 def spread(df: DataFrame, key: str, per_core: int = 4) -> DataFrame:

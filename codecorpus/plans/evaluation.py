@@ -5,28 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..functions.similarity import with_edit_similarity
 from ..operators import joins, metrics, ordering, select
-from ..operators.partitioning import co_partition, cpu_partitions
+from ..operators.partitioning import balanced
 from . import sqlparts as q
 from . import standins as st
+from .normalise import function_name_sql
 
 
 def scored_samples(spark: SparkSession, d: str, with_verdicts: bool = False) -> DataFrame:
     """Per sample: edit similarity of its prediction ('' when missing, J2),
-    optionally with its verdict flags. All inputs are hash-partitioned on
-    ``sample_id`` with one explicit count, so the joins and the scoring run
-    in one stage after a single exchange per input."""
-    n = cpu_partitions(spark)
-    s = co_partition(st.samples(spark, d).select("sample_id", "opt", "dataset", "language", "func"), "sample_id", n)
-    p = co_partition(st.predictions(spark, d).select("sample_id", "prediction"), "sample_id", n)
+    optionally with its verdict flags. The joins are left to adaptive
+    execution; the CPU-heavy scoring reads rows rebalanced by it."""
+    s = st.samples(spark, d).select("sample_id", "opt", "dataset", "language", "func")
+    p = st.predictions(spark, d).select("sample_id", "prediction")
     sp = joins.tolerant_join(s, p, "sample_id", {"prediction": ""})
     keep = ["sample_id", "opt", "dataset", "language", F.col("_matched").alias("matched"), "edit_sim"]
     if with_verdicts:
-        v = co_partition(st.verdicts(spark, d).select("sample_id", "flag_compile", "flag_run"), "sample_id", n)
+        v = st.verdicts(spark, d).select("sample_id", "flag_compile", "flag_run")
         sp = sp.join(v, "sample_id", "left")
         keep += ["flag_compile", "flag_run"]
-    scored = with_edit_similarity(sp, "func", "prediction", "edit_sim")
+    scored = with_edit_similarity(balanced(sp), "func", "prediction", "edit_sim")
     return scored.select(*keep)
 
 
@@ -76,9 +76,13 @@ SELECT opt, count(*) AS total, CAST(sum(flag_run) AS BIGINT) AS n_run,
 FROM samples JOIN verdicts USING (sample_id) GROUP BY opt"""
 
 
+#: Reported levels; nothing was compiled at the last one.
+LEVELS = [*st.OPTS, "Os"]
+
+
 def repeat_rates_by_opt(spark: SparkSession, d: str) -> DataFrame:
     """A3: compile / run rate per opt averaged over repeats (lineitem scale)."""
-    return metrics.repeat_rates(st.repeat_verdicts(spark, d))
+    return metrics.repeat_rates(st.repeat_verdicts(spark, d), LEVELS)
 
 
 REPEAT_RATES_SQL = f"""WITH {q.REPEAT_VERDICTS},
@@ -90,19 +94,24 @@ agg AS (SELECT opt, sum(c) / any_value(n_rep) AS avg_compile, sum(r) / any_value
 SELECT opt, round(avg_compile, 6) AS avg_compile, round(avg_run, 6) AS avg_run, round(avg_total, 6) AS avg_total,
        round(CASE WHEN avg_total > 0 THEN avg_compile / avg_total ELSE 0.0 END, 6) AS compile_rate,
        round(CASE WHEN avg_total > 0 THEN avg_run / avg_total ELSE 0.0 END, 6) AS run_rate
-FROM agg"""
+FROM (SELECT opt, coalesce(avg_compile, 0.0) AS avg_compile, coalesce(avg_run, 0.0) AS avg_run,
+             coalesce(avg_total, 0.0) AS avg_total
+      FROM (SELECT unnest(['O0', 'O1', 'O2', 'O3', 'Os']) AS opt) LEFT JOIN agg USING (opt))"""
 
 
 def fixed_rate_by_opt(spark: SparkSession, d: str) -> DataFrame:
     """A4: run count per opt over a fixed denominator floor(N / 4)."""
     s = st.samples(spark, d).select("sample_id", "opt")
-    return metrics.fixed_denominator_rate(s.join(st.verdicts(spark, d), "sample_id"))
+    return metrics.fixed_denominator_rate(s.join(st.verdicts(spark, d), "sample_id", "left"))
 
 
 FIXED_RATE_SQL = f"""WITH {q.SAMPLES}, {q.VERDICTS},
-per AS (SELECT opt, sum(flag_run) AS s, count(*) AS n FROM samples JOIN verdicts USING (sample_id) GROUP BY opt)
-SELECT opt, CAST(s AS BIGINT) AS n_run, round(s * 100.0 / floor((SELECT sum(n) FROM per) / 4), 6) AS fixed_rate
-FROM per"""
+per AS (SELECT opt, coalesce(sum(flag_compile), 0) AS c, coalesce(sum(flag_run), 0) AS r, count(*) AS n
+        FROM samples LEFT JOIN verdicts USING (sample_id) GROUP BY opt),
+t AS (SELECT floor(sum(n) / 4) AS denom FROM per)
+SELECT opt, CAST(c AS BIGINT) AS n_compile, CAST(r AS BIGINT) AS n_run,
+       round(c * 100.0 / denom, 6) AS fixed_compile_rate, round(r * 100.0 / denom, 6) AS fixed_run_rate
+FROM per, t"""
 
 
 def totals_rollup(spark: SparkSession, d: str) -> DataFrame:
@@ -120,12 +129,12 @@ def count_by_opt(spark: SparkSession, d: str) -> DataFrame:
     """Judged samples per opt, all four levels reported (zero-filled)."""
     s = st.samples(spark, d).select("sample_id", "opt")
     judged = s.join(st.verdicts(spark, d).where(F.col("flag_run") == 1), "sample_id")
-    return metrics.count_per_opt(spark, judged)
+    return metrics.count_per_opt(spark, judged, LEVELS)
 
 
 COUNT_BY_OPT_SQL = f"""WITH {q.SAMPLES}, {q.VERDICTS},
 c AS (SELECT opt, count(*) AS n FROM samples JOIN verdicts USING (sample_id) WHERE flag_run = 1 GROUP BY opt),
-levels AS (SELECT unnest(['O0', 'O1', 'O2', 'O3']) AS opt)
+levels AS (SELECT unnest(['O0', 'O1', 'O2', 'O3', 'Os']) AS opt)
 SELECT opt, CAST(coalesce(n, 0) AS BIGINT) AS n FROM levels LEFT JOIN c USING (opt)"""
 
 
@@ -163,7 +172,7 @@ def two_source_rates(spark: SparkSession, d: str) -> DataFrame:
     tolerant join to predictions from both sources, the same run rate for
     all: a sample runs if its verdict says so and a prediction exists."""
     decs = ["ida", "ghidra", "next4"]
-    s = joins.expand_values(st.samples(spark, d).select("sample_id", "opt", "language"), "decompiler", decs)
+    s = joins.expand_values(st.samples(spark, d).select("sample_id", "opt", "language"), "decompiler", decs, least=2)
     j = joins.tolerant_join(s, _prediction_flags(spark, d), ["sample_id", "decompiler"], {"has_pred": False})
     v = st.verdicts(spark, d).select("sample_id", "flag_run")
     j = j.join(v, "sample_id").withColumn("ok", ((F.col("flag_run") == 1) & F.col("has_pred")).cast("int"))
@@ -188,10 +197,58 @@ SELECT decompiler, opt, count(*) AS total, CAST(sum(ok) AS BIGINT) AS n_run,
 FROM judged GROUP BY decompiler, opt"""
 
 
+def aligned_outputs(spark: SparkSession, d: str) -> DataFrame:
+    """A13 texts: the native decompilers' outputs are renamed twice (the raw
+    token with its stars first, then the extracted name), the model's once."""
+    native = st.native_outputs(spark, d)
+    wrap = lambda c: F.concat(F.lit("int **"), F.lower("func_name"), F.lit("_0(int a) { "), F.col(c), F.lit(" }"))
+    nat = native.select("sample_id", "func_name", wrap("ida_pseudo").alias("ida"), wrap("ghidra_pseudo").alias("ghidra"))
+    nat = nat.unpivot(["sample_id", "func_name"], ["ida", "ghidra"], "decompiler", "text")
+    nat = nat.withColumn("text", T.align_name(F.col("text"), T.raw_name_token("text"), F.col("func_name")))
+    names = st.samples(spark, d).select("sample_id", "func_name")
+    model = st.predictions(spark, d).join(names, "sample_id").select(
+        "sample_id", "func_name", "decompiler", F.col("prediction").alias("text"))
+    both = joins.union_all([nat, model])
+    text = T.align_name(F.col("text"), T.function_name("text"), F.col("func_name"))
+    return both.select("sample_id", "decompiler", text.alias("text")).select(
+        "sample_id", "decompiler", F.md5("text").alias("text_md5"), F.length("text").alias("n_chars"))
+
+
+_RAW_TOKEN = "split_part(split_part(text, '(', 1), ' ', -1)"
+ALIGNED_OUTPUTS_SQL = f"""WITH {q.SAMPLES}, {q.PREDICTIONS}, {q.NATIVE},
+nat AS (
+  SELECT sample_id, func_name, 'ida' AS decompiler, 'int **' || lower(func_name) || '_0(int a) {{ ' || ida_pseudo || ' }}' AS text
+  FROM native UNION ALL
+  SELECT sample_id, func_name, 'ghidra', 'int **' || lower(func_name) || '_0(int a) {{ ' || ghidra_pseudo || ' }}' FROM native),
+once AS (SELECT sample_id, func_name, decompiler,
+           CASE WHEN {_RAW_TOKEN} = '' THEN text ELSE replace(text, {_RAW_TOKEN}, func_name) END AS text FROM nat
+         UNION ALL SELECT sample_id, func_name, decompiler, prediction FROM predictions JOIN samples USING (sample_id)),
+named AS (SELECT *, {function_name_sql('text')} AS name FROM once),
+twice AS (SELECT sample_id, decompiler, CASE WHEN name = '' THEN text ELSE replace(text, name, func_name) END AS text FROM named)
+SELECT sample_id, decompiler, md5(text) AS text_md5, CAST(length(text) AS INTEGER) AS n_chars FROM twice"""
+
+
+def rate_by_test(spark: SparkSession, d: str) -> DataFrame:
+    """Execute rate of samples with and without a test (null and blank
+    tests count as none)."""
+    k = F.col("sample_id") % 5
+    s = st.samples(spark, d).select("sample_id", "opt", T.has_test(
+        F.when(k == 0, F.lit(" \n")).when(k == 1, F.lit(None).cast("string")).otherwise(F.col("func"))).alias("has_test"))
+    return metrics.execute_rate(s.join(st.verdicts(spark, d), "sample_id"), ["opt", "has_test"])
+
+
+RATE_BY_TEST_SQL = f"""WITH {q.SAMPLES}, {q.VERDICTS},
+s AS (SELECT sample_id, opt, coalesce({q.strip("CASE sample_id % 5 WHEN 0 THEN ' ' || chr(10) WHEN 1 THEN NULL ELSE func END")}, '')
+             <> '' AS has_test FROM samples)
+SELECT opt, has_test, count(*) AS total, CAST(sum(flag_run) AS BIGINT) AS n_run,
+       round(sum(flag_run) * 100.0 / count(*), 6) AS exe_rate
+FROM s JOIN verdicts USING (sample_id) GROUP BY opt, has_test"""
+
+
 def metric_table_by_group(spark: SparkSession, d: str) -> DataFrame:
     """One row per (language, opt, decompiler), one column per metric."""
     decs = ["ida", "ghidra", "next4"]
-    s = joins.expand_values(st.samples(spark, d).select("sample_id", "opt", "language"), "decompiler", decs)
+    s = joins.expand_values(st.samples(spark, d).select("sample_id", "opt", "language"), "decompiler", decs, least=2)
     j = joins.tolerant_join(s, _prediction_flags(spark, d), ["sample_id", "decompiler"], {"has_pred": False})
     j = j.join(st.verdicts(spark, d).select("sample_id", "flag_run"), "sample_id").withColumn(
         "ok", ((F.col("flag_run") == 1) & F.col("has_pred")).cast("int"))
@@ -225,6 +282,21 @@ SELECT CAST(floor(pos / 50) AS BIGINT) AS batch, count(*) AS n, min(sample_id) A
 FROM pos GROUP BY 1"""
 
 
+def gathered_requests(spark: SparkSession, d: str) -> DataFrame:
+    """J9 and back: three requests per sample, their outputs (request number
+    and prediction) gathered per sample in request order."""
+    p = st.predictions(spark, d).select("sample_id", "prediction")
+    reqs = joins.repeat_rows(st.samples(spark, d).select("sample_id"), 3).join(p, "sample_id")
+    out = reqs.withColumn("output", F.concat_ws(":", "request_no", F.md5("prediction")))
+    return joins.gather_requests(out, "sample_id", "output").select(
+        "sample_id", F.array_join("outputs", ",").alias("outputs"))
+
+
+GATHERED_REQUESTS_SQL = f"""WITH {q.SAMPLES}, {q.PREDICTIONS},
+r AS (SELECT sample_id, md5(prediction) AS h FROM samples JOIN predictions USING (sample_id))
+SELECT sample_id, '1:' || h || ',2:' || h || ',3:' || h AS outputs FROM r"""
+
+
 def filtered_rate(spark: SparkSession, d: str) -> DataFrame:
     """Execute rate of one language and level; the language test is
     pushed into the Parquet scan (``PushedFilters: [EqualTo(lang,en)]``)."""
@@ -243,7 +315,7 @@ def peek_and_cap(spark: SparkSession, d: str) -> DataFrame:
     (a sampling operator and a row cap: the limit is the feature)."""
     s = st.samples(spark, d).select("sample_id", "dataset")
     key = F.md5(F.concat_ws(":", F.col("sample_id").cast("string"), F.lit("7")))
-    peek = s.orderBy(key, "sample_id").limit(5).withColumn("pick", F.lit("random"))
+    peek = ordering.random_peek(s, "sample_id", 5, order_key=key).withColumn("pick", F.lit("random"))
     cap = ordering.capped(s, ["sample_id"], 5).withColumn("pick", F.lit("first"))
     return peek.unionByName(cap)
 
@@ -289,6 +361,9 @@ QUERIES = {
     "a6_metric_table": metric_table_by_group,
     "a8_count_by_opt": count_by_opt,
     "a13_two_source_rates": two_source_rates,
+    "a13_aligned_outputs": aligned_outputs,
+    "a2_rate_by_test": rate_by_test,
+    "j9_gathered_requests": gathered_requests,
     "j1_strict_verdict_join": strict_verdict_join,
     "j9_request_batches": request_batches,
     "p1_filtered_rate": filtered_rate,
@@ -307,6 +382,9 @@ ORACLE = {
     "a6_metric_table": METRIC_TABLE_SQL,
     "a8_count_by_opt": COUNT_BY_OPT_SQL,
     "a13_two_source_rates": TWO_SOURCE_RATES_SQL,
+    "a13_aligned_outputs": ALIGNED_OUTPUTS_SQL,
+    "a2_rate_by_test": RATE_BY_TEST_SQL,
+    "j9_gathered_requests": GATHERED_REQUESTS_SQL,
     "j1_strict_verdict_join": STRICT_VERDICT_JOIN_SQL,
     "j9_request_batches": REQUEST_BATCHES_SQL,
     "p1_filtered_rate": FILTERED_RATE_SQL,

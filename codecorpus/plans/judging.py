@@ -13,10 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import metrics
+from ..operators import joins, metrics
 from ..sources.tables import table
 from . import sqlparts as q
 from . import standins as st
+from .normalise import function_name_sql
 
 # ------------------------------------------------------------------ judge answers
 
@@ -79,7 +80,7 @@ JUDGE_SCORES_SQL = f"""WITH {JUDGE_ANSWERS},
 s AS (SELECT decompiler, opt, {_STRIPPED_SQL} AS t FROM judge_answers),
 j AS (SELECT decompiler, opt, {_REPAIRED_SQL} AS js FROM s),
 v AS (SELECT decompiler, opt, CASE WHEN contains(js, '"{T.JUDGE_KEY}"')
-        THEN TRY_CAST(regexp_extract_all(js, '"score": (\d+)', 1)[-1] AS INTEGER) END AS sc FROM j)
+        THEN TRY_CAST(regexp_extract_all(js, '"score": ([0-9]+)', 1)[-1] AS INTEGER) END AS sc FROM j)
 SELECT decompiler, opt, '{T.JUDGE_KEY}' AS criterion, count(*) AS n, round(avg(coalesce(sc, 1)), 6) AS mean_score,
        CAST(count(*) FILTER (WHERE sc IS NULL) AS BIGINT) AS n_defaulted
 FROM v GROUP BY decompiler, opt"""
@@ -145,6 +146,32 @@ def prompts(spark: SparkSession, d: str) -> DataFrame:
         T.remove_stop_sequences(F.col("prediction"), STOPS).alias("generated"))
 
 
+def judge_prompts(spark: SparkSession, d: str) -> DataFrame:
+    """J2 + T19 + T20 + T23 as the judge reads them: the source's function
+    renamed to ``func0``, the prediction stripped, ``decompile error`` where
+    none exists."""
+    s = st.samples(spark, d).select("sample_id", "func_name", F.concat(
+        F.lit("char *"), F.col("func_name"), F.lit("(int a) { "), F.col("func"), F.lit(" }")).alias("func"))
+    p = st.predictions(spark, d).select("sample_id", T.py_strip(F.col("prediction")).alias("prediction"))
+    j = joins.tolerant_join(s, p, "sample_id", {"prediction": "decompile error"})
+    source = T.align_name(F.col("func"), T.function_name("func"), F.lit("func0"))
+    return j.select("sample_id", "_matched", T.fill_template(F.lit(TEMPLATE), source, F.col("prediction"))
+                    .alias("judge_prompt")).select(
+        "sample_id", F.col("_matched").alias("matched"), F.md5("judge_prompt").alias("prompt_md5"),
+        F.length("judge_prompt").alias("n_chars"))
+
+
+_TEMPLATE_SQL = "'" + TEMPLATE.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+JUDGE_PROMPTS_SQL = f"""WITH {q.SAMPLES}, {q.PREDICTIONS},
+s AS (SELECT sample_id, 'char *' || func_name || '(int a) {{ ' || func || ' }}' AS func FROM samples),
+n AS (SELECT *, {function_name_sql('func')} AS name FROM s),
+r AS (SELECT sample_id, CASE WHEN name = '' THEN func ELSE replace(func, name, 'func0') END AS source FROM n),
+j AS (SELECT r.sample_id, p.sample_id IS NOT NULL AS matched,
+        replace(replace({_TEMPLATE_SQL}, '[SRC]', source), '[DSRC]', coalesce({q.strip('p.prediction')}, 'decompile error')) AS t
+      FROM r LEFT JOIN predictions p ON p.sample_id = r.sample_id)
+SELECT sample_id, matched, md5(t) AS prompt_md5, CAST(length(t) AS INTEGER) AS n_chars FROM j"""
+
+
 def _prompt_sql(x: str, strip: bool = True, head: str = "'# This is the assembly code:' || chr(10)") -> str:
     body = q.strip(x) if strip else x
     return f"{head} || {body} || chr(10) || '# What is the source code?' || chr(10)"
@@ -210,6 +237,7 @@ FROM j"""
 
 
 QUERIES = {
+    "t20_judge_prompts": judge_prompts,
     "a7_judge_scores": judge_scores,
     "t27_chat_prompts": chat_prompts,
     "t22_t24_prompts": prompts,
@@ -218,6 +246,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "t20_judge_prompts": JUDGE_PROMPTS_SQL,
     "a7_judge_scores": JUDGE_SCORES_SQL,
     "t27_chat_prompts": CHAT_PROMPTS_SQL,
     "t22_t24_prompts": PROMPTS_SQL,

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators.select import select_where
 from ..sources.tables import table
 from . import sqlparts as q
 from .normalise import C_FUNCTIONS, c_functions
@@ -35,13 +36,14 @@ def _insn_lines(li: DataFrame) -> DataFrame:
     main = F.concat(addr, F.lit("\t"), byte, F.lit(" 00 e5 "), F.lit("\t"), insn, note)
     cont = F.concat(F.lit("  "), F.lower(F.hex(n * 16 + 8)), F.lit(":\t00 00 00"))
     line = F.when(F.col("l_quantity") > 25, F.concat(main, F.lit("\n"), cont)).otherwise(main)
-    return li.select("l_orderkey", n.alias("n"), line.alias("line"))
+    return li.select("l_orderkey", "l_partkey", n.alias("n"), line.alias("line"))
 
 
 def order_lines(spark: SparkSession, d: str) -> DataFrame:
-    """(order, lines: array<struct<n, line>> sorted by line number)."""
+    """(order, lines: array<struct<n, line>> sorted by line number, callee)."""
     li = _insn_lines(table(spark, d, "lineitem"))
-    return li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("n", "line"))).alias("lines"))
+    return li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("n", "line"))).alias("lines"),
+                                        F.min("l_partkey").alias("callee"))
 
 
 def _listing(order: Column, lines: Column) -> Column:
@@ -53,9 +55,9 @@ def _listing(order: Column, lines: Column) -> Column:
 
 
 def listings(spark: SparkSession, d: str) -> DataFrame:
-    """(order, func_name, listing)."""
+    """(order, func_name, callee, listing)."""
     o = order_lines(spark, d)
-    return o.select(F.col("l_orderkey").alias("order_id"),
+    return o.select(F.col("l_orderkey").alias("order_id"), "callee",
                     F.concat(F.lit("func"), F.col("l_orderkey").cast("string")).alias("func_name"),
                     _listing(F.col("l_orderkey"), F.col("lines")).alias("listing"))
 
@@ -103,6 +105,18 @@ _TAB_CLEAN_SQL = """array_to_string(list_transform(
       list_filter(string_split(block, chr(10)), lambda l: NOT (len(string_split(l, chr(9))) < 3 AND contains(l, '00'))),
       lambda l: {strip_inner} || chr(10)), '')"""
 
+def bare_function_listing(spark: SparkSession, d: str) -> DataFrame:
+    """T10 with bare labels (``name:``), as compiler output writes them."""
+    ls = listings(spark, d).withColumn("listing", F.replace(F.replace("listing", F.lit("<"), F.lit("")), F.lit(">"), F.lit("")))
+    block = T.function_from_listing(F.col("listing"), F.col("func_name"), bare=True)
+    return ls.select("order_id", block.alias("block"))
+
+
+BARE_FUNCTION_LISTING_SQL = f"""WITH {LISTINGS},
+l AS (SELECT order_id, func_name, replace(replace(listing, '<', ''), '>', '') AS listing FROM listings)
+SELECT order_id, func_name || ':' || string_split(string_split(listing, func_name || ':')[-1], chr(10) || chr(10))[1] AS block
+FROM l"""
+
 FUNCTION_LISTING_SQL = f"""WITH {LISTINGS},
 b AS (SELECT order_id, '<' || func_name || '>:' || string_split(
         string_split(listing, '<' || func_name || '>:')[-1], chr(10) || chr(10))[1] AS block FROM listings)
@@ -117,7 +131,7 @@ FROM b"""
 def _section_clean(lines: Column, level: Column) -> Column:
     """Listing of one level (lines numbered > level), cleaned."""
     kept = F.filter(lines, lambda x: x["n"] > level)
-    text = F.concat(F.lit("Disassembly of section .text:\n"), F.array_join(F.transform(kept, lambda x: x["line"]), "\n"))
+    text = F.concat(F.lit("Disassembly of section .text:\n0000000000000010 <main>:\n"), F.array_join(F.transform(kept, lambda x: x["line"]), "\n"))
     return T.clean_listing_section_form(text)
 
 
@@ -134,7 +148,8 @@ def corpus_build(spark: SparkSession, d: str) -> DataFrame:
             F.concat(F.lit("O"), j.cast("string")).alias("opt"),
             _section_clean(F.col("lines"), j).alias("raw"))).alias("levels"))
     # P7 on the raw cleaned listing; one failing level drops the whole file
-    kept = per.where(F.forall("levels", lambda x: T.listing_piece_count(x["raw"]) >= 4))
+    kept = select_where(per.select("name", "levels"), ["name"], {"levels": F.col("levels")}, lambda r: F.forall(
+        r["levels"], lambda x: T.listing_piece_count(x["raw"]) >= 4))
     return kept.select("name", F.inline("levels")).select(
         "name", "opt", T.remove_attribute(T.strip_leading_zeros(F.col("raw"))).alias("asm"))
 
@@ -144,7 +159,7 @@ _SECTION_CLEAN_SQL = """array_to_string(list_transform(string_split({x}, chr(10)
 
 
 def _level_asm_sql(j: int) -> str:
-    text = (f"'Disassembly of section .text:' || chr(10) || coalesce(array_to_string(list_transform("
+    text = (f"'Disassembly of section .text:' || chr(10) || '0000000000000010 <main>:' || chr(10) || coalesce(array_to_string(list_transform("
             f"list_filter(lines, lambda x: x.n > {j}), lambda x: x.line), chr(10)), '')")
     after = q.strip(f"string_split({text}, 'Disassembly of section .text:')[-1]")
     cleaned = _SECTION_CLEAN_SQL.format(x=after, strip_l=q.strip(
@@ -170,9 +185,7 @@ UNION ALL SELECT name, 'O2', {_finish_sql('a2')} FROM kept UNION ALL SELECT name
 def label_presence(spark: SparkSession, d: str) -> DataFrame:
     """Listings that contain the label of a called function vs not
     (the original raises on a missing label; here the rejects are a count)."""
-    ls = listings(spark, d).join(
-        table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.min("l_partkey").alias("callee"))
-        .withColumnRenamed("l_orderkey", "order_id"), "order_id")
+    ls = listings(spark, d)
     label = F.concat(F.lit("<func"), F.col("callee").cast("string"), F.lit(">"))
     return ls.groupBy(F.col("listing").contains(label).alias("present")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -286,6 +299,7 @@ SELECT func_id, inc || chr(10) || pred || chr(10) || test2 AS program, inc || ch
 
 
 QUERIES = {
+    "t10_bare_listing": bare_function_listing,
     "t10_t11_function_listing": function_listing,
     "p7_j5_corpus_build": corpus_build,
     "p8_label_presence": label_presence,
@@ -295,6 +309,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "t10_bare_listing": BARE_FUNCTION_LISTING_SQL,
     "t10_t11_function_listing": FUNCTION_LISTING_SQL,
     "p7_j5_corpus_build": CORPUS_BUILD_SQL,
     "p8_label_presence": LABEL_PRESENCE_SQL,

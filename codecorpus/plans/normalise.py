@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import joins
+from ..operators import joins, metrics
 from ..operators.partitioning import spread
 from ..operators.select import select_where
 from ..sources.tables import table
@@ -190,17 +190,52 @@ f AS (SELECT func_id, {q.strip_empty(remove_comments_sql('code'))} AS code_forma
 SELECT func_id, code_format FROM f WHERE {good_func_sql('code_format')}"""
 
 
+def _formatted(spark: SparkSession, d: str) -> DataFrame:
+    """Stand-in for the external formatter's output: double spaces closed up,
+    NULL (a failure) for every seventh function."""
+    return c_functions(spark, d).withColumn("formatted", F.when(
+        F.col("func_id") % 7 != 0, F.replace("code", F.lit("  "), F.lit(" "))))
+
+
+FORMATTED = f"""{C_FUNCTIONS},
+formatted AS (SELECT *, CASE WHEN func_id % 7 <> 0 THEN replace(code, '  ', ' ') END AS laid_out FROM c_functions),
+normed AS (SELECT func_id, code, CASE
+    WHEN NOT regexp_matches({replace_aliases_sql(remove_keywords_sql(hex_to_dec_sql(remove_comments_naive_sql('code'))))},
+                            '[^\t\n\x0b\x0c\r\x1c-\x1f ]') THEN ''
+    WHEN laid_out IS NOT NULL THEN {q.strip_empty('laid_out')} END AS code_norm FROM formatted)"""
+
+
 def accept_counts(spark: SparkSession, d: str) -> DataFrame:
-    """P6 + A11: rows per accept status after normalisation."""
-    norm = c_functions(spark, d).select(T.accept_status(T.normalise_pseudo("code")).alias("status"))
-    return norm.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+    """P6 + A11: rows per accept status after normalisation with a formatter
+    that fails for some rows, and the totals."""
+    norm = _formatted(spark, d).select(T.accept_status(T.normalise_pseudo("code", F.col("formatted"))).alias("status"))
+    per = norm.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+    total = metrics.accepted_total(norm).select(F.inline(F.array(
+        F.struct(F.lit("all rows").alias("status"), F.col("total").alias("n")),
+        F.struct(F.lit("kept rows").alias("status"), F.col("accepted").alias("n")))))
+    return per.unionByName(total)
+
 
+ACCEPT_COUNTS_SQL = f"""WITH {FORMATTED},
+s AS (SELECT CASE WHEN code_norm IS NULL THEN 'format_failed' WHEN code_norm = '' THEN 'empty'
+             WHEN {good_func_sql('code_norm')} THEN 'accepted' ELSE 'rejected' END AS status FROM normed)
+SELECT status, count(*) AS n FROM s GROUP BY 1
+UNION ALL SELECT 'all rows', count(*) FROM s
+UNION ALL SELECT 'kept rows', count(*) FILTER (WHERE status = 'accepted') FROM s"""
 
-ACCEPT_COUNTS_SQL = f"""WITH {C_FUNCTIONS},
-n AS (SELECT {normalise_sql('code')} AS code_norm FROM c_functions)
-SELECT CASE WHEN code_norm = '' THEN 'empty' WHEN {good_func_sql('code_norm')} THEN 'accepted' ELSE 'rejected' END
-       AS status, count(*) AS n
-FROM n GROUP BY 1"""
+
+def kept_records(spark: SparkSession, d: str) -> DataFrame:
+    """P6 with ``remove=0``: accepted rows with the normalised text, rows
+    whose formatting failed with the raw one."""
+    norm = T.normalise_pseudo("code", F.col("formatted"))
+    rows = select_where(_formatted(spark, d), ["func_id", "code"], {"norm": norm}, lambda r: F.when(
+        r["norm"].isNull(), True).otherwise(T.accept_status(r["norm"]) == "accepted"))
+    return rows.select("func_id", T.keep_failed(F.col("norm"), F.col("code")).alias("code_norm"))
+
+
+KEPT_RECORDS_SQL = f"""WITH {FORMATTED}
+SELECT func_id, coalesce(code_norm, code) AS code_norm FROM normed
+WHERE code_norm IS NULL OR (code_norm <> '' AND {good_func_sql('code_norm')})"""
 
 
 def name_alignment(spark: SparkSession, d: str) -> DataFrame:
@@ -213,7 +248,7 @@ def name_alignment(spark: SparkSession, d: str) -> DataFrame:
                     T.align_name(code, name, F.col("func_name")).alias("aligned"))
 
 
-def _function_name_sql(x: str) -> str:
+def function_name_sql(x: str) -> str:
     tok = f"{q.strip(f'split_part(split_part({x}, \'(\', 1), \' \', -1)')}"
     return (f"CASE WHEN starts_with({tok}, '**') THEN substr({tok}, 3) "
             f"WHEN starts_with({tok}, '*') THEN substr({tok}, 2) ELSE {tok} END")
@@ -222,7 +257,7 @@ def _function_name_sql(x: str) -> str:
 NAME_ALIGNMENT_SQL = f"""WITH {C_FUNCTIONS},
 c AS (SELECT func_id, func_name, replace(code, '__fastcall', '') AS code FROM c_functions),
 n AS (SELECT func_id, func_name, code, split_part(split_part(code, '(', 1), ' ', -1) AS raw_token,
-             {_function_name_sql('code')} AS name FROM c)
+             {function_name_sql('code')} AS name FROM c)
 SELECT func_id, raw_token, name,
        CASE WHEN name = '' THEN code ELSE replace(code, name, func_name) END AS aligned FROM n"""
 
@@ -253,13 +288,8 @@ SELECT doc_id, header FROM documents LEFT JOIN h USING (text)"""
 
 def header_failures(spark: SparkSession, d: str) -> DataFrame:
     """A9 + A10: failures once per distinct text vs row count; good / bad."""
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    h = joins.per_distinct(docs, "text", header_of, "header")
-    return h.agg(F.count(F.lit(1)).alias("n_rows"),
-                 F.count_distinct("text").alias("n_distinct"),
-                 F.count_distinct(F.when(F.col("header").isNull(), F.col("text"))).alias("n_failed_distinct"),
-                 F.count_if(F.col("header").isNotNull() & (F.col("header") != "")).alias("good"),
-                 F.count_if(F.col("header").isNull() | (F.col("header") == "")).alias("bad"))
+    docs = table(spark, d, "documents").select("text")
+    return metrics.distinct_failures(joins.distinct_values(docs, "text", header_of, "header"), "header")
 
 
 HEADER_FAILURES_SQL = f"""WITH h AS (SELECT text, {HEADER_SQL.format(x='text')} AS header FROM documents)
@@ -272,13 +302,14 @@ FROM h"""
 
 def enrich_or_drop(spark: SparkSession, d: str) -> DataFrame:
     """Samples get ``func_dep`` = header; samples without one are dropped."""
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    h = joins.per_distinct(docs, "text", header_of, "header")
-    return joins.enrich_or_drop(docs.select("doc_id"), h.select("doc_id", "header"), "doc_id", "header", "func_dep")
+    docs = table(spark, d, "documents").select("doc_id", "lang")
+    texts = table(spark, d, "documents").select("doc_id", "text")
+    h = joins.per_distinct(texts, "text", header_of, "header").select("doc_id", "header")
+    return joins.enrich_or_drop(docs, h, "doc_id", "header", "func_dep")
 
 
-ENRICH_OR_DROP_SQL = f"""WITH h AS (SELECT doc_id, {HEADER_SQL.format(x='text')} AS header FROM documents)
-SELECT doc_id, header AS func_dep FROM h WHERE header IS NOT NULL AND header <> ''"""
+ENRICH_OR_DROP_SQL = f"""WITH h AS (SELECT doc_id, lang, {HEADER_SQL.format(x='text')} AS header FROM documents)
+SELECT doc_id, lang, header AS func_dep FROM h WHERE header IS NOT NULL AND header <> ''"""
 
 
 def cached_headers(spark: SparkSession, d: str) -> DataFrame:
@@ -289,8 +320,7 @@ def cached_headers(spark: SparkSession, d: str) -> DataFrame:
     cached = table(spark, d, "labels").select(
         "doc_id", F.concat(F.lit("/* cached */ struct c_"), F.col("doc_id").cast("string"), F.lit(";"))
         .alias("header"))
-    computed = docs.select("doc_id", header_of(F.col("text")).alias("header"))
-    j = joins.with_fallback(docs, cached, computed, ["doc_id"], "header")
+    j = joins.with_fallback(docs, cached, ["doc_id"], "header", header_of(F.col("text")))
     return j.select("doc_id", "header", F.length(T.prepend_header(F.col("header"), F.col("text"))).alias("n_chars"))
 
 
@@ -309,6 +339,7 @@ QUERIES = {
     "t7_normalise_accept": normalise_accept,
     "t3_p4_format_records": format_records,
     "p6_accept_counts": accept_counts,
+    "p6_kept_records": kept_records,
     "t19_t20_name_alignment": name_alignment,
     "j7_header_per_distinct": header_per_distinct,
     "a9_a10_header_failures": header_failures,
@@ -324,6 +355,7 @@ ORACLE = {
     "t7_normalise_accept": NORMALISE_ACCEPT_SQL,
     "t3_p4_format_records": FORMAT_RECORDS_SQL,
     "p6_accept_counts": ACCEPT_COUNTS_SQL,
+    "p6_kept_records": KEPT_RECORDS_SQL,
     "t19_t20_name_alignment": NAME_ALIGNMENT_SQL,
     "j7_header_per_distinct": HEADER_PER_DISTINCT_SQL,
     "a9_a10_header_failures": HEADER_FAILURES_SQL,

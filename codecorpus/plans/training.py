@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays as A
 from ..functions.text import render_prompt
-from ..operators import ordering, packing
+from ..operators import metrics, ordering, packing
 from ..operators.partitioning import spread
 from ..sources.tables import table
 
@@ -148,17 +148,64 @@ SELECT doc_id, CAST(p % 3 AS INTEGER) AS rank, p // 3 - 5 AS local_pos FROM pp W
 
 # ------------------------------------------------------------------ W1, W2, A12
 
-def packed(spark: SparkSession, d: str) -> DataFrame:
-    """W1 + W2 + A12 (+ P13 bins): documents' token counts packed into
-    windows of 2,048 tokens per bin; rows in, windows out, rate per bin."""
+def _windows(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Binned documents with their token counts, and their windows."""
     docs = spread(table(spark, d, "documents").select("doc_id", "lang", "text"), "doc_id").select(
         "doc_id", F.col("lang").alias("seq_category"), F.size(A.tokens(F.col("text"))).alias("seq_length"))
     binned = ordering.percent_split(docs, ["doc_id"], 3)
-    p = packing.pack(binned, "doc_id", "seq_length", 2048)
+    return binned, packing.pack(binned, "doc_id", "seq_length", WINDOW_TOKENS)
+
+
+WINDOW_TOKENS = 2048
+
+
+def packed(spark: SparkSession, d: str) -> DataFrame:
+    """W1 + W2 + A12 (+ P13 bins): documents' token counts packed into
+    windows of 2,048 tokens per bin; rows in, windows out, rate per bin."""
+    binned, windows = _windows(spark, d)
     n_in = binned.groupBy("bin").agg(F.count(F.lit(1)).alias("n_in"))
-    n_out = p.groupBy("bin").agg(F.count_distinct("pack_id").alias("n_out"))
-    from ..operators.metrics import compression_rate
-    return compression_rate(n_in, n_out, "bin")
+    n_out = windows.groupBy("bin").agg((F.max("window") + 1).alias("n_out"))
+    return metrics.compression_rate(n_in, n_out, "bin")
+
+
+def packed_rows(spark: SparkSession, d: str) -> DataFrame:
+    """W2's rows: token ids of every window (R2 vocabulary of the documents),
+    concatenated in W1 order, rows cut at the window size (R5)."""
+    _, windows = _windows(spark, d)
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    vocabulary = packing.vocabulary(docs.select(A.tokens(F.col("text")).alias("tokens")))
+    ids = packing.encode(docs, "doc_id", "text", vocabulary)
+    rows = packing.packed_rows(windows, ids, "doc_id", WINDOW_TOKENS)
+    return rows.select("bin", "window", F.size("input_ids").alias("n_tokens"), F.md5(_ints(F.col("input_ids"))).alias("ids"),
+                       F.md5(_ints(F.col("labels"))).alias("labels"))
+
+
+_PACK_WALK = f"""n AS (SELECT count(*) AS n FROM documents),
+b AS (SELECT i AS bin, round_even(CAST(i * 34 AS DOUBLE) * (SELECT n FROM n) / 100.0, 0) AS lo FROM range(0, 3) t(i)),
+p AS (SELECT doc_id, lang, len(regexp_extract_all(text, '{TOKEN_RE2}', 0)) AS len,
+             row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM documents),
+binned AS (SELECT doc_id, lang, len, CAST((SELECT max(bin) FROM b WHERE b.lo <= p.pos) AS INTEGER) AS bin FROM p),
+o AS (SELECT *, row_number() OVER (PARTITION BY bin ORDER BY lang, len, doc_id) AS i,
+             least(len, {WINDOW_TOKENS}) AS cut FROM binned),
+walk(bin, doc_id, i, used, win) AS (
+  SELECT bin, doc_id, i, cut, 0 FROM o WHERE i = 1
+  UNION ALL
+  SELECT o.bin, o.doc_id, o.i,
+         CASE WHEN used > 0 AND used + cut > {WINDOW_TOKENS} THEN cut ELSE used + cut END,
+         CASE WHEN used > 0 AND used + cut > {WINDOW_TOKENS} THEN win + 1 ELSE win END
+  FROM walk w JOIN o ON o.bin = w.bin AND o.i = w.i + 1)"""
+
+PACKED_SQL = f"""WITH RECURSIVE {_PACK_WALK}
+SELECT bin, count(*) AS n_in, CAST(max(win) + 1 AS BIGINT) AS n_out, round((max(win) + 1) / count(*), 6) AS compression_rate
+FROM walk GROUP BY bin"""
+
+PACKED_ROWS_SQL = f"""WITH RECURSIVE {_PACK_WALK},
+occ AS (SELECT doc_id, unnest(regexp_extract_all(text, '{TOKEN_RE2}', 0)) AS token,
+               unnest(range(1, len(regexp_extract_all(text, '{TOKEN_RE2}', 0)) + 1)) AS p FROM documents),
+vocab AS (SELECT token, row_number() OVER (ORDER BY count(*) DESC, token) + 1 AS id FROM occ GROUP BY token),
+rows AS (SELECT bin, win, string_agg(CAST(id AS VARCHAR), ' ' ORDER BY w.i, p) AS ids, count(*) AS n
+         FROM occ JOIN vocab USING (token) JOIN walk w USING (doc_id) WHERE p <= {WINDOW_TOKENS} GROUP BY bin, win)
+SELECT bin, CAST(win AS BIGINT) AS "window", CAST(n AS INTEGER) AS n_tokens, md5(ids) AS ids, md5(ids) AS labels FROM rows"""
 
 
 QUERIES = {
@@ -168,6 +215,7 @@ QUERIES = {
     "p13_percent_split": percent_split,
     "w3_sharded_order": sharded,
     "w2_a12_packing": packed,
+    "w2_packed_rows": packed_rows,
 }
 
 ORACLE = {
@@ -176,4 +224,6 @@ ORACLE = {
     "p12_contiguous_split": CONTIGUOUS_SPLIT_SQL,
     "p13_percent_split": PERCENT_SPLIT_SQL,
     "w3_sharded_order": SHARDED_SQL,
+    "w2_a12_packing": PACKED_SQL,
+    "w2_packed_rows": PACKED_ROWS_SQL,
 }

@@ -2,6 +2,8 @@ import math
 
 from pyspark.sql import functions as F
 
+import pytest
+
 from codecorpus.operators import ordering, packing
 
 
@@ -52,7 +54,7 @@ def brute_next_fit(lengths, max_length):
     packs, cur = [], []
     for n in lengths:
         n = min(n, max_length)
-        if cur and sum(cur) + n > max_length:
+        if sum(cur) and sum(cur) + n > max_length:
             packs.append(cur)
             cur = []
         cur.append(n)
@@ -61,29 +63,29 @@ def brute_next_fit(lengths, max_length):
     return packs
 
 
-def test_packing_matches_brute_force(spark):
-    rows = [(i, f"c{i % 3}", (i * 37) % 50 + 1, i % 2) for i in range(400)]
+@pytest.mark.parametrize("chunk_rows,fan", [(1000, 256), (50, 256), (20, 4), (7, 2), (1, 3)])
+def test_packing_does_not_depend_on_the_chunks(spark, chunk_rows, fan):
+    rows = [(i, f"c{i % 3}", (i * 37) % 75, i % 2) for i in range(400)]  # some empty, some above the maximum
     df = spark.createDataFrame(rows, "row_id long, seq_category string, seq_length int, bin int")
-    out = packing.pack(df, "row_id", "seq_length", 60, chunk_rows=1000).collect()
-    assert len(out) == 400
+    got = {r["row_id"]: r["window"] for r in packing.pack(df, "row_id", "seq_length", 60, chunk_rows=chunk_rows,
+                                                          fan=fan).collect()}
     for b in (0, 1):
         ordered = sorted((r for r in rows if r[3] == b), key=lambda r: (r[1], r[2], r[0]))
-        expect = brute_next_fit([r[2] for r in ordered], 60)
-        got = {}
-        for r in out:
-            if r["bin"] == b:
-                got.setdefault(r["pack_id"], 0)
-                got[r["pack_id"]] += r["seq_length"]
-        assert sorted(got.values()) == sorted(sum(p) for p in expect)
-        assert max(got.values()) <= 60
-
-
-def test_packing_chunks_bound_groups(spark):
-    rows = [(i, "c", 10, 0) for i in range(100)]
-    df = spark.createDataFrame(rows, "row_id long, seq_category string, seq_length int, bin int")
-    out = packing.pack(df, "row_id", "seq_length", 25, chunk_rows=7).collect()
-    assert {r["chunk"] for r in out} == set(range(15))
-    assert all(sum(1 for x in out if x["pack_id"] == p) <= 2 for p in {r["pack_id"] for r in out})
+        packs = brute_next_fit([r[2] for r in ordered], 60)
+        expect = [w for w, p in enumerate(packs) for _ in p]
+        assert [got[r[0]] for r in ordered] == expect
+
+
+def test_packed_rows(spark):
+    from pyspark.sql import functions as F
+    df = spark.createDataFrame([(1, "a", 3, 0), (2, "a", 2, 0), (3, "b", 0, 0), (4, "b", 9, 0)],
+                               "row_id long, seq_category string, seq_length int, bin int")
+    ids = df.select("row_id", F.when(F.col("seq_length") > 0, F.transform(F.sequence(F.lit(1), "seq_length"), lambda x: (
+        x + F.col("row_id") * 10).cast("int"))).otherwise(F.array().cast("array<int>")).alias("input_ids"))
+    out = packing.packed_rows(packing.pack(df, "row_id", "seq_length", 5), ids, "row_id", 5).orderBy("window").collect()
+    assert [r["input_ids"] for r in out] == [[21, 22, 11, 12, 13], [41, 42, 43, 44, 45]]
+    assert all(r["labels"] == r["input_ids"] for r in out)
+
 
 
 def test_vocabulary_and_encode(spark):

@@ -3,10 +3,10 @@ import re
 
 import pytest
 
-import __spark_entry__ as E
+from codecorpus.plans import registry
 
 SF = "/root/testdata/sf0.001"
-PYTHON_ALLOWED = {"eval_by_opt", "a1_edit_sim_by_dataset", "w2_a12_packing"}
+PYTHON_ALLOWED = {"eval_by_opt", "a1_edit_sim_by_dataset", "w2_a12_packing", "w2_packed_rows"}
 
 
 def plan(spark, df):
@@ -14,16 +14,16 @@ def plan(spark, df):
     return df._jdf.queryExecution().explainString(mode)
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(registry.queries()))
 def test_no_cross_products_and_python_only_where_needed(spark, name):
-    text = plan(spark, E.queries()[name](spark, SF))
+    text = plan(spark, registry.queries()[name](spark, SF))
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
     has_python = bool(re.search(r"ArrowEvalPython|FlatMapGroupsInPandas|BatchEvalPython", text))
     assert has_python == (name in PYTHON_ALLOWED)
 
 
 def test_filter_reaches_scan(spark):
-    text = plan(spark, E.queries()["p1_filtered_rate"](spark, SF))
+    text = plan(spark, registry.queries()["p1_filtered_rate"](spark, SF))
     assert "EqualTo(lang,en)" in text
     assert "ReadSchema: struct<doc_id:bigint,lang:string>" in text
 
@@ -31,8 +31,26 @@ def test_filter_reaches_scan(spark):
 def test_flagship_shuffles_each_input_once(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        text = plan(spark, E.queries()["eval_by_opt"](spark, SF)).split("\n\n")[0]
+        text = plan(spark, registry.queries()["eval_by_opt"](spark, SF)).split("\n\n")[0]
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    # three inputs (samples, predictions, verdicts) + the final per-opt aggregate
-    assert text.count("Exchange") == 4 and text.count("SortMergeJoin") == 2
+    # three inputs (samples, predictions, verdicts), the rebalanced scoring, the final per-opt aggregate
+    assert text.count("Exchange") == 5 and text.count("SortMergeJoin") == 2
+
+
+def test_text_work_appears_once(spark):
+    """P7's cleaning is neither copied into a pushed-down filter nor into a
+    guard of the generator."""
+    df = registry.queries()["p7_j5_corpus_build"](spark, SF)
+    text = df._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("Disassembly of section .text:\n0000") == 1
+
+
+def test_failures_come_from_the_distinct_table(spark):
+    text = plan(spark, registry.queries()["a9_a10_header_failures"](spark, SF)).split("\n\n")[0]
+    assert "Expand" not in text and "Join" not in text
+
+
+def test_zero_fill_uses_no_python_table(spark):
+    text = plan(spark, registry.queries()["a8_count_by_opt"](spark, SF))
+    assert "ExistingRDD" not in text

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import evaluation, judging, listings, normalise, training
+from . import evaluation, judging, listings, normalise, storage, training
 
-_MODULES = [evaluation, normalise, listings, judging, training]
+_MODULES = [evaluation, normalise, listings, judging, training, storage]
 
 
 def queries():

@@ -17,39 +17,34 @@ from ..functions.regex import py_strip
 from ..functions.text import parse_result_file_name
 
 
-class NotAListError(ValueError):
-    pass
-
-
 def read_json_array(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """Files holding one JSON array of records each.
 
-    A JSON array file cannot be split, so each file is one task; the file
-    text is parsed with ``from_json`` into ``array<struct>`` and inlined. A
-    file whose top level is not an array fails the read (the original
-    rejects non-lists). Convert large arrays once to Parquet or JSONL.
+    A JSON array file cannot be split, so each file is one task. A file whose
+    top level is not an array, or that holds a malformed record, fails the
+    read when it is computed; no job runs before that. Convert large arrays
+    once to Parquet or JSONL.
     """
-    raw = spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("_file"),
-        F.from_json("value", ArrayType(schema)).alias("_rows"),
-        F.ltrim(F.col("value")).startswith("[").alias("_is_list"))
-    bad = raw.where(~F.col("_is_list") | F.col("_rows").isNull()).select("_file").limit(1).collect()
-    if bad:
-        raise NotAListError(f"top level of {bad[0]['_file']} is not a JSON array")
-    return raw.select(F.inline("_rows"))
+    told = F.concat(F.lit("top level is not a JSON array: "), F.col("_metadata.file_path"))
+    rows = F.from_json("value", ArrayType(schema), {"mode": "FAILFAST"})
+    listed = F.when(F.ltrim(F.col("value")).startswith("["), rows).otherwise(
+        F.raise_error(told).cast(ArrayType(schema)))
+    return spark.read.text(path, wholetext=True).select(F.inline(listed))
 
 
 def read_jsonl(spark: SparkSession, path: str | Sequence[str], schema: StructType) -> DataFrame:
-    """One JSON object per line; blank lines are skipped."""
-    return spark.read.schema(schema).json(path)
+    """One JSON object per line; blank lines are skipped, a malformed
+    line fails the read."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
-def read_jsonl_dirs(spark: SparkSession, dirs: str | Sequence[str], schema: StructType) -> DataFrame:
+def read_jsonl_dirs(spark: SparkSession, dirs: str | Sequence[str], schema: StructType,
+                    glob: str = "*.jsonl") -> DataFrame:
     """S3: comma-separated (or listed) directories, their ``*.jsonl`` files
     only, not recursive; a missing directory fails the read."""
     if isinstance(dirs, str):
         dirs = [x for x in dirs.split(",") if x]
-    return (spark.read.schema(schema).option("pathGlobFilter", "*.jsonl")
+    return (spark.read.schema(schema).option("mode", "FAILFAST").option("pathGlobFilter", glob)
             .option("recursiveFileLookup", "false").json(list(dirs)))
 
 
@@ -63,19 +58,20 @@ def read_source_tree(spark: SparkSession, root: str, glob: str = "*.c") -> DataF
         F.col("_metadata.file_path").alias("name"), F.col("value").alias("text"))
 
 
-def read_prediction_tree(spark: SparkSession, root: str) -> DataFrame:
-    """``{decompiler}/{opt}/{index}_{opt}.{c,cpp}`` files -> (index,
-    decompiler, opt, language, prediction); bodies stripped. When two files
-    give the same (decompiler, index), the one with the greatest path wins
-    (the original keeps the last one its directory walk meets)."""
+def read_prediction_tree(spark: SparkSession, root: str, last_wins: bool = False) -> DataFrame:
+    """``{decompiler}/{opt}/{index}_{opt}.{c,cpp}`` files -> (index, opt,
+    language, decompiler, prediction), one row per file; bodies stripped, files
+    of other names skipped. ``last_wins`` keeps one row per (decompiler,
+    index), the one with the greatest path, as one scoring script does."""
     files = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.{c,cpp}").select(
         F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file_name"),
         py_strip(F.col("value")).alias("prediction"))
-    parts = F.split(F.col("path"), "/")
     parsed = files.select(
         "path", parse_result_file_name(F.col("file_name")).alias("f"),
-        F.element_at(parts, -3).alias("decompiler"), "prediction")
+        F.element_at(F.split(F.col("path"), "/"), -3).alias("decompiler"), "prediction")
     parsed = parsed.where(F.col("f.index").isNotNull())
+    if not last_wins:
+        return parsed.select("f.index", "f.opt", "f.language", "decompiler", "prediction")
     return parsed.groupBy(F.col("f.index").alias("index"), "decompiler").agg(
         F.max_by("f.opt", "path").alias("opt"), F.max_by("f.language", "path").alias("language"),
         F.max_by("prediction", "path").alias("prediction"))
@@ -85,20 +81,19 @@ SPLITS = {"train": "train", "dev": "validation", "test": "test"}
 
 
 def load_tokenized(spark: SparkSession, paths: str | Sequence[str], mode: str = "train") -> DataFrame | None:
-    """Tokenised Parquet datasets with a ``split`` column; ``dev`` reads
-    the ``validation`` split; paths without that split add nothing; no rows
-    at all gives ``None``; several paths are concatenated."""
+    """Tokenised Parquet datasets; ``dev`` reads the ``validation``
+    split. A dataset without a ``split`` column is one unsplit set and is
+    appended in any mode; paths without the split add nothing; no rows at all
+    gives ``None`` (the only job run here looks for a first row)."""
     if mode not in SPLITS:
         raise ValueError(f"unsupported mode {mode}, must be one of {tuple(SPLITS)}")
     paths = [paths] if isinstance(paths, str) else list(paths)
-    frames = [spark.read.parquet(p).where(F.col("split") == SPLITS[mode]) for p in paths]
-    frames = [f for f in frames if f.limit(1).count() > 0]
-    if not frames:
-        return None
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f, allowMissingColumns=True)
-    return out
+    out = None
+    for p in paths:
+        df = spark.read.parquet(p)
+        df = df.where(F.col("split") == SPLITS[mode]) if "split" in df.columns else df
+        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+    return None if out is None or out.isEmpty() else out
 
 
 def register_datasets(spark: SparkSession, registry: Mapping[str, DataFrame]) -> list[str]:

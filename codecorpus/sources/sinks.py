@@ -8,14 +8,15 @@ output behind.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import sys
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-class TooLargeForSingleFile(ValueError):
-    pass
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -24,19 +25,26 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).json(path)
 
 
-def write_json_array(df: DataFrame, path: str, max_rows: int = 100_000,
-                     order: Sequence[str] | None = None) -> None:
-    """K1 (array form): one file holding one JSON array, for small exports
-    only. The row count is checked first; above ``max_rows`` use
-    ``write_jsonl``."""
-    n = df.count()
-    if n > max_rows:
-        raise TooLargeForSingleFile(f"{n} rows > {max_rows}; write JSON lines instead")
-    rows = F.struct(*df.columns)
-    key = F.struct(*[F.col(c) for c in order]) if order else F.lit(0)
-    arr = df.select(key.alias("_k"), rows.alias("_r")).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_k", "_r"))), lambda x: x["_r"]).alias("a"))
-    arr.select(F.to_json("a").alias("value")).coalesce(1).write.mode("overwrite").text(path)
+def _as_array(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Lines of one JSON array; one record is held back for its comma."""
+    held = None
+    for batch in batches:
+        lines = []
+        for record in batch["value"]:
+            lines.append("[" if held is None else held + ",")
+            held = record
+        yield pd.DataFrame({"value": lines})
+    if held is not None:
+        yield pd.DataFrame({"value": [held, "]"]})
+
+
+def write_json_array(df: DataFrame, path: str, order: Sequence[str] | None = None) -> None:
+    """K1 (array form): part files that each hold one JSON array, which S1
+    reads back. With ``order`` the rows are range-sorted first, so the parts
+    follow one another. Rows stream through; none are gathered."""
+    rows = df.orderBy(*order) if order else df
+    rows.select(F.to_json(F.struct(*df.columns)).alias("value")).mapInPandas(_as_array, "value string").write.mode(
+        "overwrite").text(path)
 
 
 def write_result_tree(df: DataFrame, path: str, by: Sequence[str] = ("opt", "language")) -> None:
@@ -61,9 +69,12 @@ def append_result_lines(df: DataFrame, path: str, key: str = "opt", value: str =
     result_lines(df, key, value).write.mode("append").text(path)
 
 
-def write_parts(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """K6: indexed columnar parts (Spark's part-NNNNN naming)."""
+def write_parts(df: DataFrame, path: str, mode: str = "overwrite", jsonl_path: str | None = None) -> None:
+    """K6: indexed columnar parts (Spark's part-NNNNN naming) and, if asked
+    for, the same rows as JSON lines."""
     df.write.mode(mode).parquet(path)
+    if jsonl_path:
+        df.sparkSession.read.parquet(path).write.mode(mode).json(jsonl_path)
 
 
 def write_run_log(df: DataFrame, path: str, fields: Sequence[str]) -> None:

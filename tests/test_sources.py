@@ -23,8 +23,11 @@ def test_json_array_and_non_list(spark, tmpdir_path):
     assert sorted(r["index"] for r in readers.read_json_array(spark, p, SCHEMA).collect()) == [1, 2]
     q = os.path.join(tmpdir_path, "b.json")
     _write(q, json.dumps({"index": 1}))
-    with pytest.raises(readers.NotAListError):
-        readers.read_json_array(spark, q, SCHEMA)
+    with pytest.raises(Exception, match="not a JSON array"):
+        readers.read_json_array(spark, q, SCHEMA).collect()
+    _write(q, '[{"index": 1}, {"index": tru')
+    with pytest.raises(Exception):
+        readers.read_json_array(spark, q, SCHEMA).collect()
 
 
 def test_jsonl_and_dirs(spark, tmpdir_path):
@@ -52,10 +55,17 @@ def test_source_and_prediction_trees(spark, tmpdir_path):
     _write(os.path.join(pred, "m1", "O2", "1_O2.cpp"), "int b() {}")
     _write(os.path.join(pred, "m2", "O0", "0_O0.c"), "int c() {}")
     _write(os.path.join(pred, "m2", "O0", "notes.txt"), "x")
-    got = {(r["decompiler"], r["index"]): (r["opt"], r["language"], r["prediction"])
+    for opt in ("O0", "O1", "O2", "O3"):
+        _write(os.path.join(pred, "m3", opt, f"7_{opt}.c"), f"int {opt}() {{}}")
+    _write(os.path.join(pred, "m3", "Os", "7_Os.c"), "int Os() {}")
+    got = {(r["decompiler"], r["index"], r["opt"], r["language"]): r["prediction"]
            for r in readers.read_prediction_tree(spark, pred).collect()}
-    assert got == {("m1", 0): ("O0", "c", "int a() {}"), ("m1", 1): ("O2", "cpp", "int b() {}"),
-                   ("m2", 0): ("O0", "c", "int c() {}")}
+    assert got == {("m1", 0, "O0", "c"): "int a() {}", ("m1", 1, "O2", "cpp"): "int b() {}",
+                   ("m2", 0, "O0", "c"): "int c() {}",
+                   **{("m3", 7, o, "c"): f"int {o}() {{}}" for o in ("O0", "O1", "O2", "O3", "Os")}}
+    last = {(r["decompiler"], r["index"]): r["opt"] for r in readers.read_prediction_tree(
+        spark, pred, last_wins=True).collect()}
+    assert last == {("m1", 0): "O0", ("m1", 1): "O2", ("m2", 0): "O0", ("m3", 7): "Os"}
 
 
 def test_tokenized_and_registry_and_keywords(spark, tmpdir_path):
@@ -65,6 +75,9 @@ def test_tokenized_and_registry_and_keywords(spark, tmpdir_path):
     assert readers.load_tokenized(spark, p, "dev").count() == 1
     assert readers.load_tokenized(spark, [p, p], "train").count() == 2
     assert readers.load_tokenized(spark, p, "test") is None
+    unsplit = os.path.join(tmpdir_path, "unsplit")
+    spark.createDataFrame([([4],)], "input_ids array<int>").write.parquet(unsplit)
+    assert readers.load_tokenized(spark, [p, unsplit], "dev").count() == 2
     with pytest.raises(ValueError):
         readers.load_tokenized(spark, p, "bad")
     names = readers.register_datasets(spark, {"ds_a": spark.range(3)})
@@ -84,10 +97,8 @@ def test_sinks_round_trip(spark, tmpdir_path):
     assert spark.read.json(j).count() == 4
     a = os.path.join(tmpdir_path, "arr")
     sinks.write_json_array(df, a, order=["index"])
-    text = "".join(open(os.path.join(a, f)).read() for f in os.listdir(a) if f.startswith("part-"))
-    assert [r["index"] for r in json.loads(text)] == [1, 2]
-    with pytest.raises(sinks.TooLargeForSingleFile):
-        sinks.write_json_array(df, os.path.join(tmpdir_path, "arr2"), max_rows=1)
+    parts = [open(os.path.join(a, f)).read() for f in sorted(os.listdir(a)) if f.startswith("part-")]
+    assert [r["index"] for p in parts if p for r in json.loads(p)] == [1, 2]
     t = os.path.join(tmpdir_path, "tree")
     sinks.write_result_tree(df, t)
     assert os.path.isdir(os.path.join(t, "opt=O1", "language=cpp"))

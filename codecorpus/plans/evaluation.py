@@ -26,7 +26,8 @@ def scored_samples(spark: SparkSession, d: str, with_verdicts: bool = False) ->
         v = st.verdicts(spark, d).select("sample_id", "flag_compile", "flag_run")
         sp = sp.join(v, "sample_id", "left")
         keep += ["flag_compile", "flag_run"]
-    scored = with_edit_similarity(balanced(sp), "func", "prediction", "edit_sim")
+    folded = balanced(sp).withColumns({c: T.ascii_fold(c) for c in ("func", "prediction")})
+    scored = with_edit_similarity(folded, "func", "prediction", "edit_sim")
     return scored.select(*keep)
 
 

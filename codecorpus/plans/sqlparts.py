@@ -2,7 +2,8 @@
 
 They restate the stand-ins and text rules independently in plain SQL (RE2
 regexes, list lambdas) so the Spark plans are checked against a second
-engine. Inputs are ASCII-folded, so ASCII character classes suffice here.
+engine. Only the edit-similarity pair is ASCII-folded (DuckDB counts bytes
+there); the other texts are compared as they are.
 """
 
 FOLD = "regexp_replace({x}, '[^\\x00-\\x7F]', '?', 'g')"
@@ -46,12 +47,12 @@ def edit_sim(a: str, b: str) -> str:
 
 SAMPLES = f"""samples AS (
   SELECT doc_id AS sample_id, 'func' || CAST(doc_id AS VARCHAR) AS func_name,
-         {fold('text')} AS func, 'O' || CAST(doc_id % 4 AS VARCHAR) AS opt,
+         text AS func, 'O' || CAST(doc_id % 4 AS VARCHAR) AS opt,
          lang AS language, source AS dataset
   FROM documents)"""
 
 PREDICTIONS = f"""predictions AS (
-  SELECT doc_id - 4 AS sample_id, 'next4' AS decompiler, {fold('text')} AS prediction
+  SELECT doc_id - 4 AS sample_id, 'next4' AS decompiler, text AS prediction
   FROM documents)"""
 
 VERDICTS = """verdicts AS (
@@ -67,12 +68,12 @@ REPEAT_VERDICTS = """repeat_verdicts AS (
 
 SCORED = f"""scored AS (
   SELECT s.sample_id, s.opt, s.dataset, s.language, p.sample_id IS NOT NULL AS matched,
-         {canonical('s.func')} AS a, {canonical("coalesce(p.prediction, '')")} AS b
+         {canonical(fold('s.func'))} AS a, {canonical(fold("coalesce(p.prediction, '')"))} AS b
   FROM samples s LEFT JOIN predictions p ON s.sample_id = p.sample_id),
 similarity AS (
   SELECT sample_id, opt, dataset, language, matched, {edit_sim('a', 'b')} AS edit_sim FROM scored)"""
 
 NATIVE = """native AS (
   SELECT sample_id, func_name, func, opt, language, dataset,
-         upper(func) AS ida_pseudo, lower(func) AS ghidra_pseudo
-  FROM samples)"""
+         upper({fold}) AS ida_pseudo, lower({fold}) AS ghidra_pseudo
+  FROM samples)""".format(fold=fold("func"))

@@ -1,8 +1,8 @@
 """Stand-ins: the reference's data roles derived from the driver's tables.
 
 The test tables hold no C code, no model outputs and no verdicts, so each
-role is an ordinary Spark projection of a given table (and its twin SQL in
-``plans/oracle.py``). Whole tables, whole texts: nothing is sampled or cut.
+role is an ordinary Spark projection of a given table (its twin SQL is in
+``plans/sqlparts.py``). Whole tables, whole texts: nothing is sampled or cut.
 
 role                      | source table    | key
 --------------------------|-----------------|-----------------------------
@@ -33,12 +33,11 @@ def opt_of(key) -> F.Column:
 
 
 def samples(spark: SparkSession, d: str) -> DataFrame:
-    """D3 benchmark samples: one per document, text ASCII-folded so that
-    byte- and code-point-based engines agree."""
+    """D3 benchmark samples: one per document, whole text."""
     return table(spark, d, "documents").select(
         F.col("doc_id").alias("sample_id"),
         F.concat(F.lit("func"), F.col("doc_id").cast("string")).alias("func_name"),
-        ascii_fold("text").alias("func"),
+        F.col("text").alias("func"),
         opt_of("doc_id").alias("opt"),
         F.col("lang").alias("language"),
         F.col("source").alias("dataset"))
@@ -50,7 +49,7 @@ def predictions(spark: SparkSession, d: str, decompiler: str = "next4") -> DataF
     return table(spark, d, "documents").select(
         (F.col("doc_id") - 4).alias("sample_id"),
         F.lit(decompiler).alias("decompiler"),
-        ascii_fold("text").alias("prediction"))
+        F.col("text").alias("prediction"))
 
 
 def verdicts(spark: SparkSession, d: str) -> DataFrame:
@@ -75,7 +74,8 @@ def repeat_verdicts(spark: SparkSession, d: str) -> DataFrame:
 def native_outputs(spark: SparkSession, d: str) -> DataFrame:
     """Samples with the two native decompilers' outputs as columns
     (``ida_pseudo``, ``ghidra_pseudo``), as in the v2 benchmark rows. Stand-in
-    text: the sample's own text upper- and lower-cased."""
+    text: the sample's own text, ASCII-folded, upper- and lower-cased
+    (engines differ in the case rules of other letters)."""
     return samples(spark, d).select(
         "sample_id", "func_name", "func", "opt", "language", "dataset",
-        F.upper("func").alias("ida_pseudo"), F.lower("func").alias("ghidra_pseudo"))
+        F.upper(ascii_fold("func")).alias("ida_pseudo"), F.lower(ascii_fold("func")).alias("ghidra_pseudo"))

@@ -65,8 +65,8 @@ def sft_rows(spark: SparkSession, d: str) -> DataFrame:
     rows = enc.select("conv_id", "turn", ids.alias("ids"),
                       F.least(F.col("n_src"), F.lit(MAX_LENGTH)).alias("source_len"))
     rows = rows.withColumn("labels", A.mask_prompt(F.col("ids"), F.col("source_len")))
-    pos = ordering.with_row_index(rows, ["conv_id", "turn"], "pos")
-    pos = pos.withColumn("batch", ordering.batch_number("pos", BATCH))
+    order = ordering.with_row_index(rows.select("conv_id", "turn"), ["conv_id", "turn"], "pos")  # keys only, no arrays
+    pos = rows.join(order, ["conv_id", "turn"]).withColumn("batch", ordering.batch_number("pos", BATCH))
     width = F.max(F.size("ids")).over(Window.partitionBy("batch"))
     out = pos.withColumn("width", width)
     padded = A.pad_right(F.col("ids"), F.col("width"), A.PAD_ID)

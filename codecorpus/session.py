@@ -59,7 +59,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if conf_dir:
         sc.setCheckpointDir(conf_dir)
         return sc.getCheckpointDir()
-    if not sc.master.startswith("local"):
+    if sc.master != "local" and not sc.master.startswith("local["):  # local-cluster[..] is a cluster
         # a folder on one machine is useless to executors elsewhere
         raise ValueError("set spark.checkpoint.dir to a folder on the cluster's shared file system")
     scratch = tempfile.mkdtemp(prefix="codecorpus-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))

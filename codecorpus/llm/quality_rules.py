@@ -28,7 +28,7 @@ WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 #: Kept documents have at least this log ratio per n-gram.
-THRESHOLD = -0.15
+THRESHOLD = -0.2
 BUCKETS = 1 << 14
 
 

@@ -7,8 +7,8 @@ circularly shifted by k, gives coordinate k of the signature as the smallest
 coordinates deal documents to buckets; every pair of a bucket whose sets can
 reach the threshold is either confirmed on the full shingle sets or already
 connected by confirmed links, so no link that a shared bucket shows can
-change a component unseen. With 56 bands of 5 rows a pair at similarity 0.75
-misses every bucket with probability 2.6e-7.
+change a component unseen. With 72 bands of 6 rows a pair at similarity 0.75
+misses every bucket with probability 7.5e-7.
 
 How large groups stay cheap, without caps:
 
@@ -16,6 +16,9 @@ How large groups stay cheap, without caps:
 * a bucket's members are first compared with its smallest id only (a star);
 * then, in buckets that still hold several components, the rows outside the
   bucket's largest component are compared with the other components' rows.
+  These comparisons are not rows: a task streams bounded parts of a bucket,
+  with 32-bit shingle sets, and emits only pairs within reach of the
+  threshold, each in the first bucket that its documents share.
 """
 
 from __future__ import annotations
@@ -74,17 +77,19 @@ def signature(shingles: np.ndarray, length: int, seed: int = 0) -> np.ndarray:
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
     sigma = (x >> np.uint64(32)).astype(np.uint32)
-    shifts = np.arange(length, dtype=np.uint32) * np.uint32(0x9E3779B1)
+    first, second = np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35)
+    # pi(y) = second * (z ^ z >> 15) with z = first * y, and first * (x + shift) = first * x + first * shift
+    sigma *= first
+    shifts = np.arange(length, dtype=np.uint32) * np.uint32(0x9E3779B1) * first
     a, b = np.empty((_BLOCK, length), np.uint32), np.empty((_BLOCK, length), np.uint32)
     out = np.full(length, 0xFFFFFFFF, np.uint32)
     for i in range(0, len(sigma), _BLOCK):
         part = sigma[i:i + _BLOCK]
         p, q = a[:len(part)], b[:len(part)]
         np.add(part[:, None], shifts, out=p)
-        np.multiply(p, np.uint32(0x85EBCA6B), out=p)
         np.right_shift(p, np.uint32(15), out=q)
         np.bitwise_xor(p, q, out=p)
-        np.multiply(p, np.uint32(0xC2B2AE35), out=p)
+        np.multiply(p, second, out=p)
         np.minimum(out, p.min(axis=0), out=out)
     return out
 
@@ -134,6 +139,84 @@ def _verifier(percent: int):
     return run
 
 
+def small_set(shingles: np.ndarray) -> bytes:
+    """The set with 32 bits per shingle, sorted."""
+    return np.sort((shingles >> np.uint64(32)).astype(np.uint32)).tobytes()
+
+
+def _small_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    hashes = _WordHashes()
+    for batch in batches:
+        yield pd.DataFrame({"id": batch["id"], "items": [small_set(shingle_set(words_of(t), hashes))
+                                                         for t in batch["text"]]})
+
+
+def near_pairs(key: int, rows: list[tuple], percent: int, slack: int = 2) -> Iterator[tuple[int, int]]:
+    """Pairs of one bucket part: a row outside the bucket's largest component
+    with a row of another component, if their 32-bit sets come within
+    ``slack`` percent of the threshold and no earlier band shows the pair.
+
+    ``rows``: (minor, id, n, component, band keys, items)."""
+    ids = np.array([r[1] for r in rows])
+    sizes = np.array([r[2] for r in rows])
+    parts = np.array([r[3] for r in rows])
+    keys = np.array([r[4] for r in rows])
+    sets = [np.frombuffer(r[5], np.uint32) for r in rows]
+    band = int(np.flatnonzero(keys[0] == key)[0])
+    whole = np.array([not r[0] for r in rows])
+    for x in np.flatnonzero(~whole):
+        fits = (whole & (parts != parts[x]) & (100 * np.minimum(sizes, sizes[x]) >= percent * np.maximum(sizes, sizes[x])))
+        near = np.flatnonzero(fits)
+        near = near[(keys[near] == keys[x]).argmax(axis=1) == band]
+        if not len(near):
+            continue
+        items = np.concatenate([sets[i] for i in near])
+        at = np.minimum(np.searchsorted(sets[x], items), len(sets[x]) - 1)
+        both = np.add.reduceat((sets[x][at] == items).astype(np.int64), np.cumsum([0] + [len(sets[i]) for i in near[:-1]]))
+        for i in near[100 * both >= (percent - slack) * (sizes[near] + sizes[x] - both)]:
+            yield (int(min(ids[i], ids[x])), int(max(ids[i], ids[x])))
+
+
+def _bucket_pairs(percent: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows arrive sorted by bucket part; one part is held at a time."""
+        part, rows = None, []
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            for key, i, j, *row in batch.itertuples(index=False, name=None):
+                if (key, i, j) != part:
+                    if part:
+                        out += near_pairs(part[0], rows, percent)
+                    part, rows = (key, i, j), []
+                rows.append(row)
+            yield pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+        if part:
+            yield pd.DataFrame(list(near_pairs(part[0], rows, percent)), columns=["a", "b"], dtype=np.int64)
+    return run
+
+
+def cross_pairs(rest: DataFrame, percent: int, part_rows: int = 2048) -> DataFrame:
+    """Candidate pairs (a, b) across the components of mixed buckets.
+
+    ``rest`` has key, id, n, c, top (the bucket's largest component), keys
+    and items. A bucket is dealt into parts of about ``part_rows`` of its rows
+    times as many of its minor rows, whatever its size."""
+    minor = F.col("c") != F.col("top")
+    sizes = rest.groupBy("key").agg(F.ceil(F.count("id") / part_rows).cast("int").alias("wide"),
+                                    F.greatest(F.lit(1), F.ceil(F.count_if(minor) / part_rows).cast("int")).alias("tall"))
+    rows = rest.join(sizes, "key")
+    place = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    keep = ["id", "n", "c", "keys", "items"]
+    whole = rows.select("key", every("tall").alias("i"), place("wide").alias("j"), F.lit(False).alias("minor"), *keep)
+    few = rows.where(minor).select("key", place("tall").alias("i"), F.lit(None).cast("int").alias("j"),
+                                   F.lit(True).alias("minor"), *keep, "wide")
+    few = few.withColumn("j", every("wide")).drop("wide")
+    n = int(rest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (whole.unionByName(few).repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j", "minor")
+            .select("key", "i", "j", "minor", *keep).mapInPandas(_bucket_pairs(percent), "a long, b long"))
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, part_rows: int = 256) -> DataFrame:
     """The pairs (a, b) whose full shingle sets reach the similarity.
 
@@ -144,7 +227,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, part_rows: int =
     dealt = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
     roles = (dealt.select("a", "part", F.lit(0).alias("role"), F.col("a").alias("id")).distinct()
              .unionByName(dealt.select("a", "part", F.lit(1).alias("role"), F.col("b").alias("id"))))
-    rows = roles.join(texts, "id")
+    rows = roles.join(texts.hint("merge"), "id")  # neither side has a bound, so neither is broadcast
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return (rows.repartition(n, "a", "part").sortWithinPartitions("a", "part", "role")
             .select("a", "part", "role", "id", "text").mapInPandas(_verifier(percent), "a long, b long"))
@@ -156,7 +239,7 @@ def _with_parts(pairs: DataFrame, part_rows: int = 256) -> DataFrame:
 
 
 def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75,
-                    bands: int = 56, rows: int = 5, seed: int = 0) -> DataFrame:
+                    bands: int = 72, rows: int = 6, seed: int = 0) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
     Texts without words and null texts have an empty set and are linked with
@@ -172,12 +255,15 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     classes = scratch.save(full.groupBy("print").agg(F.min("id").alias("rep")), "classes")
     reps = full.join(classes.select(F.col("print").alias("_p"), "rep"),
                      (F.col("print") == F.col("_p")) & (F.col("id") == F.col("rep"))).select("id", "n", "keys")
+    reps = scratch.save(reps, "reps")
     members = scratch.save(reps.select("id", "n", F.explode("keys").alias("key")).distinct(), "members")
     leads = (members.groupBy("key").agg(F.min(F.struct("id", "n")).alias("lead"), F.count("id").alias("size"))
              .where("size > 1").select("key", "lead"))
     buckets = scratch.save(members.join(leads, "key").select("key", "id", "n", "lead"), "buckets")
     scratch.drop("members")
     fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
+    alike = buckets.select("id").distinct().hint("merge")  # ids with a candidate; as many as the corpus has
+    texts = scratch.save(texts.join(alike, "id", "left_semi"), "texts")
     star = scratch.save(buckets.where((F.col("id") != F.col("lead.id")) & fits(F.col("n"), F.col("lead.n")))
                         .select(F.col("lead.id").alias("a"), F.col("id").alias("b")).distinct(), "star")
     links = scratch.save(confirmed(_with_parts(star), texts, percent), "links-star")
@@ -190,14 +276,14 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     mixed = (counts.groupBy("key").agg(F.count("c").alias("kinds"), F.max(F.struct("size", "c")).alias("top"))
              .where("kinds > 1").select("key", F.col("top.c").alias("top")))
     rest = scratch.save(marked.join(mixed, "key"), "rest")
-    minor = rest.where("c <> top").select("key", F.col("id").alias("x"), F.col("n").alias("xn"), F.col("c").alias("xc"))
-    cross = (rest.join(minor, "key").where((F.col("c") != F.col("xc")) & fits(F.col("n"), F.col("xn")))
-             .select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct()
-             .join(star, ["a", "b"], "left_anti"))
+    ids = rest.select("id").distinct()
+    items = texts.join(ids.hint("merge"), "id", "left_semi").mapInPandas(_small_sets, "id long, items binary")
+    views = scratch.save(reps.select("id", "keys").join(items, "id"), "views")
+    cross = cross_pairs(rest.join(views.hint("merge"), "id"), percent).distinct().join(star, ["a", "b"], "left_anti")
     cross = scratch.save(cross, "cross")
     more = scratch.save(confirmed(_with_parts(cross), texts, percent), "links-cross")
     final = components(links.unionByName(more), scratch, "comp")
-    scratch.drop("marked", "rest", "cross", "star")
+    scratch.drop("marked", "rest", "cross", "star", "views", "texts")
 
     named = (classes.join(final, classes["rep"] == final["id"], "left")
              .select(F.col("print").alias("_p"), F.coalesce("component", "rep").alias("_c")))

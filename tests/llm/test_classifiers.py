@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from codecorpus.llm import cotraining, toxicity
 from codecorpus.llm.common import held_out
+from llm_fixtures import edge_docs, edge_labels, no_docs, no_labels  # noqa: F401
 
 SF = "/root/testdata/sf0.1"
 

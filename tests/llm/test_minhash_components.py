@@ -6,6 +6,7 @@ import numpy as np
 from codecorpus.llm import minhash
 from codecorpus.llm.common import Scratch
 from codecorpus.llm.components import components
+from llm_fixtures import edge_docs, no_docs  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 

@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 import pytest
 
 from codecorpus.llm import mixing, packing, sharding
+from llm_fixtures import edge_docs, no_docs  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 

@@ -7,6 +7,7 @@ import pytest
 import xxhash
 
 from codecorpus.llm import ann, html_text, licenses, quality_rules
+from llm_fixtures import edge_docs, edge_labels, no_docs, no_labels  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 

@@ -46,10 +46,11 @@ def with_row_index(df: DataFrame, order: Sequence[str | Column], name: str = "po
             .drop("_pid", "_rin", "_off"))
 
 
-def sort_by_category_length(df: DataFrame, category: str = "seq_category", length: str = "seq_length",
-                            tie: str = "row_id") -> DataFrame:
-    """Ascending (category, length), a unique id as tie-break."""
-    return df.orderBy(category, length, tie)
+def category_length_order(category: str = "seq_category", length: str = "seq_length", tie: str = "row_id",
+                          bin_col: str | None = None) -> list[str]:
+    """Ascending (category, length), a unique id as tie-break; inside
+    bins, if there are any."""
+    return [*([bin_col] if bin_col else []), category, length, tie]
 
 
 def seeded_order_key(id_col: str, seed: int, epoch: int) -> Column:

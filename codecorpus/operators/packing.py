@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import FIRST_TOKEN_ID, tokens
 from .joins import HOT_SHARE, hot_cold_join
-from .ordering import with_row_index
+from .ordering import category_length_order, with_row_index
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -109,11 +109,11 @@ def _pack_chunk(max_length: int):
 
 def pack(df: DataFrame, id_col: str, length_col: str, max_length: int, bin_col: str = "bin",
          category_col: str = "seq_category", chunk_rows: int = 200_000, fan: int = 256) -> DataFrame:
-    """W1 + W2: returns ``df`` with ``pos`` (W1 order) and ``window``
+    """W1 + W2: the order's columns with ``pos`` (W1 order) and ``window``
     (numbered from 0 in each bin). Rows longer than ``max_length`` fill a
     window alone (their tokens are truncated by R5)."""
-    ordered = with_row_index(sort_keys(df, bin_col, category_col, length_col, id_col),
-                             [bin_col, category_col, length_col, id_col], "pos")
+    order = category_length_order(category_col, length_col, id_col, bin_col)
+    ordered = with_row_index(df.select(*order), order, "pos")  # token arrays stay out of the sort
     kind = ordered.schema[bin_col].dataType.simpleString()
     rows = ordered.select(F.col(bin_col).alias("bin"), "pos", F.col(length_col).cast("long").alias("length"),
                           (F.col("pos") / chunk_rows).cast("long").alias("chunk"))
@@ -136,11 +136,6 @@ def pack(df: DataFrame, id_col: str, length_col: str, max_length: int, bin_col:
     return ordered.join(windows, "pos")
 
 
-def sort_keys(df: DataFrame, *names: str) -> DataFrame:
-    """Only what orders and sizes a row: token arrays stay out of the sort."""
-    return df.select(*dict.fromkeys(names))
-
-
 def packed_rows(windows: DataFrame, ids: DataFrame, id_col: str, max_length: int, bin_col: str = "bin",
                 ids_col: str = "input_ids") -> DataFrame:
     """W2's rows: per window the truncated ids of its rows in W1 order, and

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..operators import metrics
+from ..operators import metrics, select
 from ..session import ensure_checkpoint_dir
 from ..sources import readers, sinks
 from ..sources.tables import table
@@ -84,7 +84,7 @@ def tokenised_sets(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "n_chars", F.when(k == 0, "test").when(
         k == 1, "validation").otherwise("train").alias("split"))
     sinks.write_parts(docs, f"{root}/a", jsonl_path=f"{root}/lines")
-    sinks.write_parts(docs.where(k == 2).drop("split"), f"{root}/b")
+    sinks.write_parts(select.drop_columns(docs.where(k == 2), ["split"]), f"{root}/b")
     dev = readers.load_tokenized(spark, [f"{root}/a", f"{root}/b"], "dev").select(
         "doc_id", F.coalesce("split", F.lit("none")).alias("split"))
     lines = readers.read_jsonl(spark, f"{root}/lines", _schema("doc_id long, n_chars long, split string"))

@@ -75,6 +75,8 @@ def sft_rows(spark: SparkSession, d: str) -> DataFrame:
         _ints(padded).alias("input_ids"),
         _ints(A.pad_right(F.col("labels"), F.col("width"), A.IGNORE_INDEX)).alias("labels"),
         _ints(A.pad_left(F.col("ids"), F.col("width"), A.PAD_ID)).alias("left_ids"),
+        _ints(A.pad_left(F.col("labels"), F.col("width"), A.IGNORE_INDEX)).alias("left_labels"),
+        _ints(A.pad_right(F.col("ids"), F.lit(MAX_LENGTH), A.PAD_ID)).alias("fixed_ids"),
         F.size(F.filter(A.attention_mask(padded), lambda x: x)).alias("n_attend"),
         A.non_pad_length(padded).alias("n_tokens"))
 
@@ -101,6 +103,8 @@ SELECT conv_id, turn, batch,
   array_to_string(ids || list_transform(range(width - len(ids)), lambda x: 0), ' ') AS input_ids,
   array_to_string(labels || list_transform(range(width - len(labels)), lambda x: -100), ' ') AS labels,
   array_to_string(list_transform(range(width - len(ids)), lambda x: 0) || ids, ' ') AS left_ids,
+  array_to_string(list_transform(range(width - len(labels)), lambda x: -100) || labels, ' ') AS left_labels,
+  array_to_string(ids || list_transform(range({MAX_LENGTH} - len(ids)), lambda x: 0), ' ') AS fixed_ids,
   CAST(len(ids) AS INTEGER) AS n_attend, CAST(len(ids) AS INTEGER) AS n_tokens
 FROM w"""
 

@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.regex import let
+from ..operators.select import select_where
 from .common import Scratch, columns
 from .quality_rules import joined
 
@@ -54,9 +56,9 @@ TEMPLATES = {
 
 def shingles(text: Column) -> Column:
     """Hashes of the 3-word shingles in order; none for fewer words."""
-    h = F.transform(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0)),
-                    lambda w: F.xxhash64(w))
-    return joined(joined(h, 1), 1)
+    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+", -1), lambda w: w != "")
+    hashes = F.transform(words, lambda w: F.xxhash64(w))
+    return let(hashes, lambda h: let(joined(h, 1), lambda pairs: joined(pairs, 1)))  # each evaluated once
 
 
 def _bands(window: Column) -> Column:
@@ -93,9 +95,9 @@ def scan(documents: DataFrame, templates: dict[str, str] | None = None, id_col:
     forms = template_table(spark, templates or TEMPLATES)
     known = sorted({h for r in forms.select("tsh").collect() for h in r["tsh"]})  # the fixed list's shingles
     vocabulary = F.split(F.lit(",".join(map(str, known))), ",").cast("array<bigint>")
-    docs = columns(documents, doc_id=id_col, text=text_col).select("doc_id", shingles(F.col("text")).alias("sh"))
-    near = scratch.save(docs.where(F.arrays_overlap("sh", vocabulary))
-                        .withColumn("row", F.monotonically_increasing_id()), "near")
+    docs = select_where(columns(documents, doc_id=id_col, text=text_col), ["doc_id"], {"sh": shingles(F.col("text"))},
+                        lambda r: F.arrays_overlap(r["sh"], vocabulary))
+    near = scratch.save(docs.withColumn("row", F.monotonically_increasing_id()), "near")
     wanted = (forms.select("license", F.explode(_windows(F.col("sh"), 1)).alias("x"))
               .select("license", F.explode(_bands(F.col("x.w"))).alias("band")).distinct())
     seen = (near.select("row", F.explode(_windows(F.col("sh"), STEP)).alias("x"))

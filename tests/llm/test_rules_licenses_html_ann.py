@@ -80,6 +80,16 @@ def test_rules_edges(spark, edge_docs, edge_labels, no_docs, no_labels):
         assert tuple(r)[1:6] == base_counts(odd[r["doc_id"]])
 
 
+def test_rules_on_held_out_labels(spark):
+    """Of held-out labels that pass the base rules, good ones stay and bad ones go."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    rows = quality_rules.quality_rules(docs, labels).where(quality_rules.held_out("doc_id"))
+    n = {(r["quality"], r["kept"]): r["count"] for r in rows.where("not base_failed").join(labels, "doc_id")
+         .groupBy("quality", "kept").count().collect()}
+    assert n[1, True] / (n[1, True] + n.get((1, False), 0)) > 0.99
+    assert n[0, False] / (n[0, False] + n.get((0, True), 0)) > 0.95
+
+
 def test_rules_are_native(edge_docs, edge_labels):
     plan = quality_rules.quality_rules(edge_docs, edge_labels)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)

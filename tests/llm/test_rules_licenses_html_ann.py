@@ -154,6 +154,17 @@ def test_copied_articles_stay(spark):
     assert {r["text"] for r in html_text.extract(df).collect()} == {"Same words on every page"}
 
 
+def test_hosts_of_copies_keep_their_text(spark):
+    """Copies of a page say nothing about which of its branches are furniture."""
+    pages = {"plain": "<body><div class=content><p>Same words everywhere</p></div></body>",
+             "named": "<body><article><div class=body><p>Same words everywhere</p></div></article></body>"}
+    rows = [(i, f"http://{h}.example/{i}", page) for h, page in pages.items() for i in range(200)]
+    # an article under changing furniture: the pages differ, its branch does not
+    rows += [(i, f"http://near.example/{i}", f"<nav>Menu {i}</nav>{pages['named']}") for i in range(200)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r["text"] for r in html_text.extract(df).collect()} == {"Same words everywhere"}
+
+
 def brute(ids, vecs, k=20):
     out = {}
     for i, q in zip(ids, vecs):

@@ -133,6 +133,24 @@ def test_page():
     assert html_text.main_text("<p>a &am", {}) == "a &am" and html_text.main_text("x <!-- y", {}) == "x"
 
 
+def test_names_of_wrappers():
+    """A name cuts a branch by what it is, not by what it stands beside."""
+    for name in ("layout-sidebar-right", "content-with-sidebar", "sidebar-right", "sidebar", "page-header"):
+        for at in ("class", "id"):
+            page = f"<body><div {at}='{name}'><nav>Menu</nav><article><p>Words</p></article></div><p>Foot</p></body>"
+            assert html_text.main_text(page, {}) == "Words"
+    inside = "<article><p>A</p><div class='search-results'>B</div><p class='market-share'>C</p><div class='%s'>D</div></article>"
+    for name in ("share", "share-buttons", "cookie-notice", "ad-1"):
+        assert html_text.main_text(inside % name, {}) == "A B C"
+    for name in ("sidebar", "site-nav", "comments"):
+        page = f"<body><article>A</article><div class='{name}'><article>Teaser</article></div></body>"
+        assert html_text.main_text(page, {}) == "A"
+        assert html_text.main_text(f"<body><p>A</p><div class='{name}'>Menu</div></body>", {}) == "A"
+        page = f"<body><p>A longer text</p><div class='{name}'><article>Teaser</article></div></body>"
+        assert html_text.main_text(page, {}) == "A longer text"
+    assert html_text.main_text("<body><p>A</p><div id=comments><article class=comment>B</article></div></body>", {}) == "A"
+
+
 def test_style_tree_finds_unnamed_furniture(spark, edge_docs):
     """Branches without a telling name go by their importance on the host."""
     def page(i):

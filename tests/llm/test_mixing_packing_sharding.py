@@ -161,3 +161,12 @@ def test_shard_edges(edge_docs, no_docs):
     rows = sharding.kd_shards(edge_docs).collect()
     assert len(rows) == 13 and sharding.kd_shards(no_docs).collect() == []
     assert all(r["text_crc32"] == 0 and r["size"] == 8 for r in rows if r["doc_id"] in (1, 2, 11))
+
+
+def test_added_tokens_are_one_id():
+    from tokenizers import Tokenizer
+    ranks, rules = packing.default_files()
+    encode, contract = packing.Encoder(ranks, rules), Tokenizer.from_file(rules)
+    for t in ("<|endoftext|>", "one<|endoftext|> two", "a <|endoftext|><|endoftext|>\n", "<|endoftext |>", "plain words"):
+        assert encode(t) == contract.encode(t, add_special_tokens=False).ids
+    assert encode("a<|endoftext|>").count(50256) == 1

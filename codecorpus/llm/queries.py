@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import ann, cotraining, html_text, licenses, minhash, mixing, packing, quality_rules, sharding, toxicity
+from . import (alignment, ann, cotraining, divergence, html_text, licenses, minhash, mixing, ngram_join, packing, quality_rules,
+               sharding, toxicity)
 from .common import Query
 
 
@@ -50,9 +51,26 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment(table(spark, sf_dir, "documents"))
+
+
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
+
+
+_QUERIES = (op1_collision_ann, op2_minhash, op3_cube_mixing, op4_kd_shards, op5_packing, op6_cotraining, op7_quality_rules,
+            op8_html_text, op9_licenses, op10_toxicity, op11_divergence, op12_alignment, op13_ngram_join)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_collision_ann, op2_minhash, op3_cube_mixing, op4_kd_shards, op5_packing, op6_cotraining, op7_quality_rules, op8_html_text, op9_licenses, op10_toxicity)}
+    return {f.__name__: f for f in _QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_minhash": minhash.ORACLE_SQL, "op9_licenses": licenses.oracle_sql()}
+    return {"op2_minhash": minhash.ORACLE_SQL, "op9_licenses": licenses.oracle_sql(), "op11_divergence": divergence.ORACLE_SQL,
+            "op13_ngram_join": ngram_join.ORACLE_SQL}

@@ -9,10 +9,13 @@ probed by binary search for the few documents that the merge leaves.
 
 Blocks are found exactly, without a candidate list. Sizes n and m differ in
 at most k = 15 (n + m) / 185 shingles if they link. The hash space is cut
-into more than k parts, so at least one part holds the same shingles in both
-documents; a part's content is a key. (A document with so few filled parts
-that the agreeing one may be empty shows one more key of its own.) Sizes are
-classed by powers of two, with one more family of parts around each border.
+into more than k parts, of which at most k differ, so among any k + 1 parts
+one holds the same shingles in both documents; a part's content is a key. A
+document shows its fullest k + 1 parts and all that are as full, as keys of
+few shingles would join strangers. (The agreeing part is as full in the other
+document, and the one of the two that shows less decides. A document with
+fewer filled parts shows one more key of its own.) Sizes are classed by
+powers of two, with one more family of parts around each border.
 Connected keys make clusters; no link leaves a cluster. A cluster is dealt
 into parts of bounded size: first each part joins with itself, then the
 documents outside the cluster's largest component search the other parts.
@@ -74,7 +77,7 @@ def families(n: int, percent: int = PERCENT) -> list[tuple[int, int, int]]:
     out = []
 
     def add(name: int, worst: int, mine: int) -> None:
-        out.append((name, mine, worst + 2 + worst // 100))
+        out.append((name, mine, worst + 2 + worst // 4))
     add(2 * c, most_apart(high, high, percent), most_apart(n, min(high, 100 * n // percent), percent))
     for border, name in ((low, 2 * c - 1), (high + 1, 2 * c + 1)):
         largest = 100 * (border - 1) // percent
@@ -90,17 +93,22 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def part_keys(shingles: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """Keys of a sorted set of 64-bit hashes: one for each filled part of
-    each family, and one more where empty parts could hide an agreement."""
+    """Keys of a sorted set of 64-bit hashes: of each family the fullest
+    parts, one more than can differ, and one key more if there are too few."""
     n, out = len(shingles), []
     mixed = _mix(shingles)
     for name, worst, parts in families(n, percent):
         at = ((shingles >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
         first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
         tag = np.uint64((name * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) & 0xFFFFFFFFFFFFFFFF)
-        out.append(_mix(np.add.reduceat(mixed, first) ^ (at[first] * np.uint64(0xD6E8FEB86659FD93) + tag)))
-        if len(first) <= worst:
+        keys = _mix(np.add.reduceat(mixed, first) ^ (at[first] * np.uint64(0xD6E8FEB86659FD93) + tag))
+        spare = len(first) - worst - 1
+        if spare < 0:
             out.append(_mix(np.array([tag ^ np.uint64(0x5851F42D4C957F2D)])))
+        elif spare:
+            full = np.diff(np.append(first, n))
+            keys = keys[full >= np.partition(full, spare)[spare]]
+        out.append(keys)
     return np.concatenate(out).view(np.int64)
 
 
@@ -291,7 +299,7 @@ def _sets(size: int):
         hashes = _WordHashes()
         for batch in batches:
             items = [shingle_set(t.encode("utf-8", "surrogatepass").lower().split(), hashes, size) for t in batch["text"]]
-            yield batch[["id", "cluster", "part"]].assign(items=[s.tobytes() for s in items])
+            yield batch[["id", "cluster", "part", "parts"]].assign(items=[s.tobytes() for s in items])
     return run
 
 
@@ -384,9 +392,9 @@ def ngram_join(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
              .where("sets > 1").select(F.col("cluster").alias("_c"), F.ceil(F.col("all") / part_shingles).alias("parts")))
     placed = scratch.save(members.join(sizes, F.col("cluster") == F.col("_c")).select(
         "id", "cluster", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), "parts").distinct(), "placed")
-    texts = docs.where("id is not null and text is not null").join(placed.select("id", "cluster", "part"), "id")
-    sets = scratch.save(texts.mapInPandas(_sets(size), "id long, cluster long, part int, items binary"), "sets")
-    links = scratch.save(_dealt(sets).mapInPandas(_joined_with_itself(percent), "a long, b long"), "links")
+    texts = docs.where("id is not null and text is not null").join(placed, "id")
+    sets = scratch.save(texts.mapInPandas(_sets(size), "id long, cluster long, part int, parts long, items binary"), "sets")
+    links = scratch.save(_dealt(sets.drop("parts")).mapInPandas(_joined_with_itself(percent), "a long, b long"), "links")
 
     final = components(links, scratch, "near")
     wide = placed.where("parts > 1")
@@ -410,7 +418,7 @@ def _cross_links(wide: DataFrame, sets: DataFrame, near: DataFrame, percent: int
     top = (marked.groupBy("cluster", "c").agg(F.count("id").alias("rows")).groupBy("cluster")
            .agg(F.max(F.struct("rows", "c")).alias("top")).select(F.col("cluster").alias("_c"), F.col("top.c").alias("top")))
     marked = marked.join(top, F.col("cluster") == F.col("_c"))
-    items = sets.select(F.col("id").alias("_id"), "items")
+    items = sets.where("parts > 1").select(F.col("id").alias("_id"), "items")
     own = marked.select("id", "cluster", "part", F.lit(0).alias("role"), "c")
     other = (marked.where("c <> top").withColumn("to", F.explode(F.sequence(F.lit(0), F.col("parts").cast("int") - 1)))
              .where("to <> part").select("id", "cluster", F.col("to").alias("part"), F.lit(1).alias("role"), "c"))

@@ -2,8 +2,8 @@
 
 Counting is single-pass in-memory indexing: a task keeps a block of postings
 (term -> occurrences and documents, for each language and source) until the
-block is full, then spills it as term-sorted runs, one for each language and
-hash shard. A shard's runs are merged with a heap into frequencies; terms in
+block is full, then spills it as term-sorted runs, one for each language,
+source and hash shard. A shard's runs are merged with a heap into frequencies; terms in
 too few documents of their language go.
 
 A term's share is an integer, p = 1 + floor(10^9 (count + 5) / (N + 5 V)), so
@@ -16,14 +16,14 @@ for each pair, never a row for a term and a pair.
 from __future__ import annotations
 
 import heapq
+from collections import Counter
 from collections.abc import Iterator
-from itertools import groupby
-from operator import itemgetter
+from itertools import repeat
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,16 +31,18 @@ from .common import Scratch, columns
 
 #: Fixed values of the measure.
 MIN_DOCS, SCALE, PRIOR, TOP = 30, 10 ** 9, 5, 50
-#: Postings of a block; a full block spills.
-BLOCK_POSTINGS = 400_000
+#: Postings of a block and bytes of its texts (so that its counts fit 32 bits); a full block spills.
+BLOCK_POSTINGS, BLOCK_BYTES = 400_000, 1 << 30
 #: Postings of the runs that a merge holds before it makes them one run.
 MERGE_POSTINGS = 2_000_000
+#: Kept terms of a language in one task of the pair corrections.
+PAIR_TERMS = 50_000
 
 #: Bytes that are no part of a term (fixed values): all ASCII but letters.
 #: A-Z become lower-case, letters and bytes of other characters stay.
 _FOLD = bytes(b | 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
-_RUN = "shard int, lang string, terms array<binary>, sources array<string>, counts array<long>, docs array<long>"
+_RUN = "shard int, lang string, source string, terms array<binary>, counts array<int>, docs array<int>"
 
 
 def terms_of(text: bytes | None) -> list[bytes]:
@@ -53,37 +55,37 @@ class Block:
     """Postings of one task until memory fills."""
 
     def __init__(self, shards: int):
-        self.shards, self.postings, self.size = shards, {}, 0
-
-    def add(self, lang: str, source: str, terms: list[bytes]) -> None:
-        index = self.postings.setdefault(lang, {})
-        here: dict[bytes, int] = {}
-        for t in terms:
-            here[t] = here.get(t, 0) + 1
-        for t, n in here.items():
-            posting = index.get((t, source))
-            if posting is None:
-                index[(t, source)] = [n, 1]
-                self.size += 1
-            else:
-                posting[0] += n
-                posting[1] += 1
-
-    def spill(self) -> pa.RecordBatch | None:
-        """The block as term-sorted runs, one row per language and shard."""
-        runs: dict[tuple[int, str], list[tuple]] = {}
-        for lang, index in self.postings.items():
-            for (term, source), (n, docs) in sorted(index.items()):
-                runs.setdefault((xxhash.xxh3_64_intdigest(term) % self.shards, lang), []).append((term, source, n, docs))
-        self.postings, self.size = {}, 0
-        if not runs:
-            return None
-        cols = [list(map(list, zip(*run, strict=True))) for run in runs.values()]
-        types = [pa.binary(), pa.string(), pa.int64(), pa.int64()]
-        return pa.RecordBatch.from_arrays(
-            [pa.array([s for s, _ in runs], pa.int32()), pa.array([x for _, x in runs], pa.string())]
-            + [pa.array([c[i] for c in cols], pa.list_(t)) for i, t in enumerate(types)],
-            names=["shard", "lang", "terms", "sources", "counts", "docs"])
+        self.shards, self.postings, self.size, self.bytes = shards, {}, 0, 0
+
+    def add(self, lang: str, source: str, text: bytes) -> None:
+        terms = terms_of(text)
+        if not terms:
+            return
+        counts, docs = self.postings.setdefault((lang, source), (Counter(), Counter()))
+        self.size -= len(counts)
+        counts.update(terms)
+        docs.update(set(terms))
+        self.size += len(counts)
+        self.bytes += len(text)
+
+    def spill(self) -> Iterator[pa.RecordBatch]:
+        """The block as term-sorted runs, one row per language, source and shard."""
+        for (lang, source), (counts, docs) in self.postings.items():
+            terms = sorted(counts)
+            shard = np.fromiter(map(crc32, terms), np.int64, len(terms)) % self.shards
+            order = np.argsort(shard, kind="stable")
+            shard = shard[order]
+            first = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1])))
+            bounds = pa.array(np.append(first, len(terms)).astype(np.int32))
+
+            def lists(values, kind: pa.DataType) -> pa.Array:
+                return pa.ListArray.from_arrays(bounds, pa.array(values, kind).take(pa.array(order)))
+            n = len(first)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(shard[first].astype(np.int32)), pa.array([lang] * n), pa.array([source] * n),
+                 lists(terms, pa.binary()), lists(map(counts.__getitem__, terms), pa.int32()),
+                 lists(map(docs.__getitem__, terms), pa.int32())], names=["shard", "lang", "source", "terms", "counts", "docs"])
+        self.postings, self.size, self.bytes = {}, 0, 0
 
 
 def _indexer(shards: int, block_postings: int):
@@ -91,64 +93,79 @@ def _indexer(shards: int, block_postings: int):
         block = Block(shards)
         for batch in batches:
             for lang, source, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                block.add(lang, source, terms_of(text))
-                if block.size >= block_postings:
-                    yield block.spill()
-        last = block.spill()
-        if last is not None:
-            yield last
+                block.add(lang, source, text)
+                if block.size >= block_postings or block.bytes >= BLOCK_BYTES:
+                    yield from block.spill()
+        yield from block.spill()
     return run
 
 
 def merge_runs(runs: list[list[tuple]]) -> Iterator[tuple]:
     """(term, source, occurrences, documents) of term-sorted runs, summed, in
     order: a heap holds the head of every run."""
-    for (term, source), same in groupby(heapq.merge(*runs, key=itemgetter(0, 1)), key=itemgetter(0, 1)):
-        n = docs = 0
-        for _, _, x, y in same:
+    term = source = None
+    for t, s, x, y in heapq.merge(*runs):
+        if t == term and s == source:
             n += x
             docs += y
+            continue
+        if term is not None:
+            yield term, source, n, docs
+        term, source, n, docs = t, s, x, y
+    if term is not None:
         yield term, source, n, docs
 
 
+def kept_terms(runs: list[list[tuple]], min_docs: int) -> Iterator[tuple[bytes, list[str], list[int]]]:
+    """(term, sources, occurrences) of the terms that enough documents hold."""
+    term, seen, sources, counts = None, 0, [], []
+    for t, s, n, docs in merge_runs(runs):
+        if t != term:
+            if seen >= min_docs:
+                yield term, sources, counts
+            term, seen, sources, counts = t, 0, [], []
+        seen += docs
+        sources.append(s)
+        counts.append(n)
+    if seen >= min_docs:
+        yield term, sources, counts
+
+
 def _merger(min_docs: int, merge_postings: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Runs arrive sorted by (lang, shard): one shard of one language is
         merged at a time, early when its runs grow beyond the bound."""
         at, runs, held, limit = None, [], 0, merge_postings
         for batch in batches:
-            for shard, lang, *cols in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for row in range(batch.num_rows):
+                shard, lang, source, terms, counts, docs = (c[row].as_py() for c in batch.columns)
                 if (lang, shard) != at:
                     if runs:
-                        yield from _kept(at, runs, min_docs)
+                        yield from _kept(at, runs)
                     at, runs, held, limit = (lang, shard), [], 0, merge_postings
-                runs.append(list(zip(*cols, strict=True)))
-                held += len(runs[-1])
+                runs.append(list(zip(terms, repeat(source), counts, docs)))
+                held += len(terms)
                 if held > limit and len(runs) > 1:
                     runs = [list(merge_runs(runs))]
                     held = len(runs[0])
                     limit = max(merge_postings, 2 * held)
         if runs:
-            yield from _kept(at, runs, min_docs)
-
-    def _kept(at: tuple[str, int], runs: list[list[tuple]], min_docs: int) -> Iterator[pa.RecordBatch]:
-        rows = []
-        for term, same in groupby(merge_runs(runs), key=itemgetter(0)):
-            same = list(same)
-            if sum(s[3] for s in same) >= min_docs:
-                rows.append((at[0], at[1], term.decode("utf-8", "surrogatepass"), [s[1] for s in same], [s[2] for s in same]))
+            yield from _kept(at, runs)
+
+    def _kept(at: tuple[str, int], runs: list[list[tuple]]) -> Iterator[pa.RecordBatch]:
+        rows = list(kept_terms(runs, min_docs))
         for i in range(0, len(rows), 10_000):
-            lang, shard, term, sources, counts = zip(*rows[i:i + 10_000], strict=True)
+            terms, sources, counts = zip(*rows[i:i + 10_000], strict=True)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(lang, pa.string()), pa.array(shard, pa.int32()), pa.array(term, pa.string()),
+                [pa.array([at[0]] * len(terms)), pa.array(terms, pa.binary()).cast(pa.string()),
                  pa.array(sources, pa.list_(pa.string())), pa.array(counts, pa.list_(pa.int64()))],
-                names=["lang", "shard", "term", "sources", "counts"])
+                names=["lang", "term", "sources", "counts"])
     return run
 
 
 def frequencies(documents: DataFrame, scratch: Scratch, min_docs: int = MIN_DOCS, block_postings: int = BLOCK_POSTINGS,
                 merge_postings: int = MERGE_POSTINGS) -> DataFrame:
-    """(lang, shard, term, sources, counts): the kept terms of each language
+    """(lang, term, sources, counts): the kept terms of each language
     with their occurrences in each source that holds them.
 
     ``documents`` has lang, source and text without nulls."""
@@ -156,7 +173,7 @@ def frequencies(documents: DataFrame, scratch: Scratch, min_docs: int = MIN_DOCS
     runs = documents.select("lang", "source", F.col("text").cast("binary")).mapInArrow(
         _indexer(shards, block_postings), _RUN)
     merged = runs.repartition(shards, "lang", "shard").sortWithinPartitions("lang", "shard").mapInArrow(
-        _merger(min_docs, merge_postings), "lang string, shard int, term string, sources array<string>, counts array<long>")
+        _merger(min_docs, merge_postings), "lang string, term string, sources array<string>, counts array<long>")
     return scratch.save(merged, "frequencies")
 
 
@@ -185,9 +202,8 @@ def corrections(shares: np.ndarray, held: np.ndarray, absent: np.ndarray) -> np.
 def _pair_sums(cells: int = 2_000_000):
     def run(key: tuple, terms: pd.DataFrame, groups: pd.DataFrame) -> pd.DataFrame:
         """One shard of one language: its kept terms and all its sources."""
-        empty = pd.DataFrame({"lang": [], "source": [], "item": [], "value": []})
         if terms.empty or len(groups) < 2:
-            return empty
+            return _rows(key[0], [], [], [])
         groups = groups.sort_values("source")
         place = {s: i for i, s in enumerate(groups["source"])}
         n, v = [int(x) for x in groups["n"]], int(groups["v"].iloc[0])
@@ -205,13 +221,19 @@ def _pair_sums(cells: int = 2_000_000):
                     held[row, x] = True
             total += corrections(shares, held, absent)
         a, b = np.nonzero(total)
-        names = groups["source"].to_numpy()
-        return pd.DataFrame({"lang": key[0], "source": names[a], "item": names[b], "value": total[a, b]})
+        names = groups["source"].tolist()
+        return _rows(key[0], [names[i] for i in a], [names[i] for i in b], total[a, b])
     return run
 
 
+def _rows(lang: str, source: list[str], item: list[str], value) -> pd.DataFrame:
+    text = {"lang": [lang] * len(source), "source": source, "item": item}
+    return pd.DataFrame({**{k: pd.Series(v, dtype=object) for k, v in text.items()}, "value": np.array(value, np.int64)})
+
+
 def divergence(documents: DataFrame, lang: str = "lang", source: str = "source", text: str = "text",
-               min_docs: int = MIN_DOCS, top: int = TOP, block_postings: int = BLOCK_POSTINGS) -> DataFrame:
+               min_docs: int = MIN_DOCS, top: int = TOP, block_postings: int = BLOCK_POSTINGS,
+               pair_terms: int = PAIR_TERMS) -> DataFrame:
     """Rows (lang, source, part, item, value, rank).
 
     Part ``pair``: the other sources of the language, by the sum of share
@@ -238,9 +260,11 @@ def divergence(documents: DataFrame, lang: str = "lang", source: str = "source",
     whole = groups.groupBy("lang").agg(F.sum("n").alias("all"))
 
     zero = F.lit(0).cast("long")
-    dealt = freq.select("lang", F.col("shard").alias("at")).distinct()
-    to = groups.where("v > 0").join(dealt, "lang")
-    sums = (freq.groupBy("lang", "shard").cogroup(to.groupBy("lang", "at"))
+    deals = F.ceil(F.col("v") / pair_terms).cast("int")  # by the number of terms alone
+    to = groups.where("v > 0").withColumn("at", F.explode(F.sequence(F.lit(0), deals - 1)))
+    dealt = freq.join(kept, "lang").withColumn("shard", F.pmod(F.xxhash64("term"), deals).cast("int")).select(
+        "lang", "shard", "term", "sources", "counts")
+    sums = (dealt.groupBy("lang", "shard").cogroup(to.groupBy("lang", "at"))
             .applyInPandas(_pair_sums(), "lang string, source string, item string, value long")
             .groupBy("lang", "source", "item").agg(F.sum("value").alias("sum")))
     absent = F.when(F.col("v") > 0, share(zero, F.col("n"), F.col("v"))).otherwise(zero)

@@ -8,6 +8,8 @@ reproduced with the helpers in ``regex.py``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -99,40 +101,45 @@ HEX_LITERAL = r"\b(0x[0-9a-fA-F]+)([uUlL]{1,3})?\b"
 def hex_digits_to_decimal(h) -> Column:
     """Unsigned value of a hex digit string of any width, as decimal text.
 
-    Up to 16 significant digits ``conv`` is exact. Wider values are folded 7
-    hex digits at a time into limbs of 9 decimal digits, lowest first: every
-    limb is multiplied by 16^7 and takes its lower neighbour's carry.
+    Up to 16 significant digits ``conv`` is exact. Wider values are folded 15
+    hex digits at a time into limbs of 18 decimal digits, lowest first: every
+    limb is multiplied by 16^15 and takes its lower neighbour's carry, which
+    stays within 38 digits.
     """
-    base, radix = F.lit(10 ** 9).cast("long"), F.lit(16 ** 7).cast("long")
+    base, radix = F.lit(10 ** 18).cast("decimal(19,0)"), F.lit(16 ** 15).cast("decimal(19,0)")
+    wide_type = "decimal(38,0)"
 
     def push(limbs: Column, chunk: Column) -> Column:
         start = F.struct(F.array().cast("array<bigint>").alias("out"), F.conv(chunk, 16, 10).cast("long").alias("carry"))
 
         def step(acc: Column, limb: Column) -> Column:
-            return let(limb * radix + acc.carry, lambda x: F.struct(
-                F.concat(acc.out, F.array(x % base)).alias("out"),
+            return let((limb.cast("decimal(18,0)") * radix + acc.carry).cast(wide_type), lambda x: F.struct(
+                F.concat(acc.out, F.array((x % base).cast("long"))).alias("out"),
                 F.call_function("div", x, base).alias("carry")))
-        return F.aggregate(limbs, start, step, lambda r: F.when(
-            r.carry > 0, F.concat(r.out, F.array(r.carry))).otherwise(r.out))
+        # a carry can itself fill a limb and more
+        return F.aggregate(limbs, start, step, lambda r: F.concat(r.out, F.when(
+            r.carry >= 10 ** 18, F.array(r.carry % 10 ** 18, F.lit(1).cast("long"))).when(
+            r.carry > 0, F.array(r.carry)).otherwise(F.array().cast("array<bigint>"))))
 
     def wide(sig: Column) -> Column:
-        padded = F.lpad(sig, F.ceil(F.length(sig) / 7).cast("int") * 7, "0")
-        limbs = F.aggregate(F.regexp_extract_all(padded, F.lit(".{7}"), 0), F.array().cast("array<bigint>"), push)
-        return F.regexp_replace(F.array_join(F.transform(
-            F.reverse(limbs), lambda x: F.lpad(x.cast("string"), 9, "0")), ""), r"^0+(?=.)", "")
+        padded = F.lpad(sig, F.ceil(F.length(sig) / 15).cast("int") * 15, "0")
+        limbs = F.aggregate(F.regexp_extract_all(padded, F.lit(".{15}"), 0), F.array().cast("array<bigint>"), push)
+        return F.ltrim(F.array_join(F.transform(F.reverse(limbs), lambda x: F.lpad(x.cast("string"), 18, "0")), ""),
+                       F.lit("0"))
+
+    return let(F.ltrim(_c(h), F.lit("0")), lambda sig: F.when(sig == "", F.lit("0")).when(
+        F.length(sig) <= 16, F.conv(sig, 16, 10)).otherwise(wide(sig)))
+
 
-    return let(F.regexp_replace(_c(h), r"^0+(?=.)", ""),
-               lambda sig: F.when(F.length(sig) <= 16, F.conv(sig, 16, 10)).otherwise(wide(sig)))
+def _hex_token(tok: Column) -> Column:
+    """A hex literal as a decimal one, its suffix kept."""
+    return let(F.rtrim(tok, F.lit("uUlL")), lambda plain: F.concat(
+        hex_digits_to_decimal(F.substring(plain, 3, 2147483647)), F.substring(tok, F.length(plain) + 1, 3)))
 
 
 def hex_to_dec(c) -> Column:
     """T4: hex literals (suffix kept) become decimal literals."""
-    def conv(tok: Column) -> Column:
-        digits = F.regexp_extract(tok, r"^0x([0-9a-fA-F]+)", 1)
-        suffix = F.regexp_extract(tok, r"([uUlL]*)$", 1)
-        return let(hex_digits_to_decimal(digits),
-                   lambda dec: F.when(dec.isNull(), tok).otherwise(F.concat(dec, suffix)))
-    return sub_with(_c(c), HEX_LITERAL, conv)
+    return sub_with(_c(c), HEX_LITERAL, _hex_token)
 
 
 # Calling-convention keywords deleted by the normaliser.
@@ -200,23 +207,34 @@ def remove_keywords_and_aliases(c) -> Column:
     return sub_with(_c(c), KEYWORDS_OR_ALIASES, lambda tok: F.coalesce(F.element_at(m, tok), F.lit("")))
 
 
+TOKENS = HEX_LITERAL + "|" + KEYWORDS_OR_ALIASES
+
+
+def rewrite_tokens(c) -> Column:
+    """T4, T5 and T6 in one pass over one alternation: hex literal, keyword,
+    alias; everything else is the rest between them. All are whole words, a
+    word is at most one of them and stays a word, and no replacement is one of
+    them, so the order of the single passes does not matter."""
+    m = alias_map()
+    return sub_with(_c(c), TOKENS, lambda tok: F.when(tok.startswith("0"), _hex_token(tok)).otherwise(
+        F.coalesce(F.element_at(m, tok), F.lit(""))))
+
+
 # ---------------------------------------------------------------- T7, P6
 
-def normalise_pseudo(c, formatted=None) -> Column:
+def normalise_pseudo(c, formatter: Callable[[Column], Column] | None = None) -> Column:
     """T2 -> T4 -> T5 -> T6, layout, then T3.
 
-    The layout step is an external formatter in the original; here it is an
-    optional input column (its output for this row, NULL when it failed). If
-    no column is given the layout is left as is. Returns ``''`` for blank
-    results and NULL when the formatter failed.
+    Comments go first, as a removed comment may join two words to a token; one
+    pass then rewrites all tokens. The layout step is an external formatter in
+    the original; ``formatter`` maps the processed text to its layout, NULL
+    when it fails. Without one the layout is left as is. Returns ``''`` for
+    blank results and NULL when the formatter failed.
     """
-    r = remove_keywords_and_aliases(hex_to_dec(remove_comments_naive(_c(c))))
-
     def finish(r: Column) -> Column:
-        laid_out = r if formatted is None else _c(formatted)
-        return F.when(is_blank(r), F.lit("")).otherwise(
-            F.when(laid_out.isNull(), F.lit(None).cast("string")).otherwise(strip_empty(laid_out)))
-    return let(r, finish)
+        laid_out = r if formatter is None else formatter(r)
+        return F.when(is_blank(r), F.lit("")).otherwise(let(laid_out, strip_empty))
+    return let(rewrite_tokens(remove_comments_naive(_c(c))), finish)
 
 
 def keep_failed(norm, raw) -> Column:

@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+
 
 def strict_join(left: DataFrame, right: DataFrame, on: Sequence[str] | str) -> DataFrame:
     """Join that fails when a left key has no right row.
@@ -60,12 +62,19 @@ def expand_values(df: DataFrame, name: str, values: Sequence[str], least: int =
     return df.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))
 
 
-def with_fallback(df: DataFrame, cached: DataFrame, on: Sequence[str], value: str, compute) -> DataFrame:
+def with_fallback(df: DataFrame, cached: DataFrame, on: Sequence[str], value: str, compute: Column,
+                  python: bool = False) -> DataFrame:
     """The cached value when present, else ``compute`` (a Column) of the
-    row. The cache is joined once; rows that have a value are split from the
-    misses, so an expensive ``compute`` sees only misses."""
+    row. One join; ``coalesce`` computes a built-in expression for misses only.
+
+    A Python function would run on every row of such a plan. With ``python``
+    the joined rows are saved, and the function sees the misses alone."""
     c = cached.select(*on, F.col(value).alias("_cached"))
     j = df.join(c, list(on), "left")
+    if not python:
+        return j.withColumn(value, F.coalesce("_cached", compute)).drop("_cached")
+    ensure_checkpoint_dir(df.sparkSession)
+    j = j.checkpoint()
     hits = j.where(F.col("_cached").isNotNull()).withColumnRenamed("_cached", value)
     misses = j.where(F.col("_cached").isNull()).drop("_cached").withColumn(value, compute)
     return hits.unionByName(misses)

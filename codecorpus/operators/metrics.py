@@ -120,10 +120,16 @@ def distinct_failures(values: DataFrame, value: str) -> DataFrame:
         rows(~empty).alias("good"), rows(empty).alias("bad"))
 
 
-def accepted_total(df: DataFrame, status: str = "status") -> DataFrame:
-    """Rows in vs rows kept, per status and overall."""
-    return df.agg(F.count(F.lit(1)).alias("total"),
-                  F.count_if(F.col(status) == "accepted").alias("accepted"))
+def accepted_rollup(df: DataFrame, status: str = "status") -> DataFrame:
+    """Rows per status, all rows, and rows kept. The texts are counted
+    once; the totals are sums over the few statuses."""
+    per = df.groupBy(status).agg(F.count(F.lit(1)).alias("n"))
+    whole = per.agg(F.collect_list(F.struct(F.col(status).alias("status"), "n")).alias("per"),
+                    F.coalesce(F.sum("n"), F.lit(0)).alias("total"),
+                    F.coalesce(F.sum(F.when(F.col(status) == "accepted", F.col("n"))), F.lit(0)).alias("kept"))
+    return whole.select(F.inline(F.concat("per", F.array(
+        F.struct(F.lit("all rows").alias("status"), F.col("total").alias("n")),
+        F.struct(F.lit("kept rows").alias("status"), F.col("kept").alias("n"))))))
 
 
 def compression_rate(n_in: DataFrame, n_out: DataFrame, by: str) -> DataFrame:

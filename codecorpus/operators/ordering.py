@@ -18,9 +18,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.permutation import RoundHash, hash_round, permuted, unpermuted
 from ..session import ensure_checkpoint_dir
 
 
@@ -89,6 +90,36 @@ def sharded_order(df: DataFrame, id_col: str, replicas: int, seed: int = 0, epoc
     return out.drop("_p")
 
 
+def arithmetic_order(df: DataFrame, index: str, n: int, replicas: int, seed: int = 0, epoch: int = 0,
+                     start_index: int = 0, drop_last: bool = False, h: RoundHash = hash_round) -> DataFrame:
+    """W3 without a sort: rows that carry their 0-based input position (0 to
+    n - 1, see ``sources.positions``) get ``rank`` and ``local_pos`` by
+    arithmetic, a seeded permutation of the positions. Same padding, tail and
+    resume rules as ``sharded_order``. Narrow: an epoch exchanges no row, and a
+    resume is a filter."""
+    total = (n // replicas) * replicas if drop_last else -(-n // replicas) * replicas
+    place = permuted(F.col(index), n, seed, epoch, h)
+    # the order is repeated from its start up to a multiple of replicas: places p, p + n, ..
+    last = F.call_function("div", F.lit(total - 1).cast("long") - F.col("_p"), F.lit(max(n, 1)).cast("long"))
+    every = F.when(F.col("_p") < total, F.sequence(F.lit(0).cast("long"), last)).otherwise(
+        F.array().cast("array<bigint>"))
+    rows = df.withColumn("_p", place).withColumn("_k", F.explode(every)).withColumn("_p", F.col("_p") + F.col("_k") * n)
+    out = (rows.withColumn("rank", (F.col("_p") % replicas).cast("int"))
+           .withColumn("local_pos", F.call_function("div", F.col("_p"), F.lit(replicas).cast("long")) - start_index))
+    return out.where(F.col("local_pos") >= 0).drop("_p", "_k")
+
+
+def order_range(spark: SparkSession, n: int, replicas: int, rank: int, start: int, stop: int, seed: int = 0,
+                epoch: int = 0, drop_last: bool = False, h: RoundHash = hash_round) -> DataFrame:
+    """The other direction: (local_pos, row_index) of the places ``start`` to
+    ``stop`` - 1 of one replica, from the places alone. A resumed reader
+    fetches just these rows; nothing before them is looked at."""
+    local = (n // replicas) if drop_last else -(-n // replicas)
+    places = spark.range(start, max(start, min(stop, local)) if n else start).withColumnRenamed("id", "local_pos")
+    return places.select("local_pos", unpermuted((F.col("local_pos") * replicas + rank) % max(n, 1), n, seed, epoch, h)
+                         .alias("row_index"))
+
+
 def batch_number(pos: str | Column, size: int) -> Column:
     """Consecutive fixed-size batches of a 0-based position."""
     p = F.col(pos) if isinstance(pos, str) else pos

@@ -159,15 +159,16 @@ def vocabulary(token_rows: DataFrame, tokens_col: str = "tokens") -> DataFrame:
 
 
 def encode(rows: DataFrame, key: str, text_col: str, vocab: DataFrame, out: str = "input_ids",
-           hot_share: int = HOT_SHARE) -> DataFrame:
+           hot_share: int = HOT_SHARE, tokens_col: str | None = None) -> DataFrame:
     """R2 encode: token ids of ``text_col`` in text order, one array per row.
+    ``tokens_col`` names a column that holds the tokens already.
 
     A row sends each of its distinct tokens once, with the positions it holds
     there, to the vocabulary; tokens with more than one use in ``hot_share``
     (fewer than ``hot_share`` tokens) are joined map-side, the rest shuffle.
     Ids are then gathered per row and put in position order.
     """
-    toks = rows.select(key, tokens(F.col(text_col)).alias("_t"))
+    toks = rows.select(key, (F.col(tokens_col) if tokens_col else tokens(F.col(text_col))).alias("_t"))
     flat = toks.select(key, F.posexplode("_t").alias("p", "token"))
     per = flat.groupBy(key, "token").agg(F.collect_list("p").alias("at"))
     ided = hot_cold_join(per, vocab.select("token", "n", "id"), "token", "n", hot_share, how="inner")

@@ -1,14 +1,17 @@
 """Partition sizing for CPU-heavy row work.
 
 A stage whose cost per row is quadratic in text length (edit distance) needs
-even partitions more than few ones. ``balanced`` asks adaptive execution to
-even them out by size, which it may split and coalesce as the data needs;
-``spread`` deals a small single-partition input over the cores.
+even partitions more than few ones. ``dealt_by_cost`` gives every task the
+same share of the cost, ``spread`` deals a small single-partition input over
+the cores.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..session import ensure_checkpoint_dir
 
 
 def cpu_partitions(spark: SparkSession, per_core: int = 4) -> int:
@@ -21,13 +24,6 @@ def cpu_partitions(spark: SparkSession, per_core: int = 4) -> int:
     return max(shuffle, per_core * cores)
 
 
-def balanced(df: DataFrame) -> DataFrame:
-    """Rows dealt evenly, partition sizes left to adaptive execution. A small
-    input gets one partition per core and more (a few hundred kilobytes of
-    long texts can be minutes of work); a large one is split by size."""
-    return df.hint("rebalance", cpu_partitions(df.sparkSession))
-
-
 def spread(df: DataFrame, key: str, per_core: int = 4) -> DataFrame:
     """Hash-partition ``df`` on ``key`` when it has fewer partitions than
     ``cpu_partitions`` - a small input (one Parquet row group is one scan
@@ -41,3 +37,32 @@ def spread(df: DataFrame, key: str, per_core: int = 4) -> DataFrame:
     if current >= n:
         return df
     return df.repartition(n, key)
+
+
+def cost_shares(costs: DataFrame, key: str, tasks: int, cost: str = "cost") -> DataFrame:
+    """(key, task): rows laid end to end by their cost, the whole cut into
+    ``tasks`` equal shares. A row belongs to the share its middle lies in, so
+    no task exceeds a share by more than one row.
+
+    The prefix sums are those of the saved partitions (one total each, the
+    only thing one task sees of the others) plus a running sum inside them."""
+    ensure_checkpoint_dir(costs.sparkSession)
+    rows = costs.select(key, F.col(cost).cast("double").alias("_c"), F.spark_partition_id().alias("_pid")).checkpoint()
+    parts = rows.groupBy("_pid").agg(F.sum("_c").alias("_sum"))
+    whole = parts.agg(F.sum("_sum")).first()[0] or 1.0
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.select(F.col("_pid").alias("_p"), F.coalesce(F.sum("_sum").over(before), F.lit(0.0)).alias("_off"))
+    inside = Window.partitionBy("_pid").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
+    middle = F.col("_off") + F.sum("_c").over(inside) - F.col("_c") / 2
+    share = F.floor(middle * F.lit(tasks / whole)).cast("int")
+    # one row per saved partition
+    return (rows.join(F.broadcast(offsets), F.col("_pid") == F.col("_p"))
+            .select(key, F.greatest(F.lit(0), F.least(F.lit(tasks - 1), share)).alias("_task")))
+
+
+def dealt_by_cost(rows: DataFrame, costs: DataFrame, key: str, tasks: int | None = None) -> DataFrame:
+    """``rows`` in ``tasks`` partitions of equal total cost. ``costs`` has one
+    row (key, cost) for each key of ``rows``; only those narrow rows are
+    looked at to find the shares, then each row is sent once to its task."""
+    n = tasks or cpu_partitions(rows.sparkSession)
+    return rows.join(cost_shares(costs, key, n), key).repartitionById(n, F.col("_task")).drop("_task")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.similarity import with_edit_similarity
 from ..operators import joins, metrics, ordering, select
-from ..operators.partitioning import balanced
+from ..operators.partitioning import dealt_by_cost
 from . import sqlparts as q
 from . import standins as st
 from .normalise import function_name_sql
@@ -17,7 +17,8 @@ from .normalise import function_name_sql
 def scored_samples(spark: SparkSession, d: str, with_verdicts: bool = False) -> DataFrame:
     """Per sample: edit similarity of its prediction ('' when missing, J2),
     optionally with its verdict flags. The joins are left to adaptive
-    execution; the CPU-heavy scoring reads rows rebalanced by it."""
+    execution; the scoring, whose cost is the product of two lengths, reads
+    rows dealt by that cost."""
     s = st.samples(spark, d).select("sample_id", "opt", "dataset", "language", "func")
     p = st.predictions(spark, d).select("sample_id", "prediction")
     sp = joins.tolerant_join(s, p, "sample_id", {"prediction": ""})
@@ -26,7 +27,10 @@ def scored_samples(spark: SparkSession, d: str, with_verdicts: bool = False) ->
         v = st.verdicts(spark, d).select("sample_id", "flag_compile", "flag_run")
         sp = sp.join(v, "sample_id", "left")
         keep += ["flag_compile", "flag_run"]
-    folded = balanced(sp).withColumns({c: T.ascii_fold(c) for c in ("func", "prediction")})
+    sizes = s.select("sample_id", F.length("func").alias("a")).join(
+        p.select("sample_id", F.length("prediction").alias("b")), "sample_id", "left")
+    cells = sizes.select("sample_id", (F.col("a").cast("double") * F.coalesce("b", F.lit(0)) + F.col("a") + 1).alias("cost"))
+    folded = dealt_by_cost(sp, cells, "sample_id").withColumns({c: T.ascii_fold(c) for c in ("func", "prediction")})
     scored = with_edit_similarity(folded, "func", "prediction", "edit_sim")
     return scored.select(*keep)
 

@@ -129,9 +129,11 @@ FROM b"""
 # ------------------------------------------------------------------ T12-T14, P7, J5
 
 def _section_clean(lines: Column, level: Column) -> Column:
-    """Listing of one level (lines numbered > level), cleaned."""
+    """Listing of one level (lines numbered > level), cleaned (T12). The
+    function starts at address 0 on even levels, at 16 on odd ones."""
     kept = F.filter(lines, lambda x: x["n"] > level)
-    text = F.concat(F.lit("Disassembly of section .text:\n0000000000000010 <main>:\n"), F.array_join(F.transform(kept, lambda x: x["line"]), "\n"))
+    head = F.when(level % 2 == 0, F.lit("0000000000000000 <main>:\n")).otherwise(F.lit("0000000000000010 <main>:\n"))
+    text = F.concat(F.lit("Disassembly of section .text:\n"), head, F.array_join(F.transform(kept, lambda x: x["line"]), "\n"))
     return T.clean_listing_section_form(text)
 
 
@@ -159,7 +161,7 @@ _SECTION_CLEAN_SQL = """array_to_string(list_transform(string_split({x}, chr(10)
 
 
 def _level_asm_sql(j: int) -> str:
-    text = (f"'Disassembly of section .text:' || chr(10) || '0000000000000010 <main>:' || chr(10) || coalesce(array_to_string(list_transform("
+    text = (f"'Disassembly of section .text:' || chr(10) || '00000000000000{j % 2}0 <main>:' || chr(10) || coalesce(array_to_string(list_transform("
             f"list_filter(lines, lambda x: x.n > {j}), lambda x: x.line), chr(10)), '')")
     after = q.strip(f"string_split({text}, 'Disassembly of section .text:')[-1]")
     cleaned = _SECTION_CLEAN_SQL.format(x=after, strip_l=q.strip(

@@ -9,6 +9,8 @@ only the per-distinct enrichment shuffles (on the key).
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,8 @@ from ..functions import text as T
 from ..operators import joins, metrics
 from ..operators.partitioning import spread
 from ..operators.select import select_where
+from ..session import ensure_checkpoint_dir
+from ..sources import sinks
 from ..sources.tables import table
 from . import sqlparts as q
 
@@ -104,6 +108,7 @@ def hex_to_dec_sql(x: str) -> str:
         f" || regexp_extract({t}, '([uUlL]*)$', 1)"))
 
 
+# The keywords as in ``functions/text``.
 def remove_keywords_sql(x: str) -> str:
     return (f"regexp_replace({x}, '\\b__fastcall\\b|\\b__cdecl\\b|\\b__ptr32\\b|\\b__noreturn\\s+noreturn\\b',"
             f" '', 'g')")
@@ -190,30 +195,25 @@ f AS (SELECT func_id, {q.strip_empty(remove_comments_sql('code'))} AS code_forma
 SELECT func_id, code_format FROM f WHERE {good_func_sql('code_format')}"""
 
 
-def _formatted(spark: SparkSession, d: str) -> DataFrame:
-    """Stand-in for the external formatter's output: double spaces closed up,
-    NULL (a failure) for every seventh function."""
-    return c_functions(spark, d).withColumn("formatted", F.when(
-        F.col("func_id") % 7 != 0, F.replace("code", F.lit("  "), F.lit(" "))))
+def _layout(code: Column) -> Column:
+    """Stand-in for the external formatter: double spaces closed up, NULL (a
+    failure) for every seventh text length."""
+    return F.when(F.length(code) % 7 != 0, F.replace(code, F.lit("  "), F.lit(" ")))
 
 
+_PROCESSED_SQL = replace_aliases_sql(remove_keywords_sql(hex_to_dec_sql(remove_comments_naive_sql("code"))))
 FORMATTED = f"""{C_FUNCTIONS},
-formatted AS (SELECT *, CASE WHEN func_id % 7 <> 0 THEN replace(code, '  ', ' ') END AS laid_out FROM c_functions),
-normed AS (SELECT func_id, code, CASE
-    WHEN NOT regexp_matches({replace_aliases_sql(remove_keywords_sql(hex_to_dec_sql(remove_comments_naive_sql('code'))))},
-                            '[^\t\n\x0b\x0c\r\x1c-\x1f ]') THEN ''
-    WHEN laid_out IS NOT NULL THEN {q.strip_empty('laid_out')} END AS code_norm FROM formatted)"""
+processed AS (SELECT func_id, code, {_PROCESSED_SQL} AS plain FROM c_functions),
+laid AS (SELECT *, CASE WHEN length(plain) % 7 <> 0 THEN replace(plain, '  ', ' ') END AS laid_out FROM processed),
+normed AS (SELECT func_id, code, CASE WHEN NOT regexp_matches(plain, '[^\t\n\x0b\x0c\r\x1c-\x1f ]') THEN ''
+    WHEN laid_out IS NOT NULL THEN {q.strip_empty('laid_out')} END AS code_norm FROM laid)"""
 
 
 def accept_counts(spark: SparkSession, d: str) -> DataFrame:
     """P6 + A11: rows per accept status after normalisation with a formatter
-    that fails for some rows, and the totals."""
-    norm = _formatted(spark, d).select(T.accept_status(T.normalise_pseudo("code", F.col("formatted"))).alias("status"))
-    per = norm.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
-    total = metrics.accepted_total(norm).select(F.inline(F.array(
-        F.struct(F.lit("all rows").alias("status"), F.col("total").alias("n")),
-        F.struct(F.lit("kept rows").alias("status"), F.col("accepted").alias("n")))))
-    return per.unionByName(total)
+    that fails for some rows, and the totals, which are sums of the four."""
+    norm = c_functions(spark, d).select(T.accept_status(T.normalise_pseudo("code", _layout)).alias("status"))
+    return metrics.accepted_rollup(norm)
 
 
 ACCEPT_COUNTS_SQL = f"""WITH {FORMATTED},
@@ -227,8 +227,8 @@ UNION ALL SELECT 'kept rows', count(*) FILTER (WHERE status = 'accepted') FROM s
 def kept_records(spark: SparkSession, d: str) -> DataFrame:
     """P6 with ``remove=0``: accepted rows with the normalised text, rows
     whose formatting failed with the raw one."""
-    norm = T.normalise_pseudo("code", F.col("formatted"))
-    rows = select_where(_formatted(spark, d), ["func_id", "code"], {"norm": norm}, lambda r: F.when(
+    norm = T.normalise_pseudo("code", _layout)
+    rows = select_where(c_functions(spark, d), ["func_id", "code"], {"norm": norm}, lambda r: F.when(
         r["norm"].isNull(), True).otherwise(T.accept_status(r["norm"]) == "accepted"))
     return rows.select("func_id", T.keep_failed(F.col("norm"), F.col("code")).alias("code_norm"))
 
@@ -238,6 +238,25 @@ SELECT func_id, coalesce(code_norm, code) AS code_norm FROM normed
 WHERE code_norm IS NULL OR (code_norm <> '' AND {good_func_sql('code_norm')})"""
 
 
+def observed_log(spark: SparkSession, d: str) -> DataFrame:
+    """A11 + K7: the normalised functions written as a log; the totals, the
+    accepted rows and the rows of each level come from that one write."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/observed-{uuid.uuid4().hex}"
+    rows = c_functions(spark, d).select("func_id", F.concat(F.lit("O"), (F.col("func_id") % 3).cast("string")).alias("opt"),
+                                        T.normalise_pseudo("code", _layout).alias("code_norm"))
+    log = rows.withColumn("status", T.accept_status("code_norm"))
+    sinks.write_run_log(log, path, ["func_id", "opt", "status", "code_norm"], "opt", ["O0", "O1", "O2", "O3"],
+                        {"accepted": F.col("status") == "accepted"})
+    line = F.split("value", ": ")
+    return spark.read.text(f"{path}/_stats").select(line[0].alias("name"), line[1].cast("long").alias("n"))
+
+
+OBSERVED_LOG_SQL = f"""WITH {FORMATTED}
+SELECT 'total' AS name, count(*) AS n FROM normed
+UNION ALL SELECT 'accepted', count(*) FILTER (WHERE code_norm <> '' AND {good_func_sql('code_norm')}) FROM normed
+UNION ALL SELECT 'level O' || i, (SELECT count(*) FROM normed WHERE func_id % 3 = i) FROM range(0, 4) t(i)"""
+
+
 def name_alignment(spark: SparkSession, d: str) -> DataFrame:
     """T19 + T20 + T21: extracted name (stars dropped), raw token, and the
     code with that name replaced by the reference name."""
@@ -340,6 +359,7 @@ QUERIES = {
     "t3_p4_format_records": format_records,
     "p6_accept_counts": accept_counts,
     "p6_kept_records": kept_records,
+    "a11_k7_observed_log": observed_log,
     "t19_t20_name_alignment": name_alignment,
     "j7_header_per_distinct": header_per_distinct,
     "a9_a10_header_failures": header_failures,
@@ -356,6 +376,7 @@ ORACLE = {
     "t3_p4_format_records": FORMAT_RECORDS_SQL,
     "p6_accept_counts": ACCEPT_COUNTS_SQL,
     "p6_kept_records": KEPT_RECORDS_SQL,
+    "a11_k7_observed_log": OBSERVED_LOG_SQL,
     "t19_t20_name_alignment": NAME_ALIGNMENT_SQL,
     "j7_header_per_distinct": HEADER_PER_DISTINCT_SQL,
     "a9_a10_header_failures": HEADER_FAILURES_SQL,

@@ -19,6 +19,12 @@ def strip(x: str) -> str:
     return f"regexp_replace({x}, '^{WS}+|{WS}+$', '', 'g')"
 
 
+def strip_all(x: str) -> str:
+    """``strip`` with all of Python's white space, also beyond ASCII."""
+    ws = "[\\t\\n\\x0b\\x0c\\r\\x1c-\\x1f \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
+    return f"regexp_replace({x}, '^{ws}+|{ws}+$', '', 'g')"
+
+
 def splitlines(x: str) -> str:
     """Python splitlines; a trailing empty piece is dropped."""
     parts = f"string_split_regex({x}, '{LINE_BREAK}')"

@@ -4,15 +4,19 @@ rows compared with the tables themselves."""
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..operators import metrics, select
+from ..functions import permutation
+from ..functions import text as T
+from ..functions.permutation import md5_round
+from ..operators import joins, metrics, ordering, select
 from ..session import ensure_checkpoint_dir
-from ..sources import readers, sinks
+from ..sources import positions, readers, sinks, trees
 from ..sources.tables import table
 from . import sqlparts as q
 from . import standins as st
@@ -99,9 +103,16 @@ UNION ALL SELECT count(*), split FROM s GROUP BY split"""
 
 
 def dataset_registry(spark: SparkSession, d: str) -> DataFrame:
-    """Tables registered by name and queried by it."""
-    readers.register_datasets(spark, {"registered_orders": table(spark, d, "orders"),
-                                      "registered_customers": table(spark, d, "customer")})
+    """A registry file names two data sets and their files; both are
+    registered from it and queried by name."""
+    root = _folder(spark, "registry")
+    orders, customers = table(spark, d, "orders").select("o_orderkey", "o_custkey"), table(spark, d, "customer").select("c_custkey")
+    sinks.write_json_array(orders, f"{root}/data/orders.json")
+    sinks.write_jsonl(customers, f"{root}/data/customers.jsonl")
+    entries = {"registered_orders": {"file_name": "data/orders.json"}, "registered_customers": {"file_name": "data/customers.jsonl"}}
+    spark.createDataFrame([(json.dumps(entries),)], "value string").coalesce(1).write.text(f"{root}/dataset_info.json")
+    readers.load_registry(spark, f"{root}/dataset_info.json", {
+        "registered_orders": orders.schema, "registered_customers": customers.schema})
     return spark.sql("SELECT c_custkey, count(o_orderkey) AS n FROM registered_customers LEFT JOIN registered_orders "
                      "ON o_custkey = c_custkey GROUP BY c_custkey")
 
@@ -123,6 +134,29 @@ def keyword_lists(spark: SparkSession, d: str) -> DataFrame:
 KEYWORD_LISTS_SQL = "SELECT DISTINCT 'part' || CAST(l_partkey AS VARCHAR) AS name FROM lineitem"
 
 
+def _results(spark: SparkSession, d: str) -> DataFrame:
+    """Predictions as result files hold them: C or C++, named by their index."""
+    p = st.predictions(spark, d).where("sample_id >= 0").select("sample_id", "prediction", "decompiler")
+    s = st.samples(spark, d).select("sample_id", "opt", "language")
+    return s.join(p, "sample_id").select(F.col("sample_id").alias("index"), "opt", "decompiler", "prediction",
+                                         F.when(F.col("language") == "en", "cpp").otherwise("c").alias("language"))
+
+
+def result_files(spark: SparkSession, d: str) -> DataFrame:
+    """K3 -> S5: one named file for each prediction, below decompiler and
+    level; the tree is walked and parsed back."""
+    path = _folder(spark, "files")
+    sinks.write_result_files(_results(spark, d), path, ["decompiler", "opt"])
+    back = readers.read_prediction_tree(spark, path)
+    return back.select("index", "opt", "language", "decompiler", F.md5("prediction").alias("prediction_md5"))
+
+
+RESULT_FILES_SQL = f"""WITH {q.SAMPLES}, {q.PREDICTIONS}
+SELECT sample_id AS index, opt, CASE WHEN language = 'en' THEN 'cpp' ELSE 'c' END AS language, 'next4' AS decompiler,
+       md5({q.strip_all('prediction')}) AS prediction_md5
+FROM samples JOIN predictions USING (sample_id)"""
+
+
 def result_tree(spark: SparkSession, d: str) -> DataFrame:
     """K3: predictions partitioned by level and language, read back."""
     path = _folder(spark, "results")
@@ -169,7 +203,7 @@ def result_lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 RESULT_LINES_SQL = f"""WITH {RATES}
-SELECT language || '_' || opt || ': ' || printf('%.2f', round_even(exe_rate, 2)) AS value, CAST(2 AS BIGINT) AS n FROM rates"""
+SELECT language || '_' || opt || ': ' || printf('%.2f', exe_rate) AS value, CAST(2 AS BIGINT) AS n FROM rates"""
 
 
 def run_log(spark: SparkSession, d: str) -> DataFrame:
@@ -189,19 +223,96 @@ SELECT s.sample_id, v.sample_id IS NOT NULL AS judged, false AS unused FROM samp
 
 
 def sibling_headers(spark: SparkSession, d: str) -> DataFrame:
-    """K8: a header row beside every source file, empty where none exists."""
-    path = _folder(spark, "headers")
-    files = table(spark, d, "documents").select(F.concat(F.lit("src/"), F.col("doc_id").cast("string"), F.lit(".c")).alias("path"))
-    headers = table(spark, d, "labels").select(
-        F.concat(F.lit("src/"), F.col("doc_id").cast("string"), F.lit(".c")).alias("path"),
-        F.concat(F.lit("int q"), F.col("quality").cast("string"), F.lit(";")).alias("header"))
-    sinks.write_sibling_headers(files, headers, path)
-    return readers.read_jsonl(spark, path, _schema("header_path string, header string"))
-
-
-SIBLING_HEADERS_SQL = """SELECT 'src/' || CAST(d.doc_id AS VARCHAR) || '.h' AS header_path,
-  CASE WHEN l.doc_id IS NULL THEN '' ELSE 'int q' || CAST(quality AS VARCHAR) || ';' END AS header
-FROM documents d LEFT JOIN labels l USING (doc_id)"""
+    """K8: a tree of sources, a header file beside every one (empty where
+    none was produced), all headers but those of the first run replaced by a
+    second run; the tree is read back, sources too."""
+    root = _folder(spark, "headers")
+    s = table(spark, d, "supplier").select(F.concat(F.lit("src/n"), F.col("s_nationkey").cast("string"), F.lit("/"),
+                                                    F.col("s_suppkey").cast("string"), F.lit(".c")).alias("path"), "s_name", "s_acctbal")
+    trees.write_tree(s, root, "path", "s_name")
+    files = s.select("path")
+    declared = s.where("s_acctbal > 0").select("path", F.concat(F.lit("int "), F.lower(F.translate("s_name", "#", "_")), F.lit(";"))
+                                               .alias("header"))
+    sinks.write_sibling_headers(files, declared.withColumn("header", F.upper("header")), root)
+    sinks.write_sibling_headers(files, declared, root)
+    back = readers.read_source_tree(spark, root, "*.{c,h}")
+    return back.select(F.regexp_extract("name", r"(src/.*)$", 1).alias("path"), "text")
+
+
+SIBLING_HEADERS_SQL = """WITH s AS (SELECT 'src/n' || s_nationkey || '/' || s_suppkey AS path, s_name, s_acctbal FROM supplier)
+SELECT path || '.c' AS path, s_name AS text FROM s
+UNION ALL SELECT path || '.h', CASE WHEN s_acctbal > 0 THEN 'int ' || lower(replace(s_name, '#', '_')) || ';' ELSE '' END FROM s"""
+
+
+def positional_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """J3 + W5: two sets of line files without ids, samples and results, are
+    paired i to i as they are read; the results are fewer."""
+    root = _folder(spark, "pairs")
+    docs = table(spark, d, "documents")
+    samples = docs.select("doc_id", F.col("text").alias("func"))
+    outputs = docs.where("lang <> 'fr'").select("doc_id", F.upper(T.ascii_fold("text")).alias("output"))
+    for df, name in ((samples, "samples"), (outputs, "outputs")):
+        dealt = df.repartitionByRange(6, "doc_id").sortWithinPartitions("doc_id")
+        sinks.write_jsonl(select.drop_columns(dealt, ["doc_id"]), f"{root}/{name}")
+    left = spark.read.schema("func string").json(f"{root}/samples")
+    right = spark.read.schema("output string").json(f"{root}/outputs")
+    return positions.zip_inputs(left, right, ["output"]).select(
+        "position", F.md5("func").alias("func_md5"), F.md5("output").alias("output_md5"))
+
+
+POSITIONAL_PAIRS_SQL = f"""WITH a AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS position, md5(text) AS func_md5 FROM documents),
+b AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS position, md5(upper({q.fold('text')})) AS output_md5 FROM documents
+      WHERE lang <> 'fr')
+SELECT position, func_md5, output_md5 FROM a JOIN b USING (position)"""
+
+
+def resumable_order(spark: SparkSession, d: str) -> DataFrame:
+    """W3 by arithmetic: rows numbered as they are read, their places in the
+    second epoch of seed 42 over 3 replicas, resumed at position 5. No sort and
+    no exchange of rows."""
+    root = _folder(spark, "epoch")
+    ids = table(spark, d, "documents").select("doc_id")
+    ids.repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id").write.json(root)
+    rows = positions.with_input_position(spark.read.schema("doc_id long").json(root))
+    n = spark.read.schema("doc_id long").json(root).count()
+    return ordering.arithmetic_order(rows, "position", n, replicas=3, seed=42, epoch=1, start_index=5, h=md5_round).select(
+        "doc_id", "rank", "local_pos")
+
+
+def _feistel_sql() -> str:
+    """Rounds of ``functions.permutation`` over columns x, a, b, n."""
+    out = "SELECT i, n, a, b, x // b AS l, x % b AS r FROM walk WHERE NOT done"
+    for k in range(permutation.ROUNDS):
+        half = "r" if k % 2 == 0 else "l"
+        h = f"CAST('0x' || substr(md5({half} || ':42:1:{k}'), 1, 15) AS BIGINT)"
+        side = f"(l + {h} % a) % a AS l, r" if k % 2 == 0 else f"l, (r + {h} % b) % b AS r"
+        out = f"SELECT i, n, a, b, {side} FROM ({out})"
+    return f"SELECT i, n, a, b, l * b + r AS x, l * b + r < n AS done FROM ({out})"
+
+
+RESUMABLE_ORDER_SQL = f"""WITH RECURSIVE size AS (SELECT count(*) AS n, CAST(floor(sqrt(count(*) - 1)) AS BIGINT) + 1 AS a FROM documents),
+walk(i, n, a, b, x, done) AS (
+  SELECT row_number() OVER (ORDER BY doc_id) - 1, n, a, (n + a - 1) // a, row_number() OVER (ORDER BY doc_id) - 1, false
+  FROM documents, size
+  UNION ALL {_feistel_sql()}),
+placed AS (SELECT doc_id, x AS p, n FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents)
+           JOIN walk USING (i) WHERE done),
+whole AS (SELECT doc_id, p FROM placed UNION ALL SELECT doc_id, p + n FROM placed WHERE p + n < CAST(ceil(n / 3.0) * 3 AS BIGINT))
+SELECT doc_id, CAST(p % 3 AS INTEGER) AS rank, p // 3 - 5 AS local_pos FROM whole WHERE p // 3 - 5 >= 0"""
+
+
+def chosen_columns(spark: SparkSession, d: str) -> DataFrame:
+    """P3 + P2: the output column of each native decompiler, chosen by its
+    name at run time, under one alias; the others dropped."""
+    rows = st.native_outputs(spark, d).select("sample_id", "ida_pseudo", "ghidra_pseudo")
+    per = [select.drop_columns(select.choose_column(rows, f"{x}_pseudo", "pseudo"), ["ida_pseudo", "ghidra_pseudo"])
+           .withColumn("decompiler", F.lit(x)) for x in ("ida", "ghidra")]
+    return joins.union_all(per).select("sample_id", "decompiler", F.md5("pseudo").alias("pseudo_md5"))
+
+
+CHOSEN_COLUMNS_SQL = f"""WITH f AS (SELECT doc_id AS sample_id, {q.fold('text')} AS t FROM documents)
+SELECT sample_id, 'ida' AS decompiler, md5(upper(t)) AS pseudo_md5 FROM f
+UNION ALL SELECT sample_id, 'ghidra', md5(lower(t)) FROM f"""
 
 
 QUERIES = {
@@ -217,6 +328,10 @@ QUERIES = {
     "k5_result_lines": result_lines,
     "k7_run_log": run_log,
     "k8_sibling_headers": sibling_headers,
+    "k3_s5_result_files": result_files,
+    "j3_w5_positional_pairs": positional_pairs,
+    "w3_resumable_order": resumable_order,
+    "p3_chosen_columns": chosen_columns,
 }
 
 ORACLE = {
@@ -232,4 +347,8 @@ ORACLE = {
     "k5_result_lines": RESULT_LINES_SQL,
     "k7_run_log": RUN_LOG_SQL,
     "k8_sibling_headers": SIBLING_HEADERS_SQL,
+    "k3_s5_result_files": RESULT_FILES_SQL,
+    "j3_w5_positional_pairs": POSITIONAL_PAIRS_SQL,
+    "w3_resumable_order": RESUMABLE_ORDER_SQL,
+    "p3_chosen_columns": CHOSEN_COLUMNS_SQL,
 }

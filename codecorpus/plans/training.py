@@ -15,6 +15,7 @@ from ..functions import arrays as A
 from ..functions.text import render_prompt
 from ..operators import metrics, ordering, packing
 from ..operators.partitioning import spread
+from ..session import ensure_checkpoint_dir
 from ..sources.tables import table
 
 MAX_LENGTH = 256
@@ -152,21 +153,24 @@ SELECT doc_id, CAST(p % 3 AS INTEGER) AS rank, p // 3 - 5 AS local_pos FROM pp W
 
 # ------------------------------------------------------------------ W1, W2, A12
 
-def _windows(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _windows(lengths: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Binned documents with their token counts, and their windows."""
-    docs = spread(table(spark, d, "documents").select("doc_id", "lang", "text"), "doc_id").select(
-        "doc_id", F.col("lang").alias("seq_category"), F.size(A.tokens(F.col("text"))).alias("seq_length"))
-    binned = ordering.percent_split(docs, ["doc_id"], 3)
+    binned = ordering.percent_split(lengths, ["doc_id"], 3)
     return binned, packing.pack(binned, "doc_id", "seq_length", WINDOW_TOKENS)
 
 
+def _tokenised(spark: SparkSession, d: str) -> DataFrame:
+    docs = spread(table(spark, d, "documents").select("doc_id", "lang", "text"), "doc_id")
+    return docs.select("doc_id", F.col("lang").alias("seq_category"), A.tokens(F.col("text")).alias("tokens"))
+
+
 WINDOW_TOKENS = 2048
 
 
 def packed(spark: SparkSession, d: str) -> DataFrame:
     """W1 + W2 + A12 (+ P13 bins): documents' token counts packed into
     windows of 2,048 tokens per bin; rows in, windows out, rate per bin."""
-    binned, windows = _windows(spark, d)
+    binned, windows = _windows(_tokenised(spark, d).select("doc_id", "seq_category", F.size("tokens").alias("seq_length")))
     n_in = binned.groupBy("bin").agg(F.count(F.lit(1)).alias("n_in"))
     n_out = windows.groupBy("bin").agg((F.max("window") + 1).alias("n_out"))
     return metrics.compression_rate(n_in, n_out, "bin")
@@ -175,10 +179,12 @@ def packed(spark: SparkSession, d: str) -> DataFrame:
 def packed_rows(spark: SparkSession, d: str) -> DataFrame:
     """W2's rows: token ids of every window (R2 vocabulary of the documents),
     concatenated in W1 order, rows cut at the window size (R5)."""
-    _, windows = _windows(spark, d)
-    docs = spread(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
-    vocabulary = packing.vocabulary(docs.select(A.tokens(F.col("text")).alias("tokens")))
-    ids = packing.encode(docs, "doc_id", "text", vocabulary)
+    ensure_checkpoint_dir(spark)
+    docs = _tokenised(spark, d).checkpoint()  # texts are tokenised once; lengths, vocabulary and ids read the saved rows
+    _, windows = _windows(docs.select("doc_id", "seq_category", F.size("tokens").alias("seq_length")))
+    vocabulary = packing.vocabulary(docs.select("tokens"))
+    cut = docs.select("doc_id", F.slice("tokens", 1, WINDOW_TOKENS).alias("tokens"))
+    ids = packing.encode(cut, "doc_id", "", vocabulary, tokens_col="tokens")
     rows = packing.packed_rows(windows, ids, "doc_id", WINDOW_TOKENS)
     return rows.select("bin", "window", F.size("input_ids").alias("n_tokens"), F.md5(_ints(F.col("input_ids"))).alias("ids"),
                        F.md5(_ints(F.col("labels"))).alias("labels"))

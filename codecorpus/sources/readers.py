@@ -7,29 +7,16 @@ is spent on inference and types are stable.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StructType
+from pyspark.sql.types import StructType
 
 from ..functions.regex import py_strip
-from ..functions.text import parse_result_file_name
-
-
-def read_json_array(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """Files holding one JSON array of records each.
-
-    A JSON array file cannot be split, so each file is one task. A file whose
-    top level is not an array, or that holds a malformed record, fails the
-    read when it is computed; no job runs before that. Convert large arrays
-    once to Parquet or JSONL.
-    """
-    told = F.concat(F.lit("top level is not a JSON array: "), F.col("_metadata.file_path"))
-    rows = F.from_json("value", ArrayType(schema), {"mode": "FAILFAST"})
-    listed = F.when(F.ltrim(F.col("value")).startswith("["), rows).otherwise(
-        F.raise_error(told).cast(ArrayType(schema)))
-    return spark.read.text(path, wholetext=True).select(F.inline(listed))
+from . import trees
+from .json_arrays import read_json_array  # noqa: F401
 
 
 def read_jsonl(spark: SparkSession, path: str | Sequence[str], schema: StructType) -> DataFrame:
@@ -48,28 +35,40 @@ def read_jsonl_dirs(spark: SparkSession, dirs: str | Sequence[str], schema: Stru
             .option("recursiveFileLookup", "false").json(list(dirs)))
 
 
-def read_source_tree(spark: SparkSession, root: str, glob: str = "*.c") -> DataFrame:
-    """Every matching file below ``root`` as one row (name = path, text).
+def _files(spark: SparkSession, root: str, glob: str, empty: bool) -> DataFrame:
+    """(path, file_name, text) of the matching files below ``root``.
 
     ``wholetext`` must be an argument of ``text()``; as an option it would
-    be overridden and yield one row per line.
+    be overridden and yield one row per line. Spark leaves out files of length
+    0; with ``empty`` they are listed beside it (Arrow must know the store).
     """
-    return spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob).select(
-        F.col("_metadata.file_path").alias("name"), F.col("value").alias("text"))
+    files = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("text"))
+    return files.unionByName(trees.empty_files(spark, root, glob).withColumn("text", F.lit(""))) if empty else files
+
 
+def read_source_tree(spark: SparkSession, root: str, glob: str = "*.c", empty: bool = True) -> DataFrame:
+    """Every matching file below ``root`` as one row (name = path, text),
+    empty files too unless ``empty`` is false."""
+    return _files(spark, root, glob, empty).select(F.col("path").alias("name"), "text")
 
-def read_prediction_tree(spark: SparkSession, root: str, last_wins: bool = False) -> DataFrame:
+
+#: Fixed value: number, label, language.
+PREDICTION_FILE = r"^(\d+)_(.*)\.(c|cpp)$"
+
+
+def read_prediction_tree(spark: SparkSession, root: str, last_wins: bool = False, empty: bool = True) -> DataFrame:
     """``{decompiler}/{opt}/{index}_{opt}.{c,cpp}`` files -> (index, opt,
-    language, decompiler, prediction), one row per file; bodies stripped, files
-    of other names skipped. ``last_wins`` keeps one row per (decompiler,
+    language, decompiler, prediction), one row per file; bodies stripped. The
+    index is the number before the first underscore, the opt whatever follows
+    it; files without such a number are skipped. ``last_wins`` keeps one row per (decompiler,
     index), the one with the greatest path, as one scoring script does."""
-    files = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.{c,cpp}").select(
-        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file_name"),
-        py_strip(F.col("value")).alias("prediction"))
-    parsed = files.select(
-        "path", parse_result_file_name(F.col("file_name")).alias("f"),
+    files = _files(spark, root, "*.{c,cpp}", empty).select("path", "file_name", py_strip(F.col("text")).alias("prediction"))
+    name = F.col("file_name")
+    parsed = files.where(name.rlike(PREDICTION_FILE)).select("path", F.struct(
+        F.regexp_extract(name, PREDICTION_FILE, 1).cast("long").alias("index"),
+        *[F.regexp_extract(name, PREDICTION_FILE, i).alias(n) for i, n in ((2, "opt"), (3, "language"))]).alias("f"),
         F.element_at(F.split(F.col("path"), "/"), -3).alias("decompiler"), "prediction")
-    parsed = parsed.where(F.col("f.index").isNotNull())
     if not last_wins:
         return parsed.select("f.index", "f.opt", "f.language", "decompiler", "prediction")
     return parsed.groupBy(F.col("f.index").alias("index"), "decompiler").agg(
@@ -103,6 +102,30 @@ def register_datasets(spark: SparkSession, registry: Mapping[str, DataFrame]) ->
     return sorted(registry)
 
 
+def load_registry(spark: SparkSession, path: str, schemas: Mapping[str, StructType],
+                  wanted: Sequence[str] | None = None) -> list[str]:
+    """A registry file ``{name: {"file_name": ..}}`` -> its data sets as
+    temporary views, all of them or the ``wanted`` ones. File names are
+    relative to the registry's folder: ``.json`` is one array, ``.jsonl`` lines,
+    ``.parquet`` columns. A name that is not in the registry, an entry without
+    a file and a JSON set without a schema are errors. The registry itself is
+    configuration, a few lines read by the driver."""
+    entries = json.loads(spark.read.text(path, wholetext=True).first()[0])
+    root = path.rstrip("/").rsplit("/", 1)[0]
+    found = {}
+    for name in wanted or entries:
+        if name not in entries or not entries[name].get("file_name"):
+            raise ValueError(f"no data set {name!r} with a file in the registry")
+        file = f"{root}/{entries[name]['file_name']}"
+        if file.endswith(".parquet"):
+            found[name] = spark.read.parquet(file)
+        elif name not in schemas:
+            raise ValueError(f"no schema for the data set {name!r}")
+        else:
+            found[name] = (read_jsonl if file.endswith(".jsonl") else read_json_array)(spark, file, schemas[name])
+    return register_datasets(spark, found)
+
+
 def read_keyword_list(spark: SparkSession, path: str) -> DataFrame:
     """One comma-separated line -> distinct trimmed names (one column)."""
     return (spark.read.text(path)

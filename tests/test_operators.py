@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from codecorpus.operators.memo import Memo
 from codecorpus.operators import joins, metrics, select
 
 
@@ -115,5 +116,36 @@ def test_fallback_computes_misses_only(spark):
     def slow(k):
         calls.add(1)
         return "n"
-    rows = joins.with_fallback(df, cached, ["k"], "h", slow("k")).collect()
+    rows = joins.with_fallback(df, cached, ["k"], "h", slow("k"), python=True).collect()
     assert sorted(r["h"] for r in rows) == ["c"] * 8 + ["n"] * 2 and calls.value == 2
+
+
+def test_fallback_with_a_built_in_expression_joins_once(spark):
+    df = spark.range(10).withColumnRenamed("id", "k")
+    cached = spark.createDataFrame([(2, "c2"), (3, None)], "k long, h string")
+    out = joins.with_fallback(df, cached, ["k"], "h", F.concat(F.lit("n"), "k"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1
+    assert {r["k"]: r["h"] for r in out.collect()} == {i: "c2" if i == 2 else f"n{i}" for i in range(10)}
+
+
+def test_memo_computes_only_new_texts(spark, tmpdir_path):
+    """Three runs and one that died before its commit."""
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def slow(t):
+        calls.add(1)
+        return None if not t else t.upper()
+    memo = Memo(spark, f"{tmpdir_path}/memo")
+    first = spark.createDataFrame([(i, ["a", "b", "", None][i % 4]) for i in range(40)], "id long, t string")
+    want = {"a": "A", "b": "B", "": None, None: None, "c": "C"}
+    got = memo.apply(first, "t", slow, "u").collect()
+    assert calls.value == 4 and len(got) == 40 and all(r["u"] == want[r["t"]] for r in got)
+    second = first.unionByName(spark.createDataFrame([(50, "c"), (51, "c")], first.schema))
+    got = Memo(spark, f"{tmpdir_path}/memo").apply(second, "t", slow, "u").collect()
+    assert calls.value == 5 and all(r["u"] == want[r["t"]] for r in got) and len(memo.versions()) == 2
+    spark.createDataFrame([("dead", "x", 0)], "key string, value string, bucket int").write.partitionBy("bucket").parquet(
+        f"{tmpdir_path}/memo/version=dead")
+    assert memo.extend(second, "t", slow).count() == 0 and calls.value == 5 and len(memo.versions()) == 2
+    assert memo.table().count() == 5

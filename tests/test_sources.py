@@ -106,7 +106,7 @@ def test_sinks_round_trip(spark, tmpdir_path):
     sinks.write_group_csv(df.drop("index"), c)
     assert spark.read.option("header", True).csv(c).count() == 2
     lines = sorted(r[0] for r in sinks.result_lines(df).collect())
-    assert lines == ["O0: 50.00", "O1: 12.12"]
+    assert lines == ["O0: 50.00", "O1: 12.12"]  # 12.125 is a tie
     r = os.path.join(tmpdir_path, "res")
     sinks.append_result_lines(df, r)
     sinks.append_result_lines(df, r)
@@ -117,9 +117,3 @@ def test_sinks_round_trip(spark, tmpdir_path):
     log = os.path.join(tmpdir_path, "log")
     sinks.write_run_log(df.withColumn("stripped", F.lit(None).cast("string")), log, ["index", "opt", "stripped"])
     assert "stripped" not in open([os.path.join(log, f) for f in os.listdir(log) if f.endswith(".json")][0]).read()
-    files = spark.createDataFrame([("a/x.c",), ("a/y.c",)], "path string")
-    headers = spark.createDataFrame([("a/x.c", "struct s;")], "path string, header string")
-    h = os.path.join(tmpdir_path, "hdr")
-    sinks.write_sibling_headers(files, headers, h)
-    got = {r["header_path"]: r["header"] for r in spark.read.json(h).collect()}
-    assert got == {"a/x.h": "struct s;", "a/y.h": ""}

@@ -1,4 +1,7 @@
 """Text functions against literal input / expected pairs."""
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -98,8 +101,42 @@ def test_normalise_and_status(spark):
     assert rows[0]["s"] == "accepted"
     assert rows[1]["n"] == "" and rows[1]["s"] == "empty"
     assert rows[2]["s"] == "rejected"
-    failed = df.select(T.normalise_pseudo("c", F.lit(None).cast("string")).alias("n"))
-    assert failed.select(T.accept_status("n")).first()[0] == "format_failed"
+    failed = df.select(T.normalise_pseudo("c", lambda r: F.lit(None).cast("string")).alias("n"))
+    assert [r[0] for r in failed.select(T.accept_status("n")).collect()] == ["format_failed", "empty", "format_failed"]
+
+
+def test_formatter_sees_the_processed_text(spark):
+    code = "int f() { /* c */ _DWORD a = 0x10; }\n\n// gone\n__cdecl b;\n"
+    df = spark.createDataFrame([(code,)], "c string")
+    shown = df.select(T.normalise_pseudo("c", lambda r: F.concat(F.lit("<"), F.replace(r, F.lit("  "), F.lit(" ")), F.lit(">"))))
+    assert shown.first()[0] == "<int f() { uint32_t a = 16; }\n b;\n>"
+
+
+@pytest.mark.parametrize("c", [
+    "0x1/* c */2 _DW/**/ORD __fast/*\n*/call;", "/ /* x */ / y", "a/**//b\nc", "0x/* */1F", "size_t/**/ size/* */_t _t",
+    "__noreturn /* k */ noreturn", "éDIR DIRé _DWORD\u0301 DIR.DIR-DIR 0x1Fé é0x1F 0x10u0x10", "__int64__int64 __int64 __int64",
+    "0x1F_DWORD 0x1FuLL;0xFFFFFFFFFFFFFFFFFFFFul", ""])
+def test_one_token_pass_equals_the_passes(spark, c):
+    """Also where a removed comment joins two tokens."""
+    df = spark.createDataFrame([(c,)], "c string")
+    plain = T.remove_comments_naive("c")
+    row = df.select(T.rewrite_tokens(plain).alias("one"), T.replace_type_aliases(T.remove_keywords(T.hex_to_dec(plain))).alias("many"),
+                    T.normalise_pseudo("c").alias("norm")).first()
+    assert row["one"] == row["many"]
+    text = re.sub(r"(?m)//.*?$", "", re.sub(r"(?s)/\*.*?\*/", "", c))
+    text = re.sub(r"\b(0x[0-9a-fA-F]+)([uUlL]{1,3})?\b", lambda m: str(int(m[1], 16)) + (m[2] or ""), text)
+    text = re.sub(r"\b__fastcall\b|\b__cdecl\b|\b__ptr32\b|\b__noreturn\s+noreturn\b", "", text)
+    for alias, base in T.TYPE_ALIASES:
+        text = re.sub(rf"\b{re.escape(alias)}\b", base, text)
+    if "\u0301" not in c:  # Python takes a combining mark for no part of a word
+        assert row["one"] == text
+
+
+def test_hex_of_any_width(spark):
+    rng = random.Random(9)
+    words = ["%x" % rng.getrandbits(b) for b in (1, 60, 63, 64, 65, 119, 120, 121, 128, 180, 240, 241, 900, 4000) for _ in range(6)]
+    words += ["f" * k for k in range(14, 62)] + ["1" + "0" * k for k in range(14, 62)]
+    assert col_values(spark, words, T.hex_digits_to_decimal) == [str(int(w, 16)) for w in words]
 
 
 LISTING = ("junk\nDisassembly of section .text:\n\n0000 <f>:\n   0:\t55\tpush %rbp # c\n   1:\t00 00\n"

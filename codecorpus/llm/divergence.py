@@ -2,8 +2,8 @@
 
 Counting is single-pass in-memory indexing: a task keeps a block of postings
 (term -> occurrences and documents, for each language and source) until the
-block is full, then spills it as term-sorted runs, one for each language,
-source and hash shard. A shard's runs are merged with a heap into frequencies; terms in
+block is full, then spills it as term-sorted runs, one for each language and
+hash shard. A shard's runs are merged with a heap into frequencies; terms in
 too few documents of their language go.
 
 A term's share is an integer, p = 1 + floor(10^9 (count + 5) / (N + 5 V)), so
@@ -17,8 +17,7 @@ from __future__ import annotations
 
 import heapq
 from collections import Counter
-from collections.abc import Iterator
-from itertools import repeat
+from collections.abc import Iterable, Iterator
 from zlib import crc32
 
 import numpy as np
@@ -34,7 +33,9 @@ MIN_DOCS, SCALE, PRIOR, TOP = 30, 10 ** 9, 5, 50
 #: Postings of a block and bytes of its texts (so that its counts fit 32 bits); a full block spills.
 BLOCK_POSTINGS, BLOCK_BYTES = 400_000, 1 << 30
 #: Postings of the runs that a merge holds before it makes them one run.
-MERGE_POSTINGS = 2_000_000
+MERGE_POSTINGS = 1_000_000
+#: Bytes of input files for one hash shard (at most one shard for each shuffle partition).
+SHARD_BYTES = 8 << 20
 #: Kept terms of a language in one task of the pair corrections.
 PAIR_TERMS = 50_000
 
@@ -42,7 +43,8 @@ PAIR_TERMS = 50_000
 #: A-Z become lower-case, letters and bytes of other characters stay.
 _FOLD = bytes(b | 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
-_RUN = "shard int, lang string, source string, terms array<binary>, counts array<int>, docs array<int>"
+_RUN = ("shard int, lang string, names array<string>, terms array<binary>, sources array<int>, counts array<int>, "
+        "docs array<int>")
 
 
 def terms_of(text: bytes | None) -> list[bytes]:
@@ -55,13 +57,14 @@ class Block:
     """Postings of one task until memory fills."""
 
     def __init__(self, shards: int):
-        self.shards, self.postings, self.size, self.bytes = shards, {}, 0, 0
+        self.shards, self.size, self.bytes = shards, 0, 0
+        self.postings: dict[str, dict[str, tuple[Counter, Counter]]] = {}
 
     def add(self, lang: str, source: str, text: bytes) -> None:
         terms = terms_of(text)
         if not terms:
             return
-        counts, docs = self.postings.setdefault((lang, source), (Counter(), Counter()))
+        counts, docs = self.postings.setdefault(lang, {}).setdefault(source, (Counter(), Counter()))
         self.size -= len(counts)
         counts.update(terms)
         docs.update(set(terms))
@@ -69,12 +72,17 @@ class Block:
         self.bytes += len(text)
 
     def spill(self) -> Iterator[pa.RecordBatch]:
-        """The block as term-sorted runs, one row per language, source and shard."""
-        for (lang, source), (counts, docs) in self.postings.items():
-            terms = sorted(counts)
-            shard = np.fromiter(map(crc32, terms), np.int64, len(terms)) % self.shards
-            order = np.argsort(shard, kind="stable")
-            shard = shard[order]
+        """The block as runs sorted by term and source, one row per language
+        and shard. A run names its sources once."""
+        for lang, held in self.postings.items():
+            names = sorted(held)
+            terms = [t for name in names for t in held[name][0]]
+            columns = [[n for name in names for n in map(held[name][i].__getitem__, held[name][0])] for i in (0, 1)]
+            sources = np.repeat(np.arange(len(names)), [len(held[name][0]) for name in names])
+            order = np.array(sorted(range(len(terms)), key=terms.__getitem__))  # equal terms stay in source order
+            shard = np.fromiter(map(crc32, terms), np.int64, len(terms))[order] % self.shards
+            by_shard = np.argsort(shard, kind="stable")
+            shard, order = shard[by_shard], order[by_shard]
             first = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1])))
             bounds = pa.array(np.append(first, len(terms)).astype(np.int32))
 
@@ -82,9 +90,9 @@ class Block:
                 return pa.ListArray.from_arrays(bounds, pa.array(values, kind).take(pa.array(order)))
             n = len(first)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(shard[first].astype(np.int32)), pa.array([lang] * n), pa.array([source] * n),
-                 lists(terms, pa.binary()), lists(map(counts.__getitem__, terms), pa.int32()),
-                 lists(map(docs.__getitem__, terms), pa.int32())], names=["shard", "lang", "source", "terms", "counts", "docs"])
+                [pa.array(shard[first].astype(np.int32)), pa.array([lang] * n), pa.array([names] * n, pa.list_(pa.string())),
+                 lists(terms, pa.binary()), lists(sources, pa.int32()), *[lists(c, pa.int32()) for c in columns]],
+                names=["shard", "lang", "names", "terms", "sources", "counts", "docs"])
         self.postings, self.size, self.bytes = {}, 0, 0
 
 
@@ -100,7 +108,7 @@ def _indexer(shards: int, block_postings: int):
     return run
 
 
-def merge_runs(runs: list[list[tuple]]) -> Iterator[tuple]:
+def merge_runs(runs: list[Iterable[tuple]]) -> Iterator[tuple]:
     """(term, source, occurrences, documents) of term-sorted runs, summed, in
     order: a heap holds the head of every run."""
     term = source = None
@@ -116,7 +124,7 @@ def merge_runs(runs: list[list[tuple]]) -> Iterator[tuple]:
         yield term, source, n, docs
 
 
-def kept_terms(runs: list[list[tuple]], min_docs: int) -> Iterator[tuple[bytes, list[str], list[int]]]:
+def kept_terms(runs: list[Iterable[tuple]], min_docs: int) -> Iterator[tuple[bytes, list[str], list[int]]]:
     """(term, sources, occurrences) of the terms that enough documents hold."""
     term, seen, sources, counts = None, 0, [], []
     for t, s, n, docs in merge_runs(runs):
@@ -131,6 +139,11 @@ def kept_terms(runs: list[list[tuple]], min_docs: int) -> Iterator[tuple[bytes,
         yield term, sources, counts
 
 
+def _values(cell: pa.Scalar) -> list:
+    """A list cell as a Python list, without an object for each scalar."""
+    return cell.values.to_numpy(zero_copy_only=False).tolist()
+
+
 def _merger(min_docs: int, merge_postings: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Runs arrive sorted by (lang, shard): one shard of one language is
@@ -138,12 +151,13 @@ def _merger(min_docs: int, merge_postings: int):
         at, runs, held, limit = None, [], 0, merge_postings
         for batch in batches:
             for row in range(batch.num_rows):
-                shard, lang, source, terms, counts, docs = (c[row].as_py() for c in batch.columns)
+                shard, lang, names = (batch.column(i)[row].as_py() for i in range(3))
+                terms, sources, counts, docs = (_values(batch.column(i)[row]) for i in range(3, 7))
                 if (lang, shard) != at:
                     if runs:
                         yield from _kept(at, runs)
                     at, runs, held, limit = (lang, shard), [], 0, merge_postings
-                runs.append(list(zip(terms, repeat(source), counts, docs)))
+                runs.append(zip(terms, map(names.__getitem__, sources), counts, docs))
                 held += len(terms)
                 if held > limit and len(runs) > 1:
                     runs = [list(merge_runs(runs))]
@@ -152,7 +166,7 @@ def _merger(min_docs: int, merge_postings: int):
         if runs:
             yield from _kept(at, runs)
 
-    def _kept(at: tuple[str, int], runs: list[list[tuple]]) -> Iterator[pa.RecordBatch]:
+    def _kept(at: tuple[str, int], runs: list[Iterable[tuple]]) -> Iterator[pa.RecordBatch]:
         rows = list(kept_terms(runs, min_docs))
         for i in range(0, len(rows), 10_000):
             terms, sources, counts = zip(*rows[i:i + 10_000], strict=True)
@@ -169,10 +183,12 @@ def frequencies(documents: DataFrame, scratch: Scratch, min_docs: int = MIN_DOCS
     with their occurrences in each source that holds them.
 
     ``documents`` has lang, source and text without nulls."""
-    shards = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    partitions = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(documents._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    shards = max(1, min(partitions, -(-size // SHARD_BYTES)))
     runs = documents.select("lang", "source", F.col("text").cast("binary")).mapInArrow(
         _indexer(shards, block_postings), _RUN)
-    merged = runs.repartition(shards, "lang", "shard").sortWithinPartitions("lang", "shard").mapInArrow(
+    merged = runs.repartition(partitions, "lang", "shard").sortWithinPartitions("lang", "shard").mapInArrow(
         _merger(min_docs, merge_postings), "lang string, term string, sources array<string>, counts array<long>")
     return scratch.save(merged, "frequencies")
 

@@ -201,7 +201,7 @@ def test_ann_recall(spark, sf):
     data = sorted((r["vec_id"], r["embedding"]) for r in df.collect())
     want = brute(np.array([d[0] for d in data]), np.array([d[1] for d in data]))
     got = {}
-    for r in ann.nearest(df, block_rows=700).collect():
+    for r in ann.nearest(df).collect():  # with the settings of the registered query
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
     assert got.keys() == want.keys()
     hit = 0
@@ -215,6 +215,53 @@ def test_ann_recall(spark, sf):
     assert hit / (20 * len(got)) >= 0.9
 
 
+def _block_figures(ids, vecs, asked):
+    """(recall, share of the block verified for a query) of one full block."""
+    results, verified = ann.search_block(ids, vecs, ids[asked], vecs[asked], 20, 0, 0.5)
+    hit, at = 0, 0
+    for best in results:
+        for i in range(len(best.query_ids)):
+            s = vecs @ vecs[asked[at]]
+            s[asked[at]] = -np.inf
+            hit += len(set(ids[np.argsort(-s)[:20]]) & set(best.ids[best.asked == i]))
+            at += 1
+    return hit / (20 * len(asked)), sum(verified) / (len(asked) * len(ids))
+
+
+def test_ann_block_of_check_size_verifies_few():
+    """16,384 vectors, the registered block size: directions with no cluster
+    at all, the hardest case."""
+    rng = np.random.default_rng(4)
+    vecs = rng.standard_normal((16_384, 64))
+    vecs /= np.linalg.norm(vecs, axis=1)[:, None]
+    recall, share = _block_figures(np.arange(16_384), vecs, np.arange(0, 16_384, 16))
+    assert recall >= 0.9 and share < 0.05
+    # one vector of 50 times the length is a range of its own and presses no other together
+    vecs[5] *= 50
+    recall, share = _block_figures(np.arange(16_384), vecs, np.arange(0, 16_384, 64))
+    assert recall >= 0.9 and share < 0.08
+
+
+def test_ann_norm_ranges():
+    rng = np.random.default_rng(6)
+    vecs = rng.standard_normal((6000, 16)) * np.exp(rng.standard_normal((6000, 1)))
+    recall, _ = _block_figures(np.arange(6000), vecs, np.arange(0, 6000, 20))
+    assert recall >= 0.95
+    places = ann.norm_ranges(np.linalg.norm(vecs, axis=1))
+    assert sorted(np.concatenate(places).tolist()) == list(range(6000)) and len(places) > 4
+
+
+def test_bit_sliced_counts():
+    rng = np.random.default_rng(2)
+    for m in (1, 2, 3, 5, 17, 64, 100):
+        sets = rng.integers(0, 2 ** 64, (m, 3, 2), np.uint64)
+        planes = ann.add_sets(iter(sets), m.bit_length())
+        counts = np.unpackbits(sets.view(np.uint8), axis=2, bitorder="little").astype(int).sum(axis=0)
+        for n in {1, m // 2 + 1, m}:
+            got = np.unpackbits(ann.at_least(planes, n).view(np.uint8), axis=1, bitorder="little")
+            assert (got == (counts >= n)).all()
+
+
 def test_ann_edges(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (20, [0.0, 2.0]), (1, [3.0, 4.0]), (2, None), (3, []), (4, [0.0, 0.0]), (5, [nan, 1.0]),

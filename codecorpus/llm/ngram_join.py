@@ -21,7 +21,7 @@ into parts of bounded size: first each part joins with itself, then the
 documents outside the cluster's largest component search the other parts.
 
 Skew: rows of one key collapse in every batch to its smallest id before the
-shuffle, equal sets collapse to one before the search, and inside a part the
+shuffle, tasks hand on stars instead of all links of keys, equal sets collapse to one before the search, and inside a part the
 document with the most common shingles searches first, so that the members
 of its component need no search of their own (a pair inside one component is
 no news). Nothing is capped.
@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from ..operators.joins import hot_cold_join
 from .common import Scratch, columns
-from .components import components
+from .components import Forest, components
 from .minhash import _WordHashes, shingle_set
 
 SHINGLE = 4
@@ -163,12 +163,14 @@ def _edges(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
 
 
 def _key_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows arrive sorted by (kind, key, a): the ids of a key become edges to
-    its smallest one; edges and nodes pass."""
+    """Rows arrive sorted by (kind, key, a): the ids of a key hang on its
+    smallest one, and with the edges of the batches they become stars, one
+    for each cluster that this task sees. Nodes pass."""
+    forest = Forest()
     last_key, last_lead = None, None
     for batch in batches:
         kind = np.asarray(batch.column(0))
-        n = int(np.searchsorted(kind, _EDGE))
+        n, e = (int(np.searchsorted(kind, x)) for x in (_EDGE, _NODE))
         if n:
             k, o = np.asarray(batch.column(1))[:n], np.asarray(batch.column(3))[:n]
             new = np.concatenate(([last_key is None or k[0] != last_key], k[1:] != k[:-1]))
@@ -178,10 +180,14 @@ def _key_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 lead[:run] = last_lead
             last_key, last_lead = k[-1], lead[-1]
             rest = o != lead
-            if rest.any():
-                yield _edges(o[rest], lead[rest])
-        if n < batch.num_rows:
-            yield batch.slice(n)
+            forest.add(o[rest], lead[rest])
+        if n < e:
+            forest.add(*(np.asarray(batch.column(i))[n:e] for i in (2, 3)))
+        if e < batch.num_rows:
+            yield batch.slice(e)
+    a, b = forest.stars()
+    if len(a):
+        yield _rows(_EDGE, a, pa.array(a), b)
 
 
 def heap_merge(lists: list[list[int]], need: int) -> dict[int, int]:

@@ -251,16 +251,21 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     texts = docs.where("id is not null and text is not null")
     sketch = scratch.save(docs.mapInPandas(_sketcher(bands, rows, seed),
                                            "id long, n long, print binary, keys array<long>"), "sketch")
-    full = sketch.where("n > 0 and id is not null")
-    classes = scratch.save(full.groupBy("print").agg(F.min("id").alias("rep")), "classes")
-    reps = full.join(classes.select(F.col("print").alias("_p"), "rep"),
-                     (F.col("print") == F.col("_p")) & (F.col("id") == F.col("rep"))).select("id", "n", "keys")
-    reps = scratch.save(reps, "reps")
-    members = scratch.save(reps.select("id", "n", F.explode("keys").alias("key")).distinct(), "members")
+    ids = scratch.save(sketch.drop("keys"), "ids")
+    full = ids.where("n > 0 and id is not null")
+    per_id = full.groupBy("print", "id").agg(F.count("n").alias("times"))
+    classes = scratch.save(per_id.groupBy("print").agg(F.min(F.struct("id", "times")).alias("first"))
+                           .select("print", F.col("first.id").alias("rep"), F.col("first.times").alias("times")), "classes")
+    reps = sketch.where("n > 0 and id is not null").join(
+        classes.select(F.col("print").alias("_p"), "rep"), (F.col("print") == F.col("_p")) & (F.col("id") == F.col("rep")))
+    if not classes.where("times > 1").isEmpty():  # the row of a class's smallest id is repeated
+        reps = reps.dropDuplicates(["id", "print"])
+    reps = scratch.save(reps.select("id", "n", "keys"), "reps")
+    scratch.drop("sketch")
+    members = reps.select("id", "n", F.explode("keys").alias("key"))
     leads = (members.groupBy("key").agg(F.min(F.struct("id", "n")).alias("lead"), F.count("id").alias("size"))
-             .where("size > 1").select("key", "lead"))
-    buckets = scratch.save(members.join(leads, "key").select("key", "id", "n", "lead"), "buckets")
-    scratch.drop("members")
+             .where("size > 1").select(F.col("key").alias("_k"), "lead"))
+    buckets = scratch.save(members.join(leads, F.col("key") == F.col("_k")).select("key", "id", "n", "lead"), "buckets")
     fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
     alike = buckets.select("id").distinct().hint("merge")  # ids with a candidate; as many as the corpus has
     texts = scratch.save(texts.join(alike, "id", "left_semi"), "texts")
@@ -276,9 +281,10 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     mixed = (counts.groupBy("key").agg(F.count("c").alias("kinds"), F.max(F.struct("size", "c")).alias("top"))
              .where("kinds > 1").select("key", F.col("top.c").alias("top")))
     rest = scratch.save(marked.join(mixed, "key"), "rest")
-    ids = rest.select("id").distinct()
-    items = texts.join(ids.hint("merge"), "id", "left_semi").mapInPandas(_small_sets, "id long, items binary")
+    compared = rest.select("id").distinct()
+    items = texts.join(compared.hint("merge"), "id", "left_semi").mapInPandas(_small_sets, "id long, items binary")
     views = scratch.save(reps.select("id", "keys").join(items, "id"), "views")
+    scratch.drop("reps")
     cross = cross_pairs(rest.join(views.hint("merge"), "id"), percent).distinct().join(star, ["a", "b"], "left_anti")
     cross = scratch.save(cross, "cross")
     more = scratch.save(confirmed(_with_parts(cross), texts, percent), "links-cross")
@@ -289,7 +295,7 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
              .select(F.col("print").alias("_p"), F.coalesce("component", "rep").alias("_c")))
     linked = (full.select("id", "n", "print").join(named, F.col("print") == F.col("_p"), "left")
               .select("id", "n", "_c"))
-    alone = sketch.where("n = 0 or id is null").select("id", "n", F.col("id").alias("_c"))
+    alone = ids.where("n = 0 or id is null").select("id", "n", F.col("id").alias("_c"))
     return (linked.unionByName(alone)
             .select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("_c").alias("component_id"),
                     F.coalesce(F.col("id") == F.col("_c"), F.lit(True)).alias("kept")))

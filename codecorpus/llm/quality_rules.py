@@ -8,13 +8,13 @@ labelled good) and the raw corpus (all texts), divided by the number of
 n-grams. A document is kept if no base rule fails and the score reaches a
 fixed threshold; the same threshold decides every document.
 
-The raw counts cover every n-gram of every document. The target counts come
-from at most ``max_target`` labelled rows (smallest seeded hash of the id),
-a documented bound that lets their ids be broadcast, so no text is shuffled.
-The model is one log ratio per bucket, a constant array of the scoring scan.
-It has 2^14 buckets, and up to 2^18 as far as the target holds ``PER_BUCKET``
-n-grams a bucket: bigrams keep their signal in a large corpus, and a small
-target is not drowned by the smoothing.
+The raw counts cover every n-gram of every document, the target counts every
+document labelled good. The model is one log ratio per bucket, a constant
+array of the scoring scan, with the same number of buckets at every size. A
+bucket's target count is compared with the count that the raw share predicts,
+both raised by a constant (the posterior mean of a Poisson rate under a gamma
+prior of mean 1): a bucket that a small target could not show says nothing,
+and evidence grows with the counts.
 """
 
 from __future__ import annotations
@@ -23,21 +23,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.regex import let
-from .common import WORD, Scratch, bounded_sample, columns, held_out
+from .common import WORD, Scratch, columns, held_out
 
 #: Fixed values of the base rules.
 SYMBOLS = r"[#*$%&|<>]"
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
-#: Kept documents have at least this log ratio per n-gram. Set by the
-#: shares kept and lost of labels outside the held-out fold, between -0.1 and
-#: -0.15 also with a view to those inside it (README).
-THRESHOLD = -0.12
-#: Fewest and most buckets, and the target n-grams a bucket that double them.
-BUCKETS = 1 << 14
-MOST_BUCKETS = 1 << 18
-PER_BUCKET = 16
+#: Kept documents have at least this log ratio per n-gram. Set, with the
+#: prior, on labels outside the held-out fold alone: learnt from those whose
+#: crc32 leaves 0 when divided by 3, judged on those that leave 2 (README).
+THRESHOLD = -0.06
+#: Weight of the prior: target n-grams of a bucket that count as much as it.
+PRIOR = 10.0
+#: Buckets of the hashed n-grams, at every size of target and corpus.
+BUCKETS = 1 << 18
 
 
 def words(text: Column) -> Column:
@@ -92,52 +92,43 @@ def _hashed(ws: Column) -> Column:
 
 
 def log_ratios(documents: DataFrame, labels: DataFrame, scratch: Scratch, id_col: str = "doc_id",
-               text_col: str = "text", label_col: str = "quality", buckets: int | None = None,
-               max_target: int = 20_000, seed: int = 0, smoothing: float = 1.0) -> DataFrame:
-    """(bucket, ratio) for every bucket: log target share minus log raw share
-    of the n-grams, both smoothed. Labels of the held-out fold are not read;
-    a document with contradicting labels is not trusted. Without trusted
-    texts every ratio is 0. Without ``buckets`` their number follows the
-    target's n-grams."""
+               text_col: str = "text", label_col: str = "quality", buckets: int = BUCKETS,
+               prior: float = PRIOR) -> DataFrame:
+    """(bucket, ratio) for every bucket: log of the n-grams of the target over
+    those that the raw share predicts for it, both raised by ``prior``. Labels of the held-out fold are not read;
+    a document with contradicting labels is not trusted; all trusted documents
+    are counted. Without trusted texts every ratio is 0."""
     trusted = (columns(labels, _id=id_col, _y=label_col).where("_id is not null and _y is not null")
                .where(~held_out("_id")).groupBy("_id").agg(F.min("_y").alias("_y")).where("_y = 1"))
-    trusted = bounded_sample(trusted.select("_id"), "_id", max_target, seed).withColumn("good", F.lit(1))
+    trusted = trusted.select("_id", F.lit(1).alias("good"))
     docs = columns(documents, _id=id_col, _text=text_col)
-    grams = (docs.join(F.broadcast(trusted), "_id", "left").select("good", _hashed(words(F.col("_text"))).alias("h"))
+    grams = (docs.join(trusted, "_id", "left").select("good", _hashed(words(F.col("_text"))).alias("h"))
              .select("good", F.explode(F.concat("h", joined(F.col("h"), 1))).alias("g")))
-    counts = (grams.groupBy(bucket(F.col("g"), buckets or MOST_BUCKETS).alias("b"))
+    counts = (grams.groupBy(bucket(F.col("g"), buckets).alias("b"))
               .agg(F.count(F.lit(1)).alias("raw"), F.count("good").alias("target")))
     counts = scratch.save(counts, "counts")
     sums = counts.agg(F.coalesce(F.sum("raw"), F.lit(0)), F.coalesce(F.sum("target"), F.lit(0))).first()
-    if not buckets:
-        buckets = MOST_BUCKETS
-        while buckets > BUCKETS and sums[1] < PER_BUCKET * buckets:
-            buckets //= 2
-        # powers of two: the remainder of a remainder is the bucket itself
-        counts = counts.groupBy(bucket(F.col("b"), buckets).alias("b")).agg(
-            F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     every = documents.sparkSession.range(buckets).select(F.col("id").cast("int").alias("b"))
     if not sums[1]:
         return every.withColumn("ratio", F.lit(0.0))
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0)) + F.lit(smoothing)
-    return every.join(counts, "b", "left").select(
-        "b", (F.log(zero("target") / (float(sums[1]) + smoothing * buckets))
-              - F.log(zero("raw") / (float(sums[0]) + smoothing * buckets))).alias("ratio"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    predicted = zero("raw") * float(sums[1]) / float(sums[0])
+    return every.join(counts, "b", "left").select("b", F.log((zero("target") + prior) / (predicted + prior)).alias("ratio"))
 
 
 def quality_rules(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                  threshold: float = THRESHOLD, buckets: int | None = None, max_target: int = 20_000) -> DataFrame:
+                  threshold: float = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:
     """One row per document: doc_id, n_words, word_chars, n_symbols,
     n_dup_lines, n_repeat_words, base_failed, score, kept.
 
     Null and empty texts have zero counts and score 0 and fail the base rule
     on words. Repeated rows are judged each; an empty table gives no rows."""
     scratch = Scratch(documents.sparkSession, "rules")
-    ratios = log_ratios(documents, labels, scratch, id_col, text_col, buckets=buckets, max_target=max_target)
-    # one row, of at most MOST_BUCKETS values whatever the corpus
-    model = ratios.agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(F.struct("b", "ratio"))).alias("m")).select(
-        "n", F.array_join(F.transform("m.ratio", lambda x: F.round(x, 9).cast("string")), ",")).first()
-    buckets, model = model[0], F.split(F.lit(model[1]), ",").cast("array<double>")
+    ratios = log_ratios(documents, labels, scratch, id_col, text_col, buckets=buckets)
+    # one row of ``buckets`` values whatever the corpus
+    model = ratios.agg(F.sort_array(F.collect_list(F.struct("b", "ratio"))).alias("m")).select(
+        F.array_join(F.transform("m.ratio", lambda x: F.round(x, 9).cast("string")), ",")).first()
+    model = F.split(F.lit(model[0]), ",").cast("array<double>")
     docs = columns(documents, doc_id=id_col, text=text_col).withColumn("ws", words(F.col("text")))
     docs = docs.select(
         "doc_id", F.size("ws").cast("long").alias("n_words"),

@@ -43,7 +43,7 @@ TARGET_FACTOR = 1.25
 NEGATION_FACTOR = 0.5
 REPORT_FACTOR = 0.5
 NEGATION_REACH = 3
-STEM_LENGTHS = range(3, 11)
+STEM_LENGTHS = range(5, 11)
 
 _WORD = re.compile(r"[^\W_]+(?:'[^\W_]+)?")
 _CLAUSE_END = re.compile(r"[.!?;:,\n]")
@@ -171,17 +171,19 @@ def learn(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
 
     Only rows outside the held-out fold are read, at most ``max_labelled``
     of them (smallest seeded hash of the id); a document with contradicting
-    labels counts as toxic. Arcs are whole words and stems of 3 to 10
+    labels counts as toxic. Arcs are whole words and stems of 5 to 10
     letters, weighted by the lower bound of their log odds between toxic and
-    clean texts (equal texts count once); at most ``max_arcs`` candidates
-    reach the driver. Without toxic and clean rows the grammar has no arcs
+    clean texts (equal texts count once); at most ``max_arcs`` candidates, the
+    heaviest, reach the driver. An arc stays if it covers ``min_support`` texts
+    that others leave open, at every size of the sample. An id with several
+    texts is one row, its smallest text. Without toxic and clean rows the grammar has no arcs
     and the calibration stays at its default."""
     spark = documents.sparkSession
     marks = (columns(labels, _id=id_col, _y=label_col).where(F.col("_id").isNotNull() & F.col("_y").isNotNull())
              .where(~held_out("_id")).groupBy("_id").agg(F.max("_y").cast("int").alias("_y")))
     marks = bounded_sample(marks, "_id", max_labelled, seed)
     docs = columns(documents, _id=id_col, _text=text_col).where(F.col("_text").isNotNull())
-    train = docs.join(F.broadcast(marks), "_id")
+    train = docs.join(F.broadcast(marks), "_id").groupBy("_id").agg(F.min("_text").alias("_text"), F.first("_y").alias("_y"))
     words = (train.select("_y", F.lower("_text").alias("_t"))
              .groupBy("_t").agg(F.max("_y").alias("_y"))
              .select("_y", F.explode(F.array_distinct(F.regexp_extract_all("_t", F.lit(r"[\p{L}\p{N}]+"), F.lit(0))))
@@ -199,7 +201,7 @@ def learn(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     odds = (F.log((F.col("n1") + 0.5) / F.lit(float(sizes[0]))) - F.log((F.col("n0") + 0.5) / F.lit(float(sizes[1])))
             - 1.64 * F.sqrt(1 / (F.col("n1") + 0.5) + 1 / (F.col("n0") + 0.5)))
     top = (arcs.withColumn("w", odds).where(F.col("w") >= 1.5)
-           .orderBy(F.desc("n1"), F.desc("w"), "arc").limit(max_arcs).collect())
+           .orderBy(F.desc("w"), F.desc("n1"), "arc").limit(max_arcs).collect())
     names, weights = [r["arc"] for r in top], [float(r["w"]) for r in top]
     grammar = Grammar(dict(zip(names, weights)))
     index = {a: i for i, a in enumerate(names)}
@@ -215,7 +217,7 @@ def learn(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
 
     toxic = [r["a"] for r in train.where("_y = 1").mapInPandas(matches, "_t string, a array<int>")
              .dropDuplicates(["_t"]).select("a").collect()]
-    kept = _cover(toxic, weights, max(min_support, len(toxic) // 150))
+    kept = _cover(toxic, weights, min_support)
     grammar.arcs = {names[i]: weights[i] for i in kept}
     rows = train.mapInPandas(_measure(grammar, "_y"), "_y int, total double, strongest double").collect()
     x = np.array([features(r["total"], r["strongest"]) for r in rows])

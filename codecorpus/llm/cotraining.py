@@ -160,8 +160,10 @@ def learn(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     use = bounded_sample(marks.where(~held_out("_id")), "_id", max_labelled, seed)
     unlabelled = docs.select("_id").where("_id is not null").join(marks.select("_id"), "_id", "left_anti").distinct()
     use = use.unionByName(bounded_sample(unlabelled, "_id", max_pool, seed + 1).withColumn("_y", F.lit(-1.0)))
+    # one row for each sampled id, whatever the number of its rows: at most max_labelled + max_pool reach the driver
+    one = F.min(F.struct("c", "m", "y")).alias("x")
     rows = (docs.join(F.broadcast(use), "_id").mapInPandas(_vectors, "id long, y double, c binary, m binary")
-            .toPandas().sort_values(["id", "c"]).drop_duplicates("id"))
+            .groupBy("id").agg(one).select("id", "x.y", "x.c", "x.m").toPandas().sort_values("id"))
     width = SOURCE_SLOTS + LANG_SLOTS + 2
     c = np.frombuffer(b"".join(rows["c"]), np.float32).reshape(-1, 256 + _EXTRAS).astype(np.float64)
     m = np.frombuffer(b"".join(rows["m"]), np.float32).reshape(-1, width).astype(np.float64)

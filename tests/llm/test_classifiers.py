@@ -76,3 +76,29 @@ def test_cotraining_exchanges_labels():
                                 (strong[check], weak[check]), y[check], rounds, 0.9, 200)
         accuracy.append(((m.views[1].logit(weak[check]) > 0) == (y[check] > 0)).mean())
     assert accuracy[1] > accuracy[0] + 0.05
+
+
+def test_toxicity_learns_words_not_syllables(spark):
+    """Ordinary words that share a beginning with learnt ones; figures of the
+    held-out fold (144 toxic, 1,200 clean at sf0.1)."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    grammar = toxicity.learn(docs, labels)
+    assert all(a.startswith("=") or len(a) >= 5 for a in grammar.arcs)
+    plain = ["We discuss more training this morning.", "The discovery of sculpture and the history of travel and trade.",
+             "Students pay for the train to the old town."]
+    rows = toxicity.scores(spark.createDataFrame([(t,) for t in plain], "text string"), grammar).collect()
+    assert all(r["toxicity"] < 0.1 for r in rows)
+    judged = toxicity.scores(docs.join(labels, "doc_id").where(toxicity.held_out("doc_id")), grammar)
+    n = {(r["toxic"], r["p"]): r["count"] for r in judged.groupBy("toxic", (judged["toxicity"] >= 0.7).alias("p")).count().collect()}
+    assert n[1, True] >= 111 and n.get((0, True), 0) <= 3
+
+
+def test_an_id_with_very_many_rows_is_one_training_row(spark, monkeypatch):
+    docs = spark.range(600).selectExpr("id % 30 AS doc_id", "concat('plain text number ', id) AS text", "'s' AS source",
+                                       "'en' AS lang", "20L AS n_chars")
+    labels = spark.range(30).selectExpr("id AS doc_id", "cast(id % 2 AS int) AS quality", "cast(id % 2 AS int) AS toxic")
+    sent = []
+    whole = type(docs).toPandas
+    monkeypatch.setattr(type(docs), "toPandas", lambda self: (sent.append(whole(self)), sent[-1])[1])
+    cotraining.learn(docs, labels)
+    assert sum(map(len, sent)) <= 30 and toxicity.learn(docs, labels).arcs == {}

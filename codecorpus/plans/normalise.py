@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import joins, metrics
+from ..operators.memo import Memo
 from ..operators.partitioning import spread
 from ..operators.select import select_where
 from ..session import ensure_checkpoint_dir
@@ -350,6 +351,25 @@ SELECT k.doc_id, coalesce(c.header, k.header) AS header,
 FROM k LEFT JOIN c USING (doc_id)"""
 
 
+def memo_runs(spark: SparkSession, d: str) -> DataFrame:
+    """J6 + J7 between runs: a first run memoises the headers of the labelled
+    documents, a second one of all; every document's header, and the run that
+    computed it (the second computes only texts that are new)."""
+    memo = Memo(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/memo-{uuid.uuid4().hex}")
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    labelled = docs.join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi")
+    runs = [memo.extend(rows, "text", header_of).select("key", F.lit(n).alias("run")) for n, rows in ((1, labelled), (2, docs))]
+    known = joins.union_all(runs).join(memo.table().select("key"), "key")
+    keyed = memo.results(docs, "text", "header").withColumn("key", joins.text_key(F.col("text")))
+    counted = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).join(known, "key")
+    return joins.hot_cold_join(keyed, counted, "key", "n").select("doc_id", "header", "run")
+
+
+MEMO_RUNS_SQL = f"""WITH h AS (SELECT doc_id, text, {HEADER_SQL.format(x='text')} AS header FROM documents),
+first AS (SELECT DISTINCT text FROM h JOIN labels USING (doc_id))
+SELECT doc_id, header, CASE WHEN first.text IS NULL THEN 2 ELSE 1 END AS run FROM h LEFT JOIN first USING (text)"""
+
+
 QUERIES = {
     "t1_comment_removal": comment_removal,
     "t2_naive_comment_removal": naive_comment_removal,
@@ -365,6 +385,7 @@ QUERIES = {
     "a9_a10_header_failures": header_failures,
     "j8_enrich_or_drop": enrich_or_drop,
     "j6_cached_headers": cached_headers,
+    "j6_j7_memo_runs": memo_runs,
 }
 
 ORACLE = {
@@ -382,4 +403,5 @@ ORACLE = {
     "a9_a10_header_failures": HEADER_FAILURES_SQL,
     "j8_enrich_or_drop": ENRICH_OR_DROP_SQL,
     "j6_cached_headers": CACHED_HEADERS_SQL,
+    "j6_j7_memo_runs": MEMO_RUNS_SQL,
 }

@@ -19,6 +19,7 @@ agree.
 
 from __future__ import annotations
 
+import math
 import random
 
 import numpy as np
@@ -102,16 +103,44 @@ def landing(p: list[float], z: list[float]) -> None:
         p[i] = float(best[b])
 
 
+def settle_giants(p: list[float], z: list[float], room: float, rng: random.Random) -> None:
+    """Settle the entries of more than ``room`` words, which the flight would
+    keep open to its end and the landing could not make up for: systematic
+    sampling by their probabilities. What that adds or takes in words is
+    spread evenly over the probabilities of the others."""
+    begin, at, spare = rng.random(), 0.0, 0.0
+    for i in range(len(p)):
+        if z[i] > room and _EPS < p[i] < 1 - _EPS:
+            before, at = math.floor(at + begin), at + p[i]
+            chosen = float(math.floor(at + begin) - before)
+            spare += (p[i] - chosen) * z[i]
+            p[i] = chosen
+    for _ in range(20):
+        rest = [i for i in range(len(p)) if z[i] and (_EPS < p[i] if spare < 0 else p[i] < 1 - _EPS) and z[i] <= room]
+        words = sum(z[i] for i in rest if _EPS < p[i] < 1 - _EPS)
+        if abs(spare) < 0.5 or not words:
+            return
+        shift = spare / words
+        for i in rest:
+            if _EPS < p[i] < 1 - _EPS:
+                moved = min(1.0, max(0.0, p[i] + shift))
+                spare -= (moved - p[i]) * z[i]
+                p[i] = moved
+
+
 def _settle(seed: int, round_no: int, land: int):
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(["size", "tie"], ascending=[False, True], kind="stable")
         p, z = g["p"].tolist(), g["size"].astype(float).tolist()
         last = g["chunks"].iloc[0] == 1
-        kept = {int((i + 1) * len(p) / land) - 1: 0.0 for i in range(land)} if last else {}
-        kept = {i: p[i] for i in kept if i >= 0}
+        rng = random.Random(f"{seed}|{round_no}|{g['source'].iloc[0]!r}|{g['chunk'].iloc[0]}")
+        spared = {i for i in (int((i + 1) * len(p) / land) - 1 for i in range(land)) if i >= 0} if last else set()
+        if last:
+            settle_giants(p, z, sum(z[i] for i in spared) / 2, rng)
+        kept = {i: p[i] for i in spared}
         for i in kept:  # these take no part in the last flight, only in the landing
             p[i] = 0.0
-        flight(p, z, random.Random(f"{seed}|{round_no}|{g['source'].iloc[0]!r}|{g['chunk'].iloc[0]}"))
+        flight(p, z, rng)
         if last:
             for i, q in kept.items():
                 p[i] = q

@@ -44,6 +44,27 @@ def test_flight_keeps_totals():
     assert abs(sum(p) - 185) < 1e-6 and abs(sum(a * b for a, b in zip(p, z)) - 0.37 * sum(z)) < 1e-4
 
 
+def test_giants_do_not_stay_open():
+    """One text of a twelfth of its source: the words promised are taken."""
+    rng = random.Random(3)
+    for seed in range(20):
+        z = sorted([20_000.0, *(float(rng.randrange(1, 900)) for _ in range(500))], reverse=True)
+        p = [0.6176] * len(z)
+        want = sum(a * b for a, b in zip(p, z))
+        mixing.settle_giants(p, z, 1900.0, random.Random(seed))
+        assert p[0] in (0.0, 1.0) and all(0 <= x <= 1 for x in p)
+        assert abs(sum(a * b for a, b in zip(p, z)) - want) < 1
+    p, z = [0.5, 0.5], [50.0, 60.0]  # nothing can make up for them
+    mixing.settle_giants(p, z, 10.0, random.Random(1))
+    assert sorted(p) == [0.0, 1.0]
+
+
+def test_mix_lands_within_a_thousandth(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    for r in mixing.mix(df).groupBy("source").agg({"target": "max", "taken": "sum"}).collect():
+        assert abs(r["sum(taken)"] - r["max(target)"]) <= 0.001 * r["max(target)"]
+
+
 def test_mix_reaches_targets_and_reruns_agree(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     first, again = mixing.mix(docs).collect(), mixing.mix(docs.repartition(5)).collect()

@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter
 
@@ -7,6 +8,7 @@ import pytest
 import xxhash
 
 from codecorpus.llm import ann, html_text, licenses, quality_rules
+from codecorpus.llm.common import Scratch
 from llm_fixtures import edge_docs, edge_labels, no_docs, no_labels  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
@@ -184,6 +186,58 @@ def test_hosts_of_copies_keep_their_text(spark):
     assert {r["text"] for r in html_text.extract(df).collect()} == {"Same words everywhere"}
 
 
+def _renamed(page):
+    """The same page without a telling name: article, menu, footer and advert
+    become boxes of meaningless classes."""
+    for tag, name in (("article", "k1"), ("nav", "k2"), ("footer", "k3")):
+        page = page.replace(f"<{tag}>", f'<div class="{name}">').replace(f"</{tag}>", "</div>")
+    return page.replace('class="ad"', 'class="k4"')
+
+
+def test_tree_finds_articles_without_names(spark):
+    """All pages of sf0.1 with their names taken away: the tree alone decides."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    want = {r["page_id"]: r["text"] for r in html_text.extract(pages).collect()}
+    rows = [(r["page_id"], r["url"], _renamed(r["html"])) for r in pages.collect()]
+    plain = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_text.extract(plain).collect()}
+    assert sum(got[i] == want[i] for i in want) >= 0.95 * len(want)
+    # without the tree's figures the same pages keep their furniture
+    assert sum(html_text.main_text(h, {}) == want[i] for i, _, h in rows) < 0.05 * len(want)
+
+
+def test_style_tree_against_brute_force(spark):
+    rng = random.Random(8)
+    shared = ["<div class=m><ul><li><a href=/>Home</a></li><li><a href=/>About us</a></li></ul></div>", "<div class=f>Rights</div>"]
+    pages = [(f"h{i % 3}.example", f"<body>{shared[0]}<div class=a>" + "".join(
+        f"<p>{' '.join(rng.choices(['red', 'blue', 'green', 'old'], k=rng.randrange(1, 6)))} <a>x{i}</a></p>"
+        for _ in range(rng.randrange(1, 6))) + f"</div>{shared[1]}</body>") for i in range(40)]
+    pages += pages[:5]
+    df = spark.createDataFrame(pages, "host string, html string")
+    got = {(r["host"], r["node"]): r for r in html_text.style_tree(df, Scratch(spark, "tree-test"), pooled_pages=0).collect()}
+    stats = {}
+    for host, page in sorted(set(pages)):
+        layouts, text = [], Counter()
+        found = list(html_text.blocks(page, layouts))
+        for block, branch, linked in found:
+            for b in branch:
+                if b[1] != html_text.ROOT:
+                    text[b[0], "chars"] += len(block)
+                    text[b[0], "links"] += round(len(block) * linked)
+        for node in {n for n, _ in text}:
+            x = stats.setdefault((host, node), {"layouts": Counter(), "chars": 0, "links": 0, "page": 0})
+            x["layouts"].update(h for n, h in layouts if n == node)
+            x["chars"] += text[node, "chars"]
+            x["links"] += text[node, "links"]
+            x["page"] += sum(len(b) for b, _, _ in found)
+    assert stats.keys() == got.keys()
+    for key, x in stats.items():
+        n = sum(x["layouts"].values())
+        entropy = -sum(c / n * np.log(c / n) for c in x["layouts"].values())
+        want = (1 - np.exp(-entropy), x["links"] / x["chars"], x["chars"] / x["page"])
+        assert np.allclose([got[key][c] for c in ("presentation", "links", "share")], want)
+
+
 def brute(ids, vecs, k=20):
     out = {}
     for i, q in zip(ids, vecs):

@@ -9,8 +9,6 @@ only the per-distinct enrichment shuffles (on the key).
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +17,7 @@ from ..operators import joins, metrics
 from ..operators.memo import Memo
 from ..operators.partitioning import spread
 from ..operators.select import select_where
-from ..session import ensure_checkpoint_dir
+from ..session import scratch_folder
 from ..sources import sinks
 from ..sources.tables import table
 from . import sqlparts as q
@@ -242,7 +240,7 @@ WHERE code_norm IS NULL OR (code_norm <> '' AND {good_func_sql('code_norm')})"""
 def observed_log(spark: SparkSession, d: str) -> DataFrame:
     """A11 + K7: the normalised functions written as a log; the totals, the
     accepted rows and the rows of each level come from that one write."""
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/observed-{uuid.uuid4().hex}"
+    path = scratch_folder(spark, "observed")
     rows = c_functions(spark, d).select("func_id", F.concat(F.lit("O"), (F.col("func_id") % 3).cast("string")).alias("opt"),
                                         T.normalise_pseudo("code", _layout).alias("code_norm"))
     log = rows.withColumn("status", T.accept_status("code_norm"))
@@ -355,7 +353,7 @@ def memo_runs(spark: SparkSession, d: str) -> DataFrame:
     """J6 + J7 between runs: a first run memoises the headers of the labelled
     documents, a second one of all; every document's header, and the run that
     computed it (the second computes only texts that are new)."""
-    memo = Memo(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/memo-{uuid.uuid4().hex}")
+    memo = Memo(spark, scratch_folder(spark, "memo"))
     docs = table(spark, d, "documents").select("doc_id", "text")
     labelled = docs.join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi")
     runs = [memo.extend(rows, "text", header_of).select("key", F.lit(n).alias("run")) for n, rows in ((1, labelled), (2, docs))]

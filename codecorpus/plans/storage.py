@@ -5,7 +5,6 @@ rows compared with the tables themselves."""
 from __future__ import annotations
 
 import json
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,24 +14,20 @@ from ..functions import permutation
 from ..functions import text as T
 from ..functions.permutation import md5_round
 from ..operators import joins, metrics, ordering, select
-from ..session import ensure_checkpoint_dir
+from ..session import scratch_folder
 from ..sources import positions, readers, sinks, trees
 from ..sources.tables import table
 from . import sqlparts as q
 from . import standins as st
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def _schema(ddl: str) -> StructType:
     return StructType.fromDDL(ddl)
 
 
 def json_arrays(spark: SparkSession, d: str) -> DataFrame:
     """K1 -> S1: documents as JSON arrays and back, whole texts."""
-    docs, path = table(spark, d, "documents").select("doc_id", "lang", "text"), _folder(spark, "arrays")
+    docs, path = table(spark, d, "documents").select("doc_id", "lang", "text"), scratch_folder(spark, "arrays")
     sinks.write_json_array(docs, path, ["doc_id"])
     back = readers.read_json_array(spark, path, _schema("doc_id long, lang string, text string"))
     return back.select("doc_id", "lang", F.md5("text").alias("text_md5"))
@@ -43,7 +38,7 @@ JSON_ARRAYS_SQL = "SELECT doc_id, lang, md5(text) AS text_md5 FROM documents"
 
 def appended_lines(spark: SparkSession, d: str) -> DataFrame:
     """K2 -> S2: labels appended in two runs and read as one."""
-    labels, path = table(spark, d, "labels"), _folder(spark, "lines")
+    labels, path = table(spark, d, "labels"), scratch_folder(spark, "lines")
     sinks.write_jsonl(labels.where("quality = 0"), path, "append")
     sinks.write_jsonl(labels.where("quality <> 0"), path, "append")
     return readers.read_jsonl(spark, path, _schema("doc_id long, quality int, toxic int"))
@@ -54,7 +49,7 @@ APPENDED_LINES_SQL = "SELECT doc_id, CAST(quality AS INTEGER) AS quality, CAST(t
 
 def line_folders(spark: SparkSession, d: str) -> DataFrame:
     """K1 (lines) -> S3: one folder per role, two of them read together."""
-    turns, root = table(spark, d, "conversations"), _folder(spark, "folders")
+    turns, root = table(spark, d, "conversations"), scratch_folder(spark, "folders")
     for role in ("user", "assistant", "system"):
         sinks.write_jsonl(turns.where(F.col("role") == role), f"{root}/{role}")
     back = readers.read_jsonl_dirs(spark, f"{root}/user,{root}/assistant",
@@ -68,7 +63,7 @@ WHERE role IN ('user', 'assistant')"""
 
 def source_tree(spark: SparkSession, d: str) -> DataFrame:
     """One text file per nation, every file one row."""
-    root = _folder(spark, "tree")
+    root = scratch_folder(spark, "tree")
     names = table(spark, d, "customer").select("c_nationkey", "c_name")
     names.repartition("c_nationkey").sortWithinPartitions("c_nationkey", "c_name").write.partitionBy("c_nationkey").text(root)
     files = readers.read_source_tree(spark, root, "*.txt")
@@ -83,7 +78,7 @@ FROM customer GROUP BY c_nationkey"""
 def tokenised_sets(spark: SparkSession, d: str) -> DataFrame:
     """K6 -> S6: columnar parts with a split column and a JSONL copy; the
     validation rows, an unsplit set beside them, and the copy's size."""
-    root = _folder(spark, "sets")
+    root = scratch_folder(spark, "sets")
     k = F.col("doc_id") % 10
     docs = table(spark, d, "documents").select("doc_id", "n_chars", F.when(k == 0, "test").when(
         k == 1, "validation").otherwise("train").alias("split"))
@@ -105,7 +100,7 @@ UNION ALL SELECT count(*), split FROM s GROUP BY split"""
 def dataset_registry(spark: SparkSession, d: str) -> DataFrame:
     """A registry file names two data sets and their files; both are
     registered from it and queried by name."""
-    root = _folder(spark, "registry")
+    root = scratch_folder(spark, "registry")
     orders, customers = table(spark, d, "orders").select("o_orderkey", "o_custkey"), table(spark, d, "customer").select("c_custkey")
     sinks.write_json_array(orders, f"{root}/data/orders.json")
     sinks.write_jsonl(customers, f"{root}/data/customers.jsonl")
@@ -123,7 +118,7 @@ GROUP BY c_custkey"""
 
 def keyword_lists(spark: SparkSession, d: str) -> DataFrame:
     """Comma-separated lines (one per order) -> distinct names."""
-    path = _folder(spark, "keywords")
+    path = scratch_folder(spark, "keywords")
     words = table(spark, d, "lineitem").groupBy("l_orderkey").agg(
         F.array_join(F.transform(F.collect_list("l_partkey"), lambda p: F.concat(F.lit(" part"), p.cast("string"))), " ,")
         .alias("value"))
@@ -145,7 +140,7 @@ def _results(spark: SparkSession, d: str) -> DataFrame:
 def result_files(spark: SparkSession, d: str) -> DataFrame:
     """K3 -> S5: one named file for each prediction, below decompiler and
     level; the tree is walked and parsed back."""
-    path = _folder(spark, "files")
+    path = scratch_folder(spark, "files")
     sinks.write_result_files(_results(spark, d), path, ["decompiler", "opt"])
     back = readers.read_prediction_tree(spark, path)
     return back.select("index", "opt", "language", "decompiler", F.md5("prediction").alias("prediction_md5"))
@@ -159,7 +154,7 @@ FROM samples JOIN predictions USING (sample_id)"""
 
 def result_tree(spark: SparkSession, d: str) -> DataFrame:
     """K3: predictions partitioned by level and language, read back."""
-    path = _folder(spark, "results")
+    path = scratch_folder(spark, "results")
     s = st.samples(spark, d).select("sample_id", "opt", "language")
     rows = s.join(st.predictions(spark, d).select("sample_id", "prediction"), "sample_id")
     sinks.write_result_tree(rows, path)
@@ -184,7 +179,7 @@ rates AS (SELECT language, opt, count(*) AS total, CAST(sum(flag_run) AS BIGINT)
 
 def group_csv(spark: SparkSession, d: str) -> DataFrame:
     """K4: one CSV folder per language and level, read back with headers."""
-    path = _folder(spark, "csv")
+    path = scratch_folder(spark, "csv")
     sinks.write_group_csv(_rates(spark, d), path)
     return spark.read.option("header", True).schema(
         "total long, n_run long, exe_rate double, language string, opt string").csv(path)
@@ -195,7 +190,7 @@ GROUP_CSV_SQL = f"WITH {RATES} SELECT total, n_run, exe_rate, language, opt FROM
 
 def result_lines(spark: SparkSession, d: str) -> DataFrame:
     """K5: ``group: rate`` lines appended twice; every line and how often."""
-    path = _folder(spark, "rates")
+    path = scratch_folder(spark, "rates")
     rates = _rates(spark, d).withColumn("name", F.concat_ws("_", "language", "opt"))
     for _ in range(2):
         sinks.append_result_lines(rates, path, "name", "exe_rate")
@@ -209,7 +204,7 @@ SELECT language || '_' || opt || ': ' || printf('%.2f', exe_rate) AS value, CAST
 def run_log(spark: SparkSession, d: str) -> DataFrame:
     """K7: one JSON record per judged sample with chosen fields; a missing
     optional field is left out of its record."""
-    path = _folder(spark, "log")
+    path = scratch_folder(spark, "log")
     s = st.samples(spark, d).select("sample_id", "opt").join(
         st.verdicts(spark, d).select("sample_id", "flag_run"), "sample_id", "left")
     sinks.write_run_log(s.withColumn("unused", F.lit("x")), path, ["sample_id", "opt", "flag_run"])
@@ -226,7 +221,7 @@ def sibling_headers(spark: SparkSession, d: str) -> DataFrame:
     """K8: a tree of sources, a header file beside every one (empty where
     none was produced), all headers but those of the first run replaced by a
     second run; the tree is read back, sources too."""
-    root = _folder(spark, "headers")
+    root = scratch_folder(spark, "headers")
     s = table(spark, d, "supplier").select(F.concat(F.lit("src/n"), F.col("s_nationkey").cast("string"), F.lit("/"),
                                                     F.col("s_suppkey").cast("string"), F.lit(".c")).alias("path"), "s_name", "s_acctbal")
     trees.write_tree(s, root, "path", "s_name")
@@ -247,7 +242,7 @@ UNION ALL SELECT path || '.h', CASE WHEN s_acctbal > 0 THEN 'int ' || lower(repl
 def positional_pairs(spark: SparkSession, d: str) -> DataFrame:
     """J3 + W5: two sets of line files without ids, samples and results, are
     paired i to i as they are read; the results are fewer."""
-    root = _folder(spark, "pairs")
+    root = scratch_folder(spark, "pairs")
     docs = table(spark, d, "documents")
     samples = docs.select("doc_id", F.col("text").alias("func"))
     outputs = docs.where("lang <> 'fr'").select("doc_id", F.upper(T.ascii_fold("text")).alias("output"))
@@ -270,7 +265,7 @@ def resumable_order(spark: SparkSession, d: str) -> DataFrame:
     """W3 by arithmetic: rows numbered as they are read, their places in the
     second epoch of seed 42 over 3 replicas, resumed at position 5. No sort and
     no exchange of rows."""
-    root = _folder(spark, "epoch")
+    root = scratch_folder(spark, "epoch")
     ids = table(spark, d, "documents").select("doc_id")
     ids.repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id").write.json(root)
     rows = positions.with_input_position(spark.read.schema("doc_id long").json(root))

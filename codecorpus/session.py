@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -65,3 +66,32 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     scratch = tempfile.mkdtemp(prefix="codecorpus-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(scratch)
     return sc.getCheckpointDir()
+
+
+_SCRATCH: list[str] = []
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder name below the shared checkpoint folder, remembered until
+    ``drop_scratch``. Results read such folders lazily, so they live as long
+    as the results do."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _SCRATCH.append(path)
+    return path
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Delete the scratch folders that this process has made and the saved
+    checkpoints of its session, when their results are consumed; how many
+    scratch folders there were."""
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
+    found = len(_SCRATCH)
+    while _SCRATCH:
+        path = hadoop(_SCRATCH.pop())
+        path.getFileSystem(conf).delete(path, True)
+    folder = hadoop(ensure_checkpoint_dir(spark))
+    store = folder.getFileSystem(conf)
+    for f in store.listStatus(folder):
+        if f.getPath().getName().startswith("rdd-"):
+            store.delete(f.getPath(), True)
+    return found

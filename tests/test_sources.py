@@ -117,3 +117,14 @@ def test_sinks_round_trip(spark, tmpdir_path):
     log = os.path.join(tmpdir_path, "log")
     sinks.write_run_log(df.withColumn("stripped", F.lit(None).cast("string")), log, ["index", "opt", "stripped"])
     assert "stripped" not in open([os.path.join(log, f) for f in os.listdir(log) if f.endswith(".json")][0]).read()
+
+
+def test_scratch_folders_can_be_dropped(spark):
+    from codecorpus.session import drop_scratch, scratch_folder
+    drop_scratch(spark)
+    path = scratch_folder(spark, "scratch-test")
+    spark.range(3).write.parquet(path)
+    spark.range(3).checkpoint().count()
+    assert drop_scratch(spark) == 1 and drop_scratch(spark) == 0
+    with pytest.raises(Exception):
+        spark.read.parquet(path).count()

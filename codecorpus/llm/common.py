@@ -7,14 +7,13 @@ an intermediate result.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ordering import with_row_index
-from ..session import ensure_checkpoint_dir
+from ..session import scratch_folder
 
 #: White space of the word rule (fixed value): space and \x09-\x0D.
 SPACES = " \t\n\x0b\x0c\r"
@@ -31,7 +30,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        self.root = scratch_folder(spark, name)
 
     def save(self, df: DataFrame, tag: str) -> DataFrame:
         path = f"{self.root}/{tag}"

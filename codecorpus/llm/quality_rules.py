@@ -36,6 +36,8 @@ MAX_REPEAT_PERCENT = 30
 THRESHOLD = -0.06
 #: Weight of the prior: target n-grams of a bucket that count as much as it.
 PRIOR = 10.0
+#: Trusted ids (16 bytes each) that are broadcast; more are joined.
+BROADCAST_IDS = 2_000_000
 #: Buckets of the hashed n-grams, at every size of target and corpus.
 BUCKETS = 1 << 18
 
@@ -100,7 +102,9 @@ def log_ratios(documents: DataFrame, labels: DataFrame, scratch: Scratch, id_col
     are counted. Without trusted texts every ratio is 0."""
     trusted = (columns(labels, _id=id_col, _y=label_col).where("_id is not null and _y is not null")
                .where(~held_out("_id")).groupBy("_id").agg(F.min("_y").alias("_y")).where("_y = 1"))
-    trusted = trusted.select("_id", F.lit(1).alias("good"))
+    trusted = scratch.save(trusted.select("_id", F.lit(1).alias("good")), "trusted")
+    # ids alone go to every task up to a bound; beyond it texts meet them in a shuffle
+    trusted = F.broadcast(trusted) if trusted.count() <= BROADCAST_IDS else trusted.hint("merge")
     docs = columns(documents, _id=id_col, _text=text_col)
     grams = (docs.join(trusted, "_id", "left").select("good", _hashed(words(F.col("_text"))).alias("h"))
              .select("good", F.explode(F.concat("h", joined(F.col("h"), 1))).alias("g")))

@@ -82,6 +82,13 @@ def test_rules_edges(spark, edge_docs, edge_labels, no_docs, no_labels):
         assert tuple(r)[1:6] == base_counts(odd[r["doc_id"]])
 
 
+def test_rules_beyond_the_broadcast_bound(spark, monkeypatch):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    want = sorted(map(tuple, quality_rules.quality_rules(docs, labels).collect()))
+    monkeypatch.setattr(quality_rules, "BROADCAST_IDS", 0)
+    assert sorted(map(tuple, quality_rules.quality_rules(docs, labels).collect())) == want
+
+
 def test_rules_on_held_out_labels(spark):
     """Of held-out labels that pass the base rules, good ones stay and bad ones go."""
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))

@@ -28,7 +28,34 @@ from .quality_rules import joined
 WINDOW, STEP, SHINGLE, BANDS = 8, 4, 3, 24
 CONTAINMENT = 0.8
 
-# Public license notices.
+# Clauses that public licenses share.
+_MIT_GRANT = ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+              "documentation files (the \"Software\"), to deal in the Software without restriction, including without "
+              "limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the "
+              "Software, and to permit persons to whom the Software is furnished to do so, subject to the following "
+              "conditions: The above copyright notice and this permission notice shall be included in all copies or "
+              "substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, "
+              "EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR "
+              "PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, "
+              "DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN "
+              "CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.")
+_BSD_TWO = ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+            "following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list "
+            "of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright "
+            "notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided "
+            "with the distribution. ")
+_BSD_THIRD = ("3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+              "products derived from this software without specific prior written permission. ")
+_BSD_WARRANTY = ("THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED "
+                 "WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A "
+                 "PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY "
+                 "DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, "
+                 "PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER "
+                 "CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR "
+                 "OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH "
+                 "DAMAGE.")
+
+# Public license notices and whole texts.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file "
@@ -50,6 +77,37 @@ TEMPLATES = {
     "MIT": "Released under the MIT License.",
     "MIT-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
                 "associated documentation files (the \"Software\"), to deal in the Software without restriction",
+    "MIT-full": _MIT_GRANT,
+    "BSD-2-Clause-full": _BSD_TWO + _BSD_WARRANTY,
+    "BSD-3-Clause-full": _BSD_TWO + _BSD_THIRD + _BSD_WARRANTY,
+    "ISC-full": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+                "granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE "
+                "IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED "
+                "WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, "
+                "INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER "
+                "IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR "
+                "PERFORMANCE OF THIS SOFTWARE.",
+    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, "
+                 "publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, "
+                 "for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright "
+                 "laws, the author or authors of this software dedicate any and all copyright interest in the software to the "
+                 "public domain. We make this dedication for the benefit of the public at large and to the detriment of our "
+                 "heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all "
+                 "present and future rights to this software under copyright law.",
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held "
+            "liable for any damages arising from the use of this software. Permission is granted to anyone to use this software "
+            "for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the "
+            "following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you "
+            "wrote the original software. If you use this software in a product, an acknowledgment in the product documentation "
+            "would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not "
+            "be misrepresented as being the original software. 3. This notice may not be removed or altered from any source "
+            "distribution.",
+    "LGPL-3.0-header": "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser "
+                       "General Public License as published by the Free Software Foundation, either version 3 of the License, or "
+                       "(at your option) any later version.",
+    "AGPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero "
+                       "General Public License as published by the Free Software Foundation, either version 3 of the License, or "
+                       "(at your option) any later version.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
 
@@ -105,7 +163,8 @@ def scan(documents: DataFrame, templates: dict[str, str] | None = None, id_col:
     found = scratch.save(seen.join(F.broadcast(wanted), "band").select("row", "at", "license").distinct(), "found")
     left = F.greatest(F.col("at") - F.col("words"), F.lit(0))
     right = F.col("at") + WINDOW + F.col("words") - SHINGLE  # last shingle inside the surroundings
-    best = (found.join(near, "row").join(F.broadcast(forms.drop("sh")), "license")
+    # rows with any shingle of a template grow with the corpus: never broadcast
+    best = (found.join(near.hint("merge"), "row").join(F.broadcast(forms.drop("sh")), "license")
             .select("row", "doc_id", "license",
                     (F.size(F.array_intersect(F.slice("sh", left + 1, right - left + 1), "tsh")) / F.size("tsh"))
                     .alias("c"))

@@ -1,14 +1,19 @@
 """Operator 10: toxicity by a weighted finite-state pattern grammar.
 
-The grammar composes five small transducers over the words of a clause:
+Five weighted transducers read the words of a clause. The insult transducer
+(a trie of learnt words and word stems) writes a word's weight on an insult
+tape, the threat transducer (fixed verbs of harm) writes on a threat tape;
+three more rescale both tapes by what they have read:
 
-* insult: a trie of learnt words and word stems; a word takes the weight of
-  its best path,
-* threat: fixed verbs of harm, which only count with a target,
-* target: fixed words of address; it strengthens insults and arms threats,
-* negation: a fixed word within three words before an insult damps it,
-* reported speech: a fixed verb of saying earlier in the clause damps what
-  follows.
+* target: fixed words of address; a clause with one strengthens insults and
+  arms threats. Whether one follows is guessed at the clause's start and the
+  guess has to come true, so the address may come last;
+* negation: a fixed word damps what follows within three words;
+* reported speech: a fixed verb of saying damps the rest of the clause.
+
+The transducers are composed: a state of the grammar is one state of each, an
+arc's factors are the products of theirs. Their factors are fitted with the
+calibration on the training rows.
 
 A clause scores what its composed path sums to; a document's evidence is the
 sum over its matched clauses, turned into a score of 0 to 1 by a logistic
@@ -19,10 +24,11 @@ scored on its whole text in one narrow pass, without a shuffle.
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -38,26 +44,92 @@ TARGETS = frozenset("you your yourself he she they them him her du dich euch ihr
 NEGATIONS = frozenset("not never isn't aren't nobody nicht kein keine jamais nunca jamás".split())
 REPORTS = frozenset("said says called reported quoted claimed sagte nannte disait appelé dijo llamó".split())
 
-THREAT_WEIGHT = 3.0
-TARGET_FACTOR = 1.25
-NEGATION_FACTOR = 0.5
-REPORT_FACTOR = 0.5
+#: Class of a word, as bits.
+THREAT, TARGET, NEGATION, REPORT = 1, 2, 4, 8
 NEGATION_REACH = 3
+#: Starting values of the fitted factors, and what the fit may choose from.
+THREAT_WEIGHT, TARGET_FACTOR, NEGATION_FACTOR, REPORT_FACTOR = 3.0, 1.25, 0.5, 0.5
+CHOICES = {"threat": (1.0, 2.0, 3.0, 4.5), "target": (1.0, 1.25, 1.5, 2.0), "negation": (0.1, 0.25, 0.5, 0.75),
+           "report": (0.1, 0.25, 0.5, 0.75)}
 STEM_LENGTHS = range(5, 11)
 
 _WORD = re.compile(r"[^\W_]+(?:'[^\W_]+)?")
 _CLAUSE_END = re.compile(r"[.!?;:,\n]")
 
 
+def word_class(word: str) -> int:
+    return (THREAT * (word in THREATS) | TARGET * (word in TARGETS) | NEGATION * (word in NEGATIONS)
+            | REPORT * (word in REPORTS))
+
+
+@dataclass(frozen=True)
+class Transducer:
+    """A weighted transducer over word classes: ``step(state, word class)`` is
+    the next state and the factors of the two tapes at this word. A path
+    counts if it ends in one of ``finals``."""
+
+    starts: tuple[int, ...]
+    finals: frozenset[int]
+    step: Callable[[int, int], tuple[int, float, float]]
+
+    def __matmul__(self, other: "Transducer") -> "Transducer":
+        """Composition: a pair of states, factors multiplied. States of the
+        pair are numbered ``self`` * 64 + ``other``'s."""
+        def step(state: int, word: int) -> tuple[int, float, float]:
+            a, x, y = self.step(state // 64, word)
+            b, u, v = other.step(state % 64, word)
+            return a * 64 + b, x * u, y * v
+        return Transducer(tuple(a * 64 + b for a in self.starts for b in other.starts),
+                          frozenset(a * 64 + b for a in self.finals for b in other.finals), step)
+
+
+def insults_and_threats(threat: float) -> Transducer:
+    """The two tapes as the trie and the threat verbs write them."""
+    return Transducer((0,), frozenset([0]), lambda state, word: (0, 1.0, threat if word & THREAT else 0.0))
+
+
+def targets(factor: float) -> Transducer:
+    """0: one will follow, 1: one was read, 2: none comes (threats are idle)."""
+    def step(state: int, word: int) -> tuple[int, float, float]:
+        if state == 2:
+            return (3 if word & TARGET else 2), 1.0, 0.0
+        if state == 3:
+            return 3, 0.0, 0.0  # the guess was wrong
+        return (1 if state or word & TARGET else 0), factor, 1.0
+    return Transducer((0, 2), frozenset([1, 2]), step)
+
+
+def negations(factor: float) -> Transducer:
+    """The state counts the words that are still damped."""
+    def step(state: int, word: int) -> tuple[int, float, float]:
+        left = NEGATION_REACH + 1 if word & NEGATION else state
+        f = factor if left else 1.0
+        return max(0, left - 1), f, f
+    return Transducer((0,), frozenset(range(NEGATION_REACH + 2)), step)
+
+
+def reports(factor: float) -> Transducer:
+    """1 from the verb of saying on."""
+    def step(state: int, word: int) -> tuple[int, float, float]:
+        after = 1 if word & REPORT else state
+        f = factor if after else 1.0
+        return after, f, f
+    return Transducer((0,), frozenset([0, 1]), step)
+
+
 @dataclass
 class Grammar:
     """Learnt arcs (``=word`` for whole words, otherwise stems) with their
-    weights, and the calibration of a document's features."""
+    weights, the fitted factors of the transducers, and the calibration of a
+    document's features."""
 
     arcs: dict[str, float] = field(default_factory=dict)
     coef: tuple[float, ...] = (-4.0, 2.0, 1.0)
+    factors: dict[str, float] = field(default_factory=lambda: {
+        "threat": THREAT_WEIGHT, "target": TARGET_FACTOR, "negation": NEGATION_FACTOR, "report": REPORT_FACTOR})
 
     def automaton(self):
+        """The trie of the insult arcs, and the threat verbs to find their clauses."""
         import ahocorasick
         a = ahocorasick.Automaton()
         for arc, weight in self.arcs.items():
@@ -68,31 +140,39 @@ class Grammar:
         a.make_automaton()
         return a
 
+    def composed(self) -> "Clauses":
+        f = self.factors
+        return Clauses(insults_and_threats(f["threat"]) @ targets(f["target"]) @ negations(f["negation"]) @ reports(f["report"]))
+
+
+class Clauses:
+    """The composed grammar; arcs that were walked are remembered."""
+
+    def __init__(self, grammar: Transducer):
+        self.grammar, self.arcs = grammar, {}
 
-def clause_score(words: list[str], weights: dict[int, float]) -> float:
-    """Run the composed transducers over one clause. ``weights`` holds the
+    def score(self, words: list[int], weights: dict[int, float]) -> float:
+        """Best accepted path over a clause, given as word classes; ``weights``
+        holds the insult weight of each matching word's position."""
+        best = 0.0
+        for state in self.grammar.starts:
+            total = 0.0
+            for i, word in enumerate(words):
+                arc = self.arcs.get((state, word))
+                if arc is None:
+                    arc = self.arcs[state, word] = self.grammar.step(state, word)
+                state, insult, threat = arc
+                total += weights.get(i, 0.0) * insult + threat
+            if state in self.grammar.finals:
+                best = max(best, total)
+        return best
+
+
+def clauses(text: str | None, automaton) -> list[tuple[list[int], dict[int, float]]]:
+    """The clauses of a whole text that hold a match: word classes, and the
     insult weight of each matching word's position."""
-    has_target = any(w in TARGETS for w in words)
-    reported, negated_at, total = False, -NEGATION_REACH - 1, 0.0
-    for i, w in enumerate(words):
-        if w in REPORTS:
-            reported = True
-        if w in NEGATIONS:
-            negated_at = i
-        out = weights.get(i, 0.0) * (TARGET_FACTOR if has_target else 1.0)
-        if w in THREATS and has_target:
-            out += THREAT_WEIGHT
-        if out and i - negated_at <= NEGATION_REACH:
-            out *= NEGATION_FACTOR
-        total += out * (REPORT_FACTOR if reported else 1.0)
-    return total
-
-
-def evidence(text: str | None, automaton) -> tuple[float, float]:
-    """(summed, largest) clause score of one whole text; (0, 0) without a
-    match."""
     if not text:
-        return 0.0, 0.0
+        return []
     low = text.lower()
     best: dict[int, float] = {}
     n = len(low)
@@ -103,9 +183,7 @@ def evidence(text: str | None, automaton) -> tuple[float, float]:
         if whole and end + 1 < n and low[end + 1].isalnum():
             continue
         best[start] = max(best.get(start, 0.0), weight)
-    if not best:
-        return 0.0, 0.0
-    total, strongest, done = 0.0, 0.0, -1
+    out, done = [], -1
     for start in sorted(best):
         if start < done:
             continue
@@ -116,12 +194,18 @@ def evidence(text: str | None, automaton) -> tuple[float, float]:
         done = end_match.start() if end_match else n
         words, weights = [], {}
         for i, m in enumerate(_WORD.finditer(low, left, done)):
-            words.append(m.group())
+            words.append(word_class(m.group()))
             if best.get(m.start()):
                 weights[i] = best[m.start()]
-        score = clause_score(words, weights)
-        total, strongest = total + score, max(strongest, score)
-    return total, strongest
+        out.append((words, weights))
+    return out
+
+
+def evidence(text: str | None, automaton, grammar: Clauses) -> tuple[float, float]:
+    """(summed, largest) clause score of one whole text; (0, 0) without a
+    match."""
+    found = [grammar.score(*c) for c in clauses(text, automaton)]
+    return sum(found), max(found, default=0.0)
 
 
 def features(total: float, strongest: float) -> list[float]:
@@ -219,20 +303,41 @@ def learn(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
              .dropDuplicates(["_t"]).select("a").collect()]
     kept = _cover(toxic, weights, min_support)
     grammar.arcs = {names[i]: weights[i] for i in kept}
-    rows = train.mapInPandas(_measure(grammar, "_y"), "_y int, total double, strongest double").collect()
-    x = np.array([features(r["total"], r["strongest"]) for r in rows])
+    # the sample's matched clauses, a bounded number of rows; all fits run on them
+    rows = train.mapInPandas(_matched(grammar), "_y int, found string").collect()
+    found = [[(c, {int(i): w for i, w in x.items()}) for c, x in json.loads(r["found"])] for r in rows]
     y = np.array([r["_y"] for r in rows], float)
     if 0 < y.sum() < len(y):
-        grammar.coef = tuple(float(v) for v in logistic(x, y))
+        fit_factors(grammar, found, y)
     return grammar
 
 
-def _measure(grammar: Grammar, keep: str):
+def fit_factors(grammar: Grammar, found: list[list], y: np.ndarray, gain: float = 1.0) -> None:
+    """Factors and calibration by the likelihood of the training labels: one
+    factor after the other takes the choice that raises it most, if by more
+    than ``gain``."""
+    def fitted(factors: dict[str, float]) -> tuple[float, np.ndarray]:
+        composed = Grammar(factors=factors).composed()
+        sums = [[composed.score(*c) for c in one] for one in found]
+        x = np.array([features(sum(v), max(v, default=0.0)) for v in sums])
+        w = logistic(x, y)
+        z = np.clip(x @ w, -30, 30)
+        return float((y * z - np.log1p(np.exp(z))).sum()), w
+    best, coef = fitted(grammar.factors)
+    for name, choices in CHOICES.items():
+        tried = [(fitted({**grammar.factors, name: c}), c) for c in choices if c != grammar.factors[name]]
+        (value, w), choice = max(tried, key=lambda t: t[0][0])
+        if value > best + gain:
+            best, coef = value, w
+            grammar.factors = {**grammar.factors, name: choice}
+    grammar.coef = tuple(float(v) for v in coef)
+
+
+def _matched(grammar: Grammar):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         automaton = grammar.automaton()
         for b in batches:
-            out = [evidence(t, automaton) for t in b["_text"]]
-            yield pd.DataFrame({keep: b[keep], "total": [o[0] for o in out], "strongest": [o[1] for o in out]})
+            yield pd.DataFrame({"_y": b["_y"], "found": [json.dumps(clauses(t, automaton)) for t in b["_text"]]})
     return run
 
 
@@ -241,9 +346,9 @@ def scores(documents: DataFrame, grammar: Grammar, text_col: str = "text", name:
     from 0 to 1. Null and empty texts score like a text without a match."""
     @F.pandas_udf("double")
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        automaton = grammar.automaton()
+        automaton, composed = grammar.automaton(), grammar.composed()
         for s in texts:
-            x = np.array([features(*evidence(t, automaton)) for t in s]).reshape(-1, 3)
+            x = np.array([features(*evidence(t, automaton, composed)) for t in s]).reshape(-1, 3)
             yield pd.Series(1 / (1 + np.exp(-np.clip(x @ np.array(grammar.coef), -30, 30))))
     return documents.withColumn(name, score(F.col(text_col)))
 

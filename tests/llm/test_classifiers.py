@@ -1,5 +1,7 @@
+import random
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -45,7 +47,8 @@ def test_edges(operator, edge_docs, edge_labels, no_docs, no_labels):
 
 
 def score(text, arcs):
-    return toxicity.evidence(text, toxicity.Grammar(arcs).automaton())
+    grammar = toxicity.Grammar(arcs)
+    return toxicity.evidence(text, grammar.automaton(), grammar.composed())
 
 
 def test_grammar():
@@ -62,6 +65,63 @@ def test_grammar():
     assert (total, strongest) == (12.0, 8.0)
 
 
+def _by_flags(words, weights, factors):
+    """The composed grammar written as one loop."""
+    classes = [toxicity.word_class(w) for w in words]
+    target = any(c & toxicity.TARGET for c in classes)
+    total, negated, reported = 0.0, -9, False
+    for i, c in enumerate(classes):
+        reported = reported or bool(c & toxicity.REPORT)
+        negated = i if c & toxicity.NEGATION else negated
+        out = weights.get(i, 0.0) * (factors["target"] if target else 1.0)
+        out += factors["threat"] if target and c & toxicity.THREAT else 0.0
+        out *= factors["negation"] if i - negated <= toxicity.NEGATION_REACH else 1.0
+        total += out * (factors["report"] if reported else 1.0)
+    return total
+
+
+def test_composition_against_one_loop():
+    rng = random.Random(5)
+    pool = ["kill", "you", "not", "said", "idiot", "tree", "him", "never", "burn", "house"]
+    for _ in range(500):
+        words = rng.choices(pool, k=rng.randrange(0, 12))
+        weights = {i: rng.random() * 5 for i, w in enumerate(words) if w == "idiot"}
+        grammar = toxicity.Grammar(factors={k: rng.choice(v) for k, v in toxicity.CHOICES.items()})
+        got = grammar.composed().score([toxicity.word_class(w) for w in words], weights)
+        assert abs(got - _by_flags(words, weights, grammar.factors)) < 1e-9
+
+
+def test_factors_are_fitted_to_labels():
+    """Negated insults that are always clean, addressed ones always toxic."""
+    insult = ([0, 0], {1: 3.0})
+    negated = ([toxicity.NEGATION, 0], {1: 3.0})
+    found = [[insult]] * 40 + [[negated]] * 40 + [[]] * 40
+    y = np.array([1.0] * 40 + [0.0] * 80)
+    grammar = toxicity.Grammar()
+    toxicity.fit_factors(grammar, found, y)
+    assert grammar.factors["negation"] == 0.1 and grammar.factors["report"] == toxicity.REPORT_FACTOR
+
+
+def test_every_transducer_changes_held_out_scores(spark):
+    """Held-out toxic clauses with one word put before their match."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    grammar = toxicity.learn(docs, labels)
+    composed, automaton = grammar.composed(), grammar.automaton()
+    rows = docs.join(labels.where("toxic = 1"), "doc_id").where(toxicity.held_out("doc_id")).collect()
+    found = [c for r in rows for c in toxicity.clauses(r["text"], automaton) if c[1]]
+    assert len(found) > 100
+    plain = toxicity.TARGET | toxicity.NEGATION | toxicity.REPORT
+    for bit, rises in ((toxicity.TARGET, True), (toxicity.NEGATION, False), (toxicity.REPORT, False)):
+        for words, weights in found:
+            if any(w & plain for w in words):
+                continue
+            at = min(weights)
+            put = (words[:at] + [bit] + words[at:], {i + 1: w for i, w in weights.items()})
+            before, after = composed.score(words, weights), composed.score(*put)
+            assert after > before if rises and grammar.factors["target"] > 1 else after < before or rises
+    assert composed.score([toxicity.TARGET, toxicity.THREAT], {}) == grammar.factors["threat"]
+
+
 def test_cotraining_exchanges_labels():
     """A view that few labels teach learns from the other's pseudo-labels."""
     import numpy as np

@@ -31,6 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.joins import hot_cold_join
 from .common import Scratch, columns
 from .components import components
 
@@ -234,8 +235,10 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, part_rows: int =
 
 
 def _with_parts(pairs: DataFrame, part_rows: int = 256) -> DataFrame:
-    counts = pairs.groupBy("a").agg(F.ceil(F.count("b") / part_rows).alias("parts"))
-    return pairs.join(counts, "a")
+    """The pairs with the number of parts of their first document; a hub's
+    pairs get it without meeting in one task."""
+    counts = pairs.groupBy("a").agg(F.count("b").alias("n")).withColumn("parts", F.ceil(F.col("n") / part_rows))
+    return hot_cold_join(pairs, counts, "a", "n")
 
 
 def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75,

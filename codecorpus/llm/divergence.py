@@ -36,8 +36,9 @@ BLOCK_POSTINGS, BLOCK_BYTES = 400_000, 1 << 30
 MERGE_POSTINGS = 1_000_000
 #: Bytes of input files for one hash shard (at most one shard for each shuffle partition).
 SHARD_BYTES = 8 << 20
-#: Kept terms of a language in one task of the pair corrections.
-PAIR_TERMS = 50_000
+#: Kept terms of a language in one task of the pair corrections, and sources
+#: that are the first of its pairs.
+PAIR_TERMS, PAIR_SOURCES = 50_000, 100
 
 #: Bytes that are no part of a term (fixed values): all ASCII but letters.
 #: A-Z become lower-case, letters and bytes of other characters stay.
@@ -200,31 +201,35 @@ def share(count: Column, n: Column, v: Column) -> Column:
                             (n + PRIOR * v).cast(wide)) + 1).cast("long")
 
 
-def corrections(shares: np.ndarray, held: np.ndarray, absent: np.ndarray) -> np.ndarray:
-    """Sum over terms of |p_a - p_b| - |absent_a - absent_b| for all pairs of
-    sources; only pairs with a source that holds the term differ from zero.
+def corrections(shares: np.ndarray, held: np.ndarray, absent: np.ndarray, mine: range) -> tuple[np.ndarray, np.ndarray]:
+    """For the sources of ``mine`` and every source: the sum, over the terms
+    that the first holds, of |p_a - p_b| - |absent_a - absent_b|, and the part
+    of it from terms that both hold. Terms that neither holds need none.
 
     ``shares``: terms x sources; ``held``: where a source holds the term."""
-    base = np.abs(absent[:, None] - absent)
-    one, both = np.zeros_like(base), np.zeros_like(base)
-    for a in np.flatnonzero(held.any(axis=0)):
+    one = np.zeros((len(mine), len(absent)), np.int64)
+    both = np.zeros_like(one)
+    for row, a in enumerate(mine):
         at = np.flatnonzero(held[:, a])
-        d = np.abs(shares[at, a][:, None] - shares[at]) - base[a]
-        one[a] = d.sum(axis=0)
-        both[a] = (d * held[at]).sum(axis=0)
-    return one + one.T - both
+        d = np.abs(shares[at, a][:, None] - shares[at]) - np.abs(absent[a] - absent)
+        one[row] = d.sum(axis=0)
+        both[row] = (d * held[at]).sum(axis=0)
+    return one, both
 
 
-def _pair_sums(cells: int = 2_000_000):
+def _pair_sums(pair_sources: int, cells: int = 2_000_000):
     def run(key: tuple, terms: pd.DataFrame, groups: pd.DataFrame) -> pd.DataFrame:
-        """One shard of one language: its kept terms and all its sources."""
+        """One shard of a language's kept terms, all its sources, and one cut
+        of them as the first of the pairs."""
         if terms.empty or len(groups) < 2:
             return _rows(key[0], [], [], [])
         groups = groups.sort_values("source")
-        place = {s: i for i, s in enumerate(groups["source"])}
+        names = groups["source"].tolist()
+        place = {s: i for i, s in enumerate(names)}
         n, v = [int(x) for x in groups["n"]], int(groups["v"].iloc[0])
         absent = np.array([1 + SCALE * PRIOR // (x + PRIOR * v) for x in n], np.int64)
-        total = np.zeros((len(n), len(n)), np.int64)
+        mine = range(key[2] * pair_sources, min((key[2] + 1) * pair_sources, len(n)))
+        one, both = np.zeros((2, len(mine), len(n)), np.int64)
         step = max(1, cells // len(n))
         for i in range(0, len(terms), step):
             part = terms.iloc[i:i + step]
@@ -235,10 +240,13 @@ def _pair_sums(cells: int = 2_000_000):
                     x = place[s]
                     shares[row, x] = 1 + SCALE * (int(c) + PRIOR) // (n[x] + PRIOR * v)
                     held[row, x] = True
-            total += corrections(shares, held, absent)
-        a, b = np.nonzero(total)
-        names = groups["source"].tolist()
-        return _rows(key[0], [names[i] for i in a], [names[i] for i in b], total[a, b])
+            x, y = corrections(shares, held, absent, mine)
+            one, both = one + x, both + y
+        # a pair's sum: what its first holds, what its second holds, less what both hold
+        a, b = np.nonzero(one)
+        c, d = np.nonzero(one - both)
+        return _rows(key[0], [names[mine[i]] for i in c] + [names[i] for i in b],
+                     [names[i] for i in d] + [names[mine[i]] for i in a], np.concatenate([(one - both)[c, d], one[a, b]]))
     return run
 
 
@@ -249,7 +257,7 @@ def _rows(lang: str, source: list[str], item: list[str], value) -> pd.DataFrame:
 
 def divergence(documents: DataFrame, lang: str = "lang", source: str = "source", text: str = "text",
                min_docs: int = MIN_DOCS, top: int = TOP, block_postings: int = BLOCK_POSTINGS,
-               pair_terms: int = PAIR_TERMS) -> DataFrame:
+               pair_terms: int = PAIR_TERMS, pair_sources: int = PAIR_SOURCES) -> DataFrame:
     """Rows (lang, source, part, item, value, rank).
 
     Part ``pair``: the other sources of the language, by the sum of share
@@ -276,12 +284,16 @@ def divergence(documents: DataFrame, lang: str = "lang", source: str = "source",
     whole = groups.groupBy("lang").agg(F.sum("n").alias("all"))
 
     zero = F.lit(0).cast("long")
-    deals = F.ceil(F.col("v") / pair_terms).cast("int")  # by the number of terms alone
-    to = groups.where("v > 0").withColumn("at", F.explode(F.sequence(F.lit(0), deals - 1)))
-    dealt = freq.join(kept, "lang").withColumn("shard", F.pmod(F.xxhash64("term"), deals).cast("int")).select(
-        "lang", "shard", "term", "sources", "counts")
-    sums = (dealt.groupBy("lang", "shard").cogroup(to.groupBy("lang", "at"))
-            .applyInPandas(_pair_sums(), "lang string, source string, item string, value long")
+    # dealt by the numbers of terms and of sources alone
+    sized = kept.join(groups.groupBy("lang").agg(F.count("source").alias("s")), "lang").select(
+        "lang", F.ceil(F.col("v") / pair_terms).cast("int").alias("deals"), F.ceil(F.col("s") / pair_sources).cast("int").alias("cuts"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    to = (groups.join(sized, "lang").withColumn("at", every("deals")).withColumn("to", every("cuts"))
+          .select("lang", "at", "to", "source", "n", "v"))
+    dealt = (freq.join(sized, "lang").withColumn("shard", F.pmod(F.xxhash64("term"), F.col("deals")).cast("int"))
+             .withColumn("cut", every("cuts")).select("lang", "shard", "cut", "term", "sources", "counts"))
+    sums = (dealt.groupBy("lang", "shard", "cut").cogroup(to.groupBy("lang", "at", "to"))
+            .applyInPandas(_pair_sums(pair_sources), "lang string, source string, item string, value long")
             .groupBy("lang", "source", "item").agg(F.sum("value").alias("sum")))
     absent = F.when(F.col("v") > 0, share(zero, F.col("n"), F.col("v"))).otherwise(zero)
     mine = groups.select("lang", "source", "v", absent.alias("p"))

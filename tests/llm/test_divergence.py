@@ -38,7 +38,7 @@ def test_small_blocks_and_odd_rows(spark, monkeypatch, block):
     rows += [(None, "en", "void"), ("", "fr", "a"), ("only 1 few", "fr", "b"), ("12 34", "xx", "solo"), ("rare", "", "")]
     monkeypatch.setattr(D, "MERGE_POSTINGS", 50)
     df = spark.createDataFrame(rows, "text string, lang string, source string").repartition(4)
-    assert _spark(df, block_postings=block, pair_terms=block) == _sql(rows)
+    assert _spark(df, block_postings=block, pair_terms=block, pair_sources=min(block, 2)) == _sql(rows)
 
 
 def test_edges(edge_docs, no_docs):

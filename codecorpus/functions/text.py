@@ -13,9 +13,10 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .regex import PY_SPACE_CLASS, let, py_splitlines, py_strip, sub_with
+from .regex import PY_LINE_BREAK, PY_SPACE_CLASS, let, py_splitlines, py_strip, sub_with
 
 _NOT_SPACE = "[^" + PY_SPACE_CLASS[1:]
+_LINE_BREAK = PY_LINE_BREAK[PY_LINE_BREAK.index("["):]
 
 
 def _c(x) -> Column:
@@ -35,7 +36,9 @@ def is_blank(c) -> Column:
 
 def strip_empty(c) -> Column:
     """Drop lines that are blank after strip, join with newline."""
-    return F.array_join(F.filter(py_splitlines(_c(c)), lambda ln: py_strip(ln) != ""), "\n")
+    # from one line break to the last of the same white space: blank lines only
+    joined = F.regexp_replace(_c(c), f"{_LINE_BREAK}(?:{PY_SPACE_CLASS}*{_LINE_BREAK})?", "\n")
+    return F.regexp_replace(joined, rf"\A{PY_SPACE_CLASS}*(?:\n|\z)|\n{PY_SPACE_CLASS}*\z", "")
 
 
 def canonical_lines(c) -> Column:
@@ -63,7 +66,8 @@ def good_func(c) -> Column:
     def count(c: Column) -> Column:
         pos = F.instr(c, "{")
         body = F.when(pos > 0, F.substring(c, pos + 1, 2147483647)).otherwise(F.lit(""))
-        return F.size(F.filter(F.split(body, "\n", -1), lambda ln: F.length(py_strip(ln)) >= 3))
+        # from a line's first character that is no space to its last one, if a third lies between: one match for each such line
+        return F.regexp_count(body, F.lit(_NOT_SPACE + r"[^\n]+" + _NOT_SPACE))
     return let(_c(c), lambda c: let(count(c), lambda n: (n > 3) & (n < 300)))
 
 
@@ -72,10 +76,10 @@ def good_func(c) -> Column:
 # Comment and literal patterns. The quoted-literal branches are
 # the unrolled possessive form of ``"(?:\\.|[^\\"])*"``: same matches, but no
 # recursion in java.util.regex (the plain form overflows the stack on long
-# literals).
-COMMENT_OR_LITERAL = (r"(?smd)//.*?$|/\*.*?\*/"
+# literals). The lookahead spares most positions the four branches.
+COMMENT_OR_LITERAL = (r"""(?smd)(?=[/'"])(?://.*?$|/\*.*?\*/"""
                       r"|'[^\\']*+(?:\\.[^\\']*+)*+'"
-                      r"|" + r'"[^\\"]*+(?:\\.[^\\"]*+)*+"')
+                      r"|" + r'"[^\\"]*+(?:\\.[^\\"]*+)*+")')
 # Fixed value.
 BLOCK_COMMENT = r"(?s)/\*.*?\*/"
 LINE_COMMENT = r"(?md)//.*?$"
@@ -95,7 +99,8 @@ def remove_comments_naive(c) -> Column:
 # ---------------------------------------------------------------- T4, T5, T6
 
 # Fixed value.
-HEX_LITERAL = r"\b(0x[0-9a-fA-F]+)([uUlL]{1,3})?\b"
+# (the literal prefix comes before its word boundary: the cheap test first)
+HEX_LITERAL = r"0x(?<=\b0x)[0-9a-fA-F]+(?:[uUlL]{1,3})?\b"
 
 
 def hex_digits_to_decimal(h) -> Column:
@@ -194,8 +199,11 @@ def replace_type_aliases(c) -> Column:
     return sub_with(_c(c), ALIAS_PATTERN, lambda tok: F.element_at(m, tok))
 
 
-KEYWORDS_OR_ALIASES = (r"\b(?:__fastcall|__cdecl|__ptr32|__noreturn" + PY_SPACE_CLASS + r"+noreturn|"
-                       + _grouped_alternation([a for a, _ in TYPE_ALIASES]) + r")\b")
+_ANY_WORD = ("__fastcall|__cdecl|__ptr32|__noreturn" + PY_SPACE_CLASS + "+noreturn|"
+             + _grouped_alternation([a for a, _ in TYPE_ALIASES]))
+_FIRST = "".join(sorted({a[0] for a, _ in TYPE_ALIASES} | {"_"}))
+# (the lookahead spares most positions the boundary and the branches)
+KEYWORDS_OR_ALIASES = rf"(?=[{_FIRST}])\b(?:{_ANY_WORD})\b"
 
 
 def remove_keywords_and_aliases(c) -> Column:
@@ -207,7 +215,7 @@ def remove_keywords_and_aliases(c) -> Column:
     return sub_with(_c(c), KEYWORDS_OR_ALIASES, lambda tok: F.coalesce(F.element_at(m, tok), F.lit("")))
 
 
-TOKENS = HEX_LITERAL + "|" + KEYWORDS_OR_ALIASES
+TOKENS = rf"(?=[0{_FIRST}])\b(?:0x[0-9a-fA-F]+(?:[uUlL]{{1,3}})?|{_ANY_WORD})\b"
 
 
 def rewrite_tokens(c) -> Column:

@@ -17,8 +17,9 @@ from .normalise import function_name_sql
 def scored_samples(spark: SparkSession, d: str, with_verdicts: bool = False) -> DataFrame:
     """Per sample: edit similarity of its prediction ('' when missing, J2),
     optionally with its verdict flags. The joins are left to adaptive
-    execution; the scoring, whose cost is the product of two lengths, reads
-    rows dealt by that cost."""
+    execution; the scoring, whose cost is the product of two lengths (and of
+    the text rules, some 800 cells a character), reads rows dealt by that cost,
+    pairs of like lengths together."""
     s = st.samples(spark, d).select("sample_id", "opt", "dataset", "language", "func")
     p = st.predictions(spark, d).select("sample_id", "prediction")
     sp = joins.tolerant_join(s, p, "sample_id", {"prediction": ""})
@@ -29,8 +30,11 @@ def scored_samples(spark: SparkSession, d: str, with_verdicts: bool = False) ->
         keep += ["flag_compile", "flag_run"]
     sizes = s.select("sample_id", F.length("func").alias("a")).join(
         p.select("sample_id", F.length("prediction").alias("b")), "sample_id", "left")
-    cells = sizes.select("sample_id", (F.col("a").cast("double") * F.coalesce("b", F.lit(0)) + F.col("a") + 1).alias("cost"))
-    folded = dealt_by_cost(sp, cells, "sample_id").withColumns({c: T.ascii_fold(c) for c in ("func", "prediction")})
+    cells = sizes.select("sample_id", "a", F.coalesce("b", F.lit(0)).alias("b")).select(
+        "sample_id", F.floor(F.log(1.2, F.greatest("a", "b") + 64)).alias("longer"), F.least("a", "b").alias("shorter"),
+        (F.col("a").cast("double") * F.col("b") + 800.0 * (F.col("a") + F.col("b")) + 1).alias("cost"))
+    dealt = dealt_by_cost(sp, cells, "sample_id", alike=["longer", "shorter"])
+    folded = dealt.withColumns({c: T.ascii_fold(c) for c in ("func", "prediction")})
     scored = with_edit_similarity(folded, "func", "prediction", "edit_sim")
     return scored.select(*keep)
 

@@ -1,12 +1,13 @@
 """Trees of named files (K3, K8): one file for each row, under a name the row
 gives, written through a commit protocol.
 
-1. Every task attempt writes into a folder of its own below a hidden staging
-   folder of the tree (readers skip names that start with ``_``).
+1. Every task attempt writes into folders of its own below a hidden staging
+   folder of the tree (readers skip names that start with ``_``), ``FILES``
+   files into each.
 2. When all tasks are done, the driver commits: one small manifest lists the
-   attempts that count. Attempts lost with an executor are not listed.
+   attempts' folders that count. Attempts lost with an executor are not listed.
 3. A second job moves the listed files to their places, one task for each
-   attempt. A move that is done already is skipped, so any part of this step
+   folder. A move that is done already is skipped, so any part of this step
    may run again: ``recover_tree`` finishes a tree whose job died after the
    commit and drops staging folders that were never committed.
 
@@ -17,11 +18,13 @@ others; ``replace=True`` clears the old tree first, after the commit.
 from __future__ import annotations
 
 import json
+import os
 import sys
 import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from fnmatch import fnmatchcase
+from itertools import islice
 from urllib.parse import quote
 
 import pandas as pd
@@ -35,6 +38,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 FORMAT = "codecorpus_tree"
 STAGING = "_tree-"
+#: Files of one staging folder: what a task lists at once.
+FILES = 4096
 
 
 def open_store(path: str) -> tuple[afs.FileSystem, str]:
@@ -54,8 +59,12 @@ def checked_name(name: str | None) -> str:
 
 @dataclass
 class Attempt(WriterCommitMessage):
-    folder: str
+    folder: str  # the first one; the others are numbered after it
     files: int
+    folders: int = 1
+
+    def all_folders(self) -> list[str]:
+        return [self.folder, *[f"{self.folder}-{i}" for i in range(1, self.folders)]]
 
 
 class TreeWriter(DataSourceWriter):
@@ -63,27 +72,33 @@ class TreeWriter(DataSourceWriter):
         self.root, self.job, self.replace = root, job, replace
 
     def write(self, rows: Iterator[Row]) -> Attempt:
+        """Rows come in the order of their names: equal ones are neighbours."""
         store, root = open_store(self.root)
-        folder = f"{root}/{STAGING}{self.job}/{uuid.uuid4().hex}"
+        attempt = Attempt(uuid.uuid4().hex, 0)
+        folder = f"{root}/{STAGING}{self.job}/{attempt.folder}"
         store.create_dir(folder)
-        made, names = set(), set()
+        last = made = None
         for name, text in rows:
-            if checked_name(name) in names:
+            if checked_name(name) == last:
                 raise ValueError(f"two rows for the file {name!r}")
-            names.add(name)
+            last = name
+            if attempt.files == attempt.folders * FILES:
+                folder = f"{root}/{STAGING}{self.job}/{attempt.folder}-{attempt.folders}"
+                attempt.folders += 1
             parent = f"{folder}/{name}".rsplit("/", 1)[0]
-            if parent not in made:
+            if parent != made:
                 store.create_dir(parent)
-                made.add(parent)
+                made = parent
             with store.open_output_stream(f"{folder}/{name}") as out:
                 out.write((text or "").encode("utf-8", "surrogatepass"))
-        return Attempt(folder.rsplit("/", 1)[1], len(names))
+            attempt.files += 1
+        return attempt
 
     def commit(self, messages: list[Attempt | None]) -> None:
         store, root = open_store(self.root)
         staging = f"{root}/{STAGING}{self.job}"
         store.create_dir(staging)
-        told = {"attempts": sorted(m.folder for m in messages if m is not None), "replace": self.replace}
+        told = {"attempts": sorted(f for m in messages if m is not None for f in m.all_folders()), "replace": self.replace}
         with store.open_output_stream(f"{staging}/manifest.tmp") as out:
             out.write(json.dumps(told).encode())
         store.move(f"{staging}/manifest.tmp", f"{staging}/manifest.json")
@@ -159,7 +174,7 @@ def write_tree(df: DataFrame, root: str, name: str | Column = "path", text: str
     job = uuid.uuid4().hex
     cols = [F.col(c) if isinstance(c, str) else c for c in (name, text)]
     rows = df.select(cols[0].cast("string").alias("path"), cols[1].cast("string").alias("text"))
-    (rows.repartition("path").write.format(FORMAT).mode("append")
+    (rows.repartition("path").sortWithinPartitions("path").write.format(FORMAT).mode("append")
      .option("path", root).option("job", job).option("replace", str(replace).lower()).save())
     _publish(spark, root, STAGING + job)
 
@@ -189,20 +204,44 @@ def _name_test(glob: str):
     return lambda name: not name.startswith(("_", ".")) and any(fnmatchcase(name, g) for g in globs)
 
 
+def _sizes(store: afs.FileSystem, place: str) -> Iterator[tuple[str, int]]:
+    """(path, size) of the files below a folder. A local folder is read entry
+    by entry, one of another store is listed without those below it."""
+    if isinstance(store, afs.LocalFileSystem):
+        with os.scandir(place) as entries:
+            for e in entries:
+                if e.is_dir():
+                    yield from _sizes(store, e.path)
+                elif e.is_file():
+                    yield e.path, e.stat().st_size
+        return
+    below = []
+    for f in store.get_file_info(afs.FileSelector(place)):
+        if f.type == afs.FileType.File:
+            yield f.path, f.size
+        elif f.type == afs.FileType.Directory:
+            below.append(f.path)
+    for folder in below:
+        yield from _sizes(store, folder)
+
+
 def _empty_below(root: str, glob: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, base = open_store(root)
         scheme = "file://" if root.startswith(("/", "file:")) else root[:len(root.rstrip("/")) - len(base.rstrip("/"))]
         fits = _name_test(glob)
-        for batch in batches:
-            found = []
-            for place, folder in zip(batch["place"], batch["folder"], strict=True):
-                infos = store.get_file_info(afs.FileSelector(place, recursive=True) if folder else [place])
-                found += [f.path for f in infos if f.type == afs.FileType.File and f.size == 0 and fits(f.base_name)
-                          and not any(p.startswith(("_", ".")) for p in f.path[len(base):].split("/"))]
-            if found:
-                yield pd.DataFrame({"path": [scheme + quote(f, safe="/=+,;:@&~!$'()*") for f in found],
-                                    "file_name": [f.rsplit("/", 1)[1] for f in found]})
+
+        def found() -> Iterator[str]:
+            for batch in batches:
+                for place, folder in zip(batch["place"], batch["folder"], strict=True):
+                    infos = _sizes(store, place) if folder else ((f.path, f.size) for f in store.get_file_info([place]))
+                    yield from (path for path, size in infos if size == 0 and fits(path.rsplit("/", 1)[1])
+                                and not any(p.startswith(("_", ".")) for p in path[len(base):].split("/")))
+
+        empty = found()
+        while part := list(islice(empty, FILES)):
+            yield pd.DataFrame({"path": [scheme + quote(f, safe="/=+,;:@&~!$'()*") for f in part],
+                                "file_name": [f.rsplit("/", 1)[1] for f in part]})
     return run
 
 

@@ -2,6 +2,7 @@ import json
 import os
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -75,6 +76,25 @@ def test_recovery(spark, tmpdir_path):
     assert _files(tmpdir_path) == {"both.c": "2", "d/new.c": "3"} and trees.recover_tree(spark, tmpdir_path) == 0
 
 
+def test_no_task_lists_more_than_a_folder_of_files(spark, tmpdir_path, monkeypatch):
+    """Attempts roll over to further folders; a tree is walked entry by entry."""
+    monkeypatch.setattr(trees, "FILES", 3)
+    writer = trees.TreeWriter(tmpdir_path, "job", False)
+    rows = [(f"{'ab'[i // 5]}/{i}.c", "" if i % 2 else str(i)) for i in range(10)]
+    told = writer.write(iter(rows))
+    staging = os.path.join(tmpdir_path, "_tree-job")
+    assert (told.files, told.folders) == (10, 4) and sorted(os.listdir(staging)) == sorted(told.all_folders())
+    assert max(sum(len(f) for _, _, f in os.walk(os.path.join(staging, x))) for x in told.all_folders()) == 3
+    writer.commit([told])
+    assert trees.recover_tree(spark, tmpdir_path) == 1 and _files(tmpdir_path) == dict(rows)
+    os.makedirs(f"{tmpdir_path}/a/_hidden/x")
+    open(f"{tmpdir_path}/a/_hidden/x/0.c", "w").close()
+    places = pd.DataFrame({"place": [f"{tmpdir_path}/a", f"{tmpdir_path}/b"], "folder": [True, True]})
+    parts = list(trees._empty_below(tmpdir_path, "*.c")(iter([places])))
+    assert [len(p) for p in parts] == [3, 2]
+    assert {n for p in parts for n in p["file_name"]} == {"1.c", "3.c", "5.c", "7.c", "9.c"}
+
+
 def test_headers_beside_sources(spark, tmpdir_path):
     trees.write_tree(spark.createDataFrame([("a/x.c", "int x;"), ("a/y.c", "int y;"), ("a.c/z.c", "int z;")],
                                            "path string, text string"), tmpdir_path)

@@ -19,14 +19,18 @@ The windows are those of one sequential pass, whatever the chunk size. Only
 from __future__ import annotations
 
 import sys
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import FIRST_TOKEN_ID, tokens
+from ..session import ensure_checkpoint_dir
 from .joins import HOT_SHARE, hot_cold_join
 from .ordering import category_length_order, with_row_index
 
@@ -158,21 +162,54 @@ def vocabulary(token_rows: DataFrame, tokens_col: str = "tokens") -> DataFrame:
     return ranked.select("token", "n", (F.col("rank") + FIRST_TOKEN_ID).cast("int").alias("id"))
 
 
+#: The most frequent tokens, of at most so many characters, that every task holds.
+COMMON, COMMON_CHARS = 1 << 16, 64
+
+
+def _common_ids(names: list[str], ids: list[int], key: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Per row: its tokens' ids (0: not a common token) and the others with their positions."""
+        known, values = pa.array(names, pa.string()), pa.array(ids, pa.int32())
+        for batch in batches:
+            lists = batch.column(1)
+            flat = lists.flatten()
+            lens = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            ends = np.concatenate([[0], np.cumsum(lens)])
+            got = values.take(pc.index_in(flat, known))
+            rest = np.flatnonzero(pc.is_null(got).to_numpy(zero_copy_only=False))
+            others = pa.StructArray.from_arrays([pa.array((rest - np.repeat(ends[:-1], lens)[rest]).astype(np.int32)),
+                                                 flat.take(pa.array(rest))], ["p", "token"])
+            cuts = np.searchsorted(rest, ends)
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pc.fill_null(got, 0)),
+                pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), others)], [key, "_ids", "_rest"])
+    return run
+
+
 def encode(rows: DataFrame, key: str, text_col: str, vocab: DataFrame, out: str = "input_ids",
            hot_share: int = HOT_SHARE, tokens_col: str | None = None) -> DataFrame:
     """R2 encode: token ids of ``text_col`` in text order, one array per row.
     ``tokens_col`` names a column that holds the tokens already.
 
-    A row sends each of its distinct tokens once, with the positions it holds
-    there, to the vocabulary; tokens with more than one use in ``hot_share``
-    (fewer than ``hot_share`` tokens) are joined map-side, the rest shuffle.
-    Ids are then gathered per row and put in position order.
+    The ``COMMON`` most frequent tokens get their ids map-side, where the row's
+    tokens are. Only the others, with their positions, shuffle to the vocabulary
+    (one with more than one use in ``hot_share`` is joined map-side there). Ids
+    are then gathered per row and put in position order.
     """
+    common = (vocab.where(F.length("token") <= COMMON_CHARS).orderBy(F.col("n").desc(), "token").limit(COMMON)
+              .select("token", "id").collect())
     toks = rows.select(key, (F.col(tokens_col) if tokens_col else tokens(F.col(text_col))).alias("_t"))
-    flat = toks.select(key, F.posexplode("_t").alias("p", "token"))
-    per = flat.groupBy(key, "token").agg(F.collect_list("p").alias("at"))
-    ided = hot_cold_join(per, vocab.select("token", "n", "id"), "token", "n", hot_share, how="inner")
-    spread = F.flatten(F.transform(F.collect_list(F.struct("at", "id")), lambda x: F.transform(
-        x["at"], lambda p: F.struct(p.alias("p"), x["id"].alias("id")))))
-    enc = ided.groupBy(key).agg(F.transform(F.array_sort(spread), lambda x: x["id"]).alias(out))
+    kind = toks.schema[key].dataType.simpleString()
+    # read twice: tokens are cut and looked up once
+    ensure_checkpoint_dir(rows.sparkSession)
+    found = toks.mapInArrow(_common_ids([r["token"] for r in common], [r["id"] for r in common], key),
+                            f"`{key}` {kind}, _ids array<int>, _rest array<struct<p:int,token:string>>").checkpoint()
+    flat = found.select(key, F.explode("_rest").alias("r")).select(key, "r.p", "r.token")
+    ided = hot_cold_join(flat, vocab.select("token", "n", "id"), "token", "n", hot_share, how="inner")
+    none = F.lit(None)
+    both = found.select(key, "_ids", none.cast("struct<p:int,id:int>").alias("_one")).unionByName(
+        ided.select(key, none.cast("array<int>").alias("_ids"), F.struct("p", "id").alias("_one")))
+    placed = F.flatten(F.transform(F.collect_list("_ids"), lambda ids: F.filter(
+        F.transform(ids, lambda x, i: F.struct(i.alias("p"), x.alias("id"))), lambda s: s["id"] != 0)))
+    enc = both.groupBy(key).agg(F.transform(F.array_sort(F.concat(placed, F.collect_list("_one"))), lambda s: s["id"]).alias(out))
     return rows.join(enc, key, "left").withColumn(out, F.coalesce(F.col(out), F.array().cast("array<int>")))

@@ -196,8 +196,8 @@ def encode(rows: DataFrame, key: str, text_col: str, vocab: DataFrame, out: str
     (one with more than one use in ``hot_share`` is joined map-side there). Ids
     are then gathered per row and put in position order.
     """
-    common = (vocab.where(F.length("token") <= COMMON_CHARS).orderBy(F.col("n").desc(), "token").limit(COMMON)
-              .select("token", "id").collect())
+    # ids go by descending count: a filter, no top list of every partition
+    common = vocab.where((F.col("id") < FIRST_TOKEN_ID + COMMON) & (F.length("token") <= COMMON_CHARS)).select("token", "id").collect()
     toks = rows.select(key, (F.col(tokens_col) if tokens_col else tokens(F.col(text_col))).alias("_t"))
     kind = toks.schema[key].dataType.simpleString()
     # read twice: tokens are cut and looked up once

@@ -130,8 +130,9 @@ KEYWORD_LISTS_SQL = "SELECT DISTINCT 'part' || CAST(l_partkey AS VARCHAR) AS nam
 
 
 def _results(spark: SparkSession, d: str) -> DataFrame:
-    """Predictions as result files hold them: C or C++, named by their index."""
-    p = st.predictions(spark, d).where("sample_id >= 0").select("sample_id", "prediction", "decompiler")
+    """Predictions as result files hold them: C or C++, named by their index.
+    The join deals them packed."""
+    p = st.predictions(spark, d).where("sample_id >= 0").select("sample_id", trees.packed("prediction").alias("prediction"), "decompiler")
     s = st.samples(spark, d).select("sample_id", "opt", "language")
     return s.join(p, "sample_id").select(F.col("sample_id").alias("index"), "opt", "decompiler", "prediction",
                                          F.when(F.col("language") == "en", "cpp").otherwise("c").alias("language"))
@@ -141,7 +142,7 @@ def result_files(spark: SparkSession, d: str) -> DataFrame:
     """K3 -> S5: one named file for each prediction, below decompiler and
     level; the tree is walked and parsed back."""
     path = scratch_folder(spark, "files")
-    sinks.write_result_files(_results(spark, d), path, ["decompiler", "opt"])
+    sinks.write_result_files(_results(spark, d), path, ["decompiler", "opt"], packed=True)
     back = readers.read_prediction_tree(spark, path)
     return back.select("index", "opt", "language", "decompiler", F.md5("prediction").alias("prediction_md5"))
 

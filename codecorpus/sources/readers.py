@@ -38,13 +38,21 @@ def read_jsonl_dirs(spark: SparkSession, dirs: str | Sequence[str], schema: Stru
 def _files(spark: SparkSession, root: str, glob: str, empty: bool) -> DataFrame:
     """(path, file_name, text) of the matching files below ``root``.
 
-    ``wholetext`` must be an argument of ``text()``; as an option it would
-    be overridden and yield one row per line. Spark leaves out files of length
-    0; with ``empty`` they are listed beside it (Arrow must know the store).
+    Tasks list and read the tree (Arrow must know the store), so the driver
+    holds no names. Without ``empty``, and for packed files that Arrow cannot
+    unpack, Spark's own reader does, in any store: it leaves out files of length
+    0 and keeps the list of the others in the driver. Its ``wholetext`` must be
+    an argument of ``text()``; as an option it would be overridden and yield one
+    row per line.
     """
-    files = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob).select(
-        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("text"))
-    return files.unionByName(trees.empty_files(spark, root, glob).withColumn("text", F.lit(""))) if empty else files
+    def by_spark() -> DataFrame:
+        return spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob).select(
+            F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("text"))
+
+    if not empty:
+        return by_spark()
+    files = trees.full_files(spark, root, glob).unionByName(trees.empty_files(spark, root, glob).withColumn("text", F.lit("")))
+    return files.unionByName(by_spark().where(trees.unread("file_name"))) if trees.has_unread(spark, root, glob) else files
 
 
 def read_source_tree(spark: SparkSession, root: str, glob: str = "*.c", empty: bool = True) -> DataFrame:

@@ -56,10 +56,12 @@ def write_result_tree(df: DataFrame, path: str, by: Sequence[str] = ("opt", "lan
     df.write.mode("overwrite").partitionBy(*by).json(path)
 
 
-def write_result_files(df: DataFrame, path: str, by: Sequence[str] = ("opt",), text: str = "prediction") -> None:
+def write_result_files(df: DataFrame, path: str, by: Sequence[str] = ("opt",), text: str = "prediction",
+                       packed: bool = False) -> None:
     """K3: one file ``{by}/{index}_{opt}.{language}`` for each sample; the old
-    tree goes once all files of the new one are written."""
-    trees.write_tree(df, path, trees.result_file(by), text)
+    tree goes once all files of the new one are written. Texts may come
+    ``trees.packed``."""
+    trees.write_tree(df, path, trees.result_file(by), text, meet="index", packed=packed)
 
 
 def write_group_csv(df: DataFrame, path: str, by: Sequence[str] = ("language", "opt")) -> None:

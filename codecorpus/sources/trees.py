@@ -6,6 +6,8 @@ gives, written through a commit protocol.
    files into each.
 2. When all tasks are done, the driver commits: one small manifest lists the
    attempts' folders that count. Attempts lost with an executor are not listed.
+   Unless equal names have met in one task, a job then compares all names; two
+   files of one name drop the write.
 3. A second job moves the listed files to their places, one task for each
    folder. A move that is done already is skipped, so any part of this step
    may run again: ``recover_tree`` finishes a tree whose job died after the
@@ -19,8 +21,11 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import sys
+import unicodedata
 import uuid
+import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from fnmatch import fnmatchcase
@@ -28,11 +33,14 @@ from itertools import islice
 from urllib.parse import quote
 
 import pandas as pd
+import pyarrow as pa
 from pyarrow import fs as afs
 from pyspark import cloudpickle
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.types import BinaryType
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -40,6 +48,13 @@ FORMAT = "codecorpus_tree"
 STAGING = "_tree-"
 #: Files of one staging folder: what a task lists at once.
 FILES = 4096
+#: Bytes of text that a reading task gathers for a batch.
+BYTES = 4 << 20
+#: Levels of folders that are dealt out to be listed.
+LEVELS = 2
+#: Endings of packed files: those that Arrow unpacks, and others that only Spark's readers unpack.
+PACKED = {".gz": "gzip", ".bz2": "bz2", ".zst": "zstd"}
+UNREAD = ("deflate", "lz4", "snappy")
 
 
 def open_store(path: str) -> tuple[afs.FileSystem, str]:
@@ -67,9 +82,18 @@ class Attempt(WriterCommitMessage):
         return [self.folder, *[f"{self.folder}-{i}" for i in range(1, self.folders)]]
 
 
+def packed(text: str) -> Column:
+    """A column of texts as ``write_tree`` takes them ``packed``: when they are
+    dealt, they are two thirds of what a shuffle's own packing leaves."""
+    def pack(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else zlib.compress(t, 1))
+    return F.pandas_udf(pack, BinaryType())(F.col(text).cast("binary"))
+
+
 class TreeWriter(DataSourceWriter):
-    def __init__(self, root: str, job: str, replace: bool):
-        self.root, self.job, self.replace = root, job, replace
+    def __init__(self, root: str, job: str, replace: bool, met: bool = True):
+        """``met``: rows for one file are in one task."""
+        self.root, self.job, self.replace, self.met = root, job, replace, met
 
     def write(self, rows: Iterator[Row]) -> Attempt:
         """Rows come in the order of their names: equal ones are neighbours."""
@@ -78,7 +102,7 @@ class TreeWriter(DataSourceWriter):
         folder = f"{root}/{STAGING}{self.job}/{attempt.folder}"
         store.create_dir(folder)
         last = made = None
-        for name, text in rows:
+        for name, text, *_ in rows:
             if checked_name(name) == last:
                 raise ValueError(f"two rows for the file {name!r}")
             last = name
@@ -90,7 +114,8 @@ class TreeWriter(DataSourceWriter):
                 store.create_dir(parent)
                 made = parent
             with store.open_output_stream(f"{folder}/{name}") as out:
-                out.write((text or "").encode("utf-8", "surrogatepass"))
+                out.write(zlib.decompress(text) if isinstance(text, bytes | bytearray)
+                          else (text or "").encode("utf-8", "surrogatepass"))
             attempt.files += 1
         return attempt
 
@@ -98,7 +123,8 @@ class TreeWriter(DataSourceWriter):
         store, root = open_store(self.root)
         staging = f"{root}/{STAGING}{self.job}"
         store.create_dir(staging)
-        told = {"attempts": sorted(f for m in messages if m is not None for f in m.all_folders()), "replace": self.replace}
+        told = {"attempts": sorted(f for m in messages if m is not None for f in m.all_folders()), "replace": self.replace,
+                "met": self.met}
         with store.open_output_stream(f"{staging}/manifest.tmp") as out:
             out.write(json.dumps(told).encode())
         store.move(f"{staging}/manifest.tmp", f"{staging}/manifest.json")
@@ -110,14 +136,16 @@ class TreeWriter(DataSourceWriter):
 
 
 class TreeSource(DataSource):
-    """Columns: the file's name below the root, and its text."""
+    """Columns: the file's name below the root, its text, and perhaps one that
+    rows met by."""
 
     @classmethod
     def name(cls) -> str:
         return FORMAT
 
     def writer(self, schema, overwrite: bool) -> TreeWriter:
-        return TreeWriter(self.options["path"], self.options["job"], self.options["replace"] == "true")
+        return TreeWriter(self.options["path"], self.options["job"], self.options["replace"] == "true",
+                          self.options["met"] == "true")
 
 
 def _move_files(root: str, staging: str):
@@ -145,11 +173,32 @@ def _move_files(root: str, staging: str):
     return run
 
 
+def _staged_names(root: str, staging: str):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The names in each attempt's folder."""
+        store, base = open_store(root)
+        for batch in batches:
+            for attempt in batch["attempt"]:
+                folder = f"{base}/{staging}/{attempt}"
+                if store.get_file_info(folder).type != afs.FileType.Directory:
+                    continue
+                if names := [path[len(folder) + 1:] for path, _ in _sizes(store, folder)]:
+                    yield pd.DataFrame({"name": names})
+    return run
+
+
 def _publish(spark: SparkSession, root: str, staging: str) -> None:
     store, base = open_store(root)
     folder = f"{base}/{staging}"
     with store.open_input_stream(f"{folder}/manifest.json") as f:
         told = json.loads(f.read())
+    rows = spark.createDataFrame([(a,) for a in told["attempts"]], "attempt string")
+    rows = rows.repartitionByRange(max(1, len(told["attempts"])), "attempt")
+    if not told.get("met", True):
+        names = rows.mapInPandas(_staged_names(root, staging), "name string")
+        if twice := names.groupBy("name").count().where("count > 1").first():
+            store.delete_dir(folder)
+            raise ValueError(f"two rows for the file {twice['name']!r}")
     if told["replace"] and store.get_file_info(f"{folder}/cleared").type == afs.FileType.NotFound:
         for info in store.get_file_info(afs.FileSelector(base)):
             if not info.base_name.startswith(STAGING):
@@ -157,25 +206,35 @@ def _publish(spark: SparkSession, root: str, staging: str) -> None:
         with store.open_output_stream(f"{folder}/cleared"):
             pass
     if told["attempts"]:
-        rows = spark.createDataFrame([(a,) for a in told["attempts"]], "attempt string")
-        rows = rows.repartitionByRange(len(told["attempts"]), "attempt")
         rows.mapInPandas(_move_files(root, staging), "attempt string").write.format("noop").mode("overwrite").save()
     store.delete_dir(folder)
 
 
+def dealt_rows(df: DataFrame, name: str | Column, text: str | Column, meet: str | None, packed: bool = False) -> DataFrame:
+    """(path, text) as the writer takes them; and what they met by if it isn't
+    the name, as Spark forgets by what rows are dealt once that is dropped."""
+    cols = [F.col(c) if isinstance(c, str) else c for c in (name, text)]
+    rows = df.select(cols[0].cast("string").alias("path"), cols[1].cast("binary" if packed else "string").alias("text"),
+                     *([] if meet is None else [F.col(meet).alias("meet")]))
+    return rows.repartition("path" if meet is None else "meet").sortWithinPartitions("path")
+
+
 def write_tree(df: DataFrame, root: str, name: str | Column = "path", text: str | Column = "text",
-               replace: bool = True) -> None:
+               replace: bool = True, meet: str | None = None, packed: bool = False) -> None:
     """One file for each row. Rows meet by name first, so that two rows for
     one file are an error (and not a race); null texts are empty files, a null
     name or one that leaves the tree is an error. An error leaves the tree as
-    it was."""
+    it was.
+
+    ``meet`` is a column that rows for one file should share: rows meet by it
+    instead, and those that a join has brought together by it are not dealt
+    once more with their texts. As two rows could yet have one name, the names
+    of all are compared before any takes its place. Texts may come ``packed``."""
     spark = df.sparkSession
     spark.dataSource.register(TreeSource)
     job = uuid.uuid4().hex
-    cols = [F.col(c) if isinstance(c, str) else c for c in (name, text)]
-    rows = df.select(cols[0].cast("string").alias("path"), cols[1].cast("string").alias("text"))
-    (rows.repartition("path").sortWithinPartitions("path").write.format(FORMAT).mode("append")
-     .option("path", root).option("job", job).option("replace", str(replace).lower()).save())
+    (dealt_rows(df, name, text, meet, packed).write.format(FORMAT).mode("append").option("path", root).option("job", job)
+     .option("replace", str(replace).lower()).option("met", str(meet is None).lower()).save())
     _publish(spark, root, STAGING + job)
 
 
@@ -196,35 +255,87 @@ def recover_tree(spark: SparkSession, root: str) -> int:
     return done
 
 
-def _name_test(glob: str):
-    """Test of a file name against a glob with at most one ``{a,b}`` choice."""
+def _choices(glob: str) -> list[str]:
+    """A glob with at most one ``{a,b}`` choice as globs without."""
     head, brace, rest = glob.partition("{")
     choice, _, tail = rest.partition("}")
-    globs = [head + c + tail for c in choice.split(",")] if brace else [glob]
+    return [head + c + tail for c in choice.split(",")] if brace else [glob]
+
+
+def _name_test(glob: str):
+    """Test of a file name against a glob with at most one ``{a,b}`` choice."""
+    globs = _choices(glob)
     return lambda name: not name.startswith(("_", ".")) and any(fnmatchcase(name, g) for g in globs)
 
 
-def _sizes(store: afs.FileSystem, place: str) -> Iterator[tuple[str, int]]:
-    """(path, size) of the files below a folder. A local folder is read entry
-    by entry, one of another store is listed without those below it."""
+def _sizes(store: afs.FileSystem, place: str, below: bool = True) -> Iterator[tuple[str, int]]:
+    """(path, size) of the files in a folder, and ``below`` it. A local folder
+    is read entry by entry, one of another store is listed without those below
+    it."""
     if isinstance(store, afs.LocalFileSystem):
         with os.scandir(place) as entries:
             for e in entries:
                 if e.is_dir():
-                    yield from _sizes(store, e.path)
+                    if below:
+                        yield from _sizes(store, e.path)
                 elif e.is_file():
                     yield e.path, e.stat().st_size
         return
-    below = []
+    folders = []
     for f in store.get_file_info(afs.FileSelector(place)):
         if f.type == afs.FileType.File:
             yield f.path, f.size
         elif f.type == afs.FileType.Directory:
-            below.append(f.path)
-    for folder in below:
+            folders.append(f.path)
+    for folder in folders if below else ():
         yield from _sizes(store, folder)
 
 
+def _folders(store: afs.FileSystem, place: str) -> Iterator[str]:
+    """The folders right in a folder."""
+    if isinstance(store, afs.LocalFileSystem):
+        with os.scandir(place) as entries:
+            yield from (e.path for e in entries if e.is_dir())
+    else:
+        yield from (f.path for f in store.get_file_info(afs.FileSelector(place)) if f.type == afs.FileType.Directory)
+
+
+def _unfold(root: str):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Each whole folder as its own files and the folders right in it."""
+        store, _ = open_store(root)
+
+        def found() -> Iterator[tuple[str, bool]]:
+            for batch in batches:
+                for place, folder in zip(batch["place"], batch["folder"], strict=True):
+                    yield place, False
+                    if folder:
+                        yield from ((p, True) for p in _folders(store, place) if not p.rsplit("/", 1)[1].startswith(STAGING))
+
+        places = found()
+        while part := list(islice(places, FILES)):
+            yield pd.DataFrame(part, columns=["place", "folder"])
+    return run
+
+
+def _places(spark: SparkSession, root: str) -> DataFrame:
+    """What to list: (place, folder), a folder with all below it or only the
+    files right in it. The folders of the first levels get a task each; their
+    files are not gathered, and the driver lists nothing."""
+    store, base = open_store(root)
+    if store.get_file_info(base).type == afs.FileType.NotFound:
+        raise AnalysisException(f"[PATH_NOT_FOUND] Path does not exist: {root}.")
+    rows = spark.range(0, 1, 1, 1).select(F.lit(base).alias("place"), F.lit(True).alias("folder"))
+    for _ in range(LEVELS):
+        rows = rows.mapInPandas(_unfold(root), "place string, folder boolean").repartition(_tasks(spark), "place")
+    return rows
+
+
+def _tasks(spark: SparkSession) -> int:
+    """Names are few bytes, by which Spark would gather them into few tasks."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _empty_below(root: str, glob: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, base = open_store(root)
@@ -234,8 +345,7 @@ def _empty_below(root: str, glob: str):
         def found() -> Iterator[str]:
             for batch in batches:
                 for place, folder in zip(batch["place"], batch["folder"], strict=True):
-                    infos = _sizes(store, place) if folder else ((f.path, f.size) for f in store.get_file_info([place]))
-                    yield from (path for path, size in infos if size == 0 and fits(path.rsplit("/", 1)[1])
+                    yield from (path for path, size in _sizes(store, place, folder) if size == 0 and fits(path.rsplit("/", 1)[1])
                                 and not any(p.startswith(("_", ".")) for p in path[len(base):].split("/")))
 
         empty = found()
@@ -247,13 +357,102 @@ def _empty_below(root: str, glob: str):
 
 def empty_files(spark: SparkSession, root: str, glob: str) -> DataFrame:
     """(path, file_name) of the files of length 0 below ``root``, which Spark's
-    own readers leave out. Folders right below the root are listed by a task
-    each."""
-    store, base = open_store(root)
-    top = [(f.path, f.type == afs.FileType.Directory) for f in store.get_file_info(afs.FileSelector(base))]
-    rows = spark.createDataFrame(top, "place string, folder boolean")
-    rows = rows.repartitionByRange(max(1, min(len(top), 1000)), "place")
-    return rows.mapInPandas(_empty_below(root, glob), "path string, file_name string")
+    own readers leave out."""
+    return _places(spark, root).mapInPandas(_empty_below(root, glob), "path string, file_name string")
+
+
+def _spark_shows(name: str, file: bool) -> bool:
+    """Spark's readers pass over the others."""
+    if name.startswith(".") or name.startswith("_") and "=" not in name:
+        return not file and name.startswith(("_metadata", "_common_metadata"))
+    return not name.endswith("._COPYING_")
+
+
+def _uri_quote(path: str) -> str:
+    """The path as java.net.URI quotes it: letters of any script stay."""
+    return "".join(c if c > "\x7f" and unicodedata.category(c) not in ("Zs", "Zl", "Zp", "Cc")
+                   else quote(c, safe="/=+,;:@&~!$'()*") for c in path)
+
+
+def _full_below(root: str, pattern: str):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, base = open_store(root)
+        fits = re.compile(pattern, re.DOTALL).fullmatch
+
+        def found() -> Iterator[str]:
+            for batch in batches:
+                for place, folder in zip(batch["place"], batch["folder"], strict=True):
+                    for path, size in _sizes(store, place, folder):
+                        *folders, name = path[len(base):].strip("/").split("/")
+                        if size and fits(name) and _spark_shows(name, True) and all(_spark_shows(p, False) for p in folders):
+                            yield path
+
+        full = found()
+        while part := list(islice(full, FILES)):
+            yield pd.DataFrame({"place": part})
+    return run
+
+
+def _unpacked(store: afs.FileSystem, place: str) -> bytes:
+    """The bytes of a file; as Spark's readers do, a packed one is unpacked."""
+    with store.open_input_stream(place, compression=PACKED.get(os.path.splitext(place)[1])) as f:
+        return f.read()
+
+
+def _texts(root: str, uri: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each file's text, ``BYTES`` or one file at a time."""
+        store, base = open_store(root)
+
+        def part(places: list[str], texts: list[bytes]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([
+                pa.array([f"{uri}/{_uri_quote(p[len(base):].lstrip('/'))}" for p in places], pa.string()),
+                pa.array([p.rsplit("/", 1)[1] for p in places], pa.string()), pa.array(texts, pa.binary())],
+                ["path", "file_name", "text"])
+
+        places, texts, size = [], [], 0
+        for batch in batches:
+            for place in batch.column(0).to_pylist():
+                places.append(place)
+                texts.append(_unpacked(store, place))
+                size += len(texts[-1])
+                if size >= BYTES or len(places) == FILES:
+                    yield part(places, texts)
+                    places, texts, size = [], [], 0
+        if places:
+            yield part(places, texts)
+    return run
+
+
+def unread(name: str) -> Column:
+    """Whether the file of a name is left to Spark's own reader."""
+    return F.col(name).rlike(rf"\.({'|'.join(UNREAD)})$")
+
+
+def _full_names(spark: SparkSession, root: str, glob: str) -> DataFrame:
+    """(place) of the files that Spark's own reader gives."""
+    pattern = spark._jvm.org.apache.hadoop.fs.GlobPattern.compile(glob).pattern()
+    return _places(spark, root).mapInPandas(_full_below(root, pattern), "place string")
+
+
+def has_unread(spark: SparkSession, root: str, glob: str) -> bool:
+    """Only for a glob that such names may fit, tasks look for one."""
+    tails = [re.split(r"[]*?}]", g.replace("\\", ""))[-1] for g in _choices(glob)]
+    return any(t.endswith(f".{e}") or f".{e}".endswith(t) for t in tails for e in UNREAD) and bool(
+        _full_names(spark, root, glob).where(unread("place")).head(1))
+
+
+def full_files(spark: SparkSession, root: str, glob: str) -> DataFrame:
+    """(path, file_name, text) of the files below ``root`` that Spark's own
+    whole-text reader gives, without ``unread`` ones. That one keeps the status
+    of every file in the driver; here tasks list the folders, and the names are
+    dealt to the tasks that read them, whenever the rows are asked for."""
+    names = _full_names(spark, root, glob).where(~unread("place"))
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    folder = hadoop.Path(root)
+    uri = hadoop.Path(folder.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(folder).toString()).toUri().toString()
+    read = names.repartition(_tasks(spark), "place").mapInArrow(_texts(root, uri), "path string, file_name string, text binary")
+    return read.withColumn("text", F.col("text").cast("string"))
 
 
 def result_file(by: Sequence[str], index: str = "index", opt: str = "opt", language: str = "language") -> Column:

@@ -1,9 +1,13 @@
+import bz2
+import gzip
 import json
 import os
 import random
+from urllib.parse import unquote
 
 import pandas as pd
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -115,6 +119,89 @@ def test_prediction_names(spark, tmpdir_path):
     assert got == {(7, "O0_extra", "c"), (8, "", "cpp")}
 
 
+def test_rows_that_a_join_has_dealt_are_not_dealt_again(spark):
+    left, right = (spark.range(50).select(F.col("id").alias("index"), F.concat(F.lit(c), F.col("id")).alias(c)) for c in "ab")
+    rows = left.hint("merge").join(right, "index")
+    for meet, exchanges in (("index", 2), (None, 3)):
+        plan = trees.dealt_rows(rows, F.concat("a", F.lit(".c")), "b", meet)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == exchanges and plan.count("Sort [path") == 1
+
+
+def test_two_indexes_that_give_one_name_are_an_error(spark, tmpdir_path):
+    """The level of the first holds what reads as a folder and an index."""
+    sinks.write_result_files(spark.createDataFrame([(7, "O0", "c", "a", "old")], RESULTS), tmpdir_path, ["decompiler", "opt"])
+    rows = [(1, "x/2_y", "c", "a", "1"), (2, "y", "c", "a/1_x", "2")] + [(i, "O1", "c", "a", "") for i in range(3, 20)]
+    df = spark.createDataFrame(rows, RESULTS)
+    with pytest.raises(Exception, match="two rows for the file 'a/1_x/2_y.c'"):
+        sinks.write_result_files(df, tmpdir_path, ["decompiler"])
+    assert _files(tmpdir_path) == {"a/O0/7_O0.c": "old"}
+    writer = trees.TreeWriter(tmpdir_path, "apart", True, met=False)  # two tasks, and one that had no rows
+    writer.commit([writer.write(iter([(name, text, i)] if name else [])) for name, text, i in (
+        ("a/1_x/2_y.c", "1", 1), (None, None, 0), ("a/1_x/2_y.c", "2", 2))])
+    with pytest.raises(ValueError, match="two rows for the file 'a/1_x/2_y.c'"):
+        trees.recover_tree(spark, tmpdir_path)
+    assert _files(tmpdir_path) == {"a/O0/7_O0.c": "old"}
+    sinks.write_result_files(df.where("index <> 2"), tmpdir_path, ["decompiler"])
+    assert len(_files(tmpdir_path)) == 18
+
+
+def test_packed_texts_are_written_whole(spark, tmpdir_path):
+    texts = [None, "", "é\u2028 \r\n", "int x;\n" * 5000, "\x00\ud7ff😀"]
+    df = spark.createDataFrame([(i, "O1", "c", "m", t) for i, t in enumerate(texts)], RESULTS)
+    sinks.write_result_files(df.withColumn("prediction", trees.packed("prediction")), tmpdir_path, packed=True)
+    for i, t in enumerate(texts):
+        with open(f"{tmpdir_path}/O1/{i}_O1.c", "rb") as f:
+            assert f.read() == (t or "").encode()
+
+
+ODD_NAMES = ("a b.c", "é.c", "x%20y.c", "q?.c", "[z].c", "u|v.c", "p+q.c", "h#i.c", "t~'!().c", "s;=&,$@.c", "back\\s.c", 'q".c', "<l>.c",
+             "nb\u00a0x.c", "em\u2003x.c", "c1\u0085x.c", "tab\tx.c", "_h.c", "_k=1.c", ".d.c", "x.h", "z.cpp", "_metadata.c")
+
+
+def test_the_driver_lists_no_tree(spark, tmpdir_path, monkeypatch):
+    """The rows of Spark's own reader and the empty files, without the list of
+    files that it keeps in the driver."""
+    for k, sub in enumerate(("", "m", "m/O 0", "m/O 0/deep/er", "_k=v", "_h", ".x", "_metadata_d")):
+        os.makedirs(f"{tmpdir_path}/{sub}", exist_ok=True)
+        for i, name in enumerate(ODD_NAMES):
+            with open(f"{tmpdir_path}/{sub}/{name}", "wb") as f:
+                f.write(b"" if (i + k) % 5 == 0 else b"\xff bad \xc3 " + name.encode() * (i + 1))
+    os.makedirs(f"{tmpdir_path}/nothing/here")
+    monkeypatch.setattr(trees, "FILES", 3)
+    monkeypatch.setattr(trees, "BYTES", 100)
+
+    def rows(glob, root, empty):
+        df = readers.read_source_tree(spark, root, glob, empty)
+        assert not (empty and df.inputFiles())
+        found = [tuple(r) for r in df.select("name", F.hex(F.col("text").cast("binary"))).collect()]
+        assert len(set(found)) == len(found)
+        return set(found)
+    for glob in ("*.c", "*.{c,h}", "[!x]*", "*"):
+        for root in (tmpdir_path, f"file://{tmpdir_path}/"):
+            got = rows(glob, root, True)
+            assert {r for r in got if r[1]} == rows(glob, root, False)
+    empty = {os.path.join(d, f)[len(tmpdir_path):] for d, _, fs in os.walk(tmpdir_path) for f in fs
+             if os.path.getsize(os.path.join(d, f)) == 0 and "/_" not in os.path.join(d, f) and "/." not in os.path.join(d, f)}
+    assert {unquote(r[0]).split(tmpdir_path)[1] for r in got if not r[1]} == empty and len(empty) > 10
+
+
+def test_a_tree_that_is_not_there_and_packed_files(spark, tmpdir_path):
+    with pytest.raises(AnalysisException, match="PATH_NOT_FOUND"):
+        readers.read_source_tree(spark, f"{tmpdir_path}/none")
+    for end, pack in ((".gz", gzip.compress), (".bz2", bz2.compress), ("", bytes)):
+        open(f"{tmpdir_path}/x.c{end}", "wb").write(pack(f"text {end}".encode()))
+    got = {r["name"].rsplit("/", 1)[1]: r["text"] for r in readers.read_source_tree(spark, tmpdir_path, "*").collect()}
+    assert got == {"x.c": "text ", "x.c.gz": "text .gz", "x.c.bz2": "text .bz2"}
+    for end in ("lz4", "deflate", "snappy"):
+        spark.range(3, numPartitions=1).select(F.concat(F.lit(end), F.col("id"))).write.option("compression", end).text(f"{tmpdir_path}/{end}")
+    open(f"{tmpdir_path}/empty.lz4", "w").close()
+    for glob in ("*", "*.{h,lz4}", "*.sna?py", "*.c"):
+        got, own = ({tuple(r) for r in readers.read_source_tree(spark, tmpdir_path, glob, e).collect()} for e in (True, False))
+        assert {r for r in got if r[1]} == own and len(own) == {"*": 6, "*.c": 1}.get(glob, 1)
+    assert "lz40\nlz41\nlz42\n" in {r[0] for r in readers.read_source_tree(spark, tmpdir_path, "*").select("text").collect()}
+    assert [trees.has_unread(spark, tmpdir_path, g) for g in ("*.{c,cpp}", "*.z4", "*", "*\\.lz4")] == [False, False, True, True]
+
+
 # ------------------------------------------------------------------ S1, S7
 
 DDL = "id long, text string, sub struct<a:array<struct<b:string>>, c:map<string,long>>"
